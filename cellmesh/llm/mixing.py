@@ -4,7 +4,8 @@ A document of a source with target T and size S should be taken T/S times.  Whol
 The fractions are rounded in pairs: a pair moves expected words from one document to the other, in a direction
 drawn so that expectations hold, until one has 0 or 1 copies more.  What stays fractional goes up a reduction
 tree: blocks of bounded size at each level, one unit left of each, until each source has one unit, which is
-drawn alone.  Expected words are moved, not copies, so a source's taken words miss its target by less than one document.
+drawn alone.  Expected words are moved, not copies, so a source's taken words miss its target by less than one
+document, and units go by falling size, so by a small one.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ EPS = 1e-9
 
 
 def _round_block(units: Column, seed: int, key: str) -> Column:
-    """Fold a sorted array of units: ``(rest, done)``, the one fractional unit left, or null, and decisions."""
+    """Fold an array of units, large ones first so that what stays is small: ``(rest, done)``, the one fractional unit left, or null, and decisions."""
     unit, done = f"struct<key:{key},size:bigint,p:double>", f"array<struct<key:{key},up:int>>"
 
     def step(acc: Column, u: Column) -> Column:
@@ -74,7 +75,7 @@ def _round_block(units: Column, seed: int, key: str) -> Column:
         whole = lambda x: (x["p"] < EPS) | (x["p"] > 1 - EPS)
         left = F.get(F.filter(pair, lambda x: ~whole(x)), F.lit(0))
         out = F.transform(F.filter(pair, whole), lambda x: F.struct(x["key"].alias("key"), F.when(x["p"] > 0.5, 1).otherwise(0).alias("up")))
-        return F.when(held.isNull(), F.struct(u.cast(unit).alias("rest"), acc["done"].alias("done"))).otherwise(
+        return F.when(held.isNull(), F.struct(F.struct(u["key"].alias("key"), b.alias("size"), u["p"].alias("p")).cast(unit).alias("rest"), acc["done"].alias("done"))).otherwise(
             F.struct(left.cast(unit).alias("rest"), F.concat(acc["done"], out).cast(done).alias("done"))
         )
 
@@ -93,7 +94,7 @@ def pivotal_round(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFr
         spread = F.pmod(F.xxhash64("key", F.lit(seed + level)), F.ceil(F.col("n") / block).cast("long"))
         folded = (
             left.groupBy("group", spread.alias("block"))
-            .agg(F.array_sort(F.collect_list(F.struct("key", "size", "p"))).alias("units"), F.ceil(F.max("n") / block).cast("long").alias("n"))
+            .agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "key", "size", "p"))).alias("units"), F.ceil(F.max("n") / block).cast("long").alias("n"))
             .select("group", "n", _round_block(F.col("units"), seed + level, key).alias("r"))
         )
         folded = stash(folded, f"mixing-{level}")
