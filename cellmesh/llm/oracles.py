@@ -28,3 +28,36 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   (count(*) FILTER (begins))::BIGINT AS n_blocks
 FROM marked GROUP BY conv_id
 """
+
+WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), g AS (SELECT digest, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < first THEN first END AS refers_to, true AS complete
+FROM p LEFT JOIN g ON p.digest = g.digest AND n >= 1000
+"""
+
+# Jump consistent hash for 40 and 41 shards, and CRC-32 (polynomial 0xEDB88320) by nibbles.
+_JUMP = """
+list_reduce(list_prepend({{'k': doc_id::HUGEINT + (doc_id < 0)::INT * 18446744073709551616::HUGEINT, 'b': 0::BIGINT, 'j': 0::BIGINT}},
+  list_transform(range({n}), lambda i: {{'k': 0::HUGEINT, 'b': 0::BIGINT, 'j': 0::BIGINT}})),
+  lambda a, x: CASE WHEN a.j >= {n} THEN a ELSE {{
+    'k': (a.k * 2862933555777941757 + 1) % 18446744073709551616::HUGEINT,
+    'b': a.j,
+    'j': floor((a.j + 1)::DOUBLE * (2147483648::DOUBLE / (((a.k * 2862933555777941757 + 1) % 18446744073709551616::HUGEINT) // 8589934592 + 1)::DOUBLE))::BIGINT}} END).b::INTEGER
+"""
+_NIBBLE = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+_STEP = f"xor(c >> 4, {_NIBBLE}[(c & 15) + 1])"
+SHARDING = f"""
+WITH h AS (
+  SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size, lower(hex(encode(coalesce(text, '')))) AS x FROM documents
+), crc AS (
+  SELECT doc_id, size, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda a, b: xor(xor(xor(a, b) >> 4, {_NIBBLE}[(xor(a, b) & 15) + 1]) >> 4, {_NIBBLE}[(xor(xor(a, b) >> 4, {_NIBBLE}[(xor(a, b) & 15) + 1]) & 15) + 1])
+  ), 4294967295) AS text_crc32 FROM h
+), s AS (SELECT *, {_JUMP.format(n=40)} AS shard, {_JUMP.format(n=41)} AS grown_shard FROM crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard FROM s
+"""

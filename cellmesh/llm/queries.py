@@ -11,6 +11,7 @@ from . import oracles
 from .chat import format_conversations, masked_text, read_turns
 from .mixing import mix
 from .sharding import shard
+from .warc import through_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_archives(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 40).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op6_mixing": op6_mixing,
+        "op8_warc": op8_warc,
         "op9_sharding": op9_sharding,
     }
 
@@ -57,4 +63,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": oracles.CHAT,
+        "op8_warc": oracles.WARC,
+        "op9_sharding": oracles.SHARDING,
     }
