@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .chat import format_conversations, masked_text, read_turns
+from .decontaminate import scan
 from .mixing import mix
 from .sharding import shard
 from .warc import through_archives
@@ -43,6 +44,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_archives(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
 
@@ -55,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op6_mixing": op6_mixing,
+        "op7_decontamination": op7_decontamination,
         "op8_warc": op8_warc,
         "op9_sharding": op9_sharding,
     }
@@ -63,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": oracles.CHAT,
+        "op7_decontamination": oracles.DECONTAMINATION,
         "op8_warc": oracles.WARC,
         "op9_sharding": oracles.SHARDING,
     }
