@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracles, quality, toxicity
 from .chat import format_conversations, masked_text, read_turns
 from .decontaminate import scan
 from .mixing import mix
@@ -40,6 +40,20 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(of: str, n: int):
+    return F.crc32(F.col(of).cast("string").cast("binary")) % n
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of remainder 2 teach nothing: they are the held-out quarter."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    uri = toxicity.train(docs, labels, learn=remainder("doc_id", 4) != 2)
+    out = toxicity.score(docs, uri)
+    return out.select(
+        "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), toxicity.flagged(spark, uri).alias("flagged")
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -64,13 +78,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 40).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "quality_score.expected_grade", "quality_score.tail_probability", (F.col("quality_score.tail_probability") >= 0.5).alias("keep"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op4_toxicity": op4_toxicity,
         "op6_mixing": op6_mixing,
         "op7_decontamination": op7_decontamination,
         "op8_warc": op8_warc,
         "op9_sharding": op9_sharding,
+        "op10_quality": op10_quality,
     }
 
 

@@ -91,9 +91,12 @@ def _cuts(word: bytes, n: int, data: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def words(data: np.ndarray, offs: np.ndarray, word: bytes = NON_SPACE):
-    """``(hash, start, end, off)``: hash, with A-Z lower-cased, and byte span of each word; words of text i are ``off[i]:off[i+1]``."""
-    hs, ss, es = [], [], []
+def words(data: np.ndarray, offs: np.ndarray, word: bytes = NON_SPACE, prefix: int = 0):
+    """``(hash, start, end, off)``: hash, with A-Z lower-cased, and byte span of each word; words of text i are ``off[i]:off[i+1]``.
+
+    With ``prefix``, a fifth array: the hash of each word's first ``prefix`` bytes.
+    """
+    hs, ss, es, ps = [], [], [], []
     for a, b in _cuts(word, len(data), data):
         w = looked_up(data[a:b], word, bool)
         before = np.empty(len(w), bool)
@@ -116,11 +119,13 @@ def words(data: np.ndarray, offs: np.ndarray, word: bytes = NON_SPACE):
         hs.append(mix(h))
         ss.append(start + a)
         es.append(end + a)
+        if prefix:
+            ps.append(mix((total[np.minimum(start + prefix, end)] - total[start]) * down[start]))
     if not hs:
         empty = np.zeros(0, np.int64)
-        return np.zeros(0, U64), empty, empty, np.zeros(len(offs), np.int64)
+        return (np.zeros(0, U64), empty, empty, np.zeros(len(offs), np.int64)) + ((np.zeros(0, U64),) if prefix else ())
     start = np.concatenate(ss)
-    return np.concatenate(hs), start, np.concatenate(es), np.searchsorted(start, offs)
+    return (np.concatenate(hs), start, np.concatenate(es), np.searchsorted(start, offs)) + ((np.concatenate(ps),) if prefix else ())
 
 
 SLOT_KEYS = keys(64, 11) | U64(1)
