@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles, quality, toxicity
 from .chat import format_conversations, masked_text, read_turns
 from .decontaminate import scan
+from .jaccard import near_duplicates
 from .mixing import mix
 from .sharding import shard
 from .warc import through_archives
@@ -54,6 +55,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op4_toxicity": op4_toxicity,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_mixing": op6_mixing,
         "op7_decontamination": op7_decontamination,
         "op8_warc": op8_warc,
@@ -99,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": oracles.CHAT,
+        "op5_jaccard_join": oracles.JACCARD,
         "op7_decontamination": oracles.DECONTAMINATION,
         "op8_warc": oracles.WARC,
         "op9_sharding": oracles.SHARDING,
