@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles, quality, toxicity
 from .chat import format_conversations, masked_text, read_turns
 from .decontaminate import scan
+from .fingerprint import fingerprints
 from .jaccard import near_duplicates
 from .mixing import mix
 from .sharding import shard
@@ -41,6 +42,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def remainder(of: str, n: int):
     return F.crc32(F.col(of).cast("string").cast("binary")) % n
 
@@ -92,6 +97,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op3_fingerprints": op3_fingerprints,
         "op4_toxicity": op4_toxicity,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_mixing": op6_mixing,
