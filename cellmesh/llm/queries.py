@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles, quality, toxicity
+from . import lm, oracles, quality, toxicity
 from .chat import format_conversations, masked_text, read_turns
 from .decontaminate import scan
 from .fingerprint import fingerprints
@@ -42,6 +42,13 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document by a model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.train(docs.where(~lm.held_out(F.col("doc_id"))))
+    return lm.score(docs, model).withColumn("held_out", lm.held_out(F.col("doc_id")))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -97,6 +104,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_fingerprints": op3_fingerprints,
         "op4_toxicity": op4_toxicity,
         "op5_jaccard_join": op5_jaccard_join,
