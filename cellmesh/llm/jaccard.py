@@ -405,3 +405,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     placed = nodes.join(top, "label", "left").select("k1", "k2", F.coalesce("final", "label").alias("component"))
     out = own.select("doc_id", "n_shingles", "k1", "k2").join(placed, ["k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id") -> DataFrame:
+    """The documents without near duplicates: of each component the row with the smallest id stays, with all its columns.
+
+    Of rows that repeat an id one stays.  Rows without an id stay.
+    """
+    found = near_duplicates(docs, k, percent, doc_id)
+    known = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
+    known = stash(known.where("n > 1 or c <> doc_id"), "jaccard-gone")
+    gone = known.where("c <> doc_id").select(F.col("doc_id").alias("gone_id"))
+    left = docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    if not known.where("n > 1").limit(1).count():
+        return left
+    return left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(left.where(F.col(doc_id).isNull()))

@@ -108,8 +108,9 @@ def pivotal_round(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFr
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (5, 2, 1), ceiling: float = 3.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc_id, source, size, text_hash, source_size, target, copies, taken``, one row per document.
+    """``doc_id, source, size, text_hash, source_size, target, row, copies, taken``, one row per document.
 
+    ``row`` numbers the rows that repeat an id, source and text, from 1.
     Rows with equal id, source, size and text are rounded as one unit, and its copies are dealt evenly to them,
     so repeated rows have a defined result and cannot pile up in one block.  A null text has size 0; a document
     of size 0 is taken floor(T/S) times (0 words).  Null sources form one source.  An empty table gives no rows.
@@ -129,6 +130,17 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (5, 2, 1),
     both = wanted.join(rounded, (F.col("key") == F.col("rounded")) & F.col("source").eqNullSafe(F.col("of")), "left")
     total = both.withColumn("k", F.col("base") + F.coalesce("up", F.lit(0)))
     # The k copies of a unit go evenly to its rows.
-    each = total.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    copies = F.floor(F.col("k") / F.col("rows")).cast("long") + F.when(F.col("i") <= F.pmod("k", "rows"), 1).otherwise(0)
-    return each.select("doc_id", "source", "size", "text_hash", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    each = total.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    copies = F.floor(F.col("k") / F.col("rows")).cast("long") + F.when(F.col("row") <= F.pmod("k", "rows"), 1).otherwise(0)
+    return each.select("doc_id", "source", "size", "text_hash", "source_size", "target", "row", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def repeat(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Each document of ``docs`` as often as its copies in ``plan``, made by :func:`mix` of the same table; its own columns only."""
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("text_hash"))
+    same = Window.partitionBy("doc_id", "source", "text_hash").orderBy(F.lit(0))
+    left = rows.withColumn("row", F.row_number().over(same)).alias("l")
+    right = plan.select("doc_id", "source", "text_hash", "row", "copies").where("copies > 0").alias("r")
+    match = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("doc_id", "source", "text_hash")]
+    both = left.join(right, [*match, F.col("l.row") == F.col("r.row")])
+    return both.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("doc.*")

@@ -114,8 +114,8 @@ def fit(rows: list[dict], rounds: int = 150, rate: float = 0.5, decay: float = 1
     return {"grades": grades, "weights": x[:SIZE].astype(np.float32), "thresholds": thresholds(x)}
 
 
-def score(docs: DataFrame, uri: str, text: str = "text") -> DataFrame:
-    """``docs``, all columns kept, with a struct column ``quality_score`` of ``expected_grade`` and ``tail_probability``.
+def score(docs: DataFrame, uri: str, text: str = "text", name: str = "quality_score") -> DataFrame:
+    """``docs``, all columns kept, with a struct column ``name`` of ``expected_grade`` and ``tail_probability``.
 
     ``tail_probability`` is that of the top grade.  Whole texts are scored; null and empty texts have the score 0 before thresholds.
     """
@@ -124,7 +124,7 @@ def score(docs: DataFrame, uri: str, text: str = "text") -> DataFrame:
     k = docs.columns.index(text)
     kind = pa.struct([("expected_grade", pa.float64()), ("tail_probability", pa.float64())])
     spark_kind = "struct<expected_grade:double,tail_probability:double>"
-    schema = StructType([*docs.schema.fields, StructField("quality_score", docs.sparkSession.createDataFrame([], f"x {spark_kind}").schema["x"].dataType)])
+    schema = StructType([*docs.schema.fields, StructField(name, docs.sparkSession.createDataFrame([], f"x {spark_kind}").schema["x"].dataType)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = labelled.load(uri)
@@ -135,7 +135,7 @@ def score(docs: DataFrame, uri: str, text: str = "text") -> DataFrame:
             expected = grades[0] + (tail * np.diff(grades)[None, :]).sum(axis=1)
             top = tail[:, -1] if tail.shape[1] else np.ones(len(s))
             out = pa.StructArray.from_arrays([pa.array(expected), pa.array(top)], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, name])
 
     return docs.mapInArrow(rows, schema)
 
@@ -147,5 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_grade:
 
 def select(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose probability of the top grade is ``least`` or more, with their own columns."""
-    scored = score(docs, train(docs, labels))
-    return scored.where(F.col("quality_score.tail_probability") >= least).drop("quality_score")
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    scored = score(docs, train(docs, labels), name=name)
+    return scored.where(F.col(f"{name}.tail_probability") >= least).drop(name)

@@ -37,16 +37,21 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.when(end["j"] >= shards, end["b"]).otherwise(end["j"]).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", rows_per_task: int = 500_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", rows_per_task: int = 200_000, keep: bool = False) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot, grown_shard``, one row per document.
 
+    With ``keep`` the other columns of ``docs`` stand before them; those that have one of these names are left out.
+
     ``size`` is the text's UTF-8 length (null: 0) plus 16.  ``slot`` numbers a shard's rows from 0 without gaps,
     in the order of a hash bucket, then id, crc and size; each bucket is numbered alone and shifted by the
     rows before it, so no task sorts a whole shard.  A null id counts as key 0.  Repeated rows get slots of
     their own.  An empty table gives no rows.
     """
-    # Column names of the input never clash: three columns are read, under names of our own.
+    own = ["doc_id", "size", "text_crc32", "shard", "slot", "grown_shard"]
+    others = [c for c in docs.columns if c not in own] if keep else []
+    carried = [F.struct(*others).alias("row")] if others else []  # in a struct, so that names never clash
     narrow = docs.select(
+        *carried,
         F.col(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
@@ -60,6 +65,6 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     shift = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     slot = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
     numbered = placed.withColumn("at", slot)
-    if buckets == 1:
-        return numbered.withColumn("slot", F.col("at").cast("long")).drop("at", "bucket")
-    return numbered.join(shift, ["shard", "bucket"]).withColumn("slot", F.col("at") + F.col("shift")).drop("at", "shift", "bucket")
+    if buckets > 1:
+        numbered = numbered.join(shift, ["shard", "bucket"]).withColumn("at", F.col("at") + F.col("shift"))
+    return numbered.withColumn("slot", F.col("at").cast("long")).select(*(f"row.{c}" for c in others), *own)
