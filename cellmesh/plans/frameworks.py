@@ -114,7 +114,8 @@ _SUBS = f"""SELECT o_orderkey, o_custkey, o_totalprice, sub FROM ({_BASE}),
 _GRID = f"SELECT *, gr::INTEGER AS grid_row, {s.col('gr', chr(39) + 'grid/' + chr(39) + ' || sub', 64)} AS grid_col FROM ({_SUBS}), range(3) t(gr)"
 _ITEMS = "SELECT DISTINCT sub FROM (" + _SUBS + ")"
 _HCELLS = f'SELECT grid_row, grid_col, r::INTEGER AS "row", {{col}} AS col, sum({{sign}})::DOUBLE AS v FROM ({_GRID}), range(3) t(r) GROUP BY ALL'
-LABEL_KEY = hydra.label_key("status", "segment")
+def label_key():
+    return hydra.label_key("status", "segment")
 
 
 @query(
@@ -132,7 +133,7 @@ _HCS = _HCELLS.format(col=s.col("r", "sub", 512), sign=s.sign("r", "sub"))
 
 @query("hydra_cm_cells", _HCM)
 def _(spark, d):
-    return Hydra.build(_labelled(spark, d), LABEL_KEY, kind="cm").inner.cells
+    return Hydra.build(_labelled(spark, d), label_key(), kind="cm").inner.cells
 
 
 def _hydra_freq(cells: str, signed: bool) -> str:
@@ -144,17 +145,17 @@ def _hydra_freq(cells: str, signed: bool) -> str:
 
 
 def _probes(spark, d):
-    return _labelled(spark, d).select(F.explode(hydra.expand_subkeys(LABEL_KEY)).alias("sub")).distinct()
+    return _labelled(spark, d).select(F.explode(hydra.expand_subkeys(label_key())).alias("sub")).distinct()
 
 
 @query("hydra_cm_query", _hydra_freq(_HCM, False))
 def _(spark, d):
-    return Hydra.build(_labelled(spark, d), LABEL_KEY, kind="cm").query(_probes(spark, d), "sub", "frequency")
+    return Hydra.build(_labelled(spark, d), label_key(), kind="cm").query(_probes(spark, d), "sub", "frequency")
 
 
 @query("hydra_cs_query", _hydra_freq(_HCS, True))
 def _(spark, d):
-    return Hydra.build(_labelled(spark, d), LABEL_KEY, kind="cs").query(_probes(spark, d), "sub", "frequency")
+    return Hydra.build(_labelled(spark, d), label_key(), kind="cs").query(_probes(spark, d), "sub", "frequency")
 
 
 _HREG = s.registers(f"({_GRID})", "o_custkey", by="grid_row, grid_col")
@@ -162,27 +163,27 @@ _HREG = s.registers(f"({_GRID})", "o_custkey", by="grid_row, grid_col")
 
 @query("hydra_hll_registers", _HREG)
 def _(spark, d):
-    return Hydra.build(_labelled(spark, d), LABEL_KEY, "o_custkey", kind="hll").inner.registers
+    return Hydra.build(_labelled(spark, d), label_key(), "o_custkey", kind="hll").inner.registers
 
 
 @query("hydra_hll")
 def _(spark, d):
-    return Hydra.build(_labelled(spark, d), LABEL_KEY, "o_custkey", kind="hll").query(_probes(spark, d), "sub", "cardinality")
+    return Hydra.build(_labelled(spark, d), label_key(), "o_custkey", kind="hll").query(_probes(spark, d), "sub", "cardinality")
 
 
 @query("hydra_univmon")
 def _(spark, d):
-    return Hydra.build(_labelled(spark, d), LABEL_KEY, "o_custkey", kind="universal", width=16).query(_probes(spark, d), "sub", "entropy")
+    return Hydra.build(_labelled(spark, d), label_key(), "o_custkey", kind="universal", width=16).query(_probes(spark, d), "sub", "entropy")
 
 
 @query("hydra_kll")
 def _(spark, d):
-    return Hydra.build(_labelled(spark, d), LABEL_KEY, "o_totalprice", kind="kll").query(_probes(spark, d), "sub", "quantile", q=0.5)
+    return Hydra.build(_labelled(spark, d), label_key(), "o_totalprice", kind="kll").query(_probes(spark, d), "sub", "quantile", q=0.5)
 
 
 @query("hydra_global", s.registers("orders", "o_custkey"))
 def _(spark, d):
-    h = Hydra.build(_labelled(spark, d), LABEL_KEY, "o_custkey", kind="hll", big=True)
+    h = Hydra.build(_labelled(spark, d), label_key(), "o_custkey", kind="hll", big=True)
     return h.big.registers
 
 
@@ -201,7 +202,7 @@ _MH = f"""SELECT dimension, gr::INTEGER AS grid_row, {s.col("gr", "'grid/' || su
 
 @query("multihead", _MH)
 def _(spark, d):
-    return hydra.multihead(_labelled(spark, d), LABEL_KEY, {"customer": "o_custkey", "order": "o_orderkey"}).inner.cells
+    return hydra.multihead(_labelled(spark, d), label_key(), {"customer": "o_custkey", "order": "o_orderkey"}).inner.cells
 
 
 # --- sliding windows ---
