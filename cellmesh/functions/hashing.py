@@ -9,6 +9,7 @@ Sketches of different profiles never merge.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,6 +67,11 @@ def _row_hash(key: Column, row: Column) -> Column:
     return hash_it_rows()(key.cast("string"), row.cast("int"))
 
 
+def md5_column(key: str, row: int, cols: int) -> int:
+    """:func:`column_of` of the ``md5`` profile, in Python."""
+    return int(hashlib.md5(f"{row}:{key}".encode()).hexdigest()[:8], 16) % cols
+
+
 def words(key: Column, profile: str = "md5") -> tuple[Column, Column]:
     """The upper and lower 32 bits of a key's 64-bit hash, each a non-negative bigint."""
     if profile == "md5":

@@ -105,6 +105,9 @@ def space_saving_merge(parts: DataFrame, k: int, by: str | Iterable[str] = ()) -
 
 # --- Coco ---
 
+#: Tasks' tables that one task merges.
+FAN_IN = 128
+
 COCO = "row int, col int, key string, val bigint"
 
 
@@ -117,8 +120,20 @@ def coco(df: DataFrame, key: str, rows: int = 3, cols: int = 2048, weight: str |
     w = F.lit(1) if weight is None else F.col(weight).cast("bigint")
     at = F.array(*[hashing.column_of(F.col(key), F.lit(r), cols) for r in range(rows)])
     items = df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).select(F.col(key).cast("string").alias("key"), at.alias("at"), w.alias("val")).where("val > 0")
-    parts = items.mapInPandas(_coco_fold(rows, seed), COCO)
-    return coco_merge(parts, rows=rows, cols=cols, seed=seed + 1)
+    parts = items.mapInPandas(_coco_fold(rows, seed), COCO).withColumn("_group", F.floor(F.spark_partition_id() / FAN_IN))
+    return coco_merge(parts.groupBy("_group").applyInPandas(_coco_join(rows, cols, seed + 1), COCO), rows=rows, cols=cols, seed=seed + 2)
+
+
+def _coco_join(rows: int, cols: int, seed: int) -> Callable:
+    """Tables of up to ``FAN_IN`` tasks in one: equal keys summed, larger values first, at the buckets that they held."""
+
+    def join(table: pd.DataFrame) -> pd.DataFrame:
+        held = table.groupby("key").agg(val=("val", "sum")).reset_index()
+        spots = [[hashing.md5_column(k, r, cols) for r in range(rows)] for k in held["key"]]
+        items = held.assign(at=spots).sort_values(["val", "key"], ascending=[False, True])
+        return next(_coco_fold(rows, seed)(iter([items])))
+
+    return join
 
 
 def _coco_fold(rows: int, seed: int) -> Callable:
