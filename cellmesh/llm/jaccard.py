@@ -9,8 +9,9 @@ Shingles are ordered by a counting sketch over all documents, then by hash.  Any
 shared passages out of the lists.  Lists of shingles that the sketch counts often are dealt into blocks, and blocks meet in
 pairs, so no task holds an unbounded list.
 
-Lists are not expanded into all pairs.  First, neighbours by size in each distinct list are checked exactly and linked;
-only members that are then still in different components are paired, and checked exactly too.
+Lists are not expanded into all pairs.  First, each distinct list's stars are checked exactly and linked: its most
+central document with all others, and neighbours by size.  Only members that are then still in different components are paired, and checked exactly too.  A pair is left out where
+its sets cannot be similar: by their sizes, or by the places of the shingle at which they meet.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_file, new_folder, stash, write_file
-from .text import NON_SPACE, U64, buffers, chunks, keys, mix, shingle_sets, words
+from .shared import batch_rows, map_file, new_folder, stash, write_file
+from .text import NON_SPACE, U64, buffers, chunks, keys, mix, release, shingle_sets, words
 
 #: Cells of the counting sketch, and pieces in which tasks send it.
 CELLS, PIECES = 1 << 20, 64
@@ -36,6 +37,10 @@ CELLS, PIECES = 1 << 20, 64
 MOST_LIGHT = 20
 #: Entries of a list beyond which it is dealt into blocks.
 LIST = 20_000
+#: Rounds of stars before all remaining pairs are checked.
+STARS = 1
+#: Place of a list that a subset, not a shingle, stands for.
+NO_PLACE = 1 << 31
 #: Bits of the filter that tells which documents' sets a check needs.
 FILTER = 1 << 23
 SALTS = keys(8, 23)
@@ -122,7 +127,8 @@ def count_shingles(docs: DataFrame, k: int) -> tuple[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes()) for x in total.values()], pa.binary())], ["piece", "data"])
 
     schema = "piece int, data binary"
-    parts = docs.select("text").mapInArrow(count, schema).repartition(PIECES + 1, "piece").mapInArrow(add, schema).collect()
+    with batch_rows(docs.sparkSession, 2000):
+        parts = docs.select("text").mapInArrow(count, schema).repartition(PIECES + 1, "piece").mapInArrow(add, schema).collect()
     found = {r["piece"]: np.frombuffer(zlib.decompress(r["data"]), np.int64) for r in parts}
     cells = np.concatenate([found.get(i, np.zeros(width, np.int64)) for i in range(PIECES)])
     uri = f"{new_folder(docs.sparkSession, 'shingle-counts')}/cells"
@@ -134,7 +140,8 @@ def count_shingles(docs: DataFrame, k: int) -> tuple[str, np.ndarray]:
 
 
 def sets_of(docs: DataFrame, k: int, percent: int, cells_uri: str, light: int, most: int) -> DataFrame:
-    """``doc_id, n_shingles, k1, k2, postings``: a document's set by two keys, and the keys of the lists that it enters.
+    """``doc_id, n_shingles, k1, k2, postings, places``: a document's set by two keys, the keys of the lists that it enters, and the place
+    of each list's shingle in the set's order.
 
     Without words there are no keys.  ``most``: entries of a list before it is dealt into blocks.
     """
@@ -142,7 +149,7 @@ def sets_of(docs: DataFrame, k: int, percent: int, cells_uri: str, light: int, m
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(map_file(cells_uri), np.uint32)
         for batch in chunks(batches):
-            ns, one, two, posts = [], [], [], []
+            ns, one, two, posts, places = [], [], [], [], []
             for s in text_sets(batch.column(1), k):
                 n = len(s)
                 ns.append(n)
@@ -150,45 +157,54 @@ def sets_of(docs: DataFrame, k: int, percent: int, cells_uri: str, light: int, m
                     one.append(None)
                     two.append(None)
                     posts.append(None)
+                    places.append(None)
                     continue
                 key = mix(s ^ SALTS[5]).sum(dtype=U64)
                 one.append(int(key.view(np.int64)))
                 two.append(int(mix(s ^ SALTS[6]).sum(dtype=U64).view(np.int64)))
-                lists = []
+                lists, place = [], []
                 if n <= light:
                     lists.append(subset_keys(s, percent))
+                    place.append(np.full(len(lists[0]), NO_PLACE, np.uint32))
                 if n > light or 100 * n >= percent * (light + 1):
                     often = cells[(s >> U64(44)).astype(np.int64)]
                     first = np.argsort(often, kind="stable")[: prefix(n, percent)]
                     chosen, often = s[first], often[first]
                     hot = often > most
                     lists.append(mix(chosen[~hot] ^ SALTS[7]))
-                    for x, c in zip(chosen[hot], often[hot].tolist(), strict=True):
+                    place.append(np.flatnonzero(~hot).astype(np.uint32))
+                    for i, c in zip(np.flatnonzero(hot).tolist(), often[hot].tolist(), strict=True):
                         blocks = -(-c // most)
                         own = int(key % U64(blocks))
                         other = np.arange(blocks)
                         pair = np.minimum(own, other) * blocks + np.maximum(own, other) + 1
-                        lists.append(mix(mix(x ^ SALTS[7]) + pair.astype(U64)))
+                        lists.append(mix(mix(chosen[i : i + 1] ^ SALTS[7]) + pair.astype(U64)))
+                        place.append(np.full(blocks, i, np.uint32))
                 posts.append(np.concatenate(lists).tobytes())
+                places.append(np.concatenate(place).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(posts, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "postings"]
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(posts, pa.binary()), pa.array(places, pa.binary())],
+                ["doc_id", "n_shingles", "k1", "k2", "postings", "places"],
             )
 
-    return docs.mapInArrow(rows, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, postings binary")
+    return docs.mapInArrow(rows, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, postings binary, places binary")
 
 
-def distinct_lists(classes: DataFrame, parts: int) -> DataFrame:
-    """``list, members, sizes``: the lists with two members at least, each distinct membership once, by size and id."""
+def shared_lists(classes: DataFrame, parts: int) -> DataFrame:
+    """``list, members, sizes, places, order``: the lists with two members at least, by size and id; those of a task with equal members once.
+
+    Rows without ``list`` say of ``members`` how often each met another at a shingle: in ``sizes``.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            key = np.concatenate([np.frombuffer(p, U64) for _, _, p in held])
-            times = [len(p) // 8 for _, _, p in held]
-            rep = np.repeat(np.array([r for r, _, _ in held], np.int64), times)
-            n = np.repeat(np.array([n for _, n, _ in held], np.int64), times)
+            key = np.concatenate([np.frombuffer(p, U64) for _, _, p, _ in held])
+            times = [len(p) // 8 for _, _, p, _ in held]
+            rep = np.repeat(np.array([r for r, _, _, _ in held], np.int64), times)
+            n = np.repeat(np.array([n for _, n, _, _ in held], np.int64), times) << 32 | np.concatenate([np.frombuffer(q, np.uint32) for _, _, _, q in held])
             part = (key >> U64(32)) * U64(parts) >> U64(32)
             order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1).astype(U64))
@@ -200,118 +216,174 @@ def distinct_lists(classes: DataFrame, parts: int) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append(row)
                 size += len(row[2])
-                if size > 16 << 20:
+                if size > 8 << 20:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
+        release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [np.frombuffer(d, np.int64).reshape(3, -1) for b in batches for d in b.column(1).to_pylist()]
         if not blocks:
             return
-        key, rep, n = np.concatenate(blocks, axis=1)
-        del blocks
+        key = np.concatenate([b[0] for b in blocks])
         order = np.argsort(key)
-        key, rep, n = key[order], rep[order], n[order]
+        key = key[order]
         same = key[1:] == key[:-1]
         shared = np.zeros(len(key), bool)
         shared[1:] |= same
         shared[:-1] |= same
-        key, rep, n = key[shared], rep[shared], n[shared]
+        key, order = key[shared], order[shared]
+        rep, n = np.concatenate([b[1] for b in blocks])[order], np.concatenate([b[2] for b in blocks])[order]
+        del blocks
+        release()
         if not len(key):
             return
+        place, n = n & 0xFFFFFFFF, n >> 32
         order = np.lexsort((rep, n, key))
-        key, rep, n = key[order], rep[order], n[order]
+        key, rep, n, place = key[order], rep[order], n[order], place[order]
         starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         ends = np.concatenate([starts[1:], [len(key)]])
         who = np.add.reduceat(mix(rep.view(U64)), starts) + (ends - starts).astype(U64)
-        who, first = np.unique(who, return_index=True)
+        # Of lists with equal members the first in the order of shingles stays: at it, pairs of these members meet first.
+        early = np.add.reduceat(place, starts)
+        by_place = np.lexsort((early, who))
+        who = who[by_place]
+        new = np.concatenate([[True], who[1:] != who[:-1]])
+        who, first = who[new], by_place[new]
         for a in range(0, len(first), 4096):
             some = first[a : a + 4096]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(who[a : a + 4096].view(np.int64)),
-                    pa.array([rep[starts[i] : ends[i]].tobytes() for i in some], pa.binary()),
-                    pa.array([n[starts[i] : ends[i]].tobytes() for i in some], pa.binary()),
-                ],
-                ["list", "members", "sizes"],
-            )
+            cut = lambda x: pa.array([x[starts[i] : ends[i]].tobytes() for i in some], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(who[a : a + 4096].view(np.int64)), cut(rep), cut(n), cut(place), pa.array(early[some])], NAMES)
+        met, times = np.unique(rep[place < NO_PLACE], return_counts=True)
+        for a in range(0, len(met), 65536):
+            row = [pa.array([None], pa.int64()), pa.array([met[a : a + 65536].tobytes()]), pa.array([times[a : a + 65536].tobytes()]), pa.array([None], pa.binary()), pa.array([None], pa.int64())]
+            yield pa.RecordBatch.from_arrays(row, NAMES)
 
-    dealt = classes.select("rep", "n_shingles", "postings").mapInArrow(deal, "part int, data binary").repartition(parts, "part")
-    return dealt.mapInArrow(gather, "list bigint, members binary, sizes binary").dropDuplicates(["list"])
+    dealt = classes.select("rep", "n_shingles", "postings", "places").mapInArrow(deal, "part int, data binary").repartition(parts, "part")
+    return dealt.mapInArrow(gather, "list bigint, members binary, sizes binary, places binary, order bigint")
 
 
-PAIR = "a bigint, b bigint"
+NAMES = ["list", "members", "sizes", "places", "order"]
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def distinct_lists(shared: DataFrame) -> DataFrame:
+    """Each membership once: its list that comes first in the order of shingles."""
+    rows = shared.where("list is not null").groupBy("list").agg(F.min_by(F.struct("members", "sizes", "places"), "order").alias("x"))
+    return rows.select("list", "x.members", "x.sizes", "x.places")
 
 
-def neighbours(lists: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of members next to each other in a list, of sizes that can be similar."""
+def times_met(shared: DataFrame) -> DataFrame:
+    """``met_rep, met``: how many of a document's first shingles are in another document's lists too, at most."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for m, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                m, s = np.frombuffer(m, np.int64), np.frombuffer(s, np.int64)
-                near = np.flatnonzero((100 * s[:-1] >= percent * s[1:]) & (m[1:] != m[:-1]))
-                a.append(m[near])
-                b.append(m[near + 1])
-            if a:
-                yield _pairs(np.concatenate(a), np.concatenate(b))
+            if batch.num_rows:
+                both = [np.concatenate([np.frombuffer(x, np.int64) for x in c.to_pylist()]) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["met_rep", "met"])
+
+    counts = shared.where("list is null").select("members", "sizes").mapInArrow(rows, "met_rep bigint, met bigint")
+    return counts.groupBy("met_rep").agg(F.sum("met").alias("met"))
 
-    return lists.mapInArrow(rows, PAIR).distinct()
 
+PAIR = "a bigint, b bigint"
 
-def apart(lists: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Distinct pairs of a list's members in different components, of sizes that can be similar."""
+
+def listed(lists: DataFrame, met: DataFrame) -> DataFrame:
+    """``list, rep, n, place, met``: a row for each member of each list."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            m, s, p = ([np.frombuffer(x, np.int64) for x in c.to_pylist()] for c in batch.columns[1:4])
             key = np.repeat(batch.column(0).to_numpy(), [len(x) for x in m])
-            s = np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate(m)), pa.array(s)], ["list", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.concatenate(x)) for x in (m, s, p))], ["list", "rep", "n", "place"])
 
-    def pair(rep: np.ndarray, n: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if (label == label[0]).all():
-            return
+    rows = lists.mapInArrow(members, "list bigint, rep bigint, n bigint, place bigint")
+    return rows.join(met, F.col("rep") == F.col("met_rep"), "left").select("list", "rep", "n", "place", F.coalesce("met", F.lit(0)).alias("met"))
+
+
+class Members:
+    """One list's documents by size, and which two of them can be similar."""
+
+    def __init__(self, percent: int, rep: np.ndarray, n: np.ndarray, place: np.ndarray, met: np.ndarray, label: np.ndarray):
         order = np.lexsort((rep, n))
-        rep, n, label = rep[order], n[order], label[order]
-        end = np.searchsorted(n, 100 * n // percent, "right")
-        a, b, held = [], [], 0
-        for i in range(len(rep)):
-            j = np.arange(i + 1, end[i])
-            j = j[label[j] != label[i]]
-            if len(j):
-                a.append(np.full(len(j), rep[i]))
-                b.append(rep[j])
-                held += len(j)
-            if held > 100_000:
-                yield _pairs(np.concatenate(a), np.concatenate(b))
-                a, b, held = [], [], 0
-        if a:
-            yield _pairs(np.concatenate(a), np.concatenate(b))
+        self.percent, self.rep, self.n, self.label = percent, rep[order], n[order], label[order]
+        place, met, shingle = place[order], met[order], place[order] < NO_PLACE
+        # At the first shingle that two sets share, what they share is no more than what is left of each.
+        rest = self.n - np.where(shingle, place, 0)
+        self.most = rest
+        # First shingles that met no other document's first ones: few where a document is near what a group has in common.
+        self.alone = np.where(shingle, np.maximum(0, self.n - -(-percent * self.n // 100) + 1 - met), 0)
+
+    def possible(self, i: int, j: np.ndarray | slice) -> np.ndarray:
+        o = np.minimum(self.most[j], self.most[i])
+        return (100 * o >= self.percent * (self.n[j] + self.n[i] - o)) & (self.rep[j] != self.rep[i])
+
+    def star(self) -> list[np.ndarray]:
+        """Of the document that shares most of its set, with each of another component; and of neighbours by size."""
+        hub = int(np.argmin(self.alone / self.n))
+        j = np.flatnonzero(self.label != self.label[hub])
+        j = j[self.possible(hub, j)]
+        k = np.flatnonzero(self.label[1:] != self.label[:-1])
+        k = np.array([i for i in k.tolist() if self.possible(i, slice(i + 1, i + 2))[0]], np.int64)
+        return [np.concatenate([np.full(len(j), self.rep[hub]), self.rep[k]]), np.concatenate([self.rep[j], self.rep[k + 1]])]
+
+    def every(self) -> Iterator[list[np.ndarray]]:
+        """All pairs of different components, document by document."""
+        end = np.searchsorted(self.n, 100 * self.n // self.percent, "right")
+        for i in range(len(self.rep)):
+            j = slice(i + 1, end[i])
+            found = self.rep[j][(self.label[j] != self.label[i]) & self.possible(i, j)]
+            if len(found):
+                yield [np.full(len(found), self.rep[i]), found]
+
+
+def pairs_of(listed: DataFrame, labels: DataFrame | None, percent: int, parts: int, every: bool) -> DataFrame:
+    """Distinct pairs of a list's members in different components that can be similar: ``every`` one, or a star of each list."""
+
+    def pairs(x: np.ndarray) -> Iterator[list[np.ndarray]]:
+        if (x[-1] == x[-1, 0]).all():
+            return
+        members = Members(percent, *x[1:])
+        if every:
+            yield from members.every()
+        else:
+            yield members.star()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: np.ndarray | None = None  # the last list so far: it may go on
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
         for batch in batches:
-            x = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            x = np.stack([c.to_numpy() for c in batch.columns])
             x = x if left is None else np.concatenate([left, x], axis=1)
             cuts = [0, *(np.flatnonzero(x[0, 1:] != x[0, :-1]) + 1).tolist()]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from pair(*x[1:, a:b])
+                for p in pairs(x[:, a:b]):
+                    held.append(p)
+                    size += len(p[0])
+                    if size > 500_000:
+                        yield flush()
+                        held, size = [], 0
             left = x[:, cuts[-1] :]
         if left is not None and left.shape[1]:
-            yield from pair(*left[1:])
+            held += pairs(left)
+        if held:
+            yield flush()
 
-    rows_of = lists.mapInArrow(members, "list bigint, rep bigint, n bigint")
-    marked = rows_of.join(labels, rows_of["rep"] == labels["node"], "left").select("list", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    if labels is None:
+        marked = listed.withColumn("label", F.col("rep"))
+    else:
+        marked = listed.join(labels, F.col("rep") == F.col("node"), "left").select(*listed.columns, F.coalesce("component", "rep").alias("label"))
     return marked.repartition(parts, "list").sortWithinPartitions("list").mapInArrow(rows, PAIR).distinct()
 
 
@@ -361,12 +433,13 @@ def similar(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     found = docs.mapInArrow(sets, "doc_id bigint, set binary")
     left = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
@@ -390,13 +463,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     mean = float(np.frombuffer(map_file(cells_uri), np.uint32).mean())
     own = stash(sets_of(docs, k, percent, cells_uri, light, int(most + 8 * mean)), "jaccard-sets")
     keyed = own.where("k1 is not null and doc_id is not null")
-    classes = stash(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("postings").alias("postings")), "jaccard-classes")
-    lists = stash(distinct_lists(classes, parts), "jaccard-lists")
-    first = stash(neighbours(lists, percent), "jaccard-near")
-    linked = stash(similar(first, named, k, percent), "jaccard-links")
-    labels = stash(components(linked), "jaccard-labels")
-    rest = stash(apart(lists, labels, percent, parts).join(first, ["a", "b"], "left_anti"), "jaccard-apart")
-    more = stash(similar(rest, named, k, percent), "jaccard-more")
+    classes = stash(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("postings").alias("postings"), F.first("places").alias("places")), "jaccard-classes")
+    shared = stash(shared_lists(classes, parts), "jaccard-shared")
+    lists = stash(listed(distinct_lists(shared), times_met(shared)), "jaccard-lists")
+    # Stars first: in a group of near copies they leave few components to pair.
+    tried, links, labels = None, None, None
+    for _ in range(STARS):
+        star = pairs_of(lists, labels, percent, parts, False)
+        star = stash(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "jaccard-star")
+        found = stash(similar(star, named, k, percent), "jaccard-links", 500)
+        tried = star if tried is None else tried.unionByName(star)
+        links = found if links is None else links.unionByName(found)
+        labels = stash(components(links), "jaccard-labels")
+    rest = stash(pairs_of(lists, labels, percent, parts, True).join(tried, ["a", "b"], "left_anti"), "jaccard-apart")
+    more = stash(similar(rest, named, k, percent), "jaccard-more", 500)
     # Components joined by the later links.
     of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
     edges = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))

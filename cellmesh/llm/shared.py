@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +36,26 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
 
-def stash(df: DataFrame, what: str) -> DataFrame:
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While jobs run in here, Arrow batches have at most so many rows: for rows of several kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stash(df: DataFrame, what: str, rows: int = 2000) -> DataFrame:
     """``df`` written to a table in the shared folder and read again.
 
-    Cuts lineage: a lost executor costs a re-read, not a recomputation.
+    Cuts lineage: a lost executor costs a re-read, not a recomputation.  ``rows``: of an Arrow batch, if it runs Python.
     """
     uri = f"{new_folder(df.sparkSession, what)}/t"
-    df.write.option("compression", "zstd").parquet(uri)
+    with batch_rows(df.sparkSession, rows):
+        df.write.option("compression", "zstd").parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 

@@ -6,6 +6,7 @@ memory follows the block and the number of words, not the longest text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -161,7 +162,15 @@ def shingle_sets(h: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give memory that a task has freed back to the system: idle workers keep none of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches into pieces of at most about ``size`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -172,3 +181,4 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 8
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+    release()
