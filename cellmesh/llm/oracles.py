@@ -55,7 +55,7 @@ WITH h AS (
   SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size, lower(hex(encode(coalesce(text, '')))) AS x FROM documents
 ), crc AS (
   SELECT doc_id, size, xor(list_reduce(
-    list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(x, '..'), lambda p: ('0x' || p)::BIGINT)),
     lambda a, b: xor(xor(xor(a, b) >> 4, {_NIBBLE}[(xor(a, b) & 15) + 1]) >> 4, {_NIBBLE}[(xor(xor(a, b) >> 4, {_NIBBLE}[(xor(a, b) & 15) + 1]) & 15) + 1])
   ), 4294967295) AS text_crc32 FROM h
 ), s AS (SELECT *, {_JUMP.format(n=40)} AS shard, {_JUMP.format(n=41)} AS grown_shard FROM crc)
