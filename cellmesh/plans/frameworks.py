@@ -218,18 +218,20 @@ def _(spark, d):
     return windows.count_between(windows.histogram(events(spark, d), "event_id", by="event_type", k=50, window=4000), 7000, 9000)
 
 
-@query("eh_count_unmerged", "SELECT event_type AS series, count(*) AS count FROM events WHERE event_id BETWEEN 7000 AND 9000 GROUP BY 1")
+@query("eh_count_unmerged", "SELECT event_type AS series, count(*) AS count FROM (SELECT event_type, event_id, max(event_id) OVER (PARTITION BY event_type) AS last FROM events) WHERE event_id >= last - 500 GROUP BY 1")
 def _(spark, d):
-    # With k so large that nothing merges, intervals are exact.
-    e = events(spark, d).where("event_id BETWEEN 7000 AND 9000")
-    return windows.count_between(windows.histogram(e, "event_id", by="event_type", k=100_000, window=4000), 0, 10_000_000)
+    # With k so large that nothing merges, the window is exact.
+    return windows.count_between(windows.histogram(events(spark, d), "event_id", by="event_type", k=100_000, window=500), 0, 1_000_000_000)
 
 
-@query("eh_dd_cells", s.buckets("events", "value", Mapping(0.01).per_log, where="event_id >= 9000").replace("AS bucket", "::VARCHAR AS cell").replace("count(*) AS cnt", "count(*)::DOUBLE AS v").replace("SELECT ", "SELECT '' AS series, ", 1))
+_EH_CELLS = s.buckets("events", "value", Mapping(0.01).per_log).replace("AS bucket", "::VARCHAR AS cell").replace("count(*) AS cnt", "count(*)::DOUBLE AS v").replace("SELECT ", "SELECT '' AS series, ", 1)
+
+
+@query("eh_dd_cells", _EH_CELLS)
 def _(spark, d):
-    e = events(spark, d).where("event_id >= 9000 AND value > 0")
+    # In a window longer than the stream, the buckets' sketches add up to the sketch of all.
     cells = F.create_map(Mapping(0.01).bucket(F.col("value")).cast("string"), F.lit(1.0))
-    return windows.cells_between(windows.histogram(e, "event_id", cells, k=50, window=1_000_000), 0, 1_000_000_000)
+    return windows.cells_between(windows.histogram(events(spark, d).where("value > 0"), "event_id", cells, k=50, window=1_000_000_000), 0, 1_000_000_000)
 
 
 @query("eh_l2_hybrid")
@@ -292,7 +294,7 @@ def _(spark, d):
     return out.groupBy("series").agg(F.sum("size").alias("n"))
 
 
-_DEPTHS = "SELECT event_type, event_id, (trunc(value)::BIGINT % 200) AS depth FROM events WHERE event_id < 2000"
+_DEPTHS = "SELECT event_type, event_id, (trunc(value)::BIGINT % 200) AS depth FROM events"
 
 
 @query(
@@ -304,7 +306,7 @@ _DEPTHS = "SELECT event_type, event_id, (trunc(value)::BIGINT % 200) AS depth FR
     SELECT event_type, event_id, depth, tau FROM t WHERE i > 0""",
 )
 def _(spark, d):
-    e = events(spark, d).where("event_id < 2000").select("event_type", "event_id", (F.col("value").cast("bigint") % 200).alias("depth"))
+    e = events(spark, d).select("event_type", "event_id", (F.col("value").cast("bigint") % 200).alias("depth"))
     return tau.replay(e, "event_id", "depth", by=("event_type",))
 
 
