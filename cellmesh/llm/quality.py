@@ -20,7 +20,7 @@ from .text import NON_SPACE, U64, buffers, chunks, looked_up, mix, words
 
 BITS = 16
 #: Rows of each grade that a model learns from at most.
-PER_GRADE = 3000
+PER_GRADE = 2500
 #: Byte classes of a word's ends: control and space, digit, upper, lower, each punctuation mark, other bytes.
 SHAPE = bytes(1 if 48 <= c < 58 else 2 if 65 <= c < 91 else 3 if 97 <= c < 123 else c if 32 < c < 128 else 4 if c > 127 else 0 for c in range(256))
 
@@ -76,12 +76,16 @@ def fit(rows: list[dict], rounds: int = 150, rate: float = 0.5, decay: float = 1
     y = np.searchsorted(grades, [r["label"] for r in rows])
     share = np.array([r["total"] for r in rows], float) / np.bincount(y)[y]
     share /= share.sum()
-    parts, off = features(pa.array([r["text"] for r in rows], pa.large_string()))
-    doc = np.repeat(np.arange(len(rows)), np.diff(off))
-    # The distinct features of each text with their share of its words.
-    code, count = np.unique(np.concatenate([doc * SIZE + p for p in parts]), return_counts=True)
-    row, feature = code // SIZE, code % SIZE
-    value = count / np.maximum(1, np.diff(off))[row]
+    # The distinct features of each text with their share of its words, some texts at a time.
+    found: list[list[np.ndarray]] = [[], [], []]
+    for a in range(0, len(rows), 100):
+        parts, off = features(pa.array([r["text"] for r in rows[a : a + 100]], pa.large_string()))
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        code, count = np.unique(np.concatenate([doc * SIZE + p for p in parts]), return_counts=True)
+        at = code // SIZE
+        for held, new in zip(found, (at + a, code % SIZE, count / np.maximum(1, np.diff(off))[at]), strict=True):
+            held.append(new)
+    row, feature, value = (np.concatenate(x) for x in found)
     k = len(grades) - 1
     prior = np.array([share[y > j].sum() for j in range(k)])
     base = -np.log(prior / (1 - prior))
