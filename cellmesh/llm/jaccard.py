@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import batch_rows, map_file, new_folder, stash, write_file
+from .shared import batch_rows, map_file, new_folder, scratch, stash, write_file
 from .text import NON_SPACE, U64, buffers, chunks, keys, mix, release, shingle_sets, words
 
 #: Cells of the counting sketch, and pieces in which tasks send it.
@@ -454,8 +454,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     reachable.  Fewer than ``k`` words form one shingle.  Null texts and texts without words have no shingles and
     link with nothing.  Rows that repeat an id are one node.  Rows without an id link with nothing and have a null component.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with scratch(docs.sparkSession):  # its tables hold several times what it returns
+        return _near_duplicates(docs, k, percent, doc_id, text, most)
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, doc_id: str, text: str, most: int) -> DataFrame:
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = docs.where("doc_id is not null")
     cells_uri, histogram = count_shingles(docs, k)
@@ -484,7 +488,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     nodes = classes.select("k1", "k2", "rep").join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
     placed = nodes.join(top, "label", "left").select("k1", "k2", F.coalesce("final", "label").alias("component"))
     out = own.select("doc_id", "n_shingles", "k1", "k2").join(placed, ["k1", "k2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    found = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return stash(found, "near-duplicates", keep=True)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id") -> DataFrame:

@@ -25,14 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    """URI of a new empty folder in the shared one; the file system deletes it when the session's JVM ends."""
+_HELD: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders made in here go at the end: for intermediate tables of a result that is stored with ``keep``."""
+    held: list[str] = []
+    _HELD.append(held)
+    try:
+        yield
+    finally:
+        _HELD.remove(held)
+        for uri in held:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_folder(spark: SparkSession, what: str, keep: bool = False) -> str:
+    """URI of a new empty folder in the shared one; it goes with the :func:`scratch` around it, or when the session's JVM ends."""
     uri = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
+    if _HELD and not keep:
+        _HELD[-1].append(uri)
     return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
 
@@ -48,12 +67,12 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def stash(df: DataFrame, what: str, rows: int = 2000) -> DataFrame:
+def stash(df: DataFrame, what: str, rows: int = 2000, keep: bool = False) -> DataFrame:
     """``df`` written to a table in the shared folder and read again.
 
     Cuts lineage: a lost executor costs a re-read, not a recomputation.  ``rows``: of an Arrow batch, if it runs Python.
     """
-    uri = f"{new_folder(df.sparkSession, what)}/t"
+    uri = f"{new_folder(df.sparkSession, what, keep)}/t"
     with batch_rows(df.sparkSession, rows):
         df.write.option("compression", "zstd").parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
