@@ -73,6 +73,10 @@ class Hydra:
         by = list(by)
         keep = [F.col(c) for c in dict.fromkeys([*by, *([value] if value else []), *([weight] if weight else [])])]
         rows = df.select(*keep, F.explode(expand_subkeys(labels)).alias("_sub"))
+        if value is None and kind in ("cm", "cs"):
+            # There are few subset keys: their weights are summed before each one goes to all its cells.
+            rows = rows.groupBy(*by, "_sub").agg(F.sum(F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("_sum"))
+            weight = "_sum"
         grid = placed(rows, "_sub", depth, width)
         group = [*by, *GRID]
         return Hydra(_inner(grid, kind, value or "_sub", weight, group, inner), kind, depth, width, _inner(df, kind, value, weight, by, inner) if big and value else None, tuple(by))
