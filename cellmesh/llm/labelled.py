@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -14,11 +15,11 @@ from .shared import map_file, new_folder, write_file
 LEARN_BYTES = 1 << 20
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column | None = None, keep: tuple[str, ...] = ()) -> list:
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column | None = None, keep: tuple[str, ...] = (), read: Callable[[DataFrame], DataFrame] | None = None) -> list:
     """At most ``per_class`` rows ``(label, text, *keep, total)`` of each label value, those first by a hash of ``doc_id``.
 
     ``total`` is the number of labelled rows of that value, so that a caller can weigh classes as they are.
-    Rows without an id, label or text are left out.
+    Rows without an id, label or text are left out.  ``read`` puts other columns in the place of ``text``, on executors.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     rows = rows if learn is None else rows.where(learn)
@@ -29,8 +30,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn
         ids = rows.where(F.col("label") == value).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("text").isNotNull() & (F.octet_length("text") <= LEARN_BYTES))
         # Rows that repeat an id must not lift the bound.
-        got = chosen.select("doc_id", "text", *keep).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_class)
-        out += [{"label": value, "total": total, "text": r["text"], **{k: r[k] for k in keep}} for r in got.collect()]
+        got = chosen.select("doc_id", "text", *keep, F.xxhash64("text").alias("text_hash"))
+        got = (got if read is None else read(got)).orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(per_class).drop("doc_id", "text_hash")
+        out += [{"label": value, "total": total, **r.asDict()} for r in got.collect()]
     return out
 
 

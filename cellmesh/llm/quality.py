@@ -20,7 +20,7 @@ from .text import NON_SPACE, U64, buffers, chunks, looked_up, mix, words
 
 BITS = 16
 #: Rows of each grade that a model learns from at most.
-PER_GRADE = 2500
+PER_GRADE = 3000
 #: Byte classes of a word's ends: control and space, digit, upper, lower, each punctuation mark, other bytes.
 SHAPE = bytes(1 if 48 <= c < 58 else 2 if 65 <= c < 91 else 3 if 97 <= c < 123 else c if 32 < c < 128 else 4 if c > 127 else 0 for c in range(256))
 
@@ -60,12 +60,37 @@ def means(parts: list[np.ndarray], off: np.ndarray, weights: np.ndarray) -> np.n
     return total
 
 
+def counted(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(pairs, off, n)``: the distinct features of each text with their counts, their offsets by text, and each text's number of words."""
+    parts, off = features(column)
+    n = np.diff(off)
+    doc = np.repeat(np.arange(len(n)), n)
+    code, count = np.unique(np.concatenate([doc * SIZE + p for p in parts]), return_counts=True)
+    return np.stack([code % SIZE, count], axis=1).astype(np.int32), np.searchsorted(code, np.arange(len(n) + 1) * SIZE), n
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``pairs`` and ``words`` as :func:`counted` has them in the place of ``text``: the driver gets no texts."""
+    from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
+
+    kept = [c for c in docs.columns if c != "text"]
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("pairs", BinaryType()), StructField("words", IntegerType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 20):
+            pairs, off, n = counted(batch.column("text"))
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(pairs)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), packed, pa.array(n, pa.int32())], [*kept, "pairs", "words"])
+
+    return docs.mapInArrow(rows, schema)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 def fit(rows: list[dict], rounds: int = 150, rate: float = 0.5, decay: float = 1e-5) -> dict:
-    """Weights and thresholds from ``label, total, text`` rows, by full-batch Adam.
+    """Weights and thresholds from ``label, total`` rows with ``text`` or its ``pairs, words``, by full-batch Adam.
 
     Classes weigh as their totals, so a bounded sample leaves probabilities as they are.  Without rows, or with one grade,
     there is nothing to tell apart: every text has the top grade.
@@ -77,15 +102,17 @@ def fit(rows: list[dict], rounds: int = 150, rate: float = 0.5, decay: float = 1
     share = np.array([r["total"] for r in rows], float) / np.bincount(y)[y]
     share /= share.sum()
     # The distinct features of each text with their share of its words, some texts at a time.
-    found: list[list[np.ndarray]] = [[], [], []]
+    found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(rows), 100):
-        parts, off = features(pa.array([r["text"] for r in rows[a : a + 100]], pa.large_string()))
-        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        code, count = np.unique(np.concatenate([doc * SIZE + p for p in parts]), return_counts=True)
-        at = code // SIZE
-        for held, new in zip(found, (at + a, code % SIZE, count / np.maximum(1, np.diff(off))[at]), strict=True):
-            held.append(new)
-    row, feature, value = (np.concatenate(x) for x in found)
+        some = rows[a : a + 100]
+        if "pairs" in some[0]:
+            each = [np.frombuffer(r["pairs"], np.int32).reshape(-1, 2) for r in some]
+            pairs, held, n = np.concatenate(each), np.array([len(p) for p in each]), np.array([r["words"] for r in some])
+        else:
+            pairs, off, n = counted(pa.array([r["text"] for r in some], pa.large_string()))
+            held = np.diff(off)
+        doc = np.repeat(np.arange(len(some), dtype=np.int32), held)
+        found.append((a, doc, pairs[:, 0].copy(), pairs[:, 1] / np.maximum(1, n)[doc]))
     k = len(grades) - 1
     prior = np.array([share[y > j].sum() for j in range(k)])
     base = -np.log(prior / (1 - prior))
@@ -97,7 +124,7 @@ def fit(rows: list[dict], rounds: int = 150, rate: float = 0.5, decay: float = 1
         return x[SIZE] + np.concatenate([[0], np.cumsum(np.exp(x[SIZE + 1 :]))])
 
     for t in range(1, rounds + 1):
-        s = np.bincount(row, value * x[feature], len(rows))
+        s = np.concatenate([np.bincount(doc, value * x[feature], min(100, len(rows) - a)) for a, doc, feature, value in found])
         cut = thresholds(x)
         p = sigmoid(s[:, None] - np.concatenate([[-np.inf], cut, [np.inf]])[None, :])  # P(grade >= j), 1 first, 0 last
         i = np.arange(len(rows))
@@ -106,7 +133,9 @@ def fit(rows: list[dict], rounds: int = 150, rate: float = 0.5, decay: float = 1
         d_hi, d_lo = hi * (1 - hi) / mass, lo * (1 - lo) / mass
         d_s = share * (d_hi - d_lo)  # of the log likelihood
         g = np.empty_like(x)
-        g[:SIZE] = np.bincount(feature, value * d_s[row], SIZE)
+        g[:SIZE] = 0
+        for a, doc, feature, value in found:
+            np.add.at(g, feature, value * d_s[a + doc])
         g_cut = np.zeros(k)
         np.add.at(g_cut, y[y > 0] - 1, -(share * d_hi)[y > 0])
         np.add.at(g_cut, y[y < k], (share * d_lo)[y < k])
@@ -146,7 +175,7 @@ def score(docs: DataFrame, uri: str, text: str = "text", name: str = "quality_sc
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_grade: int = PER_GRADE, learn: Column | None = None) -> str:
     """Fit on at most ``per_grade`` labelled rows of each grade; the model's URI."""
-    return labelled.save(docs.sparkSession, fit(labelled.sample(docs, labels, label, per_grade, learn)), "quality")
+    return labelled.save(docs.sparkSession, fit(labelled.sample(docs, labels, label, per_grade, learn, read=counts)), "quality")
 
 
 def select(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cellmesh.llm import chat, components, decontaminate, fingerprint, jaccard, lm, mixing, quality, sharding, text, toxicity, warc
+from cellmesh.llm import chat, components, decontaminate, fingerprint, jaccard, labelled, lm, mixing, quality, sharding, text, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -441,6 +441,15 @@ def test_quality_selects(spark, edges, nothing):
     assert quality.select(nothing, labels).count() == 0
 
 
+def test_quality_learns_from_3000_rows_of_a_grade(documents, spark):
+    n = 2800
+    texts = [(i, f"own{i} {'good' if i % 2 else 'junk'} text") for i in range(2 * n)]
+    docs = documents(texts)
+    model = labelled.load(quality.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))))
+    whole = quality.fit([{"label": i % 2, "total": n, "text": t} for i, t in texts])
+    assert np.allclose(model["weights"], whole["weights"], atol=1e-3) and np.allclose(model["thresholds"], whole["thresholds"], atol=1e-3)
+
+
 # --- the pipeline ---
 
 
