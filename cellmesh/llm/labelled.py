@@ -16,7 +16,7 @@ LEARN_BYTES = 1 << 20
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column | None = None, keep: tuple[str, ...] = (), read: Callable[[DataFrame], DataFrame] | None = None) -> list:
-    """At most ``per_class`` rows ``(label, text, *keep, total)`` of each label value, those first by a hash of ``doc_id``.
+    """At most ``per_class`` rows ``(doc_id, label, text, *keep, total)`` of each label value, those first by a hash of ``doc_id``.
 
     ``total`` is the number of labelled rows of that value, so that a caller can weigh classes as they are.
     Rows without an id, label or text are left out.  ``read`` puts other columns in the place of ``text``, on executors.
@@ -31,7 +31,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn
         chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("text").isNotNull() & (F.octet_length("text") <= LEARN_BYTES))
         # Rows that repeat an id must not lift the bound.
         got = chosen.select("doc_id", "text", *keep, F.xxhash64("text").alias("text_hash"))
-        got = (got if read is None else read(got)).orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(per_class).drop("doc_id", "text_hash")
+        got = (got if read is None else read(got)).orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(per_class).drop("text_hash")
         out += [{"label": value, "total": total, **r.asDict()} for r in got.collect()]
     return out
 

@@ -2,7 +2,7 @@
 
 Words map to hashed embeddings (of the word, and of its first bytes), filters of several widths slide over
 them, each filter's largest response over the whole text is kept, and a logistic layer reads these.
-Thresholds are calibrated by language on labelled rows that the filters did not learn from; scores never see a language.
+Thresholds are calibrated by language on all labelled rows that the filters did not learn from; scores never see a language.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import labelled
 from .text import ALNUM, U64, buffers, chunks, words
@@ -21,6 +22,8 @@ BITS, DIM, FILTERS, WIDTHS, PREFIX = 16, 8, 8, (1, 2, 3), 5
 #: Rows of each label that a model learns from at most.
 PER_CLASS = 3000
 DEFAULT_THRESHOLD = 0.3
+#: The thresholds to choose from.
+GRID = [round(0.05 * k, 2) for k in range(1, 20)]
 PAD = 2 << BITS  # the last row of the embeddings: zeros
 
 
@@ -48,6 +51,7 @@ def start_model(seed: int = 5) -> dict:
         "out_bias": np.float32(0),
         "scale": (1.0, 0.0),
         "thresholds": {},
+        "learned": np.zeros(0, np.int64),
     }
 
 
@@ -111,7 +115,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[dict], epochs: int = 6, batch: int = 64, rate: float = 0.005, seed: int = 5) -> dict:
-    """A model from ``label, total, text, lang`` rows by Adam over batches; a quarter of them calibrates.
+    """A model from ``label, total, text`` rows by Adam over batches; a quarter of them sets slope and shift.  ``learned``: the other rows' numbers.
 
     Errors flow only through the words that pooling chose.  Classes weigh as their totals.  Without both labels the score is the
     share of label 1, or 0.
@@ -127,6 +131,7 @@ def fit(rows: list[dict], epochs: int = 6, batch: int = 64, rate: float = 0.005,
     order = shuffle.permutation(len(rows))
     fitted, checked = order[len(rows) // 4 :], order[: len(rows) // 4]
     cache = [tokens(pa.array([r["text"]], pa.large_string()))[0] for r in rows]
+    model["learned"] = np.sort(fitted)
     warm(model, [cache[i] for i in fitted], y[fitted])
     model["out_bias"] = np.float32(-3)
     names = ["out", "out_bias", "table"] + [f"{p}{k}" for p in ("filters", "bias") for k in range(len(WIDTHS))]
@@ -180,7 +185,7 @@ def fit(rows: list[dict], epochs: int = 6, batch: int = 64, rate: float = 0.005,
 
 
 def calibrate(model: dict, rows: list[dict], cache: list[np.ndarray], share: np.ndarray) -> None:
-    """Set slope and shift of the logits, and each language's threshold, on rows that the filters have not seen."""
+    """Set slope and shift of the logits on rows that the filters have not seen."""
     y = np.array([r["label"] for r in rows], float)
     if len(set(y.tolist())) < 2:
         return
@@ -194,22 +199,52 @@ def calibrate(model: dict, rows: list[dict], cache: list[np.ndarray], share: np.
         da, db = np.linalg.solve(hess, grad)
         a, b = max(0.05, a - np.clip(da, -1, 1)), b - np.clip(db, -1, 1)
     model["scale"] = (float(a), float(b))
-    p = sigmoid(a * z + b)
-    grid = np.round(np.arange(0.05, 0.96, 0.05), 2)
-    for lang in sorted({r["lang"] for r in rows if r["lang"] is not None}):
-        own = np.array([r["lang"] == lang for r in rows])
-        if y[own].sum() < 5:
+
+
+def thresholds(counts: list[tuple[str, int, int, int]], totals: dict[int, int]) -> dict[str, float]:
+    """Each language's threshold of the best F1 from ``lang, label, step, count``: a score of ``step`` passes so many values of the grid.
+
+    Labels weigh as ``totals``, the numbers of all labelled rows: the rows counted here can have other shares.
+    """
+    rows, found = [0, 0], {}
+    for lang, label, step, n in counts:
+        rows[label] += n
+        found.setdefault(lang, np.zeros((2, len(GRID) + 1)))[label, step] += n
+    weight = np.array([totals.get(y, 0) / max(1, rows[y]) for y in (0, 1)])[:, None]
+    out = {}
+    for lang in sorted(found.keys() - {None}):
+        seen = found[lang]
+        if seen[1].sum() < 5:
             continue  # too few: the default stays
-        hit = [(share[own] * ((p[own] >= t) & (y[own] == 1))).sum() for t in grid]
-        f1 = [2 * k / max(1e-9, (share[own] * ((p[own] >= t) + y[own])).sum()) for k, t in zip(hit, grid, strict=True)]
-        best = max(f1)
+        share = seen * weight
+        above = share[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]  # from each threshold up
+        f1 = 2 * above[1] / np.maximum(1e-9, above.sum(axis=0) + share[1].sum())
         # Of equally good thresholds the one nearest to the default.
-        model["thresholds"][lang] = float(min((abs(t - DEFAULT_THRESHOLD), t) for t, f in zip(grid, f1, strict=True) if f >= best - 1e-9)[1])
+        out[lang] = min((abs(t - DEFAULT_THRESHOLD), t) for t, f in zip(GRID, f1.tolist(), strict=True) if f >= f1.max() - 1e-9)[1]
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, learn: Column | None = None) -> str:
-    """Fit on at most ``per_class`` labelled rows of each label among those where ``learn`` holds; the model's URI."""
-    return labelled.save(docs.sparkSession, fit(labelled.sample(docs, labels, label, per_class, learn, ("lang",))), "toxicity")
+    """Fit on at most ``per_class`` labelled rows of each label among those where ``learn`` holds; the model's URI.
+
+    Thresholds come from counts over all such rows, but for ids that the filters learned from.
+    """
+    spark = docs.sparkSession
+    rows = labelled.sample(docs, labels, label, per_class, learn, ("lang",))
+    model = fit(rows)
+    learned = [rows[i]["doc_id"] for i in model.pop("learned").tolist()]
+    uri = labelled.save(spark, model, "toxicity")
+    if not learned:
+        return uri
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    known = (known if learn is None else known.where(learn)).distinct()
+    ids = spark.createDataFrame([(i,) for i in learned], StructType([StructField("doc_id", docs.schema["doc_id"].dataType)]))
+    # Scored before they are joined: only ids, steps and languages move.
+    step = sum((F.col("score") >= t).cast("int") for t in GRID)
+    scored = score(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), uri).select("doc_id", "lang", step.alias("step"))
+    counts = scored.join(known, "doc_id").join(F.broadcast(ids), "doc_id", "left_anti").groupBy("lang", "label", "step").count().collect()
+    model["thresholds"] = thresholds([tuple(r) for r in counts], {r["label"]: r["total"] for r in rows})
+    return labelled.save(spark, model, "toxicity")
 
 
 def score(docs: DataFrame, uri: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -188,6 +188,21 @@ def test_toxicity_edges(spark, edges, nothing):
     assert toxicity.score(nothing, toxicity.train(nothing, labels)).count() == 0
 
 
+def test_toxicity_thresholds_cover_all_rows(spark):
+    # 2 % of the toxic labels are of a language that the sample of 60 rows of a label has once or twice.
+    rows = [(i, f"w{i % 7} w{i % 11} {'vile' if i % 2 else 'nice'}", "xx" if i % 100 in (0, 1) else "en", i % 2) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int")
+    found = labelled.load(toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), per_class=60))["thresholds"]
+    assert set(found) == {"en", "xx"}
+
+
+def test_toxicity_thresholds_weigh_labels():
+    # F1 at 0.3 and at 0.35: 16/28 and 12/16 with labels as counted, 320/370 and 240/320 with 20 times the label 1.
+    counts = [("en", 1, 6, 2), ("en", 1, 10, 6), ("en", 1, 0, 2), ("en", 0, 6, 10), ("en", 0, 0, 90), ("xx", 1, 19, 4), (None, 1, 19, 9)]
+    assert toxicity.thresholds(counts, {0: 100, 1: 23})["en"] > 0.3
+    assert toxicity.thresholds(counts, {0: 100, 1: 460}) == {"en": 0.3}
+
+
 # --- 5: near duplicates ---
 
 
