@@ -252,3 +252,13 @@ def test_snapshots(spark, zipf, tmp_path):
         assert type(back) is type(sketch)
         main = next(k for k, v in vars(sketch).items() if hasattr(v, "collect"))
         assert sorted(map(tuple, getattr(back, main).collect())) == sorted(map(tuple, getattr(sketch, main).collect()))
+
+
+def test_eh_count_interval_of_a_long_table(spark):
+    import __spark_entry__
+
+    d = "/root/testdata/sf0.1"
+    got = {r["series"]: r["count"] for r in __spark_entry__.queries()["eh_count_interval"](spark, d).collect()}
+    part = spark.read.parquet(f"{d}/events.parquet").where("event_id between 97000 and 99000")
+    true = {r["event_type"]: r["count"] for r in part.groupBy("event_type").count().collect()}
+    assert got.keys() == true.keys() and all(abs(got[k] - n) <= 0.2 * n for k, n in true.items()), (got, true)
