@@ -59,7 +59,8 @@ WITH h AS (
     lambda a, b: xor(xor(xor(a, b) >> 4, {_NIBBLE}[(xor(a, b) & 15) + 1]) >> 4, {_NIBBLE}[(xor(xor(a, b) >> 4, {_NIBBLE}[(xor(a, b) & 15) + 1]) & 15) + 1])
   ), 4294967295) AS text_crc32 FROM h
 ), s AS (SELECT *, {_JUMP.format(n=40)} AS shard, {_JUMP.format(n=41)} AS grown_shard FROM crc)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard FROM s
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws(':', doc_id, text_crc32, size)), 1, 3), doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard FROM s
 """
 
 _LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
