@@ -500,8 +500,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "d
     found = near_duplicates(docs, k, percent, doc_id)
     known = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
     known = stash(known.where("n > 1 or c <> doc_id"), "jaccard-gone")
-    gone = known.where("c <> doc_id").select(F.col("doc_id").alias("gone_id"))
-    left = docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    name = "gone_id"
+    while name in docs.columns:
+        name += "_"
+    gone = known.where("c <> doc_id").select(F.col("doc_id").alias(name))
+    left = docs.join(gone, F.col(doc_id) == F.col(name), "left_anti")
     if not known.where("n > 1").limit(1).count():
         return left
     return left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(left.where(F.col(doc_id).isNull()))

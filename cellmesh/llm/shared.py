@@ -1,6 +1,6 @@
 """The folder that driver and executors share, and tables kept in it.
 
-A cluster names that folder in ``spark.checkpoint.dir``.  Where it is unset (tests on one machine) a
+A cluster names that folder in ``spark.checkpoint.dir``.  Where it is unset and the session is local (tests on one machine) a
 temporary folder is made and set.
 """
 
@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder of this session."""
+    """URI of the shared folder of this session; an error on a cluster that names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cellmesh-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
