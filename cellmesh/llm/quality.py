@@ -173,9 +173,16 @@ def score(docs: DataFrame, uri: str, text: str = "text", name: str = "quality_sc
     return docs.mapInArrow(rows, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_grade: int = PER_GRADE, learn: Column | None = None) -> str:
-    """Fit on at most ``per_grade`` labelled rows of each grade; the model's URI."""
-    return labelled.save(docs.sparkSession, fit(labelled.sample(docs, labels, label, per_grade, learn, read=counts)), "quality")
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", per_grade: int = PER_GRADE, learn: Column | None = None, learn_bytes: int = labelled.LEARN_BYTES, sample_bytes: int = labelled.SAMPLE_BYTES
+) -> str:
+    """Fit on at most ``per_grade`` labelled rows of each grade; the model's URI.
+
+    The sample's texts have at most ``learn_bytes`` bytes each and ``sample_bytes`` together.  Of documents that repeat an id one is
+    learned from.  Rows without id, label or text teach nothing; other columns are not read.
+    """
+    rows = labelled.sample(docs, labels, label, per_grade, learn, (), counts, learn_bytes, sample_bytes)
+    return labelled.save(docs.sparkSession, fit(rows), "quality")
 
 
 def select(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

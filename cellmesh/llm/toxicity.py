@@ -55,27 +55,6 @@ def start_model(seed: int = 5) -> dict:
     }
 
 
-def warm(model: dict, cache: list[np.ndarray], y: np.ndarray) -> None:
-    """Start the first embedding dimension at each row's shrunk log-odds of label 1, with one filter of each width that sums it.
-
-    Pooling over a long text then finds telling words from the first batch on; Adam goes on from there.
-    """
-    seen = np.zeros((2, PAD + 1))
-    for rows, label in zip(cache, y.astype(int), strict=True):
-        seen[label, np.unique(rows)] += 1
-    prior, pull = min(max(y.mean(), 1e-3), 1 - 1e-3), 10
-    rate = (seen[1] + pull * prior) / (seen.sum(axis=0) + pull)
-    odds = np.log(rate / (1 - rate)) - np.log(prior / (1 - prior))
-    model["table"][:, 0] = (0.5 * odds).astype(np.float32)
-    model["table"][PAD] = 0
-    for k, w in enumerate(WIDTHS):
-        f = model["filters"][k].reshape(w, DIM, FILTERS)
-        f[:, :, 0] = 0
-        f[:, 0, 0] = 1
-        model["bias"][k][0] = -1
-        model["out"][k * FILTERS] = 0.7
-
-
 def forward(model: dict, rows: np.ndarray, off: np.ndarray, where: bool = False):
     """Pooled responses of each text, and with ``where`` the word at which each was largest (-1: nowhere above 0)."""
     table = model["table"]
@@ -132,7 +111,6 @@ def fit(rows: list[dict], epochs: int = 6, batch: int = 64, rate: float = 0.005,
     fitted, checked = order[len(rows) // 4 :], order[: len(rows) // 4]
     cache = [tokens(pa.array([r["text"]], pa.large_string()))[0] for r in rows]
     model["learned"] = np.sort(fitted)
-    warm(model, [cache[i] for i in fitted], y[fitted])
     model["out_bias"] = np.float32(-3)
     names = ["out", "out_bias", "table"] + [f"{p}{k}" for p in ("filters", "bias") for k in range(len(WIDTHS))]
     get = lambda n: model[n] if n in model else model[n[:-1]][int(n[-1])]
@@ -224,13 +202,17 @@ def thresholds(counts: list[tuple[str, int, int, int]], totals: dict[int, int])
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, learn: Column | None = None) -> str:
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, learn: Column | None = None, learn_bytes: int = labelled.LEARN_BYTES, sample_bytes: int = labelled.SAMPLE_BYTES
+) -> str:
     """Fit on at most ``per_class`` labelled rows of each label among those where ``learn`` holds; the model's URI.
 
-    Thresholds come from counts over all such rows, but for ids that the filters learned from.
+    The sample's texts have at most ``learn_bytes`` bytes each and ``sample_bytes`` together.  Thresholds come from counts over all such
+    rows, but for ids that the filters learned from.  Of documents that repeat an id the filters see one; the
+    thresholds count each.  Rows without id or text and labels other than 0 and 1 teach nothing; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = labelled.sample(docs, labels, label, per_class, learn, ("lang",))
+    rows = labelled.sample(docs, labels, label, per_class, learn, ("lang",), None, learn_bytes, sample_bytes)
     model = fit(rows)
     learned = [rows[i]["doc_id"] for i in model.pop("learned").tolist()]
     uri = labelled.save(spark, model, "toxicity")
