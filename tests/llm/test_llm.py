@@ -408,24 +408,27 @@ def jump(key, n):
     return b
 
 
-@pytest.mark.parametrize("n", [1, 2, 40, 41, 300])
-def test_jump(spark, n):
+@pytest.mark.parametrize("first", [2, sharding.FIRST])
+@pytest.mark.parametrize("n", [1, 2, 40, 41, 5000])
+def test_jump(spark, monkeypatch, n, first):
+    monkeypatch.setattr(sharding, "FIRST", first)
     keys = [0, 1, -1, 2**62, -(2**63), *range(-300, 300, 7)]
-    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
-    assert {r.k: r.s for r in df.select("k", sharding.jump_hash(F.col("k"), n).alias("s")).collect()} == {k: jump(k, n) for k in keys}
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", sharding.jumps(F.col("k"), n).alias("s"))
+    assert {r.k: tuple(r.s) for r in df.collect()} == {k: (jump(k, n), jump(k, n + 1)) for k in keys}
 
 
 def test_shards(spark, edges, nothing):
     docs = read(spark, "documents")
-    for rows_per_task in (200_000, 1):
-        out = sharding.shard(docs, 6, rows_per_task=rows_per_task, keep=True).collect()
-        slots = defaultdict(list)
-        for r in out:
-            assert r.shard == jump(r.doc_id, 6) and r.grown_shard in (r.shard, 6) and r.text_crc32 == zlib.crc32((r.text or "").encode()) and r["size"] == len((r.text or "").encode()) + 16
-            slots[r.shard].append(r.slot)
-        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    slots = defaultdict(list)
+    for r in sharding.shard(docs, 6, keep=True).collect():
+        crc, size = zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 16
+        assert r.shard == jump(r.doc_id, 6) and r.grown_shard == jump(r.doc_id, 7) and (r.text_crc32, r["size"]) == (crc, size)
+        slots[r.shard].append((hashlib.md5(f"{r.doc_id}:{crc}:{size}".encode()).hexdigest()[:3], r.doc_id, crc, size, r.slot))
+    # One law: the order of digest, id, crc and size, whatever else the table holds.
+    assert all([x[-1] for x in sorted(rows)] == list(range(len(rows))) for rows in slots.values())
     assert sharding.shard(edges, 3, keep=True).count() == 8 and sharding.shard(nothing, 3).count() == 0
-    assert sharding.shard(edges, 3, keep=True).columns.count("shard") == 1
+    kept = sharding.shard(edges, 3, keep=True)
+    assert kept.columns.count("shard") == 1 and {r.shard_in for r in kept.collect()} == {7}
 
 
 # --- 10: quality ---
