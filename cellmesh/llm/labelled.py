@@ -45,7 +45,7 @@ def sample(
         raise ValueError(f"{label} has more than {MOST_VALUES} values")
     # Ids, lengths and hashes move here, no texts; repeated ids are summed up before they are shuffled.
     sized = docs.select("doc_id", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("hash")).where(F.col("doc_id").isNotNull() & (F.col("bytes") <= learn_bytes))
-    fit = stash(sized.join(rows.distinct(), "doc_id").groupBy("label", "doc_id").agg(F.min(F.struct("hash", "bytes")).alias("x")).select("label", "doc_id", "x.*"), "labelled")
+    fit = stash(sized.join(rows.distinct(), "doc_id").groupBy("label", "doc_id").agg(F.min("hash").alias("hash"), F.max("bytes").alias("bytes")), "labelled")
     chosen = []
     for value in sorted(totals):
         size = 0
