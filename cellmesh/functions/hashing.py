@@ -1,5 +1,7 @@
 """Hash profiles: how a key turns into columns, signs and register addresses.
 
+A key is hashed once; columns and signs of all rows are slices of that hash where they fit it (:func:`hash_mode`).
+
 ``md5``   every engine with md5 can replay it: the default, and what SQL checks use.
 ``xx64``  Spark's built-in 64-bit hash: fastest, stays in generated code.
 ``xxh3``  XXH3 with the published seed table, through an Arrow UDF: for exchange with sketches made elsewhere.
@@ -12,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,39 +40,110 @@ def text_key(key: Column) -> Column:
     return key.cast("string")
 
 
-def _md5(row: Column, key: Column) -> Column:
-    return F.md5(F.concat(row.cast("string"), F.lit(":"), text_key(key)))
-
-
 def _hex(digest: Column, start: int, length: int) -> Column:
     return F.conv(F.substring(digest, start, length), 16, 10).cast("bigint")
 
 
-def column_of(key: Column, row: Column, cols: int, profile: str = "md5") -> Column:
-    """The column of ``cols`` that a key addresses in a row."""
-    if profile == "md5":
-        return (_hex(_md5(row, key), 1, 8) % cols).cast("int")
-    if profile == "xx64":
-        return F.pmod(F.xxhash64(row, text_key(key)), F.lit(cols)).cast("int")
-    return F.pmod(F.shiftrightunsigned(_row_hash(key, row), 1), F.lit(cols)).cast("int")
+def _digits(digest: Column, start: int) -> Column:
+    """16 hex digits as the bigint with these bits."""
+    return F.shiftleft(_hex(digest, start, 8), 32).bitwiseOR(_hex(digest, start + 8, 8))
+
+
+# --- one hash, sliced: columns and signs of all rows ---
+
+
+def bits_of(width: int) -> int:
+    """Bits of a column number."""
+    return max(1, (width - 1).bit_length())
+
+
+def hash_mode(rows: int, cols: int) -> str:
+    """``packed64`` or ``packed128`` where all rows' columns and signs fit one hash of that size, else ``rows``: a hash for each.
+
+    Widths that are no power of two have no slices.
+    """
+    need = rows * (bits_of(cols) + 1)
+    return "rows" if cols & (cols - 1) else "packed64" if need <= 64 else "packed128" if need <= 128 else "rows"
 
 
-def sign_of(key: Column, row: Column, profile: str = "md5") -> Column:
-    """+1 or -1 of a key in a row, independent of its column."""
+def words_of(key: Column, rows: int, cols: int, profile: str = "md5") -> list[Column]:
+    """The 64-bit words that a key's columns and signs are slices of: one, the lower and the upper of two, or one a row."""
+    mode, text = hash_mode(rows, cols), text_key(key)
+    if profile not in PROFILES:
+        raise ValueError(f"no profile {profile}")
     if profile == "md5":
-        return F.when(F.substring(_md5(row, key), 9, 1) >= "8", 1).otherwise(-1)
+        if mode == "rows":
+            return [_digits(F.md5(F.concat(F.lit(f"{r}:"), text)), 1) for r in range(rows)]
+        digest = F.md5(text)
+        return [_digits(digest, 1)] if mode == "packed64" else [_digits(digest, 1), _digits(digest, 17)]
     if profile == "xx64":
-        return F.when(F.xxhash64(row, text_key(key), F.lit("sign")) >= 0, 1).otherwise(-1)
-    return F.when(_row_hash(key, row) >= 0, 1).otherwise(-1)
+        if mode == "rows":
+            return [F.xxhash64(F.lit(r), text) for r in range(rows)]
+        return [F.xxhash64(text)] if mode == "packed64" else [F.xxhash64(text), F.xxhash64(text, F.lit("upper"))]
+    if mode == "rows":
+        return [hash_it(r)(text) for r in range(rows)]
+    if mode == "packed64":
+        return [hash_it(0)(text)]
+    both = hash128_it(0)(text)
+    return [both["lo"], both["hi"]]
+
+
+def row_hash(words: list[Column], row: int, rows: int, cols: int) -> Column:
+    """The column of ``cols`` that a row's slice of :func:`words_of` addresses."""
+    mode = hash_mode(rows, cols)
+    if mode == "rows":
+        if cols & (cols - 1):
+            return F.pmod(F.shiftrightunsigned(words[row], 1), F.lit(cols)).cast("int")
+        return words[row].bitwiseAND(F.lit(cols - 1)).cast("int")
+    shift = row * bits_of(cols)
+    if mode == "packed64" or shift + bits_of(cols) <= 64:
+        part = F.shiftrightunsigned(words[0], shift)
+    elif shift >= 64:
+        part = F.shiftrightunsigned(words[1], shift - 64)
+    else:  # across both words
+        part = F.shiftrightunsigned(words[0], shift).bitwiseOR(F.shiftleft(words[1], 64 - shift))
+    return part.bitwiseAND(F.lit(cols - 1)).cast("int")
+
+
+def row_sign(words: list[Column], row: int, rows: int, cols: int) -> Column:
+    """+1 or -1 of a row: the bits from the top of the hash down, or the top bit of the row's own."""
+    mode = hash_mode(rows, cols)
+    word, bit = (words[row], 63) if mode == "rows" else (words[-1], 63 - row) if row < 64 else (words[0], 127 - row)
+    return F.when(F.shiftrightunsigned(word, bit).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)
 
 
-def _row_hash(key: Column, row: Column) -> Column:
-    return hash_it_rows()(key.cast("string"), row.cast("int"))
+def derive_index(h: Column, row: int, width: int) -> Column:
+    """Column in a power-of-two width: the ``row``-th slice of a 64-bit hash."""
+    if width & (width - 1):
+        raise ValueError("slices address power-of-two widths")
+    return F.shiftrightunsigned(h, row * bits_of(width)).bitwiseAND(F.lit(width - 1)).cast("int")
 
 
-def md5_column(key: str, row: int, cols: int) -> int:
-    """:func:`column_of` of the ``md5`` profile, in Python."""
-    return int(hashlib.md5(f"{row}:{key}".encode()).hexdigest()[:8], 16) % cols
+def derive_sign(h: Column, row: int) -> Column:
+    """Sign from bit ``63 - row``."""
+    return F.when(F.shiftrightunsigned(h, 63 - row).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)
+
+
+def md5_word(text: str) -> int:
+    """The first 64 bits of an MD5, in Python."""
+    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big")
+
+
+def md5_columns(key: str, rows: int, cols: int) -> list[int]:
+    """The columns of a key under the ``md5`` profile, in Python."""
+    if hash_mode(rows, cols) == "rows":
+        words = [md5_word(f"{r}:{key}") for r in range(rows)]
+        return [(w >> 1) % cols if cols & (cols - 1) else w & (cols - 1) for w in words]
+    raw = hashlib.md5(key.encode()).digest()
+    word = int.from_bytes(raw[:8], "big") | (int.from_bytes(raw[8:], "big") << 64 if hash_mode(rows, cols) == "packed128" else 0)
+    return [word >> r * bits_of(cols) & (cols - 1) for r in range(rows)]
+
+
+def word_of(key: Column, profile: str = "md5") -> Column:
+    """A key's 64-bit hash."""
+    if profile == "md5":
+        return _digits(F.md5(text_key(key)), 1)
+    return F.xxhash64(text_key(key)) if profile == "xx64" else hash_it(CANONICAL)(text_key(key))
 
 
 def words(key: Column, profile: str = "md5") -> tuple[Column, Column]:
@@ -77,10 +151,74 @@ def words(key: Column, profile: str = "md5") -> tuple[Column, Column]:
     if profile == "md5":
         digest = F.md5(text_key(key))
         return _hex(digest, 1, 8), _hex(digest, 9, 8)
-    h = F.xxhash64(text_key(key)) if profile == "xx64" else hash_it(CANONICAL)(key.cast("string"))
+    h = word_of(key, profile)
     return F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def layer_word(key: Column, profile: str = "md5") -> Column:
+    """32 bits of a key that none of the slices above uses, as a non-negative bigint."""
+    if profile == "md5":
+        return _hex(F.md5(text_key(key)), 25, 8)
+    return F.xxhash64(text_key(key), F.lit("layer")).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+# --- from one 64-bit hash to those of a large matrix ---
+
+# The golden-ratio increment and the splitmix64 multipliers.
+GOLDEN, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def finalized(x: np.ndarray) -> np.ndarray:
+    """A splitmix64 step of unsigned words, which wrap around."""
+    with np.errstate(over="ignore"):
+        x = x + np.uint64(GOLDEN)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_A)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_B)
+    return x ^ (x >> np.uint64(31))
+
+
+def matrix_hash(rows: int, cols: int):
+    """Arrow UDF: ``array<bigint>`` of the words that a matrix needs, derived from one 64-bit hash; null of null."""
+    mode = hash_mode(rows, cols)
+
+    def derived(h: np.ndarray) -> list[np.ndarray]:
+        if mode == "packed64":
+            return [h]
+        if mode == "packed128":
+            return [h, finalized(h ^ np.uint64(GOLDEN))]
+        out = []
+        for i in range(rows):
+            with np.errstate(over="ignore"):
+                h = finalized(h + np.uint64(i * GOLDEN & (1 << 64) - 1))
+            out.append(h)
+        return out
+
+    @F.pandas_udf("array<bigint>")
+    def run(hashes: pd.Series) -> pd.Series:
+        known = hashes.notna().to_numpy()
+        out = pd.Series([None] * len(hashes), dtype=object)
+        found = np.stack(derived(hashes[known].to_numpy(np.int64).view(np.uint64))).view(np.int64).T
+        out[known] = list(found)
+        return out
+
+    return run
+
+
+def float_bits(as_text: bool = True):
+    """Arrow UDF: the IEEE-754 bits of a double, as an unsigned decimal number in text, or as 8 little-endian bytes."""
+
+    def bits(values: pd.Series) -> pd.Series:
+        raw = values.to_numpy(np.float64).view(np.uint64)
+        out = pd.Series([str(x) if as_text else x.tobytes() for x in raw], dtype=object)
+        return out.where(values.notna().to_numpy(), None)
+
+    @F.pandas_udf("string" if as_text else "binary")
+    def run(values: pd.Series) -> pd.Series:
+        return bits(values)
+
+    return run
+
+
 # --- XXH3, through Arrow ---
 
 
@@ -105,12 +243,24 @@ def xxh3_128(data: bytes, seed_index: int = 0) -> tuple[int, int]:
     return x & ((1 << 64) - 1), x >> 64
 
 
+def _bytes(key) -> bytes:
+    return key.encode() if isinstance(key, str) else bytes(key)
+
+
+def _each_distinct(keys: pd.Series, f) -> tuple[list, np.ndarray]:
+    """``f`` of each distinct key, and each row's number among them; -1 for null."""
+    codes, values = pd.factorize(keys)
+    return [f(_bytes(k)) for k in values], codes
+
+
 def hash_it(seed_index: int = 0):
-    """Arrow UDF: XXH3-64 of a string or binary key under a seed, as a bigint; null of null."""
+    """Arrow UDF: XXH3-64 of a string or binary key under a seed, as a bigint; null of null.  Each distinct key of a batch is hashed once."""
 
     @F.pandas_udf("bigint")
     def run(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: None if k is None else signed(xxh3_64(k.encode() if isinstance(k, str) else bytes(k), seed_index))).astype("Int64")
+        found, codes = _each_distinct(keys, lambda k: signed(xxh3_64(k, seed_index)))
+        table = np.array([*found, 0], np.int64)
+        return pd.Series(table[codes]).astype("Int64").mask(codes < 0)
 
     return run
 
@@ -125,43 +275,10 @@ def hash128_it(seed_index: int = 0):
     @F.pandas_udf("lo bigint, hi bigint")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for keys in batches:
-            both = [(None, None) if k is None else tuple(map(signed, xxh3_128(k.encode() if isinstance(k, str) else bytes(k), seed_index))) for k in keys]
-            yield pd.DataFrame(both, columns=["lo", "hi"]).astype("Int64")
-
-    return run
-
-
-def hash_it_rows():
-    """Arrow UDF: XXH3-64 of a key under the seed of its row's index."""
-
-    @F.pandas_udf("bigint")
-    def run(keys: pd.Series, rows: pd.Series) -> pd.Series:
-        return pd.Series([None if k is None else signed(xxh3_64(k.encode(), int(r))) for k, r in zip(keys, rows, strict=True)]).astype("Int64")
+            found, codes = _each_distinct(keys, lambda k: tuple(map(signed, xxh3_128(k, seed_index))))
+            table = np.array([*found, (0, 0)], np.int64)[codes]
+            out = pd.DataFrame(table, columns=["lo", "hi"]).astype("Int64")
+            out[codes < 0] = pd.NA
+            yield out
 
     return run
-
-
-# --- addressing by slicing one hash ---
-
-
-def bits_of(width: int) -> int:
-    """Bits of a column number."""
-    return max(1, (width - 1).bit_length())
-
-
-def derive_index(h: Column, row: int, width: int) -> Column:
-    """Column in a power-of-two width: the ``row``-th slice of a 64-bit hash."""
-    if width & (width - 1):
-        raise ValueError("slices address power-of-two widths")
-    return F.shiftrightunsigned(h, row * bits_of(width)).bitwiseAND(F.lit(width - 1)).cast("int")
-
-
-def derive_sign(h: Column, row: int) -> Column:
-    """Sign from bit ``63 - row``."""
-    return F.when(F.shiftrightunsigned(h, 63 - row).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)
-
-
-def hash_mode(rows: int, cols: int) -> str:
-    """``packed64`` or ``packed128`` where all rows' columns and signs fit one hash of that size, else ``rows``."""
-    need = rows * (bits_of(cols) + 1)
-    return "packed64" if need <= 64 else "packed128" if need <= 128 else "rows"

@@ -136,3 +136,29 @@ class DDSketch:
         buckets = self._summed(union([self.buckets, *(d.withColumnRenamed("d", "cnt") for d in deltas)]))
         fresh = DDSketch.from_buckets(buckets, self.by, self.mapping.alpha)
         return replace(self, buckets=buckets, summary=fresh.summary)
+
+    # --- buckets ---
+
+    def at(self, probes: DataFrame, value: str) -> DataFrame:
+        """``(*by, value, bucket, lower, representative, cnt)`` of each distinct probe that has a bucket."""
+        v = F.col(value).cast("double")
+        wanted = probes.select(*self.by, v.alias(value)).where(self.mapping.indexable(F.col(value))).distinct().withColumn("bucket", self.mapping.bucket(F.col(value)))
+        found = join_null_safe(wanted, self.buckets, [*self.by, "bucket"], "left")
+        lower = F.exp(F.col("bucket") / self.mapping.per_log)
+        return found.select(*self.by, value, "bucket", lower.alias("lower"), self.mapping.value(F.col("bucket")).alias("representative"), F.coalesce("cnt", F.lit(0)).alias("cnt"))
+
+    def populated(self) -> DataFrame:
+        """``(*by, populated)``: how many buckets hold something."""
+        return self.buckets.where("cnt > 0").groupBy(*self.by).agg(F.count("*").alias("populated"))
+
+    def drain(self, least: int = 1) -> tuple[DataFrame, DDSketch]:
+        """The buckets that hold ``least`` or more, and the sketch of the others alone."""
+        rest = self.buckets.where(F.col("cnt") < least)
+        return self.buckets.where(F.col("cnt") >= least), replace(self, buckets=rest, summary=DDSketch.from_buckets(rest, self.by, self.mapping.alpha).summary)
+
+
+def sampled(df: DataFrame, value: str, item: str, p: float, by: str | Iterable[str] = (), alpha: float = 0.01) -> DDSketch:
+    """A sketch of the items admitted at ``p``, which travels with it: counts are scaled when they are asked, quantiles are not."""
+    from .sampling import admit
+
+    return DDSketch.build(df.where(admit(F.col(item), p)), value, by, alpha, p)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cell tables of at most so many rows are sent to each task instead of being shuffled: a bound by parameters, not by data.
-SENT_CELLS = 200_000
+SENT_CELLS = 1_000_000
 
 
 class UnsupportedQuery(ValueError):
@@ -54,5 +54,31 @@ def top_k(df: DataFrame, k: int, order: str, key: str, by: Iterable[str] = ()) -
     return df.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k)
 
 
+def dense(cells: DataFrame) -> DataFrame:
+    """One row ``_cells``: the array of the values ``v`` by their place ``at``, with 0 where there is none.
+
+    For tables that parameters bound: probes look values up in it, without a shuffle.
+    """
+    packed = cells.agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.col("v").cast("double").alias("v")))).alias("p"))
+    gap = lambda e, i: e["at"] - F.when(i == 0, -1).otherwise(F.get("p", i - 1)["at"]) - 1
+    return packed.select(F.flatten(F.transform("p", lambda e, i: F.concat(F.array_repeat(F.lit(0.0), gap(e, i)), F.array(e["v"])))).alias("_cells"))
+
+
+def looked_up(at: Column) -> Column:
+    """The value at a place of :func:`dense`."""
+    return F.coalesce(F.get("_cells", at), F.lit(0.0))
+
+
+def median_of(values: list[Column]) -> Column:
+    """The median of columns, none null: the mean of the middle two of an even number."""
+    return middle(F.array(*values), len(values))
+
+
+def middle(array: Column, n: int) -> Column:
+    """The median of an array of ``n`` numbers."""
+    half = F.sort_array(array)
+    return half[n // 2] if n % 2 else (half[n // 2 - 1] + half[n // 2]) / 2
+
+
 def present(*columns: Column) -> Column:
     return reduce(lambda a, b: a & b, [c.isNotNull() for c in columns])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from .frames import as_list, same, top_k, union
+from .frames import as_list, join_null_safe, same, top_k, union
 from .linear import Linear, Shape
 
 
@@ -28,6 +28,64 @@ def exact_top_k(df: DataFrame, key: str, k: int, weight: str | None = None, by:
     return top_k(sums, k, "cnt", key, by)
 
 
+# --- one state a group, not too many at a time ---
+
+#: Groups whose states a task holds.
+HELD = 1000
+
+
+class Groups:
+    """States of groups in one task.  Beyond ``HELD`` of them the half that saw the fewest rows is given out; states of one group merge later."""
+
+    def __init__(self, make: Callable[[tuple], object]):
+        self.make = make
+        self.states: dict[tuple, object] = {}
+        self.seen: dict[tuple, int] = {}
+
+    def of(self, group: tuple, rows: int) -> object:
+        self.seen[group] = self.seen.get(group, 0) + rows
+        if group not in self.states:
+            self.states[group] = self.make(group)
+        return self.states[group]
+
+    def surplus(self) -> list[tuple[tuple, object]]:
+        if len(self.states) <= HELD:
+            return []
+        out = heapq.nsmallest(len(self.states) - HELD // 2, self.states, key=self.seen.__getitem__)
+        return [(g, self.states.pop(g)) for g in out if self.seen.pop(g)]
+
+
+def group_columns(df: DataFrame, by: list[str]) -> str:
+    return "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
+
+
+def by_group(batch: pd.DataFrame, by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    if not by:
+        yield (), batch
+        return
+    for key, part in batch.groupby(by, dropna=False, sort=False):
+        yield tuple(None if pd.isna(x) else x for x in (key if isinstance(key, tuple) else (key,))), part
+
+
+def each_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``f`` of the rows of each group, which parameters bound: groups stream through a task one after the other, some at a time."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for batch in batches:
+            if left is not None:
+                batch = pd.concat([left, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            *whole, left = (g for _, g in batch.groupby(keys, dropna=False, sort=False))
+            if whole:
+                yield pd.concat([f(g) for g in whole])
+        if left is not None:
+            yield f(left)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(fold, schema)
+
+
 # --- Space-Saving ---
 
 
@@ -72,22 +130,29 @@ def space_saving(df: DataFrame, key: str, k: int = 100, weight: str | None = Non
     Batches are summed by key first, which keeps both guarantees.  Null keys and weights that are not positive are left out.
     """
     by = as_list(by)
-    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = df.select(*by, F.col(key).cast("string").alias("key"), w.alias("w")).where(F.col("key").isNotNull() & (F.col("w") > 0))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, Tracked] = {}
+        from pyspark import TaskContext
+
+        part, held, given = TaskContext.get().partitionId(), Groups(lambda _: Tracked(k)), 0
+
+        def table(states: Iterable[tuple[tuple, Tracked]]) -> pd.DataFrame:
+            out = [(*g, f"{part}-{given}", x, n, t.error[x], t.floor()) for g, t in states for x, n in t.count.items()]
+            return pd.DataFrame(out, columns=[*by, "part", "key", "cnt", "err", "floor"])
+
         for batch in batches:
-            sums = batch.groupby([*by, "key"], dropna=False, sort=False)["w"].sum()
-            for index, n in sums.items():
-                index = index if isinstance(index, tuple) else (index,)
-                held.setdefault(index[:-1], Tracked(k)).add(index[-1], n)
-        out = [(*g, x, n, t.error[x], t.floor()) for g, t in held.items() for x, n in t.count.items()]
-        yield pd.DataFrame(out, columns=[*by, "key", "cnt", "err", "floor"])
+            for group, rows in by_group(batch, by):
+                state = held.of(group, len(rows))
+                for x, n in rows.groupby("key", sort=False)["w"].sum().items():
+                    state.add(x, n)
+            if gone := held.surplus():
+                yield table(gone)
+                given += 1
+        yield table(held.states.items())
 
-    parts = rows.mapInPandas(fold, f"{kinds}key string, cnt double, err double, floor double").withColumn("part", F.spark_partition_id())
-    return space_saving_merge(parts, k, by)
+    return space_saving_merge(rows.mapInPandas(fold, f"{group_columns(df, by)}part string, key string, cnt double, err double, floor double"), k, by)
 
 
 def space_saving_merge(parts: DataFrame, k: int, by: str | Iterable[str] = ()) -> DataFrame:
@@ -98,7 +163,7 @@ def space_saving_merge(parts: DataFrame, k: int, by: str | Iterable[str] = ()) -
     by = as_list(by)
     floors = parts.groupBy(*by, "part").agg(F.max("floor").alias("floor")).groupBy(*by).agg(F.sum("floor").alias("every"))
     keys = parts.groupBy(*by, "key").agg(F.sum("cnt").alias("cnt"), F.sum("err").alias("err"), F.sum("floor").alias("own"))
-    both = keys.join(floors, by) if by else keys.crossJoin(F.broadcast(floors))
+    both = join_null_safe(keys, floors, by) if by else keys.crossJoin(F.broadcast(floors))
     open_ = F.col("every") - F.col("own")
     return top_k(both.select(*by, "key", (F.col("cnt") + open_).alias("cnt"), (F.col("err") + open_).alias("err")), k, "cnt", "key", by).drop("rk")
 
@@ -108,142 +173,231 @@ def space_saving_merge(parts: DataFrame, k: int, by: str | Iterable[str] = ()) -
 #: Tasks' tables that one task merges.
 FAN_IN = 128
 
-COCO = "row int, col int, key string, val bigint"
-
 
-def coco(df: DataFrame, key: str, rows: int = 3, cols: int = 2048, weight: str | None = None, seed: int = 0) -> DataFrame:
-    """``(row, col, key, val)``: each key has one bucket per row; a match is added to, an empty bucket claimed, else the smallest
-    grows and changes owner with probability weight / value.  Keys stay with their values, so partial keys can be queried.
-    """
-    if cols & (cols - 1):
-        raise ValueError("columns must be a power of two")
-    w = F.lit(1) if weight is None else F.col(weight).cast("bigint")
-    at = F.array(*[hashing.column_of(F.col(key), F.lit(r), cols) for r in range(rows)])
-    items = df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).select(F.col(key).cast("string").alias("key"), at.alias("at"), w.alias("val")).where("val > 0")
-    parts = items.mapInPandas(_coco_fold(rows, seed), COCO).withColumn("_group", F.floor(F.spark_partition_id() / FAN_IN))
-    return coco_merge(parts.groupBy("_group").applyInPandas(_coco_join(rows, cols, seed + 1), COCO), rows=rows, cols=cols, seed=seed + 2)
+@dataclass(frozen=True)
+class Coco:
+    """``table``: ``(*by, row, col, key, val)``.  Keys stay with their values, so partial keys can be queried."""
+
+    table: DataFrame
+    rows: int = 3
+    cols: int = 2048
+    by: tuple[str, ...] = ()
+    seed: int = 0
+
+    @staticmethod
+    def build(df: DataFrame, key: str, rows: int = 3, cols: int = 2048, weight: str | None = None, by: str | Iterable[str] = (), seed: int = 0) -> Coco:
+        """Each key has one bucket per row; a match is added to, an empty bucket claimed, else the smallest grows and changes owner with
+        probability weight / value.  A batch's keys are summed first.  Null and empty keys and weights that are not positive are left out.
+        """
+        if cols & (cols - 1):
+            raise ValueError("columns must be a power of two")
+        by = as_list(by)
+        w = F.lit(1) if weight is None else F.col(weight)
+        text = F.col(key).cast("string")
+        items = df.where(text.isNotNull() & (text != "")).select(*by, text.alias("key"), w.cast("bigint").alias("val")).where("val > 0")
+        kinds = group_columns(df, by)
+
+        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId()
+            held = Groups(lambda group: Buckets(rows, cols, (seed, part)))
+            table = lambda states: pd.concat([b.frame(by, g).assign(_part=part) for g, b in states] or [_EMPTY.assign(_part=part)])
+            for batch in batches:
+                for group, some in by_group(batch, by):
+                    state = held.of(group, len(some))
+                    for x, n in some.groupby("key", sort=False)["val"].sum().items():
+                        state.add(x, int(n))
+                if gone := held.surplus():
+                    yield table(gone)
+            if held.states:
+                yield table(held.states.items())
+
+        parts = items.mapInPandas(fold, f"{kinds}row int, col int, key string, val bigint, _part int")
+        some = Coco(_joined(parts.withColumn("_group", F.floor(F.col("_part") / FAN_IN).cast("int")), [*by, "_group"], rows, cols, seed + 1), rows, cols, tuple(by), seed)
+        return some.merge()
+
+    def merge(self, *others: Coco) -> Coco:
+        """Equal keys summed, then inserted into one table a group, larger values first.  Tables are bounded by their shape."""
+        same((self.rows, self.cols, self.by), *((o.rows, o.cols, o.by) for o in others))
+        tables = union([o.table.select(*self.by, "row", "col", "key", "val") for o in (self, *others)])
+        return replace(self, table=_joined(tables, list(self.by), self.rows, self.cols, self.seed + 2).select(*self.by, "row", "col", "key", "val"))
+
+    def estimate(self, match: Column | str | None = None) -> DataFrame:
+        """``(*by, key, estimate)``: bucket sums of each key, of those that satisfy ``match`` (a condition on ``key``) only."""
+        rows = self.table if match is None else self.table.where(match)
+        return rows.groupBy(*self.by, "key").agg(F.sum("val").alias("estimate"))
+
+    def partial(self, match: Column | str) -> DataFrame:
+        """``(*by, estimate)``: the sum over all keys that satisfy a condition, such as sharing a part."""
+        return self.table.where(match).groupBy(*self.by).agg(F.coalesce(F.sum("val"), F.lit(0)).alias("estimate"))
+
+
+_EMPTY = pd.DataFrame({"row": pd.Series(dtype="int32"), "col": pd.Series(dtype="int32"), "key": pd.Series(dtype=object), "val": pd.Series(dtype="int64")})
+
+
+class Buckets:
+    """Coco's buckets ``(row, col) -> [key, value]`` in one process."""
+
+    def __init__(self, rows: int, cols: int, seed: object):
+        self.rows, self.cols = rows, cols
+        self.coin = np.random.default_rng(seed)
+        self.held: dict[tuple[int, int], list] = {}
+
+    def add(self, key: str, v: int) -> None:
+        spots = list(enumerate(hashing.md5_columns(key, self.rows, self.cols)))
+        owned = [s for s in spots if s in self.held]
+        mine = next((s for s in owned if self.held[s][0] == key), None)
+        if mine is not None:
+            self.held[mine][1] += v
+        elif len(owned) < len(spots):
+            self.held[next(s for s in spots if s not in self.held)] = [key, v]
+        else:
+            least = self.held[min(spots, key=lambda s: self.held[s][1])]
+            least[1] += v
+            if self.coin.random() * least[1] < v:
+                least[0] = key
 
+    def frame(self, by: list[str], group: tuple) -> pd.DataFrame:
+        out = pd.DataFrame([(r, c, k, v) for (r, c), (k, v) in self.held.items()], columns=["row", "col", "key", "val"])
+        for name, x in zip(by, group, strict=True):
+            out[name] = x
+        return out
 
-def _coco_join(rows: int, cols: int, seed: int) -> Callable:
-    """Tables of up to ``FAN_IN`` tasks in one: equal keys summed, larger values first, at the buckets that they held."""
 
+def _joined(tables: DataFrame, by: list[str], rows: int, cols: int, seed: int) -> DataFrame:
     def join(table: pd.DataFrame) -> pd.DataFrame:
-        held = table.groupby("key").agg(val=("val", "sum")).reset_index()
-        spots = [[hashing.md5_column(k, r, cols) for r in range(rows)] for k in held["key"]]
-        items = held.assign(at=spots).sort_values(["val", "key"], ascending=[False, True])
-        return next(_coco_fold(rows, seed)(iter([items])))
-
-    return join
-
-
-def _coco_fold(rows: int, seed: int) -> Callable:
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng(seed)
-        table: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            for key, at, v in zip(batch["key"], batch["at"], batch["val"], strict=True):
-                spots = [(r, int(at[r])) for r in range(rows)]
-                found = next((s for s in spots if s not in table or table[s][0] == key), None)
-                if found is None:
-                    found = min(spots, key=lambda s: table[s][1])
-                    table[found][1] += v
-                    if rng.random() < v / table[found][1]:
-                        table[found][0] = key
-                elif found in table:
-                    table[found][1] += v
-                else:
-                    table[found] = [key, v]
-        yield pd.DataFrame([(r, c, k, int(v)) for (r, c), (k, v) in table.items()], columns=["row", "col", "key", "val"])
+        sums = table.groupby("key")["val"].sum().reset_index().sort_values(["val", "key"], ascending=[False, True])
+        state = Buckets(rows, cols, seed)
+        for key, v in zip(sums["key"], sums["val"], strict=True):
+            state.add(key, int(v))
+        return state.frame(by, tuple(table[b].iloc[0] for b in by))[[*by, "row", "col", "key", "val"]]
 
-    return fold
-
-
-def coco_merge(*tables: DataFrame, rows: int, cols: int, seed: int = 1) -> DataFrame:
-    """Buckets of all tables inserted into one, larger values first.  Equal keys are summed before; tables are bounded by their shape."""
-    sums = union(tables).groupBy("key").agg(F.sum("val").alias("val"))
-    at = F.array(*[hashing.column_of(F.col("key"), F.lit(r), cols) for r in range(rows)])
-    items = sums.select("key", at.alias("at"), "val").orderBy(F.col("val").desc(), "key").coalesce(1)
-    return items.mapInPandas(_coco_fold(rows, seed), COCO)
-
-
-def coco_estimate(table: DataFrame, match: Column | str | None = None) -> DataFrame:
-    """``(key, estimate)``: bucket sums of each key, of those that satisfy ``match`` (a condition on ``key``) only."""
-    rows = table if match is None else table.where(match)
-    return rows.groupBy("key").agg(F.sum("val").alias("estimate"))
-
-
-def coco_partial(table: DataFrame, match: Column | str) -> DataFrame:
-    """``(estimate)``: the sum over all keys that satisfy a condition, such as sharing a part."""
-    return table.where(match).agg(F.coalesce(F.sum("val"), F.lit(0)).alias("estimate"))
+    given = tables if by else tables.withColumn("_one", F.lit(0))
+    return each_group(given, by or ["_one"], join, f"{group_columns(given, by)}row int, col int, key string, val bigint")
 
 
 # --- Elastic ---
 
+#: A bucket's owner goes when the votes against it reach so many times its own.
 VOTES = 8
 LIGHT = Shape(5, 2048)
 
 
 @dataclass(frozen=True)
 class Elastic:
-    """``heavy``: ``(bucket, flow, vote_pos, vote_neg, evicted)``; ``light``: a Count-Min of what is not heavy."""
+    """``heavy``: ``(bucket, flow, vote_pos, vote_neg, mixed)``; ``light``: a Count-Min of what is not heavy.
+
+    ``mixed``: a part of the owner's items may be in the light part.
+    """
 
     heavy: DataFrame
     light: Linear
     buckets: int
 
 
-def _bucket(key: Column, buckets: int) -> Column:
-    hi, _ = hashing.words(key)
-    return (hi % buckets).cast("int")
+class Vote:
+    """The owner of one bucket, and what its contest sends to the light part."""
+
+    def __init__(self) -> None:
+        self.flow: str | None = None
+        self.pos = self.neg = 0
+        self.mixed = False
+        self.light: dict[str, int] = {}
+
+    def to_light(self, flow: str, n: int) -> None:
+        if n:
+            self.light[flow] = self.light.get(flow, 0) + n
+
+    def run(self, flow: str, n: int) -> None:
+        """``n`` items of one flow in a row.
+
+        A challenger's items go to the light part until the one that outvotes the owner; it takes over with the rest.
+        """
+        if self.flow is None:
+            self.flow = flow
+        if self.flow == flow:
+            self.pos += n
+            return
+        lost = max(1, VOTES * self.pos - self.neg)
+        if n < lost:
+            self.neg += n
+            self.to_light(flow, n)
+            return
+        self.to_light(flow, lost - 1)
+        self.to_light(self.flow, self.pos)
+        self.flow, self.pos, self.neg, self.mixed = flow, n - lost + 1, 1, True
+
+    def later(self, flow: str, pos: int, neg: int, mixed: bool) -> None:
+        """The outcome of the next time range, as a run of its owner's votes; votes against count on where the owner stays."""
+        if self.flow in (None, flow):
+            self.run(flow, pos)
+            self.neg += neg
+            self.mixed |= mixed
+        else:
+            self.run(flow, pos)
+            self.mixed = True
 
 
-def elastic(df: DataFrame, key: str, order: str, buckets: int = 64) -> Elastic:
-    """Each bucket's keys vote in the order of arrival; after ``VOTES`` times as many against it, the owner's votes go to the light part.
+def elastic(df: DataFrame, key: str, order: str, buckets: int = 64, every: int = 1 << 20) -> Elastic:
+    """Each bucket's keys vote in the order of arrival, within each range of ``every`` ticks of ``order``; ranges' outcomes merge in order.
 
-    A bucket's rows stream through one fold, sorted by the shuffle, not held.  Keys of equal runs arrive as one row.
+    A range's bucket streams through one fold, sorted by the shuffle; runs of one key are combined.  No task holds a bucket's
+    whole stream, and of all ranges only the outcomes meet in one place.  Null and empty keys are left out, items of equal order go by key.
     """
-    items = df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).select(_bucket(F.col(key), buckets).alias("bucket"), F.col(key).cast("string").alias("flow"), F.col(order).alias("o"))
+    text = F.col(key).cast("string")
+    hi, _ = hashing.words(F.col(key))
+    items = df.where(text.isNotNull() & (text != "")).select((hi % buckets).cast("int").alias("bucket"), text.alias("flow"), F.col(order).alias("o"))
+    items = items.withColumn("span", F.floor(F.col("o").cast("double") / every).cast("bigint"))
+    kinds = "span bigint, bucket int, flow string, vote_pos bigint, vote_neg bigint, mixed boolean"
+    names = ["span", "bucket", "flow", "vote_pos", "vote_neg", "mixed"]
 
     def table(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["bucket", "flow", "vote_pos", "vote_neg", "evicted"])
-        return out.astype({"bucket": "Int32", "vote_pos": "Int64", "vote_neg": "Int64", "evicted": "boolean"})
+        out = pd.DataFrame(rows, columns=names)
+        return out.astype({"span": "Int64", "bucket": "Int32", "vote_pos": "Int64", "vote_neg": "Int64", "mixed": "boolean"})
+
+    def outcome(here: tuple, v: Vote) -> list[tuple]:
+        return [(*here, v.flow, v.pos, v.neg, v.mixed), *((None, None, f, n, None, None) for f, n in v.light.items())]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heavy: dict[int, list] = {}
-        light: dict[str, int] = {}
+        here, vote = None, Vote()
         for batch in batches:
-            for b, flow in zip(batch["bucket"], batch["flow"], strict=True):
-                h = heavy.get(b)
-                if h is None:
-                    heavy[b] = [flow, 1, 0, False]
-                elif h[0] == flow:
-                    h[1] += 1
-                else:
-                    h[2] += 1
-                    if h[1] > 0 and h[2] / h[1] < VOTES:
-                        light[flow] = light.get(flow, 0) + 1
-                    else:
-                        light[h[0]] = light.get(h[0], 0) + h[1]
-                        heavy[b] = [flow, 1, 1, True]
-            if len(light) > 100_000:
-                yield table([(None, flow, n, None, None) for flow, n in light.items()])
-                light = {}
-        if light:
-            yield table([(None, flow, n, None, None) for flow, n in light.items()])
-        if heavy:
-            yield table([(b, *h) for b, h in heavy.items()])
-
-    schema = "bucket int, flow string, vote_pos bigint, vote_neg bigint, evicted boolean"
-    out = items.repartition("bucket").sortWithinPartitions("bucket", "o", "flow").mapInPandas(fold, schema)
-    light = Linear.build(out.where("bucket is null"), "flow", "vote_pos", shape=LIGHT)
-    return Elastic(out.where("bucket is not null"), light, buckets)
+            span, bucket, flow = (batch[c].to_numpy() for c in ("span", "bucket", "flow"))
+            change = (span[1:] != span[:-1]) | (bucket[1:] != bucket[:-1]) | (flow[1:] != flow[:-1])
+            starts = [0, *(np.flatnonzero(change) + 1).tolist()] if len(batch) else []
+            rows: list[tuple] = []
+            for a, b in zip(starts, [*starts[1:], len(batch)], strict=False):
+                if (span[a], bucket[a]) != here:
+                    if here is not None:
+                        rows += outcome(here, vote)
+                    here, vote = (span[a], bucket[a]), Vote()
+                vote.run(flow[a], b - a)
+                if len(vote.light) > 100_000:
+                    rows += [(None, None, f, n, None, None) for f, n in vote.light.items()]
+                    vote.light = {}
+            if rows:
+                yield table(rows)
+        if here is not None:
+            yield table(outcome(here, vote))
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        vote = Vote()
+        for r in rows.sort_values("span").itertuples():
+            vote.later(r.flow, int(r.vote_pos), int(r.vote_neg), bool(r.mixed))
+        bucket = int(rows["bucket"].iloc[0])
+        return table([(None, *x[1:]) if x[1] is not None else x for x in outcome((None, bucket), vote)])
+
+    voted = items.repartition("span", "bucket").sortWithinPartitions("span", "bucket", "o", "flow").mapInPandas(fold, kinds)
+    merged = each_group(voted.where("bucket is not null"), ["bucket"], merge, kinds)
+    light = voted.where("bucket is null").unionByName(merged.where("bucket is null"))
+    return Elastic(merged.where("bucket is not null").drop("span"), Linear.build(light, "flow", "vote_pos", shape=LIGHT), buckets)
 
 
 def elastic_query(sketch: Elastic, probes: DataFrame, key: str) -> DataFrame:
-    """``(key, estimate)``: an owner's votes, with the light estimate if it took the bucket over; others the light estimate."""
+    """``(key, estimate)``: an owner's votes, with the light estimate if a part of it is there; others the light estimate."""
     light = sketch.light.estimate(probes.select(F.col(key).cast("string").alias(key)), key)
-    owned = light.join(F.broadcast(sketch.heavy), F.col(key) == F.col("flow"), "left")
-    value = F.when(F.col("flow").isNull(), F.col("estimate")).otherwise(F.col("vote_pos") + F.when(F.col("evicted"), F.col("estimate")).otherwise(0))
+    owned = light.join(sketch.heavy, F.col(key) == F.col("flow"), "left")
+    value = F.when(F.col("flow").isNull(), F.col("estimate")).otherwise(F.col("vote_pos") + F.when(F.col("mixed"), F.col("estimate")).otherwise(0))
     return owned.select(key, value.cast("bigint").alias("estimate"))
 
 

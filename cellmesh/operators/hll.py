@@ -26,10 +26,20 @@ TERMS = 64
 
 def address(key: Column, profile: str = "md5") -> tuple[Column, Column]:
     """``(reg, rho)`` of a key: the upper 14 bits, and 1 plus the leading zeros of the other 50."""
-    hi, lo = hashing.words(key, profile)
-    rest = hi.bitwiseAND(F.lit((1 << 18) - 1)) * F.lit(1 << 32) + lo
-    rho = F.when(rest == 0, Q + 1).otherwise(Q + 1 - F.length(F.bin(rest)))
-    return F.shiftright(hi, 18).cast("int"), rho.cast("int")
+    h = hashing.word_of(key, profile)
+    return register(h), rho_of(rest(h))
+
+
+def register(h: Column) -> Column:
+    return F.shiftrightunsigned(h, Q).cast("int")
+
+
+def rest(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << Q) - 1))
+
+
+def rho_of(low: Column) -> Column:
+    return F.when(low == 0, Q + 1).otherwise(Q + 1 - F.length(F.bin(low))).cast("int")
 
 
 def register_of(h: int) -> tuple[int, int]:
@@ -68,8 +78,10 @@ class HLL:
             raise ValueError(f"no variant {variant}")
         by = as_list(by)
         rows = df.where(F.col(key).isNotNull() & keep_key(F.col(key), sample_p))
-        reg, rho = address(F.col(key), profile)
-        return HLL(rows.select(*by, reg.alias("reg"), rho.alias("rho")).groupBy(*by, "reg").agg(F.max("rho").alias("rho")), tuple(by), profile, sample_p, variant)
+        # The largest rho of a register is that of the least rest: zeros are counted once a register, not once a row.
+        hashes = rows.select(*by, hashing.word_of(F.col(key), profile).alias("_h")).select(*by, register(F.col("_h")).alias("reg"), rest(F.col("_h")).alias("_rest"))
+        least = hashes.groupBy(*by, "reg").agg(F.min("_rest").alias("_rest"))
+        return HLL(least.select(*by, "reg", rho_of(F.col("_rest")).alias("rho")), tuple(by), profile, sample_p, variant)
 
     def _identity(self) -> tuple:
         return self.by, self.profile, self.sample_p, self.variant

@@ -8,16 +8,15 @@ in front of any sketch table of this package, so one grouped build fills all cel
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hashing
-from .frames import UnsupportedQuery
+from .frames import SENT_CELLS, UnsupportedQuery, dense, median_of, middle, same
 from .hll import HLL
 from .kll import KLL
-from .linear import Linear, Shape
+from .linear import Linear, Shape, addressed, best_of, hashed, place
 from .univmon import Pyramid, UnivMon
 
 GRID = ["grid_row", "grid_col"]
@@ -31,13 +30,21 @@ SUPPORT = {
 }
 
 
+#: Parts of a key of which all subsets are taken: 2^12 - 1 at most.
+MOST_PARTS = 12
+
+
 def expand_subkeys(key: Column, separator: str = ";") -> Column:
-    """All non-empty subsets of a key's parts, in their order; a key of one part or none is its own only subset."""
+    """All non-empty subsets of a key's parts, in their order; a key of one part or none is its own only subset.
+
+    A key of more than ``MOST_PARTS`` parts is an error.
+    """
     parts = F.filter(F.split(key, separator), lambda p: p != "")
     n = F.size(parts)
     masks = F.sequence(F.lit(1), (F.pow(F.lit(2), n) - 1).cast("int"))
     subset = lambda mask: F.array_join(F.filter(parts, lambda p, i: F.getbit(mask.cast("bigint"), i) == 1), separator)
-    return F.when(n <= 1, F.array(key)).otherwise(F.transform(masks, subset))
+    many = F.raise_error(F.concat(F.lit(f"more than {MOST_PARTS} parts: "), key)).cast("array<string>")
+    return F.when(n <= 1, F.array(key)).when(n > MOST_PARTS, many).otherwise(F.transform(masks, subset))
 
 
 def label_key(*columns: str) -> Column:
@@ -45,10 +52,29 @@ def label_key(*columns: str) -> Column:
     return F.concat_ws(";", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in columns])
 
 
+def subkey_sums(df: DataFrame, labels: Column, weight: str | None = None, by: Iterable[str] = ()) -> DataFrame:
+    """``(*by, sub, w)``: the weight of each subset key.  There are few: what a frequency grid is built from, and may be probed with.
+
+    Rows of equal labels are summed before their key is expanded.
+    """
+    by = list(by)
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    whole = df.select(*by, labels.alias("_labels"), w.alias("_w")).groupBy(*by, "_labels").agg(F.sum("_w").alias("_w"))
+    return whole.select(*by, F.explode(expand_subkeys(F.col("_labels"))).alias("sub"), "_w").groupBy(*by, "sub").agg(F.sum("_w").alias("w"))
+
+
+def grid_shape(depth: int, width: int) -> Shape:
+    return Shape(depth, width)
+
+
+def routed(subkey: str) -> Column:
+    return F.concat(F.lit("grid/"), F.col(subkey))
+
+
 def placed(df: DataFrame, subkey: str, depth: int, width: int) -> DataFrame:
     """``df`` at the D grid cells of its subset key."""
-    out = df.withColumn("grid_row", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
-    return out.withColumn("grid_col", hashing.column_of(F.concat(F.lit("grid/"), F.col(subkey)), F.col("grid_row"), width))
+    at = addressed(df.withColumn("_routed", routed(subkey)), "_routed", grid_shape(depth, width))
+    return at.withColumnRenamed("row", "grid_row").withColumnRenamed("col", "grid_col").drop("sign", "_routed")
 
 
 @dataclass(frozen=True)
@@ -71,15 +97,24 @@ class Hydra:
         if kind not in SUPPORT:
             raise ValueError(f"no inner sketch {kind}")
         by = list(by)
+        if value is None and kind in ("cm", "cs"):
+            return Hydra.of_sums(subkey_sums(df, labels, weight, by), kind, depth, width, by, **inner)
         keep = [F.col(c) for c in dict.fromkeys([*by, *([value] if value else []), *([weight] if weight else [])])]
         rows = df.select(*keep, F.explode(expand_subkeys(labels)).alias("_sub"))
-        if value is None and kind in ("cm", "cs"):
-            # There are few subset keys: their weights are summed before each one goes to all its cells.
-            rows = rows.groupBy(*by, "_sub").agg(F.sum(F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("_sum"))
-            weight = "_sum"
         grid = placed(rows, "_sub", depth, width)
-        group = [*by, *GRID]
-        return Hydra(_inner(grid, kind, value or "_sub", weight, group, inner), kind, depth, width, _inner(df, kind, value, weight, by, inner) if big and value else None, tuple(by))
+        return Hydra(_inner(grid, kind, value or "_sub", weight, [*by, *GRID], inner), kind, depth, width, _inner(df, kind, value, weight, by, inner) if big and value else None, tuple(by))
+
+    @staticmethod
+    def of_sums(sums: DataFrame, kind: str = "cm", depth: int = 3, width: int = 64, by: Iterable[str] = (), **inner: object) -> Hydra:
+        """A frequency grid of :func:`subkey_sums`."""
+        by = list(by)
+        return Hydra(_inner(placed(sums, "sub", depth, width), kind, "sub", "w", [*by, *GRID], inner), kind, depth, width, None, tuple(by))
+
+    def merge(self, *others: Hydra) -> Hydra:
+        """Grids of one kind and size: the inner sketches merge cell by cell, those of all rows too if each has one."""
+        identity = lambda h: (h.kind, h.depth, h.width, h.by, h.big is None)
+        same(identity(self), *(identity(o) for o in others))
+        return replace(self, inner=self.inner.merge(*(o.inner for o in others)), big=None if self.big is None else self.big.merge(*(o.big for o in others)))
 
     def query(self, probes: DataFrame, subkey: str, ask: str, **how: object) -> DataFrame:
         """``(*by, subkey, estimate)``: the median over grid rows of the inner answers to ``ask``, for each distinct probe.
@@ -90,6 +125,8 @@ class Hydra:
             raise UnsupportedQuery(f"{self.kind} cells have no {ask}")
         by, item = list(self.by), how.get("item")
         wanted = probes.select(*by, subkey, *([item] if item else [])).distinct()
+        if ask == "frequency" and isinstance(self.inner, Linear) and not by and self._cells() <= SENT_CELLS:
+            return self._looked_up(wanted, subkey, item)
         at = placed(wanted, subkey, self.depth, self.width)
         group = [*by, *GRID]
         if ask == "frequency":
@@ -101,14 +138,29 @@ class Hydra:
             answers = _answer(self.inner, ask, how, group)
             match = group
         both = at.join(answers, match, "left")
-        return both.groupBy(*by, subkey, *([item] if item else [])).agg(F.median(F.coalesce(F.col("estimate").cast("double"), F.lit(0.0))).alias("estimate"))
+        answer = F.coalesce(F.col("estimate").cast("double"), F.lit(0.0))
+        return both.groupBy(*by, subkey, *([item] if item else [])).agg(middle(F.collect_list(answer), self.depth).alias("estimate"))
+
+    def _cells(self) -> int:
+        return self.depth * self.width * self.inner.shape.rows * self.inner.shape.cols
+
+    def _looked_up(self, wanted: DataFrame, subkey: str, item: str | None) -> DataFrame:
+        """Frequencies from the grid as one array: nothing but the array moves."""
+        shape, grid = self.inner.shape, grid_shape(self.depth, self.width)
+        start = lambda r, c: (r * self.width + c) * shape.rows * shape.cols
+        table = dense(self.inner.cells.select((start(F.col("grid_row"), F.col("grid_col")) + F.col("row") * shape.cols + F.col("col")).alias("at"), "v"))
+        outer = hashed(wanted, routed(subkey), grid)
+        outer = outer.select(*wanted.columns, *[start(F.lit(r), place(grid, r)[0]).alias(f"_g{r}") for r in range(self.depth)])
+        inner = hashed(outer, F.col(item or subkey), shape).crossJoin(F.broadcast(table))
+        answers = [best_of(shape, F.col(f"_g{r}")) for r in range(self.depth)]
+        return inner.select(*wanted.columns, (median_of(answers) * shape.factor).alias("estimate"))
 
 
 def _inner(rows: DataFrame, kind: str, value: str | None, weight: str | None, by: list[str], inner: dict) -> object:
     if kind in ("cm", "cs"):
         return Linear.build(rows, value, weight, by, inner.get("shape") or Shape(3, 512, signed=kind == "cs"))
     if kind == "hll":
-        return HLL.build(rows, value, by)
+        return HLL.build(rows, value, by, variant=inner.get("variant", "ertl"))
     if kind == "kll":
         return KLL.build(rows, value, by, k=inner.get("k", 200))
     return UnivMon.build(rows, value, weight, by, inner.get("pyramid") or Pyramid(4, 64, 3, 512, 512))
@@ -127,9 +179,15 @@ def _answer(sketch: object, ask: str, how: dict, by: list[str]) -> DataFrame:
 
 
 def global_answer(sketch: Hydra, ask: str, **how: object) -> DataFrame:
-    """What the counter of all rows says."""
+    """``(*by, estimate)``: what the counter of all rows says; ``top_k`` with ``k`` gives ``(*by, key, cnt, rk)``."""
     if sketch.big is None:
         raise UnsupportedQuery("built without a counter of all rows")
+    if ask == "top_k":
+        if sketch.kind != "universal":
+            raise UnsupportedQuery(f"{sketch.kind} cells have no {ask}")
+        return sketch.big.top_k(int(how["k"]))
+    if ask not in SUPPORT[sketch.kind] - {"frequency"}:
+        raise UnsupportedQuery(f"a {sketch.kind} counter of all rows has no {ask}")
     return _answer(sketch.big, ask, how, list(sketch.by))
 
 
@@ -138,3 +196,8 @@ def multihead(df: DataFrame, labels: Column, dimensions: dict[str, str], weight:
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("value")) for d, c in dimensions.items()])
     rows = df.select(labels.alias("_labels"), *([weight] if weight else []), F.explode(pairs).alias("_d")).select("_labels", *([weight] if weight else []), "_d.dimension", "_d.value")
     return Hydra.build(rows.where("value is not null"), F.col("_labels"), "value", weight, kind, depth, width, by=["dimension"], **inner)
+
+
+def multihead_query(sketch: Hydra, probes: DataFrame, subkey: str, dimension: str, ask: str, **how: object) -> DataFrame:
+    """``(subkey, [item,] estimate)`` from the counters of one dimension."""
+    return sketch.query(probes.withColumn("dimension", F.lit(dimension)), subkey, ask, **how).drop("dimension")

@@ -1,7 +1,7 @@
 """KLL quantile sketches as tables of items ``(*by, level, item)``: an item of level l stands for 2^l values.
 
 Each task sketches its own rows batch by batch, tasks' sketches are merged in groups, and these once more, so no task holds
-more than some hundred sketches.  Ranks, CDFs and quantiles are plain queries over the items.
+more than some hundred sketches of a group, nor more than some number of groups at a time.  Ranks, CDFs and quantiles are plain queries over the items.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import as_list, join_null_safe, same, union
+from .heavy import Groups, by_group, each_group
 
 #: Sketches that one task merges at a time.
 FAN_IN = 128
@@ -86,19 +87,27 @@ class KLL:
         kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
 
         def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict[tuple, Levels] = {}
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId()
+            held = Groups(lambda key: Levels(k, m, _seed(seed, part, key)))
+
+            def table(states: Iterable[tuple[tuple, Levels]]) -> Iterator[pd.DataFrame]:
+                found = [(key, levels.rows()) for key, levels in states]
+                if found:
+                    out = pd.concat([rows for _, rows in found], ignore_index=True).assign(_part=part)
+                    times = [len(rows) for _, rows in found]
+                    for i, name in enumerate(by):
+                        out[name] = pd.Series([key[i] for key, _ in found]).repeat(times).to_numpy()
+                    yield out[[*by, "level", "item", "_part"]]
+
             for batch in batches:
-                for key, part in batch.groupby(by, dropna=False) if by else [((), batch)]:
-                    key = key if isinstance(key, tuple) else (key,)
-                    held.setdefault(key, Levels(k, m, _seed(seed, key))).update(part["item"].to_numpy())
-            for key, levels in held.items():
-                out = levels.rows()
-                for name, v in zip(by, key, strict=True):
-                    out[name] = v
-                yield out[[*by, "level", "item"]]
-
-        parts = rows.mapInPandas(sketch, f"{kinds}level int, item double")
-        parts = parts.withColumn("_part", F.spark_partition_id())
+                for key, rows in by_group(batch, by):
+                    held.of(key, len(rows)).update(rows["item"].to_numpy())
+                yield from table(held.surplus())
+            yield from table(held.states.items())
+
+        parts = rows.mapInPandas(sketch, f"{kinds}level int, item double, _part int")
         merged = _merged(parts, by, kinds, k, m, seed, F.floor(F.col("_part") / FAN_IN).cast("int"))
         merged = _merged(merged, by, kinds, k, m, seed + 1, F.lit(0))
         return KLL(merged.select(*by, "level", "item"), rows.groupBy(*by).agg(F.count("*").alias("n")), k, m, tuple(by))
@@ -168,4 +177,4 @@ def _merged(parts: DataFrame, by: list[str], kinds: str, k: int, m: int, seed: i
         out["_part"] = rows["_bucket"].iloc[0]
         return out[[*by, "level", "item", "_part"]]
 
-    return parts.withColumn("_bucket", bucket).groupBy(*by, "_bucket").applyInPandas(merge, f"{kinds}level int, item double, _part int")
+    return each_group(parts.withColumn("_bucket", bucket), [*by, "_bucket"], merge, f"{kinds}level int, item double, _part int")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from .frames import SENT_CELLS, UnsupportedQuery, as_list, join_null_safe, present, same, top_k, union
+from .frames import SENT_CELLS, UnsupportedQuery, as_list, dense, join_null_safe, looked_up, median_of, middle, present, same, top_k, union
 
 
 @dataclass(frozen=True)
@@ -43,11 +43,39 @@ class Shape:
 
 
 def addressed(df: DataFrame, key: str, shape: Shape, rows: Column | None = None) -> DataFrame:
-    """``df`` once per sketch row, with ``row``, ``col`` and ``sign``.  ``rows``: an array of the rows to address, all by default."""
-    every = F.array(*[F.lit(r) for r in range(shape.rows)]) if rows is None else rows
-    out = df.withColumn("row", F.explode(every))
-    out = out.withColumn("col", hashing.column_of(F.col(key), F.col("row"), shape.cols, shape.profile))
-    return out.withColumn("sign", hashing.sign_of(F.col(key), F.col("row"), shape.profile) if shape.signed else F.lit(1))
+    """``df`` once per sketch row, with ``row``, ``col`` and ``sign``.  ``rows``: an array of the rows to address, all by default.
+
+    A key is hashed once, before its rows part.
+    """
+    words = hashing.words_of(F.col(key), shape.rows, shape.cols, shape.profile)
+    held = {f"_h{i}": w for i, w in enumerate(words)}
+    every = F.array(*[F.struct(F.lit(r).alias("row"), *(x.alias(n) for n, x in zip(("col", "sign"), place(shape, r), strict=False))) for r in range(shape.rows)])
+    if rows is not None:
+        every = F.filter(every, lambda e: F.array_contains(rows, e["row"]))
+    out = df.withColumns(held).select("*", F.inline(every)).drop(*held)
+    return out if shape.signed else out.withColumn("sign", F.lit(1))
+
+
+def place(shape: Shape, row: int) -> list[Column]:
+    """Column and, with signs, sign of a row, from the columns ``_h0``, ... of a key's hash."""
+    words = [F.col(f"_h{i}") for i in range({"packed64": 1, "packed128": 2}.get(hashing.hash_mode(shape.rows, shape.cols), shape.rows))]
+    col = hashing.row_hash(words, row, shape.rows, shape.cols)
+    return [col, hashing.row_sign(words, row, shape.rows, shape.cols)] if shape.signed else [col]
+
+
+def hashed(df: DataFrame, key: Column, shape: Shape) -> DataFrame:
+    """``df`` with the columns that :func:`place` reads."""
+    return df.withColumns({f"_h{i}": w for i, w in enumerate(hashing.words_of(key, shape.rows, shape.cols, shape.profile))})
+
+
+def best_of(shape: Shape, at: Column | int = 0) -> Column:
+    """A key's estimate from :func:`dense` cells, from place ``at`` on: the least of its cells, or the median with signs."""
+    values = []
+    for r in range(shape.rows):
+        col, *sign = place(shape, r)
+        v = looked_up((F.lit(at) if isinstance(at, int) else at) + r * shape.cols + col)
+        values.append(v * sign[0] if sign else v)
+    return median_of(values) if shape.signed else values[0] if len(values) == 1 else F.least(*values)
 
 
 @dataclass(frozen=True)
@@ -86,15 +114,16 @@ class Linear:
 
         Probes carry the group columns too.  What was sampled and not scaled is scaled here.
         """
-        by = list(self.by)
+        by, shape = list(self.by), self.shape
         wanted = probes.select(*by, F.col(key)).where(F.col(key).isNotNull()).distinct()
-        cells = self.cells
-        if not by and self.shape.rows * self.shape.cols <= SENT_CELLS:
-            cells = F.broadcast(cells)
-        found = join_null_safe(addressed(wanted, key, self.shape), cells, [*by, "row", "col"], "left")
+        if not by and shape.rows * shape.cols <= SENT_CELLS:
+            table = dense(self.cells.select((F.col("row") * shape.cols + F.col("col")).alias("at"), "v"))
+            found = hashed(wanted, F.col(key), shape).crossJoin(F.broadcast(table))
+            return found.select(key, (best_of(shape) * shape.factor).alias("estimate"))
+        found = join_null_safe(addressed(wanted, key, shape), self.cells, [*by, "row", "col"], "left")
         value = F.coalesce(F.col("v"), F.lit(0.0)) * F.col("sign")
-        best = F.median(value) if self.shape.signed else F.min(value)
-        return found.groupBy(*by, key).agg((best * self.shape.factor).alias("estimate"))
+        best = middle(F.collect_list(value), shape.rows) if shape.signed else F.min(value)
+        return found.groupBy(*by, key).agg((best * shape.factor).alias("estimate"))
 
     def top_k(self, probes: DataFrame, key: str, k: int) -> DataFrame:
         """The probes with the ``k`` largest estimates above 0, ties by key."""
@@ -152,6 +181,43 @@ class Linear:
         )
 
 
+    def unfolded(self, level: int, to: int) -> DataFrame:
+        """Entries folded at ``level``, scattered to a less folded layout: entries keep their full column."""
+        if to > level:
+            raise ValueError("unfolding goes to a lower level")
+        return Linear(self.folded(level).drop("fold_col"), self.shape, self.by).folded(to)
+
+
+@dataclass(frozen=True)
+class Tally:
+    """Count-Min with three counters a cell, ``(*by, row, col, n, total, total2)``: updates, weights, and weights again or their squares."""
+
+    cells: DataFrame
+    shape: Shape
+    by: tuple[str, ...] = ()
+
+    @staticmethod
+    def build(df: DataFrame, key: str, weight: str, by: str | Iterable[str] = (), shape: Shape = Shape(), squares: bool = False) -> Tally:
+        """One pass for all three.  ``squares``: ``total2`` adds squared weights; else weights, as sketches made elsewhere do."""
+        by = as_list(by)
+        rows = df.select(*by, F.col(key).alias("_key"), F.col(weight).cast("double").alias("_w")).where(present(F.col("_key"), F.col("_w")) & (F.col("_w") != 0))
+        w = F.col("_w")
+        cells = addressed(rows, "_key", shape).groupBy(*by, "row", "col").agg(F.count("*").alias("n"), F.sum(w).alias("total"), F.sum(w * w if squares else w).alias("total2"))
+        return Tally(cells, shape, tuple(by))
+
+    def merge(self, *others: Tally) -> Tally:
+        same((self.shape, self.by), *((o.shape, o.by) for o in others))
+        cells = union([self.cells, *(o.cells for o in others)]).groupBy(*self.by, "row", "col")
+        return replace(self, cells=cells.agg(*(F.sum(c).alias(c) for c in ("n", "total", "total2"))))
+
+    def query(self, probes: DataFrame, key: str, ask: str) -> DataFrame:
+        """``(*by, key, estimate)`` for ``frequency``, ``sum`` (by size) or ``sum2``: the least over rows."""
+        value = {"frequency": F.col("n").cast("double"), "sum": F.abs("total"), "sum2": F.col("total2")}
+        if ask not in value:
+            raise UnsupportedQuery(f"no {ask}")
+        return Linear(self.cells.select(*self.by, "row", "col", value[ask].alias("v")), self.shape, self.by).estimate(probes, key)
+
+
 def unfold_merge(*tables: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     """Cells at level 0 of folded tables of any levels: entries keep their full column, so this is a sum."""
     by = as_list(by)

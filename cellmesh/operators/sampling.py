@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from .frames import as_list
+from .frames import as_list, join_null_safe
 from .linear import Linear, Shape
 
 
@@ -53,8 +53,7 @@ def sampled_per_row(df: DataFrame, key: str, item: str, p: float, shape: Shape =
 def nitro(df: DataFrame, key: str, order: str, rate: float = 1.0, shape: Shape = Shape(), by: str | Iterable[str] = ()) -> Linear:
     """Batched sampling: an admitted item at position i of its group's order updates row ``i mod rows`` alone, by ``ceil(1 / rate)``.
 
-    A key's cells then hold about a ``rows``-th of its count: :func:`nitro_estimate` scales.  At most one row per
-    group is in one place when ``by`` is fine; without groups, positions come from range-sorted partitions and their sizes.
+    A key's cells then hold about a ``rows``-th of its count: :func:`nitro_estimate` scales.
     """
     import math
 
@@ -64,25 +63,28 @@ def nitro(df: DataFrame, key: str, order: str, rate: float = 1.0, shape: Shape =
     return Linear.build(rows, key, F.lit(float(step)), by, shape, F.array(F.pmod(F.col("position"), F.lit(shape.rows)).cast("int")))
 
 
+#: Ranges of an order that are numbered alone.
+RANGES = 1024
+
+
 def positions(df: DataFrame, order: str, by: Iterable[str] = ()) -> DataFrame:
-    """``df`` with ``position`` from 0 in the order of ``order``: in each group, or over the table without one task for all of it.
+    """``df`` with ``position`` from 0 in the order of a number ``order``, in each group or over the table; null orders come first.
 
-    Over the table, ranges of ``order`` are numbered alone and shifted by the rows before them.
+    The span of orders of a group is cut into ``RANGES`` equal ranges; each is numbered alone and shifted by the rows before it, so no task
+    numbers a group.  Rows of equal order are numbered in any order.
     """
     by = as_list(by)
-    if by:
-        return df.withColumn("position", (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("bigint"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.where(F.col(order).isNotNull()).approxQuantile(order, [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + F.when(F.col(order) > c, 1).otherwise(0)
-    marked = df.withColumn("_bucket", bucket)
-    counts = marked.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1
-    return marked.withColumn("position", own).join(F.broadcast(shift), "_bucket").withColumn("position", (F.col("position") + F.col("_shift")).cast("bigint")).drop("_bucket", "_shift")
+    at = F.col(order).cast("double")
+    ends = df.groupBy(*by).agg(F.min(at).alias("_low"), F.max(at).alias("_high"))
+    marked = join_null_safe(df, ends, by) if by else df.crossJoin(F.broadcast(ends))
+    span = F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300))
+    marked = marked.withColumn("_range", F.coalesce(F.least(F.floor((at - F.col("_low")) / span * RANGES), F.lit(RANGES - 1)), F.lit(-1)).cast("int"))
+    counts = marked.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order)) - 1
+    both = join_null_safe(marked.withColumn("position", own), shift, [*by, "_range"])
+    return both.withColumn("position", (F.col("position") + F.col("_shift")).cast("bigint")).drop("_low", "_high", "_range", "_shift")
 
 
 def nitro_estimate(sketch: Linear, probes: DataFrame, key: str) -> DataFrame:
@@ -96,7 +98,8 @@ def hash_threshold(df: DataFrame, key: str, p: float) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def keep(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: k is not None and keep_by_hash(hashing.xxh3_64(k.encode(), hashing.CANONICAL), p))
+        kept = {k: keep_by_hash(hashing.xxh3_64(k.encode(), hashing.CANONICAL), p) for k in keys.dropna().unique()}
+        return keys.map(kept).fillna(False).astype(bool)
 
     return df.where(keep(F.col(key).cast("string")))
 

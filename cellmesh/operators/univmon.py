@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from .frames import as_list, join_null_safe, same, union
+from .frames import SENT_CELLS, as_list, dense, join_null_safe, looked_up, median_of, middle, same, union
+from .linear import Shape, addressed, hashed, place
 
 
 @dataclass(frozen=True)
@@ -27,23 +28,29 @@ class Pyramid:
     narrow: int = 512
     wide: int = 8
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.layers <= 31 or self.cols & (self.cols - 1) or self.narrow & (self.narrow - 1) or self.narrow > self.cols:
+            raise ValueError(f"no such pyramid: {self}")
+
+    @property
+    def shape(self) -> Shape:
+        """A layer's Count-Sketch; a narrow layer's columns are remainders of these."""
+        return Shape(self.rows, self.cols, signed=True)
+
     def width(self, layer: Column) -> Column:
         return F.when(layer < self.wide, self.cols).otherwise(self.narrow)
 
 
 def layer_bit(key: Column, i: int | Column) -> Column:
-    """Bit i of a key's layer hash (0 .. 63)."""
-    hi, lo = hashing.words(F.concat(F.lit("layer:"), key.cast("string")))
-    i = F.lit(i) if isinstance(i, int) else i
-    return F.when(i < 32, F.getbit(lo, F.least(i, F.lit(31)))).otherwise(F.getbit(hi, F.greatest(i - 32, F.lit(0)))).cast("int")
+    """Bit i of a key's layer hash (0 .. 31)."""
+    return F.getbit(hashing.layer_word(key), F.lit(i) if isinstance(i, int) else i).cast("int")
 
 
 def bottom_layer(key: Column, layers: int) -> Column:
     """How many of the bits 1, 2, ... are one before the first zero, at most ``layers - 1``."""
     if layers > 31:
         raise ValueError("at most 31 layers")
-    _, lo = hashing.words(F.concat(F.lit("layer:"), key.cast("string")))
-    ones = F.shiftright(lo, 1)  # bits from 1 on
+    ones = F.shiftright(hashing.layer_word(key), 1)  # bits from 1 on
     low_zero = (ones + 1).bitwiseAND(F.bitwise_not(ones))  # the lowest zero bit alone
     return F.least(F.length(F.bin(low_zero)) - 1, F.lit(layers - 1)).cast("int")
 
@@ -75,19 +82,22 @@ class UnivMon:
 
     @staticmethod
     def _addressed(placed: DataFrame, p: Pyramid) -> DataFrame:
-        out = placed.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(p.rows - 1))))
-        tag = F.concat(F.col("layer").cast("string"), F.lit("/"), F.col("key"))
-        width = p.width(F.col("layer"))
-        wide = hashing.column_of(tag, F.col("row"), p.cols)
-        # Widths are powers of two, so a narrow column is the wide one's remainder.
-        return out.withColumn("col", (wide % width).cast("int")).withColumn("sign", hashing.sign_of(tag, F.col("row")))
+        return addressed(placed, "key", p.shape).withColumn("col", F.col("col").bitwiseAND(p.width(F.col("layer")) - 1))
 
     def _estimates(self, keys: DataFrame) -> DataFrame:
-        """``(*by, layer, key, cnt)``: the median estimate of each key in its layer, towards 0."""
-        on = [*self.by, "layer", "row", "col"]
-        found = join_null_safe(self._addressed(keys, self.pyramid), self.cells, on, "left")
-        best = F.median(F.coalesce(F.col("v"), F.lit(0)) * F.col("sign"))
-        return found.groupBy(*self.by, "layer", "key").agg(best.cast("bigint").alias("cnt"))
+        """``(*by, layer, key, cnt)``: the median estimate of each key in its layer, towards 0.  ``keys`` has each once."""
+        p, by = self.pyramid, list(self.by)
+        if not by and p.layers * p.rows * p.cols <= SENT_CELLS:
+            at = lambda row, col: (F.col("layer") * p.rows + row) * p.cols + col
+            table = dense(self.cells.select(at(F.col("row"), F.col("col")).alias("at"), "v"))
+            found = hashed(keys, F.col("key"), p.shape).crossJoin(F.broadcast(table))
+            narrow = p.width(F.col("layer")) - 1
+            both = [place(p.shape, r) for r in range(p.rows)]
+            best = median_of([looked_up(at(F.lit(r), col.bitwiseAND(narrow))) * sign for r, (col, sign) in enumerate(both)])
+            return found.select("layer", "key", best.cast("bigint").alias("cnt"))
+        found = join_null_safe(self._addressed(keys, p), self.cells, [*by, "layer", "row", "col"], "left")
+        best = middle(F.collect_list(F.coalesce(F.col("v"), F.lit(0)) * F.col("sign")), p.rows)
+        return found.groupBy(*by, "layer", "key").agg(best.cast("bigint").alias("cnt"))
 
     def _largest(self, estimates: DataFrame) -> DataFrame:
         rank = Window.partitionBy(*self.by, "layer").orderBy(F.col("cnt").desc(), "key")

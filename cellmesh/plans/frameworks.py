@@ -1,17 +1,18 @@
-"""UnivMon, Hydra, sliding windows, streams and binary forms."""
+"""UnivMon, Hydra and binary forms."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import hydra, windows
-from ..operators.ddsketch import Mapping
+from ..operators import hydra
 from ..operators.hydra import Hydra
 from ..operators.linear import Linear, Shape
 from ..operators.univmon import Pyramid, UnivMon
 from ..sources import codecs
-from ..sources.tables import read, stream
-from ..streaming import frames, stateful, tau
+from ..sources.tables import read
 from . import sqltext as s
 from .registry import query
 
@@ -20,14 +21,14 @@ def events(spark, d):
     return read(spark, d, "events")
 
 
-# --- UnivMon: more tracked keys than there are, so that no heap evicts ---
+# --- UnivMon: first with more tracked keys than there are ---
 
 PYRAMID = Pyramid(layers=6, k=4096, rows=3, cols=2048, narrow=512, wide=4)
-_LO = "('0x' || substr(md5('layer:' || key), 9, 8))::BIGINT"
+_LO = "('0x' || substr(md5(key), 25, 8))::BIGINT"
 _KEYS = "SELECT user_id::VARCHAR AS key, count(*) AS w FROM events GROUP BY 1"
 _BITS = f"(({_LO} >> 1) + 1) & ~({_LO} >> 1)"
 _PLACED = f"SELECT key, w, l::INTEGER AS layer FROM (SELECT key, w, least(length(bin({_BITS})) - 1, 5) AS b FROM ({_KEYS})), range(6) t(l) WHERE l <= b"
-_TAG = "(layer::VARCHAR || '/' || key)"
+_TAG = "key"
 _UCOL = f"({s.col('r', _TAG, 2048)} % CASE WHEN layer < 4 THEN 2048 ELSE 512 END)::INTEGER"
 _UCELLS = f'SELECT layer, r::INTEGER AS "row", {_UCOL} AS col, sum({s.sign("r", _TAG)} * w)::BIGINT AS v FROM ({_PLACED}), range(3) t(r) GROUP BY ALL'
 _TOP = f"""SELECT layer, key, trunc(median(sg * v))::BIGINT AS cnt FROM (
@@ -82,13 +83,59 @@ def _(spark, d):
     return _univmon(spark, d).frequency(events(spark, d), "user_id")
 
 
-@query("univmon_merge", _UCELLS)
+@query("univmon_merge", f"SELECT layer, key, cnt FROM ({_TOP})")
+def _(spark, d):
+    """Tracked counts of two halves add up to those of the whole, layer by layer; with this width no key shares its cells in most rows."""
+    e = events(spark, d)
+    wide = replace(PYRAMID, cols=1 << 16, narrow=1 << 16)
+    a, b = (UnivMon.build(e.where(f"event_id % 2 = {i}"), "user_id", pyramid=wide) for i in (0, 1))
+    exact = UnivMon.build(e, "user_id", pyramid=wide).top.withColumnRenamed("cnt", "whole")
+    same = a.merge(b).top.join(exact, ["layer", "key"]).where("cnt = whole").select("layer", "key")
+    return same.join(_univmon(spark, d).top, ["layer", "key"])
+
+
+@query("univmon_merge_cells", _UCELLS)
 def _(spark, d):
     e = events(spark, d)
     a, b = (UnivMon.build(e.where(f"event_id % 2 = {i}"), "user_id", pyramid=PYRAMID) for i in (0, 1))
     return a.merge(b).cells
 
 
+EVICTING = replace(PYRAMID, k=20)
+_KEPT = f"SELECT * FROM ({_TOP}) QUALIFY row_number() OVER (PARTITION BY layer ORDER BY cnt DESC, key) <= 20"
+
+
+@query("univmon_evicting", _KEPT)
+def _(spark, d):
+    """Of 150 keys a layer keeps 20."""
+    return UnivMon.build(events(spark, d), "user_id", pyramid=EVICTING).top
+
+
+_KEPT_SUM = f"SELECT layer, sum((CASE WHEN layer = 5 THEN 1 ELSE 1 - 2 * (({_LO} >> (layer + 1)) & 1) END) * (CASE WHEN cnt > 0 THEN cnt * log2(cnt) ELSE 0 END)) AS s FROM ({_KEPT}) GROUP BY 1"
+
+
+@query("univmon_evicting_entropy", f"SELECT round(log2((SELECT count(*) FROM events)) - sum(pow(2, layer) * s)::DOUBLE / (SELECT count(*) FROM events), 6) AS entropy FROM ({_KEPT_SUM})")
+def _(spark, d):
+    return UnivMon.build(events(spark, d), "user_id", pyramid=EVICTING).entropy().select(F.round("entropy", 6).alias("entropy"))
+
+
+@query("univmon_evicting_topk", f"SELECT key, cnt, row_number() OVER (ORDER BY cnt DESC, key)::INTEGER AS rk FROM (SELECT key, max_by(cnt, layer) AS cnt FROM ({_KEPT}) JOIN ({_L2}) USING (layer) WHERE cnt > floor(l2 * 0.01) GROUP BY 1) QUALIFY rk <= 10")
+def _(spark, d):
+    return UnivMon.build(events(spark, d), "user_id", pyramid=EVICTING).top_k(10)
+
+
+@query("univmon_error", "SELECT true AS entropy_within, true AS l2_within")
+def _(spark, d):
+    """Part keys of all line items with fewer tracked keys than there are: entropy and L2 within 10 and 5 % of the exact ones."""
+    lines = read(spark, d, "lineitem")
+    u = UnivMon.build(lines, "l_partkey", pyramid=Pyramid(12, 400, 5, 4096, 4096))
+    n = lines.groupBy("l_partkey").count()
+    t = n.agg(F.sum("count").alias("t"), F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("exact_l2"))
+    h = n.crossJoin(F.broadcast(t.select("t"))).agg((-F.sum(F.col("count") / F.col("t") * F.log2(F.col("count") / F.col("t")))).alias("exact_h"))
+    one = u.entropy().crossJoin(u.l2()).crossJoin(h).crossJoin(t)
+    return one.select((F.abs(F.col("entropy") - F.col("exact_h")) <= 0.1 * F.col("exact_h")).alias("entropy_within"), (F.abs(F.col("l2") - F.col("exact_l2")) <= 0.05 * F.col("exact_l2")).alias("l2_within"))
+
+
 @query("entropy_exact", "SELECT round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM events GROUP BY user_id)")
 def _(spark, d):
     n = events(spark, d).groupBy("user_id").count()
@@ -150,12 +197,14 @@ def _probes(spark, d):
 
 @query("hydra_cm_query", _hydra_freq(_HCM, False))
 def _(spark, d):
-    return Hydra.build(_labelled(spark, d), label_key(), kind="cm").query(_probes(spark, d), "sub", "frequency")
+    sums = hydra.subkey_sums(_labelled(spark, d), label_key())
+    return Hydra.of_sums(sums).query(sums, "sub", "frequency")
 
 
 @query("hydra_cs_query", _hydra_freq(_HCS, True))
 def _(spark, d):
-    return Hydra.build(_labelled(spark, d), label_key(), kind="cs").query(_probes(spark, d), "sub", "frequency")
+    sums = hydra.subkey_sums(_labelled(spark, d), label_key())
+    return Hydra.of_sums(sums, "cs").query(sums, "sub", "frequency")
 
 
 _HREG = s.registers(f"({_GRID})", "o_custkey", by="grid_row, grid_col")
@@ -166,150 +215,135 @@ def _(spark, d):
     return Hydra.build(_labelled(spark, d), label_key(), "o_custkey", kind="hll").inner.registers
 
 
-@query("hydra_hll")
-def _(spark, d):
-    return Hydra.build(_labelled(spark, d), label_key(), "o_custkey", kind="hll").query(_probes(spark, d), "sub", "cardinality")
+def _regular(registers: str, by: str = "") -> str:
+    """The original estimator over registers, by group."""
+    g = f"{by}, " if by else ""
+    sums = f"SELECT {g}(0.7213::DOUBLE / (1 + 1.079::DOUBLE / 16384)) * 16384 * 16384 / (sum(pow(2.0::DOUBLE, -rho)) + 16384 - count(*)) AS raw, 16384 - count(*) AS zero FROM ({registers}) {f'GROUP BY {by}' if by else ''}"
+    return f"SELECT {g}floor(CASE WHEN raw <= 40960 AND zero > 0 THEN 16384 * ln(16384.0::DOUBLE / zero) ELSE raw END)::BIGINT AS estimate FROM ({sums})"
 
 
-@query("hydra_univmon")
-def _(spark, d):
-    return Hydra.build(_labelled(spark, d), label_key(), "o_custkey", kind="universal", width=16).query(_probes(spark, d), "sub", "entropy")
+def _routed(answers: str, items: str = _ITEMS) -> str:
+    """The median over grid rows of answers by cell, for each subset key."""
+    return f"""SELECT sub, median(coalesce(estimate, 0))::DOUBLE AS estimate FROM (SELECT sub, gr::INTEGER AS grid_row, {s.col("gr", "'grid/' || sub", 64)} AS grid_col FROM ({items}), range(3) t(gr))
+      LEFT JOIN ({answers}) USING (grid_row, grid_col) GROUP BY 1"""
 
 
-@query("hydra_kll")
+@query("hydra_hll", _routed(_regular(_HREG, "grid_row, grid_col")))
 def _(spark, d):
-    return Hydra.build(_labelled(spark, d), label_key(), "o_totalprice", kind="kll").query(_probes(spark, d), "sub", "quantile", q=0.5)
+    return Hydra.build(_labelled(spark, d), label_key(), "o_custkey", kind="hll", variant="regular").query(_probes(spark, d), "sub", "cardinality")
 
 
-@query("hydra_global", s.registers("orders", "o_custkey"))
+@query("hydra_l1", _routed(f'SELECT grid_row, grid_col, min(m) AS estimate FROM (SELECT grid_row, grid_col, "row", sum(v) AS m FROM ({_HCM}) GROUP BY ALL) GROUP BY ALL'))
 def _(spark, d):
-    h = Hydra.build(_labelled(spark, d), label_key(), "o_custkey", kind="hll", big=True)
-    return h.big.registers
+    sums = hydra.subkey_sums(_labelled(spark, d), label_key())
+    return Hydra.of_sums(sums).query(sums, "sub", "l1")
 
 
-@query(
-    "hydra_fanout",
-    "SELECT key, sub FROM (VALUES ('a;b;c', ['a','b','a;b','c','a;c','b;c','a;b;c']), ('x', ['x']), ('', ['']), ('a;;b', ['a','b','a;b'])) v(key, subs), unnest(subs) t(sub)",
-)
+@query("hydra_l2", _routed(f'SELECT grid_row, grid_col, sqrt(median(m)) AS estimate FROM (SELECT grid_row, grid_col, "row", sum(v * v) AS m FROM ({_HCS}) GROUP BY ALL) GROUP BY ALL'))
 def _(spark, d):
-    keys = spark.createDataFrame([("a;b;c",), ("x",), ("",), ("a;;b",)], "key string")
-    return keys.select("key", F.explode(hydra.expand_subkeys(F.col("key"))).alias("sub"))
+    sums = hydra.subkey_sums(_labelled(spark, d), label_key())
+    return Hydra.of_sums(sums, "cs").query(sums, "sub", "l2")
 
 
-_MH = f"""SELECT dimension, gr::INTEGER AS grid_row, {s.col("gr", "'grid/' || sub", 64)} AS grid_col, r::INTEGER AS "row", {s.col("r", "value", 512)} AS col, count(*)::DOUBLE AS v
-  FROM (SELECT sub, 'customer' AS dimension, o_custkey::VARCHAR AS value FROM ({_SUBS}) UNION ALL SELECT sub, 'order', o_orderkey::VARCHAR FROM ({_SUBS})), range(3) t(gr), range(3) u(r) GROUP BY ALL"""
-
-
-@query("multihead", _MH)
+@query("hydra_merge", _HCM)
 def _(spark, d):
-    return hydra.multihead(_labelled(spark, d), label_key(), {"customer": "o_custkey", "order": "o_orderkey"}).inner.cells
-
-
-# --- sliding windows ---
+    rows = _labelled(spark, d)
+    a, b = (Hydra.build(rows.where(f"o_orderkey % 2 = {i}"), label_key(), kind="cm") for i in (0, 1))
+    return a.merge(b).inner.cells
 
 
-@query("eh_count_buckets")
-def _(spark, d):
-    return windows.histogram(events(spark, d), "event_id", by="event_type", k=50, window=4000).select("series", "min_ts", "max_ts", "size")
+def _exact_by_subkey(spark, d):
+    return _labelled(spark, d).select(F.explode(hydra.expand_subkeys(label_key())).alias("sub"), "o_custkey", "o_totalprice")
 
 
-@query("eh_count_interval")
-def _(spark, d):
-    # Of a table of any length a part that its last window holds: 7000..9000 of 10,000 events.
-    end = (events(spark, d).agg(F.max("event_id")).first()[0] or 0) + 1
-    return windows.count_between(windows.histogram(events(spark, d), "event_id", by="event_type", k=50, window=4000), end - 3000, end - 1000)
+_ALL_SUBS = f"SELECT sub, true AS within FROM ({_ITEMS})"
 
 
-@query("eh_count_unmerged", "SELECT event_type AS series, count(*) AS count FROM (SELECT event_type, event_id, max(event_id) OVER (PARTITION BY event_type) AS last FROM events) WHERE event_id >= last - 500 GROUP BY 1")
+@query("hydra_entropy", _ALL_SUBS)
 def _(spark, d):
-    # With k so large that nothing merges, the window is exact.
-    return windows.count_between(windows.histogram(events(spark, d), "event_id", by="event_type", k=100_000, window=500), 0, 1_000_000_000)
-
-
-_EH_CELLS = s.buckets("events", "value", Mapping(0.01).per_log).replace("AS bucket", "::VARCHAR AS cell").replace("count(*) AS cnt", "count(*)::DOUBLE AS v").replace("SELECT ", "SELECT '' AS series, ", 1)
+    """Entropies of customers by subset key: within 10 % of the exact ones."""
+    n = _exact_by_subkey(spark, d).groupBy("sub", "o_custkey").count()
+    exact = n.withColumn("t", F.sum("count").over(Window.partitionBy("sub"))).groupBy("sub").agg((-F.sum(F.col("count") / F.col("t") * F.log2(F.col("count") / F.col("t")))).alias("exact"))
+    found = Hydra.build(_labelled(spark, d), label_key(), "o_custkey", kind="universal", width=256, pyramid=Pyramid(8, 256, 3, 1024, 1024)).query(_probes(spark, d), "sub", "entropy")
+    return found.join(exact, "sub").select("sub", (F.abs(F.col("estimate") - F.col("exact")) <= 0.1 * F.col("exact")).alias("within"))
 
 
-@query("eh_dd_cells", _EH_CELLS)
+@query("hydra_universal_l1", f"SELECT sub, true AS same FROM ({_ITEMS})")
 def _(spark, d):
-    # In a window longer than the stream, the buckets' sketches add up to the sketch of all.
-    cells = F.create_map(Mapping(0.01).bucket(F.col("value")).cast("string"), F.lit(1.0))
-    return windows.cells_between(windows.histogram(events(spark, d).where("value > 0"), "event_id", cells, k=50, window=1_000_000_000), 0, 1_000_000_000)
+    """Total weights by subset key: in a wide grid the median of three cells has no other key."""
+    exact = _exact_by_subkey(spark, d).groupBy("sub").agg(F.count("*").cast("double").alias("n"))
+    found = Hydra.build(_labelled(spark, d), label_key(), "o_custkey", kind="universal", width=1024, pyramid=Pyramid(2, 16, 3, 64, 64)).query(_probes(spark, d), "sub", "l1")
+    return found.join(exact, "sub").select("sub", (F.col("estimate") == F.col("n")).alias("same"))
 
 
-@query("eh_l2_hybrid")
-def _(spark, d):
-    cells = F.create_map(F.col("user_id").cast("string"), F.lit(1.0))
-    return windows.histogram(events(spark, d), "event_id", cells, "event_type", k=50, window=4000, norm="l2").select("series", "min_ts", "max_ts", "size", F.sqrt("l2").alias("l2"))
+def _rank_errors(spark, d, found):
+    """``(sub, within)``: whether the share of prices up to each value is within 5 % of a half."""
+    both = _exact_by_subkey(spark, d).join(found, "sub")
+    share = F.sum((F.col("o_totalprice") <= F.col("estimate")).cast("int")) / F.count("*")
+    return both.groupBy("sub").agg((F.abs(share - 0.5) <= 0.05).alias("within"))
 
 
-@query("hybrid_switch", "SELECT event_type, count(*) < 256 AS exact, count(*) AS keys, sqrt(sum(n * n)) AS l2 FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1")
+@query("hydra_kll", _ALL_SUBS)
 def _(spark, d):
-    return windows.hybrid(events(spark, d), "user_id", "event_type")
+    found = Hydra.build(_labelled(spark, d), label_key(), "o_totalprice", kind="kll", width=1024).query(_probes(spark, d), "sub", "quantile", q=0.5)
+    return _rank_errors(spark, d, found)
 
 
-@query("window_sliding_exact", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS n FROM events")
+@query("hydra_cdf", _ALL_SUBS)
 def _(spark, d):
-    return windows.sliding_exact(events(spark, d), "event_id", 500, "event_type").select("event_id", "n")
-
-
-# --- streams ---
+    """The share of prices below 100,000 by subset key: within 5 % of the exact one."""
+    exact = _exact_by_subkey(spark, d).groupBy("sub").agg((F.sum((F.col("o_totalprice") < 100_000).cast("int")) / F.count("*")).alias("exact"))
+    found = Hydra.build(_labelled(spark, d), label_key(), "o_totalprice", kind="kll", width=1024).query(_probes(spark, d), "sub", "cdf", x=100_000.0)
+    return found.join(exact, "sub").select("sub", (F.abs(F.col("estimate") - F.col("exact")) <= 0.05).alias("within"))
 
-_DAYS = f'SELECT date_trunc(\'day\', ts) AS day, r::INTEGER AS "row", {s.col("r", "user_id", 512)} AS col, count(*)::DOUBLE AS v FROM events, range(3) t(r) GROUP BY ALL'
-SMALL = Shape(3, 512)
 
-
-@query("windowed_frames", f"SELECT strftime(day, '%Y-%m-%d') AS day, \"row\", col, v FROM ({_DAYS})")
+@query("hydra_global", _regular(s.registers("orders JOIN customer ON o_custkey = c_custkey", "o_custkey")))
 def _(spark, d):
-    cells = frames.windowed_cells(frames.watermarked(events(spark, d), "ts", "1 day"), "ts", "user_id", "1 day", shape=SMALL)
-    return cells.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "row", "col", "v")
+    return hydra.global_answer(Hydra.build(_labelled(spark, d), label_key(), "o_custkey", kind="hll", big=True, variant="regular"), "cardinality")
 
 
-@query("windowed_registers")
+@query("hydra_global_topk", "SELECT event_type AS key, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, event_type)::INTEGER AS rk FROM events GROUP BY 1")
 def _(spark, d):
-    out = frames.windowed_registers(frames.watermarked(events(spark, d), "ts", "1 day"), "ts", "user_id", "1 day")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "reg", "rho")
+    e = events(spark, d)
+    grid = Hydra.build(e, hydra.label_key("event_type"), "event_type", kind="universal", big=True, pyramid=Pyramid(4, 64, 3, 4096, 4096))
+    return hydra.global_answer(grid, "top_k", k=10)
 
 
-@query("sessions_exact")
+@query("hydra_fanout", f"SELECT DISTINCT 'status=' || status || ';segment=' || segment AS key, sub FROM ({_BASE}), unnest(['status=' || status, 'segment=' || segment, 'status=' || status || ';segment=' || segment]) t(sub)")
 def _(spark, d):
-    return frames.sessions(frames.watermarked(events(spark, d), "ts", "1 day"), "ts", "6 hours", "user_id")
+    return _labelled(spark, d).select(label_key().alias("key"), F.explode(hydra.expand_subkeys(label_key())).alias("sub")).distinct()
 
 
-# The last window stays open: nothing moves the watermark past its end.
-@query("stream_windowed_cm", f"SELECT strftime(day, '%Y-%m-%d') AS day, \"row\", col, v FROM ({_DAYS}) WHERE day < (SELECT max(date_trunc('day', ts)) FROM events)")
+@query(
+    "hydra_fanout_parts",
+    "SELECT key, sub FROM (VALUES ('a;b;c', ['a','b','a;b','c','a;c','b;c','a;b;c']), ('x', ['x']), ('', ['']), ('a;;b', ['a','b','a;b'])) v(key, subs), unnest(subs) t(sub)",
+)
 def _(spark, d):
-    source = frames.watermarked(stream(spark, d, "events"), "ts", "0 seconds")
-    cells = stateful.drained(frames.windowed_cells(source, "ts", "user_id", "1 day", shape=SMALL))
-    return cells.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "row", "col", "v")
+    keys = spark.createDataFrame([("a;b;c",), ("x",), ("",), ("a;;b",)], "key string")
+    return keys.select("key", F.explode(hydra.expand_subkeys(F.col("key"))).alias("sub"))
 
 
-@query("stream_gos", f'SELECT "row", col, sum(v - v % 8)::DOUBLE AS sent FROM ({s.cells("events", "user_id", 3, 512)}) GROUP BY ALL HAVING sum(v - v % 8) > 0')
-def _(spark, d):
-    sent = stateful.drained(stateful.thresholded(stream(spark, d, "events"), "user_id", 8, SMALL))
-    return sent.groupBy("row", "col").agg(F.sum("d").alias("sent"))
+_MH = f"""SELECT dimension, gr::INTEGER AS grid_row, {s.col("gr", "'grid/' || sub", 64)} AS grid_col, r::INTEGER AS "row", {s.col("r", "value", 512)} AS col, count(*)::DOUBLE AS v
+  FROM (SELECT sub, 'customer' AS dimension, o_custkey::VARCHAR AS value FROM ({_SUBS}) UNION ALL SELECT sub, 'order', o_orderkey::VARCHAR FROM ({_SUBS})), range(3) t(gr), range(3) u(r) GROUP BY ALL"""
 
 
-@query("stream_eh", "SELECT event_type AS series, count(*) AS n FROM events GROUP BY 1")
+@query("multihead", _MH)
 def _(spark, d):
-    """In a window longer than the stream, a series' buckets hold all its events."""
-    out = stateful.drained(stateful.sliding_counts(stream(spark, d, "events"), "event_type", "event_id", 50, 10_000_000), "update")
-    return out.groupBy("series").agg(F.sum("size").alias("n"))
+    return hydra.multihead(_labelled(spark, d), label_key(), {"customer": "o_custkey", "order": "o_orderkey"}).inner.cells
 
 
-_DEPTHS = "SELECT event_type, event_id, (trunc(value)::BIGINT % 200) AS depth FROM events"
+_MH_VALUES = f"SELECT DISTINCT sub, o_custkey::VARCHAR AS value FROM ({_SUBS})"
+_MH_FREQ = f"""SELECT sub, value, median(e)::DOUBLE AS estimate FROM (SELECT sub, value, gr, min(coalesce(v, 0)) AS e FROM (
+  SELECT p.*, c.v FROM (SELECT sub, value, gr, r, {s.col("gr", "'grid/' || sub", 64)} AS gc, {s.col("r", "value", 512)} AS ic FROM ({_MH_VALUES}), range(3) t(gr), range(3) u(r)) p
+  LEFT JOIN ({_MH}) c ON c.dimension = 'customer' AND c.grid_row = gr AND c.grid_col = gc AND c."row" = r AND c.col = ic) GROUP BY ALL) GROUP BY ALL"""
 
 
-@query(
-    "adaptive_tau",
-    f"""WITH RECURSIVE m AS (SELECT event_type, event_id, depth, row_number() OVER w AS i, 2 * depth - coalesce(lag(depth) OVER w, depth) AS p FROM ({_DEPTHS}) WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
-    t AS (SELECT event_type, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BIGINT AS depth, 128.0::DOUBLE AS tau FROM (SELECT DISTINCT event_type FROM m)
-      UNION ALL SELECT m.event_type, m.i, m.event_id, m.depth, least(1024.0, greatest(1.0, t.tau + CASE WHEN p > 72 THEN 1 WHEN p < 56 THEN -1 ELSE 0 END))::DOUBLE
-      FROM t JOIN m ON m.event_type = t.event_type AND m.i = t.i + 1)
-    SELECT event_type, event_id, depth, tau FROM t WHERE i > 0""",
-)
+@query("multihead_query", _MH_FREQ)
 def _(spark, d):
-    e = events(spark, d).select("event_type", "event_id", (F.col("value").cast("bigint") % 200).alias("depth"))
-    return tau.replay(e, "event_id", "depth", by=("event_type",))
+    rows = _labelled(spark, d)
+    grid = hydra.multihead(rows, label_key(), {"customer": "o_custkey", "order": "o_orderkey"})
+    probes = rows.select(F.explode(hydra.expand_subkeys(label_key())).alias("sub"), F.col("o_custkey").cast("string").alias("value"))
+    return hydra.multihead_query(grid, probes, "sub", "customer", "frequency", item="value")
 
 
 # --- binary forms: what is encoded is read back ---

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import deltas, heavy, layer, sampling
 from ..operators.frames import top_k
+from ..operators.heavy import Coco
 from ..operators.hll import HLL
-from ..operators.linear import Linear, Shape, insert_at_rows, unfold_merge
+from ..operators.linear import Linear, Shape, Tally, insert_at_rows, unfold_merge
+from ..operators.tracked import Tracked
 from ..sources.tables import read
 from . import sqltext as s
 from .registry import query
@@ -207,12 +209,31 @@ def _(spark, d):
     return sampling.nitro_estimate(sampling.nitro(e, "user_id", "event_id"), e, "user_id")
 
 
-@query("nitro_sampled")
+_NITRO_TENTH = f"""SELECT r::INTEGER AS "row", {s.col("r", "user_id", 2048)} AS col, count(*) * 10.0::DOUBLE AS v FROM (
+  SELECT user_id, (p % 5)::BIGINT AS r FROM (SELECT user_id, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events) WHERE {s.uniform(repr("nitro"), "p")} < 0.1) GROUP BY ALL"""
+
+
+@query("nitro_sampled", s.estimates(_NITRO_TENTH, USERS, "user_id", factor="5"))
 def _(spark, d):
     e = events(spark, d)
     return sampling.nitro_estimate(sampling.nitro(e, "user_id", "event_id", 0.1), e, "user_id")
 
 
+@query("nitro_cs", s.estimates(_NITRO.replace("count(*)::DOUBLE", f"sum({s.sign('r', 'user_id')})::DOUBLE"), USERS, "user_id", signed=True, factor="5"))
+def _(spark, d):
+    e = events(spark, d)
+    return sampling.nitro_estimate(sampling.nitro(e, "user_id", "event_id", shape=CS), e, "user_id")
+
+
+@query("nitro_merge", _NITRO)
+def _(spark, d):
+    """Two sketches of equal rate: of the items at even and at odd positions of one order."""
+    rows = sampling.positions(events(spark, d), "event_id")
+    row = F.array(F.pmod("position", F.lit(5)).cast("int"))
+    a, b = (Linear.build(rows.where(f"position % 2 = {i}"), "user_id", rows=row) for i in (0, 1))
+    return a.merge(b).cells
+
+
 # --- deltas ---
 
 _EARLY = s.cells("events", "user_id", where="event_id % 4 <> 0")
@@ -289,6 +310,89 @@ def _(spark, d):
     return out.select("row", "col", (F.col("emitted") + F.col("residual")).cast("double").alias("v"))
 
 
+# --- three counters a cell; keys beside cells ---
+
+
+def _tally(ask: str, squares: bool = False) -> str:
+    w = {"frequency": "1", "sum": "l_quantity", "sum2": "l_quantity * l_quantity" if squares else "l_quantity"}[ask]
+    return s.estimates(s.cells("lineitem", "l_orderkey", w=w), "SELECT l_orderkey FROM lineitem", "l_orderkey")
+
+
+@query("cm_query_sum", _tally("sum"))
+def _(spark, d):
+    lines = read(spark, d, "lineitem")
+    return Tally.build(lines, "l_orderkey", "l_quantity").query(lines, "l_orderkey", "sum")
+
+
+@query("cm_query_sum2", _tally("sum2"))
+def _(spark, d):
+    lines = read(spark, d, "lineitem")
+    return Tally.build(lines, "l_orderkey", "l_quantity").query(lines, "l_orderkey", "sum2")
+
+
+@query("cm_query_squares", _tally("sum2", True))
+def _(spark, d):
+    lines = read(spark, d, "lineitem")
+    a, b = (Tally.build(lines.where(f"l_linenumber % 2 = {i}"), "l_orderkey", "l_quantity", squares=True) for i in (0, 1))
+    return a.merge(b).query(lines, "l_orderkey", "sum2")
+
+
+def _top(cells: str, table: str, key: str, k: int, signed: bool) -> str:
+    found = s.estimates(cells, f"SELECT {key} AS k FROM {table}", "k", signed=signed)
+    return f"SELECT k::VARCHAR AS key, estimate::BIGINT AS cnt, row_number() OVER (ORDER BY estimate::BIGINT DESC, k::VARCHAR)::INTEGER AS rk FROM ({found}) WHERE estimate::BIGINT > 0 QUALIFY rk <= {k}"
+
+
+_SKEW_LINES = "(SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN -l_linenumber::BIGINT ELSE l_partkey END AS k FROM lineitem)"
+_CS_TOP = _top(s.cells(_SKEW_LINES, "k", signed=True), _SKEW_LINES, "k", 5, True)
+
+
+@query("cs_tracked_topk", _CS_TOP)
+def _(spark, d):
+    """The 100 keys that Space-Saving keeps hold the heaviest by Count-Sketch estimate."""
+    return Tracked.build(_skewed(spark, d), "k").top_k(5)
+
+
+@query("cs_tracked_merge", _CS_TOP)
+def _(spark, d):
+    rows = _skewed(spark, d)
+    a, b = (Tracked.build(rows.where(f"l_linenumber % 2 = {i}"), "k") for i in (0, 1))
+    return a.merge(b).top_k(5)
+
+
+@query("cs_tracked_delta", _CS_TOP)
+def _(spark, d):
+    """A receiver that applies what changed estimates the sender's keys from its merged cells."""
+    rows = _skewed(spark, d)
+    before, now = Tracked.build(rows.where("l_orderkey % 4 <> 0"), "k"), Tracked.build(rows, "k")
+    return before.apply(now.delta(before)).top_k(5)
+
+
+@query("cm_tracked_delta", _top(s.cells(_SKEW_LINES, "k"), _SKEW_LINES, "k", 5, False))
+def _(spark, d):
+    rows = _skewed(spark, d)
+    before, now = (Tracked.build(r, "k", shape=Shape()) for r in (rows.where("l_orderkey % 4 <> 0"), rows))
+    return before.apply(now.delta(before)).top_k(5)
+
+
+@query("cm_delta_l1", f'SELECT "row", sum(d) AS d FROM ({_diff(CM_EVENTS, _EARLY, "0")}) GROUP BY 1')
+def _(spark, d):
+    """Row masses of a delta are sent in full, whatever its cells' threshold."""
+    e = events(spark, d)
+    before, now = (Tracked.build(r, "user_id", shape=Shape()) for r in (e.where("event_id % 4 <> 0"), e))
+    return now.delta(before, 1000).l1
+
+
+@query("cs_delta_apply", CS_EVENTS)
+def _(spark, d):
+    before, now = _snapshots(spark, d, CS)
+    return before.apply(now.delta(before)).cells
+
+
+@query("fold_unfold_to", f'SELECT "row", col & 1023 AS fold_col, col, v FROM ({_FOLD})')
+def _(spark, d):
+    return Linear.build(events(spark, d), "user_id", shape=Shape(3, 4096)).unfolded(4, 2)
+
+
 # --- exact truth, several sketches, heavy hitters ---
 
 
@@ -319,9 +423,33 @@ def _(spark, d):
     return layer.query(sketches, e, "user_id", "frequency")
 
 
-@query("space_saving")
+# Every third order's lines by line number, few and frequent; the others by part.
+_SKEWED = "CASE WHEN l_orderkey % 3 = 0 THEN -l_linenumber::BIGINT ELSE l_partkey END"
+
+
+def _skewed(spark, d):
+    return read(spark, d, "lineitem").withColumn("k", F.expr(_SKEWED.replace("::BIGINT", "")).cast("bigint"))
+
+
+@query("space_saving", f"SELECT n AS key_count, n AS tracked, true AS within, true AS bounded FROM (SELECT count(*) AS n FROM (SELECT {_SKEWED} AS k FROM lineitem GROUP BY 1 HAVING count(*) > (SELECT count(*) FROM lineitem) / 50))")
 def _(spark, d):
-    return heavy.space_saving(read(spark, d, "lineitem"), "l_partkey", 100)
+    """50 of over 1,000 keys: counts and errors enclose the truth, and all keys above a 50th of the rows are tracked."""
+    rows, k = _skewed(spark, d), 50
+    true = rows.groupBy(F.col("k").cast("string").alias("key")).agg(F.count("*").alias("n"))
+    total = rows.agg((F.count("*") / k).alias("heavy"))
+    both = true.join(heavy.space_saving(rows, "k", k), "key", "left").crossJoin(F.broadcast(total))
+    is_heavy, tracked = F.col("n") > F.col("heavy"), F.col("cnt").isNotNull()
+    right = ~tracked | ((F.col("cnt") - F.col("err") <= F.col("n")) & (F.col("n") <= F.col("cnt")))
+    return both.agg(F.count(F.when(is_heavy, 1)).alias("key_count"), F.count(F.when(is_heavy & tracked, 1)).alias("tracked"), F.bool_and(right).alias("within"), (F.count(F.when(tracked, 1)) <= k).alias("bounded"))
+
+
+@query("space_saving_grouped", "SELECT l_returnflag, true AS within, true AS bounded FROM (SELECT DISTINCT l_returnflag FROM lineitem)")
+def _(spark, d):
+    rows, k = _skewed(spark, d), 50
+    true = rows.groupBy("l_returnflag", F.col("k").cast("string").alias("key")).agg(F.count("*").alias("n"))
+    both = heavy.space_saving(rows, "k", k, by="l_returnflag").join(true, ["l_returnflag", "key"])
+    right = (F.col("cnt") - F.col("err") <= F.col("n")) & (F.col("n") <= F.col("cnt"))
+    return both.groupBy("l_returnflag").agg(F.bool_and(right).alias("within"), (F.count("*") <= k).alias("bounded"))
 
 
 @query("space_saving_all_tracked", "SELECT user_id::VARCHAR AS key, count(*)::DOUBLE AS cnt, 0.0::DOUBLE AS err FROM events GROUP BY 1 QUALIFY row_number() OVER (ORDER BY count(*) DESC, key) <= 4000")
@@ -329,25 +457,100 @@ def _(spark, d):
     return heavy.space_saving(events(spark, d), "user_id", 4000)
 
 
-@query("coco")
+_HEAVY = f"SELECT {_SKEWED} AS k, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > (SELECT count(*) FROM lineitem) / 100"
+
+
+def _heavy_errors(table, spark, d):
+    """``(k, n, within)`` of keys above 1 % of the rows: whether the estimate is within 10 %."""
+    rows = _skewed(spark, d)
+    true = rows.groupBy("k").agg(F.count("*").alias("n")).crossJoin(F.broadcast(rows.agg((F.count("*") / 100).alias("t")))).where("n > t")
+    both = true.join(table.estimate().withColumn("k", F.col("key").cast("bigint")), "k", "left")
+    return both.select("k", "n", (F.abs(F.coalesce("estimate", F.lit(0)) - F.col("n")) <= 0.1 * F.col("n")).alias("within"))
+
+
+@query("coco", f"SELECT k, n, true AS within FROM ({_HEAVY})")
+def _(spark, d):
+    """Some thousand keys in 5 x 256 buckets: owners change, and heavy keys stay."""
+    return _heavy_errors(Coco.build(_skewed(spark, d), "k", 5, 256), spark, d)
+
+
+@query("coco_merge", f"SELECT k, n, true AS within FROM ({_HEAVY})")
 def _(spark, d):
-    return heavy.coco_estimate(heavy.coco(read(spark, d, "lineitem"), "l_partkey", 5, 2048))
+    rows = _skewed(spark, d)
+    a, b = (Coco.build(rows.where(f"l_linenumber % 2 = {i}"), "k", 5, 256) for i in (0, 1))
+    return _heavy_errors(a.merge(b), spark, d)
 
 
-@query("coco_partial_key")
+@query("coco_mass", "SELECT count(*)::BIGINT AS estimate FROM lineitem")
 def _(spark, d):
-    return heavy.coco_partial(heavy.coco(events(spark, d), "event_type", 3, 256), F.col("key").contains("a"))
+    rows = _skewed(spark, d)
+    a, b = (Coco.build(rows.where(f"l_linenumber % 2 = {i}"), "k", 3, 64) for i in (0, 1))
+    return a.merge(b).partial(F.lit(True))
 
 
-@query("coco_mass", "SELECT count(*) AS estimate FROM lineitem")
+@query("coco_partial_key", "SELECT count(*)::BIGINT AS estimate FROM events WHERE event_type LIKE '%a%'")
 def _(spark, d):
-    return heavy.coco_partial(heavy.coco(read(spark, d, "lineitem"), "l_partkey", 3, 512), F.lit(True))
+    """Each of five keys finds a bucket of its own: partial keys are exact."""
+    return Coco.build(events(spark, d), "event_type", 3, 256).partial(F.col("key").contains("a"))
+
+
+@query("coco_partial_evicting", "SELECT true AS within")
+def _(spark, d):
+    """Negative keys among all, by their sign: within 10 % though most keys own nothing."""
+    rows = _skewed(spark, d)
+    true = rows.agg(F.count(F.when(F.col("k") < 0, 1)).alias("n"))
+    found = Coco.build(rows, "k", 5, 256).partial(F.col("key").startswith("-"))
+    return found.crossJoin(true).select((F.abs(F.col("estimate") - F.col("n")) <= 0.1 * F.col("n")).alias("within"))
+
+
+# Votes of each range and bucket item by item, then the ranges' outcomes in order; what a contest sends to the light part on the way.
+_STAYS = "(v.flow = e.flow OR v.neg + 1 < 8 * v.pos)"
+_LOST = "greatest(1, 8 * m.pos - m.neg)"
+
+
+def _elastic(source: str, buckets: int, every: int) -> str:
+    return f"""e AS (SELECT *, row_number() OVER (PARTITION BY span, bucket ORDER BY event_id, flow) AS i FROM (
+      SELECT event_id, floor(event_id / {every}.0)::BIGINT AS span, ({s.half("user_id", 1)} % {buckets})::INTEGER AS bucket, user_id::VARCHAR AS flow FROM {source})),
+    v AS (SELECT span, bucket, i, flow, 1::BIGINT AS pos, 0::BIGINT AS neg, false AS mixed, NULL::VARCHAR AS lost, 0::BIGINT AS n FROM e WHERE i = 1
+      UNION ALL SELECT e.span, e.bucket, e.i, CASE WHEN {_STAYS} THEN v.flow ELSE e.flow END,
+        CASE WHEN v.flow = e.flow THEN v.pos + 1 WHEN {_STAYS} THEN v.pos ELSE 1 END, CASE WHEN v.flow = e.flow THEN v.neg WHEN {_STAYS} THEN v.neg + 1 ELSE 1 END,
+        v.mixed OR NOT {_STAYS}, CASE WHEN v.flow = e.flow THEN NULL WHEN {_STAYS} THEN e.flow ELSE v.flow END, CASE WHEN v.flow = e.flow THEN 0 WHEN {_STAYS} THEN 1 ELSE v.pos END
+      FROM v JOIN e ON e.span = v.span AND e.bucket = v.bucket AND e.i = v.i + 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY span) AS k FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY span, bucket ORDER BY i DESC) = 1)),
+    m AS (SELECT bucket, k, flow, pos, neg, mixed, NULL::VARCHAR AS f1, 0::BIGINT AS n1, NULL::VARCHAR AS f2, 0::BIGINT AS n2 FROM o WHERE k = 1
+      UNION ALL SELECT o.bucket, o.k, CASE WHEN m.flow = o.flow OR o.pos < {_LOST} THEN m.flow ELSE o.flow END,
+        CASE WHEN m.flow = o.flow THEN m.pos + o.pos WHEN o.pos < {_LOST} THEN m.pos ELSE o.pos - {_LOST} + 1 END,
+        CASE WHEN m.flow = o.flow THEN m.neg + o.neg WHEN o.pos < {_LOST} THEN m.neg + o.pos ELSE 1 END,
+        m.flow <> o.flow OR m.mixed OR o.mixed,
+        CASE WHEN m.flow <> o.flow THEN o.flow END, CASE WHEN m.flow = o.flow THEN 0 WHEN o.pos < {_LOST} THEN o.pos ELSE {_LOST} - 1 END,
+        CASE WHEN m.flow <> o.flow AND o.pos >= {_LOST} THEN m.flow END, CASE WHEN m.flow <> o.flow AND o.pos >= {_LOST} THEN m.pos ELSE 0 END
+      FROM m JOIN o ON o.bucket = m.bucket AND o.k = m.k + 1),
+    light AS (SELECT lost AS flow, n FROM v WHERE lost IS NOT NULL UNION ALL SELECT f1, n1 FROM m WHERE f1 IS NOT NULL UNION ALL SELECT f2, n2 FROM m WHERE f2 IS NOT NULL),
+    heavy AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY k DESC) = 1)"""
+
+
+@query("elastic_heavy", f"WITH RECURSIVE {_elastic('events', 16, 2500)} SELECT bucket, flow, pos AS vote_pos, neg AS vote_neg, mixed FROM heavy")
+def _(spark, d):
+    return heavy.elastic(events(spark, d), "user_id", "event_id", 16, 2500).heavy
+
+
+@query(
+    "elastic",
+    f"""WITH RECURSIVE {_elastic("events", 16, 2500)}
+    SELECT user_id, (CASE WHEN h.flow IS NULL THEN estimate ELSE h.pos + CASE WHEN h.mixed THEN estimate ELSE 0 END END)::BIGINT AS estimate
+    FROM ({s.estimates(s.cells("light", "flow", w="n"), "SELECT user_id::VARCHAR AS user_id FROM events", "user_id")}) LEFT JOIN heavy h ON h.flow = user_id""",
+)
+def _(spark, d):
+    e = events(spark, d)
+    return heavy.elastic_query(heavy.elastic(e, "user_id", "event_id", 16, 2500), e, "user_id")
 
 
-@query("elastic")
+@query("elastic_never_under", "SELECT count(DISTINCT user_id) AS keys, 0::BIGINT AS under FROM events")
 def _(spark, d):
     e = events(spark, d)
-    return heavy.elastic_query(heavy.elastic(e, "user_id", "event_id", 64), e, "user_id")
+    true = e.groupBy(F.col("user_id").cast("string").alias("user_id")).agg(F.count("*").alias("n"))
+    both = heavy.elastic_query(heavy.elastic(e, "user_id", "event_id", 8, 1000), e, "user_id").join(true, "user_id")
+    return both.agg(F.count("*").alias("keys"), F.count(F.when(F.col("estimate") < F.col("n"), 1)).alias("under"))
 
 
 @query("elastic_heavy_only", "SELECT event_type, count(*) AS estimate FROM events GROUP BY 1")
@@ -357,13 +560,17 @@ def _(spark, d):
     return heavy.elastic_query(heavy.elastic(e, "event_type", "event_id", 4096), e, "event_type")
 
 
-@query("elastic_merge", s.cells("events", "event_type"))
+@query("elastic_merge", s.cells("events", "user_id"))
 def _(spark, d):
+    """Owners change in 16 buckets; flushed, all of both halves is in the light part."""
     e = events(spark, d)
-    a, b = (heavy.elastic(e.where(f"event_id % 2 = {i}"), "event_type", "event_id", 4096) for i in (0, 1))
+    a, b = (heavy.elastic(e.where(f"event_id % 2 = {i}"), "user_id", "event_id", 16, 2500) for i in (0, 1))
     return heavy.elastic_merge(a, b).cells
 
 
-@query("approx_top_k_builtin")
+@query("approx_top_k_builtin", "SELECT count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC)::INTEGER AS rk FROM events GROUP BY user_id QUALIFY rk <= 10")
 def _(spark, d):
-    return events(spark, d).agg(F.expr("approx_top_k(user_id, 10)").alias("top"))
+    """The built-in cousin; with fewer users than it tracks its counts are exact."""
+    top = events(spark, d).agg(F.expr("approx_top_k(user_id, 10)").alias("top"))
+    rows = top.select(F.posexplode("top").alias("i", "x"))
+    return rows.select(F.col("x.count").alias("cnt"), (F.col("i") + 1).cast("int").alias("rk"))

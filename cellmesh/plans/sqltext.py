@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 
-def md5(row: str, key: str) -> str:
-    return f"md5(({row})::VARCHAR || ':' || ({key})::VARCHAR)"
+def word(key: str) -> str:
+    """The first 64 bits of a key's MD5."""
+    return f"('0x' || substr(md5(({key})::VARCHAR), 1, 16))::UBIGINT"
 
 
-def col(row: str, key: str, cols: int | str) -> str:
-    return f"(('0x' || substr({md5(row, key)}, 1, 8))::BIGINT % {cols})::INTEGER"
+def col(row: str, key: str, cols: int) -> str:
+    """A row's slice of the hash; of a hash of the row's own where the width is no power of two."""
+    if cols & (cols - 1):
+        own = word(f"({row})::VARCHAR || ':' || ({key})::VARCHAR")
+        return f"(({own} >> 1) % {cols})::INTEGER"
+    return f"(({word(key)} >> (({row}) * {max(1, (cols - 1).bit_length())})) & {cols - 1})::INTEGER"
 
 
 def sign(row: str, key: str) -> str:
-    return f"(CASE WHEN substr({md5(row, key)}, 9, 1) >= '8' THEN 1 ELSE -1 END)"
+    return f"(CASE WHEN ({word(key)} >> (63 - ({row}))) & 1 = 1 THEN 1 ELSE -1 END)"
 
 
 def half(key: str, start: int) -> str:

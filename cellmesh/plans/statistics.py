@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import hll
+from ..operators import ddsketch, hll
 from ..operators.ddsketch import DDSketch, Mapping
 from ..operators.hll import HLL
 from ..operators.kll import KLL
@@ -119,24 +120,54 @@ def _(spark, d):
     return hll.changes(read(spark, d, "events"), "user_id", "event_id")
 
 
-@query("hll_hip")
+_HIP_RISES = f"""SELECT seq, coalesce(old, 0) AS old, "new", row_number() OVER (ORDER BY seq) AS i FROM (
+  SELECT *, max("new") OVER (PARTITION BY reg ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM (
+    SELECT seq, (hi >> 18)::INTEGER AS reg, (CASE WHEN rest = 0 THEN 51 ELSE 51 - length(bin(rest)) END)::INTEGER AS "new" FROM (
+      SELECT l_orderkey * 8 + l_linenumber AS seq, {s.half("l_orderkey", 1)} AS hi, ({s.half("l_orderkey", 1)} & 262143) * 4294967296 + {s.half("l_orderkey", 9)} AS rest FROM lineitem))) WHERE "new" > coalesce(old, 0)"""
+
+
+# The mass before a rise is all registers less what the rises before it took; powers of two add up exactly in any order.
+@query("hll_hip", f"""SELECT floor(sum(16384 / (16384 + before)))::BIGINT AS estimate FROM (
+  SELECT coalesce(sum(pow(2.0::DOUBLE, -"new") - pow(2.0::DOUBLE, -old)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_HIP_RISES}))""")
 def _(spark, d):
     return hll.hip(read(spark, d, "lineitem").withColumn("seq", F.col("l_orderkey") * 8 + F.col("l_linenumber")), "l_orderkey", "seq")
 
 
-@query("hll_builtin")
+@query("hll_hip_error", "SELECT true AS within")
 def _(spark, d):
-    lines = read(spark, d, "lineitem")
-    return lines.agg(F.approx_count_distinct("l_orderkey").alias("approx"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey")).alias("sketch"))
+    lines = read(spark, d, "lineitem").withColumn("seq", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    exact = lines.agg(F.countDistinct("l_orderkey").alias("n"))
+    return hll.hip(lines, "l_orderkey", "seq").crossJoin(exact).select((F.abs(F.col("estimate") - F.col("n")) <= 0.03 * F.col("n")).alias("within"))
+
+
+@query("hll_sparse_promoted", "SELECT true AS dense, true AS same")
+def _(spark, d):
+    """Over 4,096 registers in use the sparse variant answers as the dense one does."""
+    lines = read(spark, d, "lineitem").select("l_orderkey").unionByName(spark.range(-6000, -1).toDF("l_orderkey"))
+    sparse, whole = HLL.build(lines, "l_orderkey", variant="sparse"), HLL.build(lines, "l_orderkey")
+    used = sparse.registers.agg((F.count("*") >= hll.DENSE).alias("dense"))
+    return sparse.estimate().crossJoin(whole.estimate().withColumnRenamed("estimate", "e")).crossJoin(used).select("dense", (F.col("estimate") == F.col("e")).alias("same"))
 
 
-@query("theta_builtin")
+@query("hll_builtin", "SELECT true AS approx_within, true AS sketch_within")
 def _(spark, d):
-    return read(spark, d, "lineitem").agg(F.expr("theta_sketch_estimate(theta_sketch_agg(l_orderkey))").alias("n"))
+    """The built-in cousins, within 10 % of the exact number."""
+    found = read(spark, d, "lineitem").agg(
+        F.approx_count_distinct("l_orderkey").alias("approx"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey")).alias("sketch"), F.countDistinct("l_orderkey").alias("n")
+    )
+    return found.select(*((F.abs(F.col(c) - F.col("n")) <= 0.1 * F.col("n")).alias(f"{c}_within") for c in ("approx", "sketch")))
+
+
+@query("theta_builtin", "SELECT true AS within")
+def _(spark, d):
+    found = read(spark, d, "lineitem").agg(F.expr("theta_sketch_estimate(theta_sketch_agg(l_orderkey))").alias("e"), F.countDistinct("l_orderkey").alias("n"))
+    return found.select((F.abs(F.col("e") - F.col("n")) <= 0.1 * F.col("n")).alias("within"))
 
 
 # --- DDSketch ---
 
+_KEPT_EVENTS = f"(SELECT * FROM events WHERE {s.uniform(repr('item'), 'event_id')} < 0.25)"
+
 MAP = Mapping(0.01)
 C = MAP.per_log
 QS = (0.0, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0)
@@ -241,9 +272,58 @@ def _(spark, d):
     return bucket_emissions(DDSketch.build(read(spark, d, "events"), "value").buckets, 20)
 
 
-@query("percentile_builtin")
+_RANKS_OF = "SELECT p, true AS within FROM (VALUES {}) v(p)"
+
+
+def _ranks(found, spark, d, most: float):
+    """``(p, within)`` of ``(p, value)``: whether the share of prices up to each value is within ``most`` of p."""
+    lines = read(spark, d, "lineitem")
+    shares = lines.select("l_extendedprice").crossJoin(F.broadcast(found.select("p", F.col("value").cast("double").alias("value"))))
+    up_to = F.sum((F.col("l_extendedprice") <= F.col("value")).cast("int")) / F.count("*")
+    return shares.groupBy("p").agg((F.abs(up_to - F.col("p")) <= most).alias("within"))
+
+
+@query("percentile_builtin", _RANKS_OF.format("(0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)"))
 def _(spark, d):
-    return read(spark, d, "lineitem").agg(F.percentile_approx("l_extendedprice", [0.5, 0.95, 0.99]).alias("p"))
+    qs = [0.5, 0.95, 0.99]
+    found = read(spark, d, "lineitem").agg(F.percentile_approx("l_extendedprice", qs).alias("v"))
+    rows = found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("p"), F.col("v").alias("value"))).alias("z")).select("z.p", "z.value")
+    return _ranks(rows, spark, d, 0.01)
+
+
+@query("dd_sampled", f"SELECT count(*) / 0.25::DOUBLE AS count FROM events WHERE value > 0 AND {s.uniform(repr('item'), 'event_id')} < 0.25")
+def _(spark, d):
+    """Counts of a sampled sketch are scaled by the rate that travels with it."""
+    return ddsketch.sampled(read(spark, d, "events"), "value", "event_id", 0.25).count()
+
+
+@query("dd_sampled_quantiles", _quantiles(s.buckets(_KEPT_EVENTS, "value", C), _KEPT_EVENTS, "value"))
+def _(spark, d):
+    return ddsketch.sampled(read(spark, d, "events"), "value", "event_id", 0.25).quantiles(QS)
+
+
+@query("dd_drain", f"SELECT bucket, cnt, true AS sent FROM ({_EV}) WHERE cnt >= 20 UNION ALL SELECT bucket, cnt, false FROM ({_EV}) WHERE cnt < 20")
+def _(spark, d):
+    sent, rest = DDSketch.build(read(spark, d, "events"), "value").drain(20)
+    return sent.withColumn("sent", F.lit(True)).unionByName(rest.buckets.withColumn("sent", F.lit(False)))
+
+
+@query(
+    "dd_accessors",
+    f"""SELECT l_quantity, b.bucket, exp(b.bucket / {C!r}::DOUBLE) AS lower, {_value("b.bucket")} AS representative, cnt FROM (SELECT DISTINCT l_quantity, floor(ln(l_quantity) * {C!r}::DOUBLE)::INTEGER AS bucket FROM lineitem) q
+      JOIN ({s.buckets("lineitem", "l_quantity", C)}) b USING (bucket)""",
+)
+def _(spark, d):
+    lines = read(spark, d, "lineitem")
+    return DDSketch.build(lines, "l_quantity").at(lines, "l_quantity")
+
+
+@query("dd_fair_threshold", f"SELECT greatest(1, floor(0.05 * (SELECT count(*) FROM events WHERE value > 0) / (4 * count(*))))::BIGINT AS t, count(*) AS populated FROM ({_EV})")
+def _(spark, d):
+    """The threshold that spreads 5 % of the values over 4 senders' populated buckets."""
+    sketch = DDSketch.build(read(spark, d, "events"), "value")
+    both = sketch.populated().crossJoin(sketch.summary.select("count"))
+    return both.select(F.greatest(F.lit(1), F.floor(0.05 * F.col("count") / (4 * F.col("populated")))).cast("bigint").alias("t"), "populated")
 
 
 # --- KLL ---
@@ -288,29 +368,87 @@ def _(spark, d):
     return _small(spark, d).shares(read(spark, d, "supplier"), "s_acctbal")
 
 
-@query("kll_quantiles_large")
+@query("kll_share_linear", f"""SELECT x.v AS s_acctbal, CASE WHEN before_q IS NULL THEN 0.0 ELSE q END::DOUBLE AS share FROM (SELECT DISTINCT v FROM ({_RETAIL})) x
+  JOIN (SELECT value, q, lag(q) OVER (ORDER BY value) AS before_q FROM ({_CDF})) c ON c.value = x.v""")
+def _(spark, d):
+    """Interpolated at a value itself, the share is that of the values up to it."""
+    return _small(spark, d).shares(read(spark, d, "supplier"), "s_acctbal", linear=True)
+
+
+# With k = 200 levels are compacted: bounds on ranks.
+_FIVE = [0.01, 0.25, 0.5, 0.75, 0.99]
+_FIVE_WITHIN = _RANKS_OF.format(", ".join(f"({q}::DOUBLE)" for q in _FIVE))
+
+
+@query("kll_quantiles_large", _FIVE_WITHIN)
 def _(spark, d):
-    return KLL.build(read(spark, d, "lineitem"), "l_extendedprice").quantiles([0.01, 0.25, 0.5, 0.75, 0.99])
+    return _ranks(KLL.build(read(spark, d, "lineitem"), "l_extendedprice").quantiles(_FIVE), spark, d, 0.03)
 
 
-@query("kll_merge", "SELECT count(*) AS n FROM lineitem")
+@query("kll_quantiles_linear_large", _FIVE_WITHIN)
 def _(spark, d):
+    return _ranks(KLL.build(read(spark, d, "lineitem"), "l_extendedprice").quantiles(_FIVE, linear=True), spark, d, 0.03)
+
+
+@query("kll_merge", _FIVE_WITHIN)
+def _(spark, d):
+    """Quantiles of the merged sketches of two halves."""
     lines = read(spark, d, "lineitem")
     a, b = (KLL.build(lines.where(f"l_orderkey % 2 = {i}"), "l_extendedprice") for i in (0, 1))
-    return a.merge(b).counts
+    return _ranks(a.merge(b).quantiles(_FIVE), spark, d, 0.03)
+
+
+@query("kll_count", "SELECT l_returnflag, count(*) AS n, true AS weight_within, true AS bounded FROM lineitem GROUP BY 1")
+def _(spark, d):
+    """The exact number; items stand for it within 1 %, and are few."""
+    sketch = KLL.build(read(spark, d, "lineitem"), "l_extendedprice", "l_returnflag")
+    weight = sketch.weighted().groupBy("l_returnflag").agg(F.sum("w").alias("w"), F.count("*").alias("items"))
+    both = sketch.counts.join(weight, "l_returnflag")
+    return both.select("l_returnflag", "n", (F.abs(F.col("w") - F.col("n")) <= 0.01 * F.col("n")).alias("weight_within"), (F.col("items") < 1000).alias("bounded"))
+
+
+_PROBED = "(SELECT DISTINCT l_quantity AS v FROM lineitem)"
+
+
+def _by_quantity(spark, d):
+    """``(l_quantity, up_to, below)``: exact shares."""
+    lines = read(spark, d, "lineitem").groupBy("l_quantity").agg(F.count("*").alias("n"))
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    run = F.sum("n").over(Window.orderBy("l_quantity"))  # 50 values
+    return lines.select("l_quantity", (run / F.sum("n").over(every)).alias("up_to"), ((run - F.col("n")) / F.sum("n").over(every)).alias("below"))
+
+
+@query("kll_rank_large", f"SELECT v AS l_quantity, true AS within FROM {_PROBED}")
+def _(spark, d):
+    lines = read(spark, d, "lineitem")
+    sketch = KLL.build(lines, "l_quantity")
+    both = sketch.rank(lines, "l_quantity").join(_by_quantity(spark, d), "l_quantity").crossJoin(sketch.counts)
+    return both.select("l_quantity", (F.abs(F.col("rank") / F.col("n") - F.col("up_to")) <= 0.03).alias("within"))
 
 
-@query("kll_rank_error", "SELECT true AS within")
+@query("kll_share_large", f"SELECT v AS l_quantity, true AS within FROM {_PROBED}")
 def _(spark, d):
-    """The median's true rank is within three per cent."""
     lines = read(spark, d, "lineitem")
-    median = KLL.build(lines, "l_extendedprice").quantiles([0.5]).select("value")
-    below = lines.crossJoin(F.broadcast(median)).agg((F.sum((F.col("l_extendedprice") <= F.col("value")).cast("bigint")) / F.count("*")).alias("rank"))
-    return below.select((F.abs(F.col("rank") - 0.5) <= 0.03).alias("within"))
+    both = KLL.build(lines, "l_quantity").shares(lines, "l_quantity").join(_by_quantity(spark, d), "l_quantity")
+    return both.select("l_quantity", (F.abs(F.col("share") - F.col("below")) <= 0.03).alias("within"))
 
 
-@query("kll_builtin")
+@query("kll_cdf_large", "SELECT true AS within, true AS ends")
 def _(spark, d):
-    return read(spark, d, "lineitem").agg(F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5)").alias("p50"))
+    cdf = KLL.build(read(spark, d, "lineitem"), "l_quantity").cdf()
+    both = cdf.join(_by_quantity(spark, d), cdf["value"] == F.col("l_quantity"))
+    return both.agg(F.bool_and(F.abs(F.col("q") - F.col("up_to")) <= 0.03).alias("within"), (F.abs(F.max("q") - 1) < 1e-9).alias("ends"))
 
 
+@query("kll_grouped", "SELECT l_returnflag, true AS within FROM (SELECT DISTINCT l_returnflag FROM lineitem)")
+def _(spark, d):
+    lines = read(spark, d, "lineitem")
+    found = KLL.build(lines, "l_extendedprice", "l_returnflag").quantiles([0.5]).select("l_returnflag", "value")
+    share = F.sum((F.col("l_extendedprice") <= F.col("value")).cast("int")) / F.count("*")
+    return lines.join(found, "l_returnflag").groupBy("l_returnflag").agg((F.abs(share - 0.5) <= 0.03).alias("within"))
+
+
+@query("kll_builtin", _RANKS_OF.format("(0.5::DOUBLE)"))
+def _(spark, d):
+    found = read(spark, d, "lineitem").agg(F.expr("kll_sketch_get_quantile_double(kll_sketch_agg_double(l_extendedprice), 0.5)").alias("value"))
+    return _ranks(found.withColumn("p", F.lit(0.5)), spark, d, 0.03)

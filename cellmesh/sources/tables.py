@@ -20,11 +20,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A table as a stream of its files."""
-    reader = spark.readStream.schema(read(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet")
+    """A table as a stream of its files: those of its folder, or its one file.  A table that is not there is an error."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(read(spark, sf_dir, name).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(sf_dir)
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(found)
+    # File streams watch folders; a glob of one name is the folder of one file.
+    return reader.parquet(path) if status.isDirectory() else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def packets(df: DataFrame, key: str, order: str) -> DataFrame:

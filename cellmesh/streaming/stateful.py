@@ -6,13 +6,16 @@ import contextlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators.frames import join_null_safe
 from ..operators.linear import Shape, addressed
-from ..operators.windows import Buckets
+from ..operators.windows import compacted
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -45,7 +48,10 @@ class Threshold(StatefulProcessor):
 
 
 def thresholded(stream: DataFrame, key: str, tau: float, shape: Shape = Shape(), weight: str | None = None) -> DataFrame:
-    """``(row, col, d)`` messages of a stream's cells.  Keyed by cell: at most ``rows * cols`` states."""
+    """``(row, col, d)`` messages of a stream's cells.  Keyed by cell: at most ``rows * cols`` states.
+
+    What a cell still holds stays in the state: the sum of its messages lags by less than ``tau``.
+    """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     cells = addressed(stream.where(F.col(key).isNotNull()).select(F.col(key), w.alias("_w")), key, shape)
     rows = cells.select("row", "col", (F.col("sign") * F.col("_w")).alias("w"))
@@ -53,31 +59,40 @@ def thresholded(stream: DataFrame, key: str, tau: float, shape: Shape = Shape(),
 
 
 class Sliding(StatefulProcessor):
-    """The buckets of one series; after each batch the series' present buckets are sent."""
+    """The buckets of one series; after each batch that has events of it, its present buckets are sent, with the batch's number for the series."""
 
     def __init__(self, k: int, window: int):
         self.k, self.window = k, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("buckets", "min array<bigint>, max array<bigint>, size array<bigint>")
+        self.state = handle.getValueState("buckets", "at bigint, min array<bigint>, max array<bigint>, size array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        old = zip(*self.state.get(), strict=True) if self.state.exists() else []
-        state = Buckets(self.k, self.window, rows=[[a, b, n, 0.0, {}] for a, b, n in old])
-        for t in sorted(t for batch in rows for t in batch["ts"]):
-            state.add(int(t), {})
-        columns = list(zip(*((r[0], r[1], r[2]) for r in state.rows), strict=True))
-        self.state.update(tuple(list(c) for c in columns))
-        yield pd.DataFrame([(key[0], r[0], r[1], r[2]) for r in state.rows], columns=["series", "min_ts", "max_ts", "size"])
+        at, *old = self.state.get() if self.state.exists() else (-1, [], [], [])
+        held = [list(x) for x in zip(*old, strict=True)]
+        for batch in rows:  # of a batch of Arrow rows, equal times are one bucket before they are united
+            times, counts = np.unique(batch["ts"].dropna().to_numpy(np.int64), return_counts=True)
+            held = compacted([*held, *([int(t), int(t), 1] for t, n in zip(times, counts, strict=True) for _ in range(n))], self.k, self.window)
+        self.state.update((at + 1, *([r[i] for r in held] for i in range(3))))
+        yield pd.DataFrame([(key[0], at + 1, *r) for r in held], columns=["series", "at", "min_ts", "max_ts", "size"])
 
     def close(self) -> None:
         pass
 
 
 def sliding_counts(stream: DataFrame, series: str, ts: str, k: int, window: int) -> DataFrame:
-    """``(series, min_ts, max_ts, size)`` of each series after each batch."""
+    """``(series, at, min_ts, max_ts, size)``: the buckets of each series after each batch with events of it, numbered by ``at``.
+
+    Events may come late: buckets are united anew, newest first.  :func:`latest` keeps the last state of each series.
+    """
     rows = stream.select(F.col(series).cast("string").alias("series"), F.col(ts).cast("bigint").alias("ts"))
-    return rows.groupBy("series").transformWithStateInPandas(Sliding(k, window), "series string, min_ts bigint, max_ts bigint, size bigint", "Update", "None")
+    return rows.groupBy("series").transformWithStateInPandas(Sliding(k, window), "series string, at bigint, min_ts bigint, max_ts bigint, size bigint", "Update", "None")
+
+
+def latest(sent: DataFrame) -> DataFrame:
+    """Of what :func:`sliding_counts` has sent, each series' last buckets."""
+    last = sent.groupBy("series").agg(F.max("at").alias("at"))
+    return join_null_safe(sent, last, ["series", "at"]).drop("at")
 
 
 @contextlib.contextmanager
@@ -92,10 +107,14 @@ def rocks(spark: SparkSession) -> Iterator[None]:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A folder that driver and executors share, under ``spark.checkpoint.dir`` where the cluster names it."""
+    """A folder that driver and executors share, under ``spark.checkpoint.dir`` where the cluster names it; an error where a cluster names none."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="cellmesh-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="cellmesh-")
     uri = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
@@ -103,18 +122,31 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def drained(out: DataFrame, mode: str = "append", timeout: int = 600) -> DataFrame:
-    """Run a stream over all that is available now, and return what it wrote.  ``complete`` goes through memory, for small results."""
+    """Run a stream over all that is available now, and return what it wrote, as a table.
+
+    In other modes than append each micro-batch is written to a folder of its own, which a retried one replaces; with ``complete`` the last
+    one is the result.  A stream without input gives no rows.
+    """
     spark = out.sparkSession
     folder = scratch(spark, "stream")
+    rows = f"{folder}/rows"
     writer = out.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+    if mode == "append":
+        writer = writer.format("parquet").option("path", rows)
+    else:
+        writer = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{rows}/batch={number}"))
     with rocks(spark):
-        if mode == "append":
-            run = writer.format("parquet").option("path", f"{folder}/rows").start()
-        else:
-            name = f"drained_{uuid.uuid4().hex}"
-            run = writer.format("memory").queryName(name).start()
+        run = writer.start()
         done = run.awaitTermination(timeout)
         if not done:
             run.stop()
             raise TimeoutError("the stream did not end in time")
-    return spark.read.schema(out.schema).parquet(f"{folder}/rows") if mode == "append" else spark.table(name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(rows)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], out.schema)
+    if mode == "append":
+        return spark.read.schema(out.schema).parquet(rows)
+    found = spark.read.schema(StructType([*out.schema.fields, StructField("batch", LongType())])).parquet(rows)
+    if mode == "complete":
+        found = found.where(F.col("batch") == found.agg(F.max("batch")).first()[0])
+    return found.drop("batch")

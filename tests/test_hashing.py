@@ -54,13 +54,25 @@ def test_hll_register_vectors():
     assert 1000 not in registers
 
 
-def test_columns_of_profiles_differ_and_stay_in_range(spark):
-    df = spark.range(500).select(F.col("id").cast("string").alias("k"), F.lit(2).alias("r"))
+@pytest.mark.parametrize("shape", [(3, 17), (3, 64), (8, 2048), (20, 4096)])
+def test_columns_of_profiles_stay_in_range(spark, shape):
+    df = spark.range(500).select(F.col("id").cast("string").alias("k"))
     for profile in hashing.PROFILES:
-        cols = [x.c for x in df.select(hashing.column_of(F.col("k"), F.col("r"), 17, profile).alias("c")).collect()]
-        assert set(cols) == set(range(17))
-        signs = [x.c for x in df.select(hashing.sign_of(F.col("k"), F.col("r"), profile).alias("c")).collect()]
-        assert set(signs) == {1, -1} and abs(sum(signs)) < 120
+        words = hashing.words_of(F.col("k"), *shape, profile)
+        held = df.withColumns({f"h{i}": w for i, w in enumerate(words)})
+        h = [F.col(f"h{i}") for i in range(len(words))]
+        for row in (0, shape[0] - 1):
+            rows = held.select(hashing.row_hash(h, row, *shape).alias("c"), hashing.row_sign(h, row, *shape).alias("s")).collect()
+            cols, signs = [r.c for r in rows], [r.s for r in rows]
+            assert 0 <= min(cols) and max(cols) < shape[1] and len(set(cols)) > 0.55 * min(500, shape[1])
+            assert set(signs) == {1, -1} and abs(sum(signs)) < 120
+
+
+def test_binary_keys_and_repeats(spark):
+    df = spark.createDataFrame([(b"ab",), (b"ab",), (None,), (b"c",)], "k binary")
+    got = [r.h for r in df.select(hashing.hash_it(3)("k").alias("h")).collect()]
+    one = lambda k: hashing.signed(hashing.xxh3_64(k, 3))
+    assert got == [one(b"ab"), one(b"ab"), None, one(b"c")]
 
 
 def test_threshold_sampling_is_stable():
