@@ -2,7 +2,7 @@
 
 A key is hashed once; columns and signs of all rows are slices of that hash where they fit it (:func:`hash_mode`).
 
-``md5``   every engine with md5 can replay it: the default, and what SQL checks use.
+``md5``   every engine with md5 can replay it: the default, and what SQL checks use.  The setting ``spark.cellmesh.profile`` names another default.
 ``xx64``  Spark's built-in 64-bit hash: fastest, stays in generated code.
 ``xxh3``  XXH3 with the published seed table, through an Arrow UDF: for exchange with sketches made elsewhere.
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 PROFILES = ("md5", "xx64", "xxh3")
@@ -46,7 +46,20 @@ def _hex(digest: Column, start: int, length: int) -> Column:
 
 def _digits(digest: Column, start: int) -> Column:
     """16 hex digits as the bigint with these bits."""
-    return F.shiftleft(_hex(digest, start, 8), 32).bitwiseOR(_hex(digest, start + 8, 8))
+    return F.conv(F.substring(digest, start, 16), 16, -10).cast("bigint")  # a negative base gives signed numbers
+
+
+#: The session setting that names the profile of sketches made without one.
+SETTING = "spark.cellmesh.profile"
+
+
+def chosen(profile: str = "") -> str:
+    """A profile by name; without one that of the session's setting, or ``md5``."""
+    session = None if profile else SparkSession.getActiveSession()
+    name = profile or (session.conf.get(SETTING, "md5") if session else "md5")
+    if name not in PROFILES:
+        raise ValueError(f"no profile {name}")
+    return name
 
 
 # --- one hash, sliced: columns and signs of all rows ---
@@ -66,11 +79,9 @@ def hash_mode(rows: int, cols: int) -> str:
     return "rows" if cols & (cols - 1) else "packed64" if need <= 64 else "packed128" if need <= 128 else "rows"
 
 
-def words_of(key: Column, rows: int, cols: int, profile: str = "md5") -> list[Column]:
+def words_of(key: Column, rows: int, cols: int, profile: str = "") -> list[Column]:
     """The 64-bit words that a key's columns and signs are slices of: one, the lower and the upper of two, or one a row."""
-    mode, text = hash_mode(rows, cols), text_key(key)
-    if profile not in PROFILES:
-        raise ValueError(f"no profile {profile}")
+    mode, text, profile = hash_mode(rows, cols), text_key(key), chosen(profile)
     if profile == "md5":
         if mode == "rows":
             return [_digits(F.md5(F.concat(F.lit(f"{r}:"), text)), 1) for r in range(rows)]
@@ -88,28 +99,26 @@ def words_of(key: Column, rows: int, cols: int, profile: str = "md5") -> list[Co
     return [both["lo"], both["hi"]]
 
 
-def row_hash(words: list[Column], row: int, rows: int, cols: int) -> Column:
-    """The column of ``cols`` that a row's slice of :func:`words_of` addresses."""
-    mode = hash_mode(rows, cols)
-    if mode == "rows":
-        if cols & (cols - 1):
-            return F.pmod(F.shiftrightunsigned(words[row], 1), F.lit(cols)).cast("int")
-        return words[row].bitwiseAND(F.lit(cols - 1)).cast("int")
+def column_sql(words: list[str], row: int, rows: int, cols: int) -> str:
+    """The column of ``cols`` that a row's slice of :func:`words_of`, by the names of the words' columns, addresses: as SQL, which Spark reads in one go."""
+    if hash_mode(rows, cols) == "rows":
+        own = words[row]
+        return f"cast(pmod(shiftrightunsigned({own}, 1), {cols}) as int)" if cols & (cols - 1) else f"cast({own} & {cols - 1}L as int)"
     shift = row * bits_of(cols)
-    if mode == "packed64" or shift + bits_of(cols) <= 64:
-        part = F.shiftrightunsigned(words[0], shift)
+    if len(words) == 1 or shift + bits_of(cols) <= 64:
+        part = f"shiftrightunsigned({words[0]}, {shift})"
     elif shift >= 64:
-        part = F.shiftrightunsigned(words[1], shift - 64)
+        part = f"shiftrightunsigned({words[1]}, {shift - 64})"
     else:  # across both words
-        part = F.shiftrightunsigned(words[0], shift).bitwiseOR(F.shiftleft(words[1], 64 - shift))
-    return part.bitwiseAND(F.lit(cols - 1)).cast("int")
+        part = f"(shiftrightunsigned({words[0]}, {shift}) | shiftleft({words[1]}, {64 - shift}))"
+    return f"cast({part} & {cols - 1}L as int)"
 
 
-def row_sign(words: list[Column], row: int, rows: int, cols: int) -> Column:
+def sign_sql(words: list[str], row: int, rows: int, cols: int) -> str:
     """+1 or -1 of a row: the bits from the top of the hash down, or the top bit of the row's own."""
-    mode = hash_mode(rows, cols)
-    word, bit = (words[row], 63) if mode == "rows" else (words[-1], 63 - row) if row < 64 else (words[0], 127 - row)
-    return F.when(F.shiftrightunsigned(word, bit).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)
+    own = hash_mode(rows, cols) == "rows"
+    word, bit = (words[row], 63) if own else (words[-1], 63 - row) if row < 64 else (words[0], 127 - row)
+    return f"(2 * cast(shiftrightunsigned({word}, {bit}) & 1L as int) - 1)"
 
 
 def derive_index(h: Column, row: int, width: int) -> Column:
@@ -139,15 +148,17 @@ def md5_columns(key: str, rows: int, cols: int) -> list[int]:
     return [word >> r * bits_of(cols) & (cols - 1) for r in range(rows)]
 
 
-def word_of(key: Column, profile: str = "md5") -> Column:
+def word_of(key: Column, profile: str = "") -> Column:
     """A key's 64-bit hash."""
+    profile = chosen(profile)
     if profile == "md5":
         return _digits(F.md5(text_key(key)), 1)
     return F.xxhash64(text_key(key)) if profile == "xx64" else hash_it(CANONICAL)(text_key(key))
 
 
-def words(key: Column, profile: str = "md5") -> tuple[Column, Column]:
+def words(key: Column, profile: str = "") -> tuple[Column, Column]:
     """The upper and lower 32 bits of a key's 64-bit hash, each a non-negative bigint."""
+    profile = chosen(profile)
     if profile == "md5":
         digest = F.md5(text_key(key))
         return _hex(digest, 1, 8), _hex(digest, 9, 8)
@@ -155,9 +166,9 @@ def words(key: Column, profile: str = "md5") -> tuple[Column, Column]:
     return F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def layer_word(key: Column, profile: str = "md5") -> Column:
+def layer_word(key: Column, profile: str = "") -> Column:
     """32 bits of a key that none of the slices above uses, as a non-negative bigint."""
-    if profile == "md5":
+    if chosen(profile) == "md5":
         return _hex(F.md5(text_key(key)), 25, 8)
     return F.xxhash64(text_key(key), F.lit("layer")).bitwiseAND(F.lit(0xFFFFFFFF))
 
@@ -195,11 +206,12 @@ def matrix_hash(rows: int, cols: int):
 
     @F.pandas_udf("array<bigint>")
     def run(hashes: pd.Series) -> pd.Series:
-        known = hashes.notna().to_numpy()
-        out = pd.Series([None] * len(hashes), dtype=object)
-        found = np.stack(derived(hashes[known].to_numpy(np.int64).view(np.uint64))).view(np.int64).T
-        out[known] = list(found)
-        return out
+        known = np.flatnonzero(hashes.notna().to_numpy())
+        out = np.empty(len(hashes), object)
+        found = np.stack(derived(hashes.iloc[known].to_numpy(np.int64).view(np.uint64)), axis=1).view(np.int64)
+        for i, words in zip(known.tolist(), found, strict=True):
+            out[i] = words
+        return pd.Series(out)
 
     return run
 

@@ -48,9 +48,10 @@ def top_k(df: DataFrame, k: int, order: str, key: str, by: Iterable[str] = ()) -
     """The ``k`` rows with the largest ``order`` in each group, ties by ``key``, with their rank ``rk``."""
     from pyspark.sql import Window
 
-    rank = Window.partitionBy(*by).orderBy(F.col(order).desc(), F.col(key))
+    first = [F.col(order).desc(), F.col(key)]
+    rank = Window.partitionBy(*by).orderBy(*first)
     if not as_list(by):  # a limit keeps k rows per task before one task ranks them
-        df = df.orderBy(F.col(order).desc(), F.col(key)).limit(k)
+        return df.orderBy(*first).limit(k).withColumn("rk", F.row_number().over(rank))
     return df.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k)
 
 
@@ -59,19 +60,19 @@ def dense(cells: DataFrame) -> DataFrame:
 
     For tables that parameters bound: probes look values up in it, without a shuffle.
     """
-    packed = cells.agg(F.sort_array(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.col("v").cast("double").alias("v")))).alias("p"))
-    gap = lambda e, i: e["at"] - F.when(i == 0, -1).otherwise(F.get("p", i - 1)["at"]) - 1
-    return packed.select(F.flatten(F.transform("p", lambda e, i: F.concat(F.array_repeat(F.lit(0.0), gap(e, i)), F.array(e["v"])))).alias("_cells"))
+    packed = cells.agg(F.expr("sort_array(collect_list(named_struct('at', cast(at as int), 'v', cast(v as double)))) AS p"))
+    return packed.selectExpr("flatten(transform(p, (e, i) -> concat(array_repeat(0D, e.at - if(i = 0, -1, get(p, i - 1).at) - 1), array(e.v)))) AS _cells")
 
 
-def looked_up(at: Column) -> Column:
-    """The value at a place of :func:`dense`."""
-    return F.coalesce(F.get("_cells", at), F.lit(0.0))
+def looked_up(at: str) -> str:
+    """SQL of the value at a place of :func:`dense`."""
+    return f"coalesce(get(_cells, {at}), 0D)"
 
 
-def median_of(values: list[Column]) -> Column:
-    """The median of columns, none null: the mean of the middle two of an even number."""
-    return middle(F.array(*values), len(values))
+def median_of(values: list[str]) -> str:
+    """SQL of the median of expressions, none null: the mean of the middle two of an even number."""
+    n, half = len(values), f"sort_array(array({', '.join(values)}))"
+    return f"{half}[{n // 2}]" if n % 2 else f"(({half}[{n // 2 - 1}] + {half}[{n // 2}]) / 2)"
 
 
 def middle(array: Column, n: int) -> Column:

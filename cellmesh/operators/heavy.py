@@ -67,6 +67,18 @@ def by_group(batch: pd.DataFrame, by: list[str]) -> Iterator[tuple[tuple, pd.Dat
         yield tuple(None if pd.isna(x) else x for x in (key if isinstance(key, tuple) else (key,))), part
 
 
+def gathered(batches: Iterator[pd.DataFrame], rows: int = 1 << 17) -> Iterator[pd.DataFrame]:
+    """Batches of some more rows, in which more keys repeat."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def each_group(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``f`` of the rows of each group, which parameters bound: groups stream through a task one after the other, some at a time."""
 
@@ -142,7 +154,7 @@ def space_saving(df: DataFrame, key: str, k: int = 100, weight: str | None = Non
             out = [(*g, f"{part}-{given}", x, n, t.error[x], t.floor()) for g, t in states for x, n in t.count.items()]
             return pd.DataFrame(out, columns=[*by, "part", "key", "cnt", "err", "floor"])
 
-        for batch in batches:
+        for batch in gathered(batches):
             for group, rows in by_group(batch, by):
                 state = held.of(group, len(rows))
                 for x, n in rows.groupby("key", sort=False)["w"].sum().items():
@@ -203,7 +215,7 @@ class Coco:
             part = TaskContext.get().partitionId()
             held = Groups(lambda group: Buckets(rows, cols, (seed, part)))
             table = lambda states: pd.concat([b.frame(by, g).assign(_part=part) for g, b in states] or [_EMPTY.assign(_part=part)])
-            for batch in batches:
+            for batch in gathered(batches):
                 for group, some in by_group(batch, by):
                     state = held.of(group, len(some))
                     for x, n in some.groupby("key", sort=False)["val"].sum().items():

@@ -24,7 +24,7 @@ DENSE = 4096
 TERMS = 64
 
 
-def address(key: Column, profile: str = "md5") -> tuple[Column, Column]:
+def address(key: Column, profile: str = "") -> tuple[Column, Column]:
     """``(reg, rho)`` of a key: the upper 14 bits, and 1 plus the leading zeros of the other 50."""
     h = hashing.word_of(key, profile)
     return register(h), rho_of(rest(h))
@@ -67,12 +67,12 @@ def tau(x: Column) -> Column:
 class HLL:
     registers: DataFrame
     by: tuple[str, ...] = ()
-    profile: str = "md5"
+    profile: str = ""
     sample_p: float = 1.0
     variant: str = "ertl"
 
     @staticmethod
-    def build(df: DataFrame, key: str, by: str | Iterable[str] = (), profile: str = "md5", sample_p: float = 1.0, variant: str = "ertl") -> HLL:
+    def build(df: DataFrame, key: str, by: str | Iterable[str] = (), profile: str = "", sample_p: float = 1.0, variant: str = "ertl") -> HLL:
         """Null keys add nothing.  With ``sample_p`` below 1, keys are kept by a hash threshold and estimates scaled."""
         if variant not in ("ertl", "regular", "sparse"):
             raise ValueError(f"no variant {variant}")
@@ -153,7 +153,7 @@ class HLL:
         return replace(self, registers=self._highest(union([self.registers, *deltas])))
 
 
-def changes(df: DataFrame, key: str, order: str, by: str | Iterable[str] = (), profile: str = "md5") -> DataFrame:
+def changes(df: DataFrame, key: str, order: str, by: str | Iterable[str] = (), profile: str = "") -> DataFrame:
     """``(*by, order, reg, old, new)`` of each insertion that raises a register, in order."""
     from pyspark.sql import Window
 
@@ -164,7 +164,7 @@ def changes(df: DataFrame, key: str, order: str, by: str | Iterable[str] = (), p
     return rows.withColumn("old", F.coalesce(F.max("new").over(seen), F.lit(0))).where("new > old").select(*by, order, "reg", "old", "new")
 
 
-def hip(df: DataFrame, key: str, order: str, by: str | Iterable[str] = (), profile: str = "md5") -> DataFrame:
+def hip(df: DataFrame, key: str, order: str, by: str | Iterable[str] = (), profile: str = "") -> DataFrame:
     """``(*by, estimate)`` of the running estimator: each rise of a register adds the inverse probability of one.
 
     Only rises matter, at most some 50 per register, so the ordered fold of a group is bounded by the sketch, not by the stream.

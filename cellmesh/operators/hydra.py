@@ -147,13 +147,13 @@ class Hydra:
     def _looked_up(self, wanted: DataFrame, subkey: str, item: str | None) -> DataFrame:
         """Frequencies from the grid as one array: nothing but the array moves."""
         shape, grid = self.inner.shape, grid_shape(self.depth, self.width)
-        start = lambda r, c: (r * self.width + c) * shape.rows * shape.cols
-        table = dense(self.inner.cells.select((start(F.col("grid_row"), F.col("grid_col")) + F.col("row") * shape.cols + F.col("col")).alias("at"), "v"))
+        cells = shape.rows * shape.cols
+        table = dense(self.inner.cells.selectExpr(f"(grid_row * {self.width} + grid_col) * {cells} + row * {shape.cols} + col AS at", "v"))
         outer = hashed(wanted, routed(subkey), grid)
-        outer = outer.select(*wanted.columns, *[start(F.lit(r), place(grid, r)[0]).alias(f"_g{r}") for r in range(self.depth)])
+        outer = outer.selectExpr(*(f"`{c}`" for c in wanted.columns), *(f"({r * self.width} + {place(grid, r)[0]}) * {cells} AS _g{r}" for r in range(self.depth)))
         inner = hashed(outer, F.col(item or subkey), shape).crossJoin(F.broadcast(table))
-        answers = [best_of(shape, F.col(f"_g{r}")) for r in range(self.depth)]
-        return inner.select(*wanted.columns, (median_of(answers) * shape.factor).alias("estimate"))
+        answers = [best_of(shape, f"_g{r}") for r in range(self.depth)]
+        return inner.select(*wanted.columns, F.expr(f"{median_of(answers)} * {shape.factor!r}D AS estimate"))
 
 
 def _inner(rows: DataFrame, kind: str, value: str | None, weight: str | None, by: list[str], inner: dict) -> object:

@@ -27,7 +27,7 @@ class Shape:
     rows: int = 5
     cols: int = 2048
     signed: bool = False
-    profile: str = "md5"
+    profile: str = ""
     sample_p: float = 1.0
     scaled: bool = False
 
@@ -42,40 +42,42 @@ class Shape:
         return 1.0 if self.scaled else 1.0 / self.sample_p
 
 
+def names_of(shape: Shape) -> list[str]:
+    """The columns that hold a key's hash: as many words as the shape needs."""
+    n = {"packed64": 1, "packed128": 2}.get(hashing.hash_mode(shape.rows, shape.cols), shape.rows)
+    return [f"_h{i}" for i in range(n)]
+
+
+def hashed(df: DataFrame, key: Column, shape: Shape) -> DataFrame:
+    """``df`` with the words of a key's hash."""
+    return df.select("*", *(w.alias(n) for n, w in zip(names_of(shape), hashing.words_of(key, shape.rows, shape.cols, shape.profile), strict=True)))
+
+
+def place(shape: Shape, row: int) -> tuple[str, str]:
+    """SQL of the column and the sign of a row, from the words of :func:`hashed`."""
+    names = names_of(shape)
+    return hashing.column_sql(names, row, shape.rows, shape.cols), hashing.sign_sql(names, row, shape.rows, shape.cols) if shape.signed else "1"
+
+
 def addressed(df: DataFrame, key: str, shape: Shape, rows: Column | None = None) -> DataFrame:
     """``df`` once per sketch row, with ``row``, ``col`` and ``sign``.  ``rows``: an array of the rows to address, all by default.
 
     A key is hashed once, before its rows part.
     """
-    words = hashing.words_of(F.col(key), shape.rows, shape.cols, shape.profile)
-    held = {f"_h{i}": w for i, w in enumerate(words)}
-    every = F.array(*[F.struct(F.lit(r).alias("row"), *(x.alias(n) for n, x in zip(("col", "sign"), place(shape, r), strict=False))) for r in range(shape.rows)])
+    entries = "array(" + ", ".join("named_struct('row', {}, 'col', {}, 'sign', {})".format(r, *place(shape, r)) for r in range(shape.rows)) + ")"
+    out, own = hashed(df, F.col(key), shape), [f"`{c}`" for c in df.columns]
     if rows is not None:
-        every = F.filter(every, lambda e: F.array_contains(rows, e["row"]))
-    out = df.withColumns(held).select("*", F.inline(every)).drop(*held)
-    return out if shape.signed else out.withColumn("sign", F.lit(1))
-
-
-def place(shape: Shape, row: int) -> list[Column]:
-    """Column and, with signs, sign of a row, from the columns ``_h0``, ... of a key's hash."""
-    words = [F.col(f"_h{i}") for i in range({"packed64": 1, "packed128": 2}.get(hashing.hash_mode(shape.rows, shape.cols), shape.rows))]
-    col = hashing.row_hash(words, row, shape.rows, shape.cols)
-    return [col, hashing.row_sign(words, row, shape.rows, shape.cols)] if shape.signed else [col]
-
-
-def hashed(df: DataFrame, key: Column, shape: Shape) -> DataFrame:
-    """``df`` with the columns that :func:`place` reads."""
-    return df.withColumns({f"_h{i}": w for i, w in enumerate(hashing.words_of(key, shape.rows, shape.cols, shape.profile))})
+        out, entries = out.withColumn("_admitted", rows), f"filter({entries}, e -> array_contains(_admitted, e.row))"
+    return out.selectExpr(*own, f"inline({entries})")
 
 
-def best_of(shape: Shape, at: Column | int = 0) -> Column:
-    """A key's estimate from :func:`dense` cells, from place ``at`` on: the least of its cells, or the median with signs."""
+def best_of(shape: Shape, at: str = "0") -> str:
+    """SQL of a key's estimate from :func:`dense` cells, from place ``at`` on: the least of its cells, or the median with signs."""
     values = []
     for r in range(shape.rows):
-        col, *sign = place(shape, r)
-        v = looked_up((F.lit(at) if isinstance(at, int) else at) + r * shape.cols + col)
-        values.append(v * sign[0] if sign else v)
-    return median_of(values) if shape.signed else values[0] if len(values) == 1 else F.least(*values)
+        col, sign = place(shape, r)
+        values.append(looked_up(f"{at} + {r * shape.cols} + {col}") + (f" * {sign}" if shape.signed else ""))
+    return median_of(values) if shape.signed else values[0] if len(values) == 1 else f"least({', '.join(values)})"
 
 
 @dataclass(frozen=True)
@@ -117,9 +119,9 @@ class Linear:
         by, shape = list(self.by), self.shape
         wanted = probes.select(*by, F.col(key)).where(F.col(key).isNotNull()).distinct()
         if not by and shape.rows * shape.cols <= SENT_CELLS:
-            table = dense(self.cells.select((F.col("row") * shape.cols + F.col("col")).alias("at"), "v"))
+            table = dense(self.cells.selectExpr(f"row * {shape.cols} + col AS at", "v"))
             found = hashed(wanted, F.col(key), shape).crossJoin(F.broadcast(table))
-            return found.select(key, (best_of(shape) * shape.factor).alias("estimate"))
+            return found.select(key, F.expr(f"{best_of(shape)} * {shape.factor!r}D AS estimate"))
         found = join_null_safe(addressed(wanted, key, shape), self.cells, [*by, "row", "col"], "left")
         value = F.coalesce(F.col("v"), F.lit(0.0)) * F.col("sign")
         best = middle(F.collect_list(value), shape.rows) if shape.signed else F.min(value)

@@ -88,13 +88,12 @@ class UnivMon:
         """``(*by, layer, key, cnt)``: the median estimate of each key in its layer, towards 0.  ``keys`` has each once."""
         p, by = self.pyramid, list(self.by)
         if not by and p.layers * p.rows * p.cols <= SENT_CELLS:
-            at = lambda row, col: (F.col("layer") * p.rows + row) * p.cols + col
-            table = dense(self.cells.select(at(F.col("row"), F.col("col")).alias("at"), "v"))
+            at = lambda row, col: f"(layer * {p.rows} + {row}) * {p.cols} + {col}"
+            table = dense(self.cells.selectExpr(f"{at('row', 'col')} AS at", "v"))
             found = hashed(keys, F.col("key"), p.shape).crossJoin(F.broadcast(table))
-            narrow = p.width(F.col("layer")) - 1
-            both = [place(p.shape, r) for r in range(p.rows)]
-            best = median_of([looked_up(at(F.lit(r), col.bitwiseAND(narrow))) * sign for r, (col, sign) in enumerate(both)])
-            return found.select("layer", "key", best.cast("bigint").alias("cnt"))
+            narrow = f"if(layer < {p.wide}, {p.cols - 1}, {p.narrow - 1})"
+            values = [looked_up(at(r, f"({col} & {narrow})")) + f" * {sign}" for r, (col, sign) in enumerate(place(p.shape, r) for r in range(p.rows))]
+            return found.select("layer", "key", F.expr(f"cast({median_of(values)} as bigint) AS cnt"))
         found = join_null_safe(self._addressed(keys, p), self.cells, [*by, "layer", "row", "col"], "left")
         best = middle(F.collect_list(F.coalesce(F.col("v"), F.lit(0)) * F.col("sign")), p.rows)
         return found.groupBy(*by, "layer", "key").agg(best.cast("bigint").alias("cnt"))

@@ -79,7 +79,7 @@ def aggregated(sent: DataFrame, shape: Shape = Shape(), flushed: bool = True) ->
     return Linear(cells, shape)
 
 
-def register_batches(df: DataFrame, key: str, order: str, tau: int, worker: str | None = None, profile: str = "md5") -> DataFrame:
+def register_batches(df: DataFrame, key: str, order: str, tau: int, worker: str | None = None, profile: str = "") -> DataFrame:
     """``([worker,] batch, reg, rho, flush)``: the HyperLogLog rule.  After each ``tau`` rises of registers a worker sends those that rose; registers stay.
 
     At last all of a worker's registers are sent: ``flush``.  Only rises matter, at most some 50 per register and worker.
