@@ -56,10 +56,15 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return packer.compress(head + block + CRLF * 2) + packer.flush()
 
 
+def record_id(page_id: object, url: object, digest: str) -> str:
+    """The id of a page's record: a function of the page, so that others can refer to it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, repr((page_id, url, digest)))}>"
+
+
 def records_of(page: dict, segment_bytes: int) -> Iterator[bytes]:
     """The records of one page: a revisit, or a response with its continuations."""
     payload = (page["html"] or "").encode()
-    origin = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, repr((page['page_id'], page['url'], page['digest'])))}>"
+    origin = record_id(page["page_id"], page["url"], page["digest"])
     common = [
         ("WARC-Record-ID", origin),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
@@ -72,7 +77,9 @@ def records_of(page: dict, segment_bytes: int) -> Iterator[bytes]:
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if page["refers_to"] is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield record([("WARC-Type", "revisit"), *common, ("WARC-Profile", profile), ("X-Refers-To-Page-Id", page["refers_to"])], head)
+        target = record_id(page["refers_to"], page["refers_to_url"], page["digest"])
+        refers = [("WARC-Refers-To", target), ("WARC-Refers-To-Target-URI", page["refers_to_url"]), ("WARC-Refers-To-Date", "2024-01-01T00:00:00Z"), ("X-Refers-To-Page-Id", page["refers_to"])]
+        yield record([("WARC-Type", "revisit"), *common, ("WARC-Profile", profile), *refers], head)
         return
     block = head + chunked(payload)
     pieces = [block[a : a + segment_bytes] for a in range(0, len(block), segment_bytes)]
@@ -87,17 +94,21 @@ def records_of(page: dict, segment_bytes: int) -> Iterator[bytes]:
 
 
 def revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``page_id, url, html, digest, refers_to``: which pages another page's record stands for.
+    """``page_id, url, html, digest, refers_to, refers_to_url``: which pages another page's record stands for.
 
     Of pages with equal payloads of at least ``MIN_REVISIT`` bytes, the largest page_id has the response and the
-    others refer to it.  Repeated rows of that id are each a response; so are pages without an id.
+    others refer to it.  Repeated rows of that id are each a response, and that of the last URL is referred to; pages without
+    an id are responses.  Other columns are left out.
     """
     payload = F.encode(F.coalesce(html, F.lit("")), "UTF-8")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), F.sha1(payload).alias("digest"))
-    large = pages.select(F.col(page_id).alias("page_id"), F.octet_length(payload).alias("n"), F.sha1(payload).alias("same")).where(F.col("n") >= MIN_REVISIT)
+    large = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.octet_length(payload).alias("n"), F.sha1(payload).alias("same")).where(F.col("n") >= MIN_REVISIT)
     # Groups of one need no join; the table of the others is often small enough to be sent to each task.
-    groups = stash(large.groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-groups")
-    return rows.join(groups, F.col("digest") == F.col("same"), "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("first"), F.col("first"))).drop("first", "same")
+    last = F.max(F.struct("page_id", "url")).alias("last")
+    groups = stash(large.groupBy("same").agg(last, F.count("*").alias("n")).where("n > 1").select("same", F.col("last.page_id").alias("first"), F.col("last.url").alias("first_url")), "warc-groups")
+    both = rows.join(groups, F.col("digest") == F.col("same"), "left")
+    other = F.col("page_id") < F.col("first")
+    return both.withColumns({"refers_to": F.when(other, F.col("first")), "refers_to_url": F.when(other, F.col("first_url"))}).drop("first", "first_url", "same")
 
 
 def write_archives(pages: DataFrame, segment_bytes: int = 16384, archive_bytes: int = 64 << 20) -> DataFrame:
@@ -174,7 +185,9 @@ PAGE_ARROW = pa.schema(
     [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("complete", pa.bool_()), ("payload", pa.binary())]
 )
-SEGMENT_ARROW = pa.schema([("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("block", pa.binary())])
+#: What one pass over the archives finds: whole records as pages, and segments with their ``origin``; a segment's block is its payload.
+READ = f"{PAGE}, origin string, segment bigint, total bigint"
+READ_ARROW = pa.schema([*PAGE_ARROW, ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64())])
 
 
 def _number(text: str | None) -> int | None:
@@ -203,43 +216,39 @@ def read_archives(listing: DataFrame, keep_payload: bool = True) -> DataFrame:
     archives = listing.select("uri")
     spread = archives.repartition(max(1, archives.count()))
 
-    def read(segments: bool):
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = SEGMENT_ARROW if segments else PAGE_ARROW
-            held, size = [], 0
-            for batch in batches:
-                for uri in batch.column(0).to_pylist():
-                    for member in members(uri):
-                        headers, block = parse(member)
-                        if ("warc-segment-number" in headers) != segments:
-                            continue
-                        if segments:
-                            origin = headers.get("warc-segment-origin-id", headers["warc-record-id"])
-                            total = _number(headers.get("warc-segment-total-length"))
-                            held.append({"origin": origin, "segment": int(headers["warc-segment-number"]), "total": total, "page_id": _number(headers.get("x-page-id")), "url": headers.get("warc-target-uri"), "block": block})
-                        elif headers["warc-type"] in ("response", "revisit"):
-                            held.append(_page(headers, block, keep_payload))
-                        size += len(block)
-                        if size > 4 << 20 or len(held) >= 4096:
-                            yield pa.RecordBatch.from_pylist(held, schema=schema)
-                            held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_pylist(held, schema=schema)
-
-        return rows
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                for member in members(uri):
+                    headers, block = parse(member)
+                    if "warc-segment-number" in headers:
+                        origin = headers.get("warc-segment-origin-id", headers["warc-record-id"])
+                        segment = {"origin": origin, "segment": int(headers["warc-segment-number"]), "total": _number(headers.get("warc-segment-total-length"))}
+                        held.append(segment | {"page_id": _number(headers.get("x-page-id")), "url": headers.get("warc-target-uri"), "payload": block})
+                    elif headers["warc-type"] in ("response", "revisit"):
+                        held.append(_page(headers, block, keep_payload))
+                    size += len(block)
+                    if size > 4 << 20 or len(held) >= 4096:
+                        yield pa.RecordBatch.from_pylist(held, schema=READ_ARROW)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=READ_ARROW)
 
     def join(table: pa.Table) -> pa.Table:
         # A record written twice has each segment twice: one of each number counts.
         parts = {x["segment"]: x for x in table.to_pylist()}
         first, last = parts.get(1, {}), parts[max(parts)]
-        block = b"".join(parts[k]["block"] for k in sorted(parts))
+        block = b"".join(parts[k]["payload"] for k in sorted(parts))
         whole = sorted(parts) == list(range(1, len(parts) + 1)) and last["total"] == len(block)
         page = {"warc-type": "response", "warc-target-uri": first.get("url")} | ({} if first.get("page_id") is None else {"x-page-id": first["page_id"]})
         copies = sum(x == 1 for x in table.column("segment").to_pylist()) or 1
         return pa.Table.from_pylist([_page(page, block if whole else None, keep_payload)] * copies, schema=PAGE_ARROW)
 
-    whole = spread.mapInArrow(read(False), PAGE)
-    parts = spread.mapInArrow(read(True), "origin string, segment bigint, total bigint, page_id bigint, url string, block binary")
+    # One pass: what it finds is kept in the shared folder, not read out of the archives again.
+    found = stash(spread.mapInArrow(rows, READ), "warc-read", 500)
+    whole = found.where("origin is null").select(*PAGE_ARROW.names)
+    parts = found.where("origin is not null").select("origin", "segment", "total", "page_id", "url", "payload")
     return whole.unionByName(parts.groupBy("origin").applyInArrow(join, PAGE))
 
 
