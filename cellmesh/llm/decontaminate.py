@@ -10,7 +10,7 @@ other somewhere in an item are walked: no run can be matched outside of them, so
 
 from __future__ import annotations
 
-import pickle
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_file, new_folder, write_file
-from .text import ALNUM, buffers, chunks, words
+from .text import ALNUM, buffers, chunks, packed, unpacked, words
 
-#: Words per automaton; more benchmark words make more automata, which documents pass one after the other.
-AUTOMATON_WORDS = 200_000
+#: Bytes of item texts per automaton; a larger benchmark makes more automata, which documents pass one after the other.
+AUTOMATON_BYTES = 1 << 20
 
 
 class Automaton:
@@ -97,28 +97,75 @@ class Automaton:
             state = self.link[state]
         return state
 
+    def arrays(self) -> list[np.ndarray]:
+        """The automaton as flat arrays, in the order of :data:`FLAT`: states' transitions, items and short items one after the other."""
+        states = range(len(self.len))
+        edges = [sorted(x.items()) for x in self.next]
+        first = lambda rows: np.cumsum([0, *map(len, rows)])
+        items = [sorted(self.items.get(s, ())) for s in states]
+        short = [self.short.get(s, []) for s in states]
+        raw = [b"" if n is None else n.encode() for n in self.names]
+        flat = [
+            [self.window, self.shortest], self.vocabulary, self.prefixes, self.pairs,
+            first(edges), [w for e in edges for w, _ in e], [t for e in edges for _, t in e], self.link, self.len, self.near,
+            first(items), [k for x in items for k in x], first(short), [n for x in short for n, _ in x], [k for x in short for _, k in x],
+            first(raw), np.frombuffer(b"".join(raw), np.uint8), [n is None for n in self.names],
+        ]
+        return [np.asarray(x, kind) for x, kind in zip(flat, FLAT, strict=True)]
+
+
+#: Kinds of the arrays of a flat automaton.
+FLAT = (np.int64, np.uint64, bool, np.int64, *[np.int32] * 11, np.int64, np.uint8, bool)
+
+
+class Mapped:
+    """A flat automaton in a memory map: a worker holds the pages that it touches."""
+
+    def __init__(self, data):
+        (meta, self.vocabulary, self.prefixes, self.pairs, *states, at, raw, unnamed) = unpacked(data, *FLAT)
+        self.window, self.shortest = meta.tolist()
+        (self.first, self.word, self.to, self.link, self.len, self.near, self.item_at, self.item, self.short_at, self.short_len, self.short_item) = (x.data for x in states)
+        self._names = at, raw, unnamed
+
+    def name(self, k: int) -> str | None:
+        at, raw, unnamed = self._names
+        return None if unnamed[k] else raw[at[k] : at[k + 1]].tobytes().decode()
+
+    def step(self, state: int, w: int) -> int:
+        """The state after a word, -1 if there is none.  The root has a transition for every word."""
+        if not state:
+            return self.to[w]
+        end = self.first[state + 1]
+        i = bisect_left(self.word, w, self.first[state], end)
+        return self.to[i] if i < end and self.word[i] == w else -1
+
+    def suffix(self, state: int, n: int) -> int:
+        """The state of the last ``n`` words of a string of ``state``."""
+        while self.len[self.link[state]] >= n:
+            state = self.link[state]
+        return state
+
     def walk(self, row: list[int], base: int, spans: list[tuple[int, int]], found: set[int]) -> int:
         """Stream word numbers; add hit spans, from ``base`` on, and found items.  The longest match."""
         state = length = longest = 0
         for i, w in enumerate(row):
-            while state and w not in self.next[state]:
+            while (to := self.step(state, w)) < 0:
                 state = self.link[state]
                 length = self.len[state]
-            to = self.next[state].get(w)
-            if to is None:
-                continue
             state, length = to, length + 1
             longest = max(longest, length)
             end = base + i + 1
             if length >= self.window:
                 spans.append((end - self.window, end))
-                found |= self.items[self._suffix(state, self.window)]
+                s = self.suffix(state, self.window)
+                found.update(self.item[self.item_at[s] : self.item_at[s + 1]])
             s = self.near[state]
             while s > 0:
-                for n, k in self.short[s]:
+                for j in range(self.short_at[s], self.short_at[s + 1]):
+                    n = self.short_len[j]
                     if n <= length:
                         spans.append((end - n, end))
-                        found.add(k)
+                        found.add(self.short_item[j])
                 s = self.near[self.link[s]]
         return longest
 
@@ -164,32 +211,30 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def build(benchmark: DataFrame, window: int, item_id: str = "item_id", text: str = "text") -> list[str]:
-    """Automata of the benchmark in the shared folder, by URI.  Items come to the driver one block at a time."""
-    uris: list[str] = []
+    """Automata of the benchmark in the shared folder, by URI.
+
+    Distinct items are dealt by a hash into blocks of about ``AUTOMATON_BYTES`` bytes; a task builds each.  URIs alone come to the driver.
+    """
     folder = new_folder(benchmark.sparkSession, "automata")
-    items: list[tuple[str | None, np.ndarray]] = []
-    held = 0
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
+    size = benchmark.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    blocks = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(-(-size // AUTOMATON_BYTES) or 1)))
 
-    def flush() -> None:
-        nonlocal items, held
-        uri = f"{folder}/{len(uris)}.pickle"
-        write_file(uri, pickle.dumps(Automaton(items, window), protocol=5))
-        uris.append(uri)
-        items, held = [], 0
+    def make(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("item", "ascending"), ("text", "ascending")])
+        h, _, _, off = words(*buffers(table.column("text")), ALNUM)
+        names = table.column("item").to_pylist()
+        automaton = Automaton([(name, h[a:b]) for name, a, b in zip(names, off[:-1], off[1:], strict=True)], window)
+        uri = f"{folder}/{table.column('block')[0].as_py()}"
+        write_file(uri, packed(*automaton.arrays()))
+        return pa.table({"uri": [uri]})
 
-    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
-        h, _, _, _ = words(*buffers(pa.array([row.t], pa.string())), ALNUM)
-        if held and held + len(h) > AUTOMATON_WORDS:
-            flush()
-        items.append((row.i, h))
-        held += len(h)
-    flush()
-    return uris
+    return sorted(r["uri"] for r in blocks.groupBy("block").applyInArrow(make, "uri string").collect())
 
 
-@lru_cache(maxsize=1)
-def _load(uri: str) -> Automaton:
-    return pickle.loads(map_file(uri))
+@lru_cache(maxsize=None)
+def _load(uri: str) -> Mapped:
+    return Mapped(map_file(uri))
 
 
 def _scan_all(uris: list[str], h: np.ndarray, off: np.ndarray):
@@ -199,7 +244,7 @@ def _scan_all(uris: list[str], h: np.ndarray, off: np.ndarray):
         automaton = _load(uri)
         for t, (spans, found, longest) in automaton.scan(h, off).items():
             s, f, n = out.get(t, ([], set(), 0))
-            out[t] = (s + spans, f | {automaton.names[k] for k in found}, max(n, longest))
+            out[t] = (s + spans, f | {automaton.name(k) for k in found}, max(n, longest))
     return out
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_file, new_folder, stash, write_file
-from .text import NON_SPACE, U64, buffers, chunks, words
+from .text import NON_SPACE, U64, buffers, chunks, packed, unpacked, words
 
 BEGIN, END = U64(0x5A17C3E9B4D2F681), U64(0xC0FFEE1234ABCD77)
 #: Words that a task counts, or looks up, at a time.
@@ -61,23 +61,6 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one byte string: lengths in bytes, then the arrays, each from a multiple of 8 on."""
-    parts = [np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes()]
-    for a in arrays:
-        parts += [a.tobytes(), bytes(-a.nbytes % 8)]
-    return b"".join(parts)
-
-
-def unpack(data, *kinds) -> list[np.ndarray]:
-    sizes = np.frombuffer(data, np.int64, len(kinds), 8)
-    at, out = 8 * (1 + len(kinds)), []
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at))
-        at += n + -n % 8
-    return out
-
-
 def small(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts as bytes, and places and values of those over 254."""
     big = np.flatnonzero(counts > 254)
@@ -115,11 +98,11 @@ def count(docs: DataFrame, shards: int) -> DataFrame:
             for s in range(shards):
                 a, b = cut[s], cut[s + 1]
                 seen = n[a:b] > 0
-                uni.append(pack(u[a:b][seen], n[a:b][seen].astype(np.int64)))
+                uni.append(packed(u[a:b][seen], n[a:b][seen].astype(np.int64)))
                 p, q = edge[s], edge[s + 1]
                 who, many = np.unique(left[p:q], return_counts=True)
                 w = right[p:q]
-                bi.append(pack(u[who], many.astype(np.uint32), (w >> U64(32)).astype(np.uint32), ((w >> U64(16)) & U64(0xFFFF)).astype(np.uint16), *small(times[p:q])))
+                bi.append(packed(u[who], many.astype(np.uint32), (w >> U64(32)).astype(np.uint32), ((w >> U64(16)) & U64(0xFFFF)).astype(np.uint16), *small(times[p:q])))
             return pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array(uni, pa.binary()), pa.array(bi, pa.binary())], ["shard", "words", "followers"])
 
         for batch in chunks(batches):
@@ -159,9 +142,9 @@ def gather(parts: DataFrame, shards: int, folder: str) -> DataFrame:
     """Write each shard's word and pair files; ``shard, stats, to, data``: counts of a shard, and its followers' continuation counts for shard ``to``."""
 
     def merge(shard: int, uni: list[bytes], bi: list[bytes]) -> Iterator[dict]:
-        h, n = summed(*(np.concatenate(x) for x in zip(*(unpack(d, *WORDS) for d in uni), strict=True)))
-        write_file(f"{folder}/words-{shard}", pack(h, n))
-        fields = [unpack(d, *FOLLOWERS) for d in bi]
+        h, n = summed(*(np.concatenate(x) for x in zip(*(unpacked(d, *WORDS) for d in uni), strict=True)))
+        write_file(f"{folder}/words-{shard}", packed(h, n))
+        fields = [unpacked(d, *FOLLOWERS) for d in bi]
         who = np.concatenate([np.repeat(f[0], f[1]) for f in fields])
         firsts, number = np.unique(who, return_inverse=True)
         del who
@@ -180,14 +163,14 @@ def gather(parts: DataFrame, shards: int, folder: str) -> DataFrame:
         number = (key >> U64(wide)).astype(np.int64)
         by = lambda mask: np.bincount(number[mask], minlength=len(firsts)).astype(np.uint32)
         total = np.bincount(number, times, len(firsts)).astype(np.float32)
-        write_file(f"{folder}/pairs-{shard}", pack(firsts, total, by(times == 1), by(times == 2), by(times > 2), key, *small(times)))
+        write_file(f"{folder}/pairs-{shard}", packed(firsts, total, by(times == 1), by(times == 2), by(times > 2), key, *small(times)))
         once = [int((times == k).sum()) for k in (1, 2, 3, 4)]
         yield {"shard": shard, "stats": [int(n.sum()), len(h), len(key), *once], "to": None, "data": None}
         cut = np.searchsorted(shard_of(to << U64(16), shards), np.arange(shards + 1))
         for s in range(shards):
             a, b = cut[s], cut[s + 1]
             if b > a:
-                yield {"shard": shard, "stats": None, "to": s, "data": pack(to[a:b], *small(continued[a:b]))}
+                yield {"shard": shard, "stats": None, "to": s, "data": packed(to[a:b], *small(continued[a:b]))}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, tuple[list, list]] = {}
@@ -214,13 +197,13 @@ def continue_words(parts: DataFrame, shards: int, folder: str) -> DataFrame:
                 found.setdefault(shard, []).append(data)
         out = []
         for shard in sorted(found):
-            fields = [unpack(d, U64, np.uint8, np.int64, np.int64) for d in found.pop(shard)]
+            fields = [unpacked(d, U64, np.uint8, np.int64, np.int64) for d in found.pop(shard)]
             w, n = summed(np.concatenate([f[0] for f in fields]), np.concatenate([large(*f[1:]) for f in fields]))
-            h, _ = unpack(map_file(f"{folder}/words-{shard}"), *WORDS)
+            h, _ = unpacked(map_file(f"{folder}/words-{shard}"), *WORDS)
             counts = np.zeros(len(h), np.int64)
             at = np.searchsorted(h >> U64(64 - FOLLOWER), w)
             counts[at] = n
-            write_file(f"{folder}/continued-{shard}", pack(*small(counts)))
+            write_file(f"{folder}/continued-{shard}", packed(*small(counts)))
             out.append([int(n.sum()), *(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts > 2).sum())])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["stats"])
@@ -272,12 +255,12 @@ def train(docs: DataFrame, shards: int | None = None, text: str = "text") -> Mod
 
 @lru_cache(maxsize=128)
 def _words(folder: str, shard: int):
-    return unpack(map_file(f"{folder}/words-{shard}"), *WORDS), unpack(map_file(f"{folder}/continued-{shard}"), np.uint8, np.int64, np.int64)
+    return unpacked(map_file(f"{folder}/words-{shard}"), *WORDS), unpacked(map_file(f"{folder}/continued-{shard}"), np.uint8, np.int64, np.int64)
 
 
 @lru_cache(maxsize=128)
 def _pairs(folder: str, shard: int):
-    return unpack(map_file(f"{folder}/pairs-{shard}"), *PAIRS)
+    return unpacked(map_file(f"{folder}/pairs-{shard}"), *PAIRS)
 
 
 def find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

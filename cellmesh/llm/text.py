@@ -162,6 +162,24 @@ def shingle_sets(h: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays in one byte string: lengths in bytes, then the arrays, each from a multiple of 8 on."""
+    parts = [np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes()]
+    for a in arrays:
+        parts += [a.tobytes(), bytes(-a.nbytes % 8)]
+    return b"".join(parts)
+
+
+def unpacked(data, *kinds) -> list[np.ndarray]:
+    """The arrays of :func:`packed`, in place."""
+    sizes = np.frombuffer(data, np.int64, len(kinds), 8)
+    at, out = 8 * (1 + len(kinds)), []
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at))
+        at += n + -n % 8
+    return out
+
+
 def release() -> None:
     """Give memory that a task has freed back to the system: idle workers keep none of it."""
     pa.default_memory_pool().release_unused()
