@@ -333,7 +333,7 @@ def brute_hits(words, items, window=10):
 
 
 def test_decontamination(spark, documents, monkeypatch):
-    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", 40)
+    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 40)
     rng = random.Random(9)
     word = lambda: rng.choice("abcdefgh")
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([0, 1, 2, 3, 7, 9, 10, 11, 14, 14, 25]) if n != 1]
