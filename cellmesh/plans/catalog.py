@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import frameworks, frequency, sliding, statistics  # noqa: F401  (they register)
+from . import exchange, frameworks, frequency, sliding, statistics  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 

@@ -11,7 +11,6 @@ from ..operators import hydra
 from ..operators.hydra import Hydra
 from ..operators.linear import Linear, Shape
 from ..operators.univmon import Pyramid, UnivMon
-from ..sources import codecs
 from ..sources.tables import read
 from . import sqltext as s
 from .registry import query
@@ -349,13 +348,6 @@ def _(spark, d):
 # --- binary forms: what is encoded is read back ---
 
 
-@query("codec_roundtrip", s.cells("events", "user_id", 3, 64, by="event_type"))
-def _(spark, d):
-    shape = Shape(3, 64)
-    frames_ = codecs.encode_linear(Linear.build(events(spark, d), "user_id", by="event_type", shape=shape))
-    return codecs.decode_linear(frames_, shape, "event_type").cells
-
-
 @query("series_points", "SELECT event_id, '[' || (event_id / 1000)::DOUBLE || ',\"' || user_id || '\"]' AS json FROM events")
 def _(spark, d):
     from ..sources.tables import json_points

@@ -1,11 +1,11 @@
-"""Compact binary forms of sketches, for exchange with other producers.
+"""Compact binary forms, for exchange with other producers: MessagePack positional arrays, and an envelope that names a sketch's kind.
 
-MessagePack positional arrays per sketch, an envelope that names a sketch's kind around them, and protobuf wire messages.
-Cell tables become one binary value per group; rows of a group are bounded by the sketch's parameters.
+:mod:`.portable` turns tables of sketches into such values and back.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import struct
 from collections.abc import Iterable
 
@@ -13,10 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ddsketch import DDSketch
-from ..operators.frames import Mismatch, as_list
-from ..operators.hll import HLL, M, P
-from ..operators.linear import Linear, Shape
+from ..functions import hashing
+from ..operators.frames import Mismatch
 
 # --- MessagePack ---
 
@@ -111,17 +109,27 @@ def _value(data: bytes, at: int) -> tuple[object, int]:
 
 # --- the envelope ---
 
-# The envelope's magic and version, and kind ids (family and form).
+# The envelope's magic and version, and kind ids: family and form, in hexadecimal.
 MAGIC, VERSION = b"ASAPv1", 1
-KINDS = {
-    "hll": b"\x01\x02", "hll_regular": b"\x01\x01", "hll_hip": b"\x01\x04", "hll_delta": b"\x01\x82", "cm": b"\x02\x00", "cm_delta": b"\x02\x80",
-    "cs": b"\x04\x00", "cs_delta": b"\x04\x80", "dd": b"\x05\x01", "dd_delta": b"\x05\x81", "kll": b"\x06\x00", "elastic": b"\x0b\x00", "coco": b"\x0c\x00",
-    "univmon": b"\x10\x01", "nitro": b"\x12\x00", "eh": b"\x13\x00", "octo": b"\x16\x00", "space_saving": b"\x18\x01",
-}
+_KINDS = """
+0100 hll_unspecified, 0101 hll_classic, 0102 hll_ertl_mle, 0103 hll_hip_with_kxq, 0104 hll_hip, 0181 hll_classic_delta, 0182 hll_ertl_mle_delta
+0200 count_min, 0280 count_min_delta, 0300 cms_heap, 0380 cms_heap_delta, 0400 count_sketch, 0480 count_sketch_delta
+0500 ddsketch_with_scalars, 0501 ddsketch, 0580 ddsketch_with_scalars_delta, 0581 ddsketch_delta, 0600 kll, 0601 kll_dynamic
+0700 hydra_kll, 0701 hydra_count_min, 0702 hydra_count_sketch, 0703 hydra_hll, 0704 hydra_univmon_with_l2, 0705 hydra_univmon
+0800 set_aggregator, 0880 set_aggregator_delta, 0900 retired_09, 0a00 cs_heap, 0a80 cs_heap_delta, 0b00 elastic, 0c00 coco, 0d00 uniform_sampling, 0e00 kmv, 0f00 hash_sketch_ensemble
+1000 univmon_with_l2, 1001 univmon, 1100 univmon_optimized_with_l2, 1101 univmon_optimized, 1200 nitro_batch, 1300 exponential_histogram, 1400 eh_sketch_list, 1500 eh_univ_optimized, 1600 octo_sketch
+1700 bloom_with_inserted, 1701 bloom, 1800 space_saving_with_total, 1801 space_saving, 1900 count_l2hh_with_l2, 1901 count_l2hh, 1a00 univmon_q, 1b00 fold_cms, 1c00 fold_cs, 1d00 retired_1d
+1e00 cms_space_saving_with_total, 1e01 cms_space_saving, 1f00 cs_space_saving_with_total, 1f01 cs_space_saving
+"""
+KINDS = {name: bytes.fromhex(number) for number, name in (x.split() for line in _KINDS.strip().splitlines() for x in line.split(", "))}
+#: Kinds that are names without a payload.
+BARE = {"hll_unspecified", "retired_09", "hash_sketch_ensemble", "nitro_batch", "eh_univ_optimized", "octo_sketch", "fold_cms", "fold_cs", "retired_1d"}
 
 
 def seal(kind: str, metadata: dict, payload: bytes) -> bytes:
     """Magic, version, kind id, lengths, MessagePack metadata, payload."""
+    if kind not in KINDS or kind in BARE:
+        raise ValueError(f"no payload of kind {kind}")
     meta, k = pack(metadata), KINDS[kind]
     return MAGIC + bytes([VERSION, len(k)]) + k + struct.pack(">II", len(meta), len(payload)) + meta + payload
 
@@ -131,9 +139,9 @@ def open_sealed(data: bytes) -> tuple[str, dict, bytes]:
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not an envelope")
     at = len(MAGIC)
-    if data[at] != VERSION:
-        raise ValueError(f"no version {data[at]}")
-    n = data[at + 1]
+    version, n = _take(data, at, 2)
+    if version != VERSION:
+        raise ValueError(f"no version {version}")
     kind = _take(data, at + 2, n)
     at += 2 + n
     m, p = struct.unpack(">II", _take(data, at, 8))
@@ -143,7 +151,71 @@ def open_sealed(data: bytes) -> tuple[str, dict, bytes]:
     return names[kind], unpack(_take(data, at + 8, m)), _take(data, at + 8 + m, p)
 
 
-# --- sketch frames ---
+@dataclasses.dataclass(frozen=True)
+class HashProfile:
+    """How keys were hashed.  Names differ between producers: give those that the other side expects."""
+
+    id: str = "cellmesh.xxh3.v1"
+    algorithm: str = "xxh3_64_128"
+    seed_derivation: str = "seed_list_index_wrap"
+    input_encoding: str = "cellmesh.text.v1"
+    seeds: tuple[int, ...] = hashing.SEEDS
+    index: tuple[str, int] | None = ("canonical_seed_index", hashing.CANONICAL)
+
+    def fields(self) -> dict:
+        out = {"hash_profile_id": self.id, "hash_algorithm": self.algorithm, "seed_derivation": self.seed_derivation, "input_encoding": self.input_encoding, "seed_list": list(self.seeds)}
+        return out | (dict([self.index]) if self.index else {})
+
+
+def metadata(version: int, profile: HashProfile | None = None, **fields: object) -> dict:
+    """A metadata map: the version, the hash profile and a sketch's own fields, in this order."""
+    return {"metadata_version": version, **(profile.fields() if profile else {}), **fields}
+
+
+def read_metadata(found: dict, version: int, profile: HashProfile | None = None, **kinds: type) -> dict:
+    """A sketch's own fields, of these kinds.  Another version or hash profile, missing and unknown keys raise."""
+    expected = metadata(version, profile)
+    for key, want in expected.items():
+        if key not in found:
+            raise Mismatch(f"metadata has no {key}")
+        if found[key] != want or type(found[key]) is not type(want):
+            raise Mismatch(f"metadata {key} is {found[key]!r}, not {want!r}")
+    if unknown := found.keys() - expected.keys() - kinds.keys():
+        raise Mismatch(f"metadata has an unknown key {sorted(unknown)[0]}")
+    for key, kind in kinds.items():
+        if type(found.get(key)) is not kind:
+            raise Mismatch(f"metadata {key} is no {kind.__name__}")
+    return {key: found[key] for key in kinds}
+
+
+def sealed(frames: DataFrame, kind: str, meta: dict) -> DataFrame:
+    """``(..., data)`` with each payload in an envelope."""
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: seal(kind, meta, bytes(x)))
+
+    return frames.withColumn("data", run("data"))
+
+
+def opened(frames: DataFrame, kind: str, version: int, profile: HashProfile | None = None, **kinds: type) -> DataFrame:
+    """The payloads of envelopes of one kind; metadata is read strictly."""
+
+    def one(data: bytes) -> bytes:
+        found, meta, payload = open_sealed(bytes(data))
+        if found != kind:
+            raise Mismatch(f"a {found}, not a {kind}")
+        read_metadata(meta, version, profile, **kinds)
+        return payload
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(one)
+
+    return frames.withColumn("data", run("data"))
+
+
+# --- sketch frames: positional arrays ---
 
 
 def cm_frame(matrix: list[list[float]], signed: bool) -> bytes:
@@ -155,17 +227,43 @@ def cm_frame(matrix: list[list[float]], signed: bool) -> bytes:
 
 
 def cm_matrix(data: bytes, signed: bool) -> list[list[float]]:
-    frame = unpack(data)
+    frame = _array(unpack(data), 3)
     rows, cols, matrix = frame if signed else (frame[1], frame[2], frame[0])
     if len(matrix) != rows or any(len(r) != cols for r in matrix):
         raise Mismatch("the matrix has other dimensions than its frame says")
     return matrix
 
 
-def cell_delta_frame(rows: int, cols: int, cells: Iterable[tuple[int, int, int]]) -> bytes:
-    """``[rows, cols, row numbers, column numbers, changes]``."""
-    r, c, d = (list(x) for x in zip(*cells, strict=True)) if cells else ([], [], [])
-    return pack([rows, cols, r, c, d])
+def _array(x: object, n: int) -> list:
+    if not isinstance(x, list) or len(x) != n:
+        raise ValueError(f"not an array of {n}")
+    return x
+
+
+def heap_frame(matrix: list[list[float]], heap: Iterable[tuple[str, float]], size: int) -> bytes:
+    """``[[matrix, rows, cols], [[key, value], ...], heap size]``: a sketch with its heaviest keys."""
+    return pack([unpack(cm_frame(matrix, False)), [[k, float(v)] for k, v in heap], size])
+
+
+def heap_values(data: bytes) -> tuple[list[list[float]], list[tuple[str, float]], int]:
+    inner, heap, size = _array(unpack(data), 3)
+    return cm_matrix(pack(inner), False), [tuple(_array(x, 2)) for x in heap], size
+
+
+def heap_delta_frame(rows: int, cols: int, cells: Iterable[tuple[int, int, int]], heap: Iterable[tuple[str, float]], size: int) -> bytes:
+    """``[true, [rows, cols, [[row, column, change], ...]], [[key, value], ...], heap size]``: changed cells and the whole heap."""
+    return pack([True, [rows, cols, [list(c) for c in cells]], [[k, float(v)] for k, v in heap], size])
+
+
+def heap_delta_values(data: bytes) -> tuple[int, int, list[tuple[int, int, int]], list[tuple[str, float]], int]:
+    marker, inner, heap, size = _array(unpack(data), 4)
+    if marker is not True:
+        raise ValueError("not a delta")
+    rows, cols, cells = _array(inner, 3)
+    cells = [tuple(_array(c, 3)) for c in cells]
+    if any(not (0 <= r < rows and 0 <= c < cols) for r, c, _ in cells):
+        raise Mismatch("a cell outside the matrix")
+    return rows, cols, cells, [tuple(_array(x, 2)) for x in heap], size
 
 
 def is_delta(data: bytes) -> bool:
@@ -173,72 +271,52 @@ def is_delta(data: bytes) -> bool:
     return data[:2] == b"\x94\xc3"
 
 
-def encode_linear(sketch: Linear) -> DataFrame:
-    """``(*by, data)``: the dense frame of each group."""
-    shape, by = sketch.shape, as_list(sketch.by)
-
-    def frame(rows: pd.DataFrame) -> pd.DataFrame:
-        matrix = [[0.0] * shape.cols for _ in range(shape.rows)]
-        for r, c, v in zip(rows["row"], rows["col"], rows["v"], strict=True):
-            matrix[r][c] = float(v)
-        return pd.DataFrame([(*(rows[b].iloc[0] for b in by), cm_frame(matrix, shape.signed))], columns=[*by, "data"])
-
-    kinds = "".join(f"{c} {sketch.cells.schema[c].dataType.simpleString()}, " for c in by)
-    return sketch.cells.withColumn("_g", F.lit(0)).groupBy("_g", *by).applyInPandas(frame, f"{kinds}data binary")
+def columns_frame(*columns: Iterable) -> bytes:
+    """Parallel arrays, such as ``[registers, values]`` or ``[buckets, changes]``."""
+    return pack([list(c) for c in columns])
 
 
-def decode_linear(frames: DataFrame, shape: Shape, by: Iterable[str] = ()) -> Linear:
-    """Cells that are not zero of ``(*by, data)``; other dimensions than ``shape`` raise."""
-    by = as_list(by)
+def columns_values(data: bytes, n: int) -> list[tuple]:
+    columns = _array(unpack(data), n)
+    if len({len(c) for c in columns}) > 1:
+        raise Mismatch("columns of different lengths")
+    return list(zip(*columns, strict=True))
 
-    def cells(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                matrix = cm_matrix(bytes(row["data"]), shape.signed)
-                if (len(matrix), len(matrix[0])) != (shape.rows, shape.cols):
-                    raise Mismatch("another shape")
-                out += [(*(row[b] for b in by), r, c, v) for r, line in enumerate(matrix) for c, v in enumerate(line) if v]
-            yield pd.DataFrame(out, columns=[*by, "row", "col", "v"])
 
-    kinds = "".join(f"{c} {frames.schema[c].dataType.simpleString()}, " for c in by)
-    return Linear(frames.mapInPandas(cells, f"{kinds}row int, col int, v double"), shape, tuple(by))
+def cell_delta_frame(rows: int, cols: int, cells: Iterable[tuple[int, int, float]]) -> bytes:
+    """``[rows, cols, row numbers, column numbers, changes]``; changes are whole numbers or doubles."""
+    r, c, d = (list(x) for x in zip(*cells, strict=True)) if (cells := list(cells)) else ([], [], [])
+    return pack([rows, cols, r, c, d])
 
 
-def encode_hll(sketch: HLL) -> DataFrame:
-    """``(*by, data)``: ``[variant, precision, registers, 0, 0, 0]``, registers as bytes in an array of small integers."""
-    by, variant = as_list(sketch.by), {"ertl": "Datafusion", "regular": "Regular", "sparse": "Datafusion"}[sketch.variant]
+def cell_delta_values(data: bytes) -> tuple[int, int, list[tuple]]:
+    rows, cols, *columns = _array(unpack(data), 5)
+    if len({len(c) for c in columns}) > 1:
+        raise Mismatch("columns of different lengths")
+    return rows, cols, list(zip(*columns, strict=True))
 
-    def frame(rows: pd.DataFrame) -> pd.DataFrame:
-        registers = [0] * M
-        for r, v in zip(rows["reg"], rows["rho"], strict=True):
-            registers[r] = int(v)
-        return pd.DataFrame([(*(rows[b].iloc[0] for b in by), pack([variant, P, registers, 0.0, 0.0, 0.0]))], columns=[*by, "data"])
 
-    kinds = "".join(f"{c} {sketch.registers.schema[c].dataType.simpleString()}, " for c in by)
-    return sketch.registers.withColumn("_g", F.lit(0)).groupBy("_g", *by).applyInPandas(frame, f"{kinds}data binary")
+def hll_frame(variant: str, registers: list[int]) -> bytes:
+    """``[variant, precision, registers, 0, 0, 0]``, registers as small integers in an array."""
+    return pack([variant, len(registers).bit_length() - 1, registers, 0.0, 0.0, 0.0])
 
 
 def hll_registers(data: bytes) -> tuple[str, list[int]]:
-    variant, precision, registers, *_ = unpack(data)
+    variant, precision, registers, *_ = _array(unpack(data), 6)
     if len(registers) != 1 << precision:
         raise Mismatch("the precision does not fit the registers")
     return variant, registers
 
 
-def encode_dd(sketch: DDSketch) -> DataFrame:
-    """``(*by, data)``: ``[alpha, counts from the lowest bucket on, lowest bucket]``."""
-    by, alpha = as_list(sketch.by), sketch.mapping.alpha
+def dd_frame(alpha: float, buckets: dict[int, int]) -> bytes:
+    """``[alpha, counts from the lowest bucket on, lowest bucket]``."""
+    low, high = (min(buckets), max(buckets)) if buckets else (0, -1)
+    return pack([alpha, [buckets.get(b, 0) for b in range(low, high + 1)], low])
 
-    def frame(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(rows["bucket"].min()), int(rows["bucket"].max())
-        counts = [0] * (high - low + 1)
-        for b, n in zip(rows["bucket"], rows["cnt"], strict=True):
-            counts[b - low] = int(n)
-        return pd.DataFrame([(*(rows[b].iloc[0] for b in by), pack([alpha, counts, low]))], columns=[*by, "data"])
 
-    kinds = "".join(f"{c} {sketch.buckets.schema[c].dataType.simpleString()}, " for c in by)
-    return sketch.buckets.withColumn("_g", F.lit(0)).groupBy("_g", *by).applyInPandas(frame, f"{kinds}data binary")
+def dd_buckets(data: bytes) -> tuple[float, dict[int, int]]:
+    alpha, counts, low = _array(unpack(data), 3)
+    return alpha, {low + i: n for i, n in enumerate(counts) if n}
 
 
 # --- protobuf wire format ---
@@ -259,68 +337,3 @@ def zigzag(n: int) -> int:
 
 def unzigzag(n: int) -> int:
     return (n >> 1) ^ -(n & 1)
-
-
-def message(fields: Iterable[tuple[int, object]]) -> bytes:
-    """A protobuf message of ``(number, value)``: integers as varints, floats as doubles, text and bytes with their length."""
-    out = bytearray()
-    for number, x in fields:
-        if isinstance(x, float):
-            out += varint(number << 3 | 1) + struct.pack("<d", x)
-        elif isinstance(x, int):
-            out += varint(number << 3) + varint(x)
-        else:
-            raw = x.encode() if isinstance(x, str) else bytes(x)
-            out += varint(number << 3 | 2) + varint(len(raw)) + raw
-    return bytes(out)
-
-
-def fields(data: bytes) -> list[tuple[int, object]]:
-    """The fields of a protobuf message, in order; nested messages stay bytes."""
-
-    def number() -> int:
-        nonlocal at
-        n = shift = 0
-        while True:
-            b = _take(data, at, 1)[0]
-            at += 1
-            n |= (b & 127) << shift
-            shift += 7
-            if b < 128:
-                return n
-
-    out, at = [], 0
-    while at < len(data):
-        tag = number()
-        if tag & 7 == 0:
-            out.append((tag >> 3, number()))
-        elif tag & 7 == 1:
-            out.append((tag >> 3, struct.unpack("<d", _take(data, at, 8))[0]))
-            at += 8
-        elif tag & 7 == 2:
-            n = number()
-            out.append((tag >> 3, _take(data, at, n)))
-            at += n
-        else:
-            raise ValueError("no such wire type")
-    return out
-
-
-def counters(values: list[float]) -> bytes:
-    """Packed cells: zigzag varints if all are whole, else doubles; the first byte says which."""
-    if all(float(v).is_integer() and abs(v) < 1 << 53 for v in values):
-        return b"\x00" + b"".join(varint(zigzag(int(v))) for v in values)
-    return b"\x01" + struct.pack(f"<{len(values)}d", *values)
-
-
-def counter_values(data: bytes) -> list[float]:
-    if data[:1] == b"\x01":
-        return list(struct.unpack(f"<{(len(data) - 1) // 8}d", data[1:]))
-    out, n, shift = [], 0, 0
-    for b in data[1:]:
-        n |= (b & 127) << shift
-        shift += 7
-        if b < 128:
-            out.append(float(unzigzag(n)))
-            n = shift = 0
-    return out

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 from ..operators.ddsketch import DDSketch, Mapping
 from ..operators.frames import Mismatch
+from ..operators.heavy import Coco, Elastic
 from ..operators.hll import HLL
+from ..operators.hydra import Hydra
 from ..operators.kll import KLL
-from ..operators.linear import Linear, Shape
+from ..operators.linear import Linear, Shape, Tally
+from ..operators.tracked import Tracked
+from ..operators.univmon import Pyramid, UnivMon
+from ..operators.windows import Hybrid
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,30 +41,51 @@ def packets(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.select(F.col(order).alias("seq"), F.col(key).cast("string").alias("key"))
 
 
-def save(sketch: Linear | HLL | DDSketch | KLL, path: str, mode: str = "errorifexists") -> None:
-    """Write a sketch's tables and its parameters."""
-    parts = {k: v for k, v in vars(sketch).items() if isinstance(v, DataFrame)}
-    rest = {k: dataclasses.asdict(v) if dataclasses.is_dataclass(v) else v for k, v in vars(sketch).items() if k not in parts}
-    for name, df in parts.items():
+#: What a snapshot may hold: sketches, and the parameters in them.
+SKETCHES = {c.__name__: c for c in (Linear, Tally, HLL, DDSketch, KLL, Coco, Elastic, UnivMon, Hydra, Hybrid, Tracked)}
+PARAMETERS = {c.__name__: c for c in (Shape, Mapping, Pyramid)}
+
+
+def _flat(sketch: object, at: str = "") -> tuple[dict, dict[str, DataFrame]]:
+    """A sketch's parameters, and its tables by the folder that they go to; sketches inside it come along."""
+    rest, tables = {"_type": type(sketch).__name__}, {}
+    for name, value in vars(sketch).items():
+        if isinstance(value, DataFrame):
+            tables[f"{at}{name}"] = value
+        elif type(value).__name__ in SKETCHES:
+            rest[name], inner = _flat(value, f"{at}{name}/")
+            tables |= inner
+        else:
+            rest[name] = {"_type": type(value).__name__, **dataclasses.asdict(value)} if dataclasses.is_dataclass(value) else value
+    return rest, tables
+
+
+def save(sketch: object, path: str, mode: str = "errorifexists") -> None:
+    """Write a sketch's tables and its parameters.  Buckets of a window are saved as the sketch that is grouped by them."""
+    if type(sketch).__name__ not in SKETCHES:
+        raise TypeError(f"no snapshot of {type(sketch).__name__}")
+    rest, tables = _flat(sketch)
+    for name, df in tables.items():
         df.write.mode(mode).parquet(f"{path}/{name}")
-    spark = next(iter(parts.values())).sparkSession
-    meta = spark.createDataFrame([(type(sketch).__name__, json.dumps(rest, sort_keys=True))], "kind string, parameters string")
+    spark = next(iter(tables.values())).sparkSession
+    meta = spark.createDataFrame([(json.dumps(rest, sort_keys=True),)], "parameters string")
     meta.coalesce(1).write.mode(mode).parquet(f"{path}/meta")
 
 
-def load(spark: SparkSession, path: str) -> Linear | HLL | DDSketch | KLL:
+def load(spark: SparkSession, path: str) -> object:
     """Read what :func:`save` wrote."""
-    row = spark.read.parquet(f"{path}/meta").first()
-    kinds = {c.__name__: c for c in (Linear, HLL, DDSketch, KLL)}
-    if row["kind"] not in kinds:
-        raise Mismatch(f"no sketch {row['kind']}")
-    made, rest = kinds[row["kind"]], json.loads(row["parameters"])
-    for name, cls in (("shape", Shape), ("mapping", Mapping)):
-        if name in rest:
-            rest[name] = cls(**rest[name])
-    rest["by"] = tuple(rest["by"])
-    tables = {f.name: spark.read.parquet(f"{path}/{f.name}") for f in dataclasses.fields(made) if f.name not in rest}
-    return made(**tables, **rest)
+    return _made(spark, path, json.loads(spark.read.parquet(f"{path}/meta").first()["parameters"]))
+
+
+def _made(spark: SparkSession, path: str, rest: dict) -> object:
+    kind = rest.pop("_type", None)
+    if kind in PARAMETERS:
+        return PARAMETERS[kind](**rest)
+    if kind not in SKETCHES:
+        raise Mismatch(f"no sketch {kind}")
+    made = SKETCHES[kind]
+    values = {k: _made(spark, f"{path}/{k}", dict(v)) if isinstance(v, dict) else tuple(v) if k == "by" else v for k, v in rest.items()}
+    return made(**values, **{f.name: spark.read.parquet(f"{path}/{f.name}") for f in dataclasses.fields(made) if f.name not in values})
 
 
 def json_points(df: DataFrame, ts: str, value: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Edge cases, algebra and error bounds."""
 
+import dataclasses
 import math
 import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmesh.functions import hashing
@@ -15,10 +17,11 @@ from cellmesh.operators.heavy import Coco
 from cellmesh.operators.hll import HLL
 from cellmesh.operators.hydra import Hydra
 from cellmesh.operators.kll import KLL
-from cellmesh.operators.linear import Linear, Shape, rows_of_mask
+from cellmesh.operators.linear import Linear, Shape, Tally, rows_of_mask
+from cellmesh.operators.tracked import Tracked
 from cellmesh.operators.univmon import Pyramid, UnivMon
 from cellmesh.operators.windows import Hybrid
-from cellmesh.sources import codecs, tables
+from cellmesh.sources import codecs, portable, tables
 from cellmesh.streaming.tau import Controller, replay
 
 
@@ -364,34 +367,86 @@ def test_controller():
     assert Controller(step=0).adjust(7.0, 500, None) == 7.0
 
 
-def test_codecs(spark, zipf, tmp_path):
+def test_codecs(spark, zipf):
     for x in (None, True, 0, 127, 128, 65536, -1, -33, -(2**40), 1.5, "ü" * 40, b"x" * 300, [1, [2.5, "a"]], {"a": 1, "b": [None]}):
         assert codecs.unpack(codecs.pack(x)) == x
     with pytest.raises(ValueError):
         codecs.unpack(codecs.pack("abc")[:-1])
-    kind, meta, payload = codecs.open_sealed(codecs.seal("dd", {"v": 1}, b"body") + b"more")
-    assert (kind, meta, payload) == ("dd", {"v": 1}, b"body")
+    kind, meta, payload = codecs.open_sealed(codecs.seal("ddsketch", {"v": 1}, b"body") + b"more")
+    assert (kind, meta, payload) == ("ddsketch", {"v": 1}, b"body")
     with pytest.raises(ValueError):
         codecs.open_sealed(b"nothing")
     with pytest.raises(Mismatch):
         codecs.cm_frame([[1.0], [1.0, 2.0]], False)
-    assert codecs.fields(codecs.message([(1, 300), (2, 1.5), (3, "a")])) == [(1, 300), (2, 1.5), (3, b"a")]
-    for values in ([0.0, -3.0, 1e6], [0.5, 2.0]):
-        assert codecs.counter_values(codecs.counters(values)) == values
-    assert codecs.is_delta(codecs.pack([True, 1, 2, 3])) and not codecs.is_delta(codecs.pack([1, 2, 3]))
-    variant, registers = codecs.hll_registers(codecs.encode_hll(HLL.build(zipf, "k")).first().data)
-    assert variant == "Datafusion" and sum(map(bool, registers)) == HLL.build(zipf, "k").registers.count()
-    alpha, counts, _ = codecs.unpack(codecs.encode_dd(DDSketch.build(zipf, "k")).first().data)
-    assert alpha == 0.01 and sum(counts) == 40_000
+    assert codecs.is_delta(codecs.heap_delta_frame(2, 2, [(0, 1, -3)], [("a", 2.0)], 5)) and not codecs.is_delta(codecs.heap_frame([[1.0]], [], 5))
+    assert codecs.heap_delta_values(codecs.heap_delta_frame(2, 2, [(0, 1, -3)], [("a", 2.0)], 5)) == (2, 2, [(0, 1, -3)], [("a", 2.0)], 5)
+    with pytest.raises(Mismatch):
+        codecs.heap_delta_values(codecs.heap_delta_frame(2, 2, [(2, 1, -3)], [], 5))
+    with pytest.raises(ValueError):
+        codecs.heap_delta_values(codecs.heap_frame([[1.0]], [], 5))
+
+
+def test_every_kind_is_sealed():
+    assert len(codecs.KINDS) == 58 and len(set(codecs.KINDS.values())) == 58
+    for kind in codecs.KINDS:
+        if kind in codecs.BARE:
+            with pytest.raises(ValueError):
+                codecs.seal(kind, {}, b"")
+        else:
+            assert codecs.open_sealed(codecs.seal(kind, {"m": 1}, b"xy")) == (kind, {"m": 1}, b"xy")
+    whole = codecs.seal("kll", {}, b"xy")
+    for n in range(len(whole)):
+        with pytest.raises(ValueError):
+            codecs.open_sealed(whole[:n])
+
+
+def test_metadata_is_strict():
+    profile = codecs.HashProfile()
+    meta = codecs.unpack(codecs.pack(codecs.metadata(1, profile, rows=3)))
+    assert codecs.read_metadata(meta, 1, profile, rows=int) == {"rows": 3}
+    other = dataclasses.replace(profile, seeds=(1, 2))
+    wrong = [(meta, 2, profile, {"rows": int}), (meta, 1, other, {"rows": int}), (meta, 1, profile, {}), (meta, 1, profile, {"rows": str}), (meta, 1, profile, {"rows": int, "cols": int}), (meta, 1, None, {"rows": int})]
+    for found, version, p, kinds in wrong:
+        with pytest.raises(Mismatch):
+            codecs.read_metadata(found, version, p, **kinds)
+
+
+def test_messages_refuse_what_is_wrong(spark, zipf):
+    shape = Shape(2, 16)
+    sketch = Linear.build(zipf, "k", shape=shape)
+    data = bytes(portable.to_messages(sketch).first().data)
+    for n in range(1, len(data) - 1, 7):
+        with pytest.raises(ValueError):
+            portable._linear_rows(portable.decode("Envelope", data[:n]).get("count_min", {}), shape)
+    for bad in (b"\xff\xff", b"\x9a\x06\x01a", b"\x0d\x00"):
+        with pytest.raises(ValueError):
+            portable.decode("Envelope", bad)
+    with pytest.raises(Exception, match="another shape"):
+        portable.from_messages(portable.to_messages(sketch), Linear(sketch.cells, Shape(2, 32))).cells.count()
+    with pytest.raises(ValueError):
+        portable.unpacked_registers(portable.packed_registers([(3, 1), (3, 2)]))
+    assert portable.unpacked_registers(portable.packed_registers([(0, 1), (5, 51), (16383, 2)])) == [(0, 1), (5, 51), (16383, 2)]
+    assert portable.fixed_point([float(x) for x in range(7, 57)]) == {"offset": 7.0, "value_scale": 0, "residuals": list(range(50))}
+    assert portable.fixed_point([0.25, 1.5])["value_scale"] == -2 and portable.fixed_point([math.pi, 1.0]) is None and portable.fixed_point([math.inf]) is None
 
 
 def test_snapshots(spark, zipf, tmp_path):
-    for i, sketch in enumerate((Linear.build(zipf, "k", shape=Shape(3, 64)), HLL.build(zipf, "k"), DDSketch.build(zipf, "k"), KLL.build(zipf, "k"))):
+    df = zipf.limit(500).withColumn("w", F.lit(2)).cache()
+    every = [
+        Linear.build(df, "k", shape=Shape(3, 64)), Tally.build(df, "k", "w", shape=Shape(3, 64)), HLL.build(df, "k"), DDSketch.build(df, "k"), KLL.build(df, "k"), Coco.build(df, "k", 2, 64),
+        heavy.elastic(df, "k", "i", 4), UnivMon.build(df, "k", pyramid=Pyramid(3, 20, 3, 64, 64)), Hydra.build(df, F.concat(F.lit("k="), F.col("k") % 3), "k", kind="hll", big=True),
+        Hybrid.build(df, "k", limit=10, pyramid=Pyramid(3, 20, 3, 64, 64)), Tracked.build(df, "k", k=10),
+        HLL.build(windows.assigned(df, "i", k=4, window=200), "k", windows.BUCKET),
+    ]
+    tables_of = lambda x: {n: v if isinstance(v, DataFrame) else tables_of(v) for n, v in vars(x).items() if isinstance(v, DataFrame) or type(v).__name__ in tables.SKETCHES}
+    rows = lambda t: {n: sorted(map(str, v.collect())) if isinstance(v, DataFrame) else rows(v) for n, v in t.items()}
+    rest = lambda x: {n: v for n, v in vars(x).items() if not isinstance(v, DataFrame) and type(v).__name__ not in tables.SKETCHES}
+    for i, sketch in enumerate(every):
         tables.save(sketch, str(tmp_path / str(i)))
         back = tables.load(spark, str(tmp_path / str(i)))
-        assert type(back) is type(sketch)
-        main = next(k for k, v in vars(sketch).items() if hasattr(v, "collect"))
-        assert sorted(map(tuple, getattr(back, main).collect())) == sorted(map(tuple, getattr(sketch, main).collect()))
+        assert type(back) is type(sketch) and rest(back) == rest(sketch) and rows(tables_of(back)) == rows(tables_of(sketch))
+    with pytest.raises(TypeError):
+        tables.save(df, str(tmp_path / "no"))
 
 
 def test_streams_of_folders(spark, tmp_path):
