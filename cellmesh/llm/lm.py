@@ -5,10 +5,10 @@ follow h k times (three: at least), and ``q`` is the same over continuation coun
 down to the uniform distribution over the V words known and one unknown.  After an unknown h, p is q.  Discounts come from
 the counts of counts over the whole corpus.
 
-Words are 64-bit hashes.  The range of hashes is cut into shards: one shard has the pairs whose first word, and the words whose
-own hash, is in its range.  A map task counts distinct pairs in sorted arrays before anything is shuffled.  Each shard becomes a file of
-sorted arrays in the shared folder; scoring looks the sorted distinct pairs of many documents up in memory maps, so a worker
-holds pages that it touches, not the model.
+Words are 64-bit hashes, kept whole.  The range of hashes is cut into shards: one shard has the pairs whose first word, and the words whose
+own hash, is in its range.  A map task counts distinct pairs in sorted arrays before anything is shuffled.  A reducing task gets several shards,
+sorted, and holds one at a time.  Each shard becomes a file of sorted arrays in the shared folder; scoring looks the sorted distinct
+pairs of many documents up in memory maps, so a worker holds pages that it touches, not the model.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_file, new_folder, stash, write_file
-from .text import NON_SPACE, U64, buffers, chunks, packed, unpacked, words
+from .text import NON_SPACE, U64, buffers, chunks, packed, release, unpacked, words
 
 BEGIN, END = U64(0x5A17C3E9B4D2F681), U64(0xC0FFEE1234ABCD77)
 #: Words that a task counts, or looks up, at a time.
 HELD = 1_000_000
-#: Bits by which a word is told apart within the followers of one word.
-FOLLOWER = 48
+#: Shards for each shuffle partition: a task holds one at a time, and gets about as many bytes as the others.
+SPLIT = 8
 
 
 def pairs_of(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +61,11 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
+def groups(shards: int) -> int:
+    """Groups of ``SPLIT`` shards, a shuffle partition each."""
+    return -(-shards // SPLIT)
+
+
 def small(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts as bytes, and places and values of those over 254."""
     big = np.flatnonzero(counts > 254)
@@ -74,9 +79,9 @@ def large(low: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-# Word counts of a shard: hash, count.  Followers: first words, how many followers each, followers' upper 32 and next 16 bits, counts.
+# Word counts of a shard: hash, count.  Followers: first words, how many followers each, followers, counts.
 WORDS = (U64, np.int64)
-FOLLOWERS = (U64, np.uint32, np.uint32, np.uint16, np.uint8, np.int64, np.int64)
+FOLLOWERS = (U64, np.uint32, U64, np.uint8, np.int64, np.int64)
 
 
 def count(docs: DataFrame, shards: int) -> DataFrame:
@@ -94,16 +99,15 @@ def count(docs: DataFrame, shards: int) -> DataFrame:
             left, right = code // len(u), u[code % len(u)]
             cut = np.searchsorted(shard_of(u, shards), np.arange(shards + 1))
             edge = np.searchsorted(left, cut)
-            uni, bi = [], []
-            for s in range(shards):
+            uni, bi, full = [], [], np.flatnonzero(np.diff(cut)).tolist()
+            for s in full:
                 a, b = cut[s], cut[s + 1]
                 seen = n[a:b] > 0
                 uni.append(packed(u[a:b][seen], n[a:b][seen].astype(np.int64)))
                 p, q = edge[s], edge[s + 1]
                 who, many = np.unique(left[p:q], return_counts=True)
-                w = right[p:q]
-                bi.append(packed(u[who], many.astype(np.uint32), (w >> U64(32)).astype(np.uint32), ((w >> U64(16)) & U64(0xFFFF)).astype(np.uint16), *small(times[p:q])))
-            return pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array(uni, pa.binary()), pa.array(bi, pa.binary())], ["shard", "words", "followers"])
+                bi.append(packed(u[who], many.astype(np.uint32), right[p:q], *small(times[p:q])))
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(uni, pa.binary()), pa.array(bi, pa.binary())], ["shard", "words", "followers"])
 
         for batch in chunks(batches):
             h, _, _, off = words(*buffers(batch.column(0)), NON_SPACE)
@@ -129,86 +133,95 @@ def summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[starts], np.add.reduceat(value, starts)
 
 
-# A shard's files.  Words: hash, count.  Pairs: first words' hashes, totals, followers seen once, twice, more; keys; counts.
-PAIRS = (U64, np.float32, np.uint32, np.uint32, np.uint32, U64, np.uint8, np.int64, np.int64)
+# A shard's pair file: first words' hashes, where their followers begin, totals, followers seen once, twice, more; followers; counts.
+PAIRS = (U64, np.int64, np.float32, np.uint32, np.uint32, np.uint32, U64, np.uint8, np.int64, np.int64)
+
 
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """``(shard, columns)`` of rows that come sorted by their first column: one shard's byte strings at a time."""
+    here, held = None, []
+    for batch in batches:
+        for shard, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != here:
+                if held:
+                    yield here, [list(c) for c in zip(*held, strict=True)]
+                here, held = shard, []
+            held.append(data)
+    if held:
+        yield here, [list(c) for c in zip(*held, strict=True)]
 
-def follower_bits(firsts: int) -> int:
-    """Bits of a pair's key that the follower has; the rest number the first words."""
-    return min(FOLLOWER, 64 - max(1, int(firsts).bit_length()))
+
+def merged_pairs(fields: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(firsts, begin, after, times)`` of followers as tasks sent them: each pair once, sorted by first word and follower."""
+    firsts, number = np.unique(np.concatenate([np.repeat(f[0], f[1]) for f in fields]), return_inverse=True)
+    after, times = np.concatenate([f[2] for f in fields]), np.concatenate([large(*f[3:]) for f in fields])
+    fields.clear()
+    order = np.lexsort((after, number))
+    number, after, times = number[order], after[order], times[order]
+    starts = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (after[1:] != after[:-1])])) if len(number) else np.zeros(0, np.int64)
+    times = np.add.reduceat(times, starts) if len(starts) else times
+    return firsts, np.searchsorted(number[starts], np.arange(len(firsts) + 1)), after[starts], times
 
 
 def gather(parts: DataFrame, shards: int, folder: str) -> DataFrame:
-    """Write each shard's word and pair files; ``shard, stats, to, data``: counts of a shard, and its followers' continuation counts for shard ``to``."""
+    """Write each shard's word and pair files; ``shard, stats, to, data``: counts of a shard, and continuation counts of followers in group ``to`` of shards."""
 
-    def merge(shard: int, uni: list[bytes], bi: list[bytes]) -> Iterator[dict]:
+    def merge(shard: int, uni: list[bytes], bi: list[bytes]) -> tuple[dict, np.ndarray, np.ndarray]:
         h, n = summed(*(np.concatenate(x) for x in zip(*(unpacked(d, *WORDS) for d in uni), strict=True)))
         write_file(f"{folder}/words-{shard}", packed(h, n))
-        fields = [unpacked(d, *FOLLOWERS) for d in bi]
-        who = np.concatenate([np.repeat(f[0], f[1]) for f in fields])
-        firsts, number = np.unique(who, return_inverse=True)
-        del who
-        after = np.concatenate([f[2].astype(U64) << U64(16) | f[3] for f in fields])
-        times = np.concatenate([large(*f[4:]) for f in fields])
-        del fields
-        wide = follower_bits(len(firsts))
-        # Followers that share a key are counted as one: of 48 bits within one first word that takes millions of followers.
-        order = np.argsort(number.astype(U64) << U64(wide) | after >> U64(FOLLOWER - wide), kind="stable")
-        number, after, times = number[order], after[order], times[order]
-        new = np.concatenate([[True], (number[1:] != number[:-1]) | (after[1:] >> U64(FOLLOWER - wide) != after[:-1] >> U64(FOLLOWER - wide))])
-        starts = np.flatnonzero(new)
-        times = np.add.reduceat(times, starts)
-        key = number[starts].astype(U64) << U64(wide) | after[starts] >> U64(FOLLOWER - wide)
-        to, continued = np.unique(after[starts], return_counts=True)
-        number = (key >> U64(wide)).astype(np.int64)
+        firsts, begin, after, times = merged_pairs([unpacked(d, *FOLLOWERS) for d in bi])
+        number = np.repeat(np.arange(len(firsts)), np.diff(begin))
         by = lambda mask: np.bincount(number[mask], minlength=len(firsts)).astype(np.uint32)
         total = np.bincount(number, times, len(firsts)).astype(np.float32)
-        write_file(f"{folder}/pairs-{shard}", packed(firsts, total, by(times == 1), by(times == 2), by(times > 2), key, *small(times)))
+        write_file(f"{folder}/pairs-{shard}", packed(firsts, begin.astype(np.int64), total, by(times == 1), by(times == 2), by(times > 2), after, *small(times)))
         once = [int((times == k).sum()) for k in (1, 2, 3, 4)]
-        yield {"shard": shard, "stats": [int(n.sum()), len(h), len(key), *once], "to": None, "data": None}
-        cut = np.searchsorted(shard_of(to << U64(16), shards), np.arange(shards + 1))
-        for s in range(shards):
-            a, b = cut[s], cut[s + 1]
-            if b > a:
-                yield {"shard": shard, "stats": None, "to": s, "data": packed(to[a:b], *small(continued[a:b]))}
+        return {"shard": shard, "stats": [int(n.sum()), len(h), len(after), *once], "to": None, "data": None}, *np.unique(after, return_counts=True)
+
+    def given(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        to, continued = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        group = shard_of(to, shards) // SPLIT
+        cut = np.searchsorted(group, np.arange(groups(shards) + 1))
+        rows = [{"shard": None, "stats": None, "to": g, "data": packed(to[cut[g] : cut[g + 1]], *small(continued[cut[g] : cut[g + 1]]))} for g in np.flatnonzero(np.diff(cut)).tolist()]
+        return pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[list, list]] = {}
-        for batch in batches:
-            for shard, uni, bi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lists = found.setdefault(shard, ([], []))
-                lists[0].append(uni)
-                lists[1].append(bi)
-        for shard in sorted(found):
-            uni, bi = found.pop(shard)
-            yield pa.RecordBatch.from_pylist(list(merge(shard, uni, bi)), schema=kinds)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of several shards, as words follow many others
+        for shard, (uni, bi) in by_shard(batches):
+            stats, to, continued = merge(shard, uni, bi)
+            yield pa.RecordBatch.from_pylist([stats], schema=kinds)
+            held.append((to, continued))
+            if sum(len(x) for x, _ in held) > 4 * HELD:
+                yield given(held)
+                held = []
+        if held:
+            yield given(held)
+        release()
 
     kinds = pa.schema([("shard", pa.int32()), ("stats", pa.list_(pa.int64())), ("to", pa.int32()), ("data", pa.binary())])
-    return parts.repartition(shards, "shard").mapInArrow(rows, "shard int, stats array<bigint>, to int, data binary")
+    dealt = parts.repartition(groups(shards), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(rows, "shard int, stats array<bigint>, to int, data binary")
 
 
 def continue_words(parts: DataFrame, shards: int, folder: str) -> DataFrame:
     """Write each shard's continuation counts beside its words; ``stats``: their total and counts of counts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
-        for batch in batches:
-            for shard, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.setdefault(shard, []).append(data)
         out = []
-        for shard in sorted(found):
-            fields = [unpacked(d, U64, np.uint8, np.int64, np.int64) for d in found.pop(shard)]
+        for group, (data,) in by_shard(batches):
+            fields = [unpacked(d, U64, np.uint8, np.int64, np.int64) for d in data]
             w, n = summed(np.concatenate([f[0] for f in fields]), np.concatenate([large(*f[1:]) for f in fields]))
-            h, _ = unpacked(map_file(f"{folder}/words-{shard}"), *WORDS)
-            counts = np.zeros(len(h), np.int64)
-            at = np.searchsorted(h >> U64(64 - FOLLOWER), w)
-            counts[at] = n
-            write_file(f"{folder}/continued-{shard}", packed(*small(counts)))
-            out.append([int(n.sum()), *(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts > 2).sum())])
+            cut = np.searchsorted(shard_of(w, shards), np.arange(group * SPLIT, min(shards, (group + 1) * SPLIT) + 1))
+            for shard, a, b in zip(range(group * SPLIT, shards), cut[:-1], cut[1:], strict=False):
+                if b > a:
+                    h, _ = unpacked(map_file(f"{folder}/words-{shard}"), *WORDS)
+                    counts = np.zeros(len(h), np.int64)
+                    counts[np.searchsorted(h, w[a:b])] = n[a:b]
+                    write_file(f"{folder}/continued-{shard}", packed(*small(counts)))
+                    out.append([int(counts.sum()), *(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts > 2).sum())])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["stats"])
 
-    return parts.repartition(shards, "to").mapInArrow(rows, "stats array<bigint>")
+    return parts.repartition(groups(shards), "to").sortWithinPartitions("to").mapInArrow(rows, "stats array<bigint>")
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -238,9 +251,11 @@ class Model:
 
 
 def train(docs: DataFrame, shards: int | None = None, text: str = "text") -> Model:
-    """Count all of ``docs`` and write the model.  Null texts are empty: an end after the beginning."""
+    """Count all of ``docs`` and write the model.  Null texts are empty: an end after the beginning.  Repeated rows count as often as
+    they are there; other columns are not read.  ``shards``: ``SPLIT`` for each shuffle partition, by default.
+    """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or SPLIT * int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = new_folder(spark, "lm")
     gathered = stash(gather(count(docs.select(F.col(text).alias("text")), shards), shards, folder), "lm-gathered")
     total = gathered.where("stats is not null").select(F.collect_list("shard").alias("have"), *(F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(7))).first()
@@ -253,12 +268,12 @@ def train(docs: DataFrame, shards: int | None = None, text: str = "text") -> Mod
     return Model(folder, shards, frozenset(total["have"]), total["s0"], total["s1"], total["s2"], discounts([total[f"s{k}"] for k in (3, 4, 5, 6)]), d, backoff)
 
 
-@lru_cache(maxsize=128)
+@lru_cache(maxsize=1 << 14)
 def _words(folder: str, shard: int):
     return unpacked(map_file(f"{folder}/words-{shard}"), *WORDS), unpacked(map_file(f"{folder}/continued-{shard}"), np.uint8, np.int64, np.int64)
 
 
-@lru_cache(maxsize=128)
+@lru_cache(maxsize=1 << 14)
 def _pairs(folder: str, shard: int):
     return unpacked(map_file(f"{folder}/pairs-{shard}"), *PAIRS)
 
@@ -271,6 +286,20 @@ def find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, sorted_keys[at] == wanted
 
 
+def find_within(keys: np.ndarray, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(place, found)`` of each wanted key in its own sorted stretch of ``keys``, all stretches halved together."""
+    lo, hi = begin.copy(), end.copy()
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) >> 1
+        less = keys[mid] < wanted[open_]
+        lo[open_] = np.where(less, mid + 1, lo[open_])
+        hi[open_] = np.where(less, hi[open_], mid)
+        open_ = open_[lo[open_] < hi[open_]]
+    at = np.minimum(lo, max(0, len(keys) - 1))
+    return at, (lo < end) & (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+
+
 def _counts(low: np.ndarray, big: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = low[at].astype(np.int64)
     over = np.flatnonzero(out == 255)
@@ -304,12 +333,11 @@ def pair_probabilities(model: Model, first: np.ndarray, word: np.ndarray, q: np.
         a, b = cut[s], cut[s + 1]
         if b == a:
             continue
-        firsts, total, n1, n2, n3, key, *counts = _pairs(model.folder, s)
+        firsts, begin, total, n1, n2, n3, after, *counts = _pairs(model.folder, s)
         at, found = find(firsts, first[a:b])
         at, some = at[found], np.flatnonzero(found) + a
-        wide = follower_bits(len(firsts))
-        place, seen = find(key, at.astype(U64) << U64(wide) | word[some] >> U64(64 - wide))
-        c = np.where(seen, _counts(*counts, place), 0) if len(key) else np.zeros(len(some), np.int64)
+        place, seen = find_within(after, begin[at], begin[at + 1], word[some])
+        c = np.where(seen, _counts(*counts, place), 0) if len(after) else np.zeros(len(some), np.int64)
         lower = d[1] * n1[at] + d[2] * n2[at] + d[3] * n3[at]
         out[some] = (np.maximum(c - d[np.minimum(c, 3)], 0) + lower * q[some]) / total[at].astype(float)
     return out
