@@ -98,3 +98,14 @@ reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN e
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id))::BIGINT AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON d.doc_id = r.a GROUP BY d.doc_id, n.n
 """
+
+# What SQL can say of the mixture: sizes and targets.  The drawn copies are held against expectations by tests.
+MIXING = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+-- The level at which targets sum to the total, if the sources up to a ratio of size and weight are full.
+l AS (SELECT *, sum(source_size) OVER () AS total, source_size / w AS ratio, coalesce(sum(source_size) OVER o, 0) AS full_size, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS open_weight
+  FROM s WINDOW o AS (ORDER BY source_size / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT arg_min((total - 3 * full_size) / open_weight, ratio) AS level FROM l WHERE (total - 3 * full_size) / open_weight * w <= 3 * source_size)
+SELECT doc_id, size, source_size, least(3.0 * source_size, level * w)::DOUBLE AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source CROSS JOIN t
+"""

@@ -119,32 +119,44 @@ def fit(rows: list[dict], rounds: int = 150, rate: float = 0.5, decay: float = 1
     x = np.zeros(SIZE + k)
     x[SIZE], x[SIZE + 1 :] = base[0], np.log(np.maximum(1e-3, np.diff(base)))
     m, v = np.zeros_like(x), np.zeros_like(x)
-
-    def thresholds(x: np.ndarray) -> np.ndarray:
-        return x[SIZE] + np.concatenate([[0], np.cumsum(np.exp(x[SIZE + 1 :]))])
-
     for t in range(1, rounds + 1):
-        s = np.concatenate([np.bincount(doc, value * x[feature], min(100, len(rows) - a)) for a, doc, feature, value in found])
-        cut = thresholds(x)
-        p = sigmoid(s[:, None] - np.concatenate([[-np.inf], cut, [np.inf]])[None, :])  # P(grade >= j), 1 first, 0 last
-        i = np.arange(len(rows))
-        hi, lo = p[i, y], p[i, y + 1]
-        mass = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = hi * (1 - hi) / mass, lo * (1 - lo) / mass
-        d_s = share * (d_hi - d_lo)  # of the log likelihood
-        g = np.empty_like(x)
-        g[:SIZE] = 0
-        for a, doc, feature, value in found:
-            np.add.at(g, feature, value * d_s[a + doc])
-        g_cut = np.zeros(k)
-        np.add.at(g_cut, y[y > 0] - 1, -(share * d_hi)[y > 0])
-        np.add.at(g_cut, y[y < k], (share * d_lo)[y < k])
-        g[SIZE] = g_cut.sum()
-        g[SIZE + 1 :] = np.cumsum(g_cut[::-1])[::-1][1:] * np.exp(x[SIZE + 1 :])
-        g = decay * np.concatenate([x[:SIZE], np.zeros(k)]) - g
+        _, g = loss(x, found, y, share, decay)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
-    return {"grades": grades, "weights": x[:SIZE].astype(np.float32), "thresholds": thresholds(x)}
+    return {"grades": grades, "weights": x[:SIZE].astype(np.float32), "thresholds": ordered(x)}
+
+
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Thresholds from their parameters, behind the weights: the first, and the logarithms of the steps to the others."""
+    return x[SIZE] + np.concatenate([[0], np.cumsum(np.exp(x[SIZE + 1 :]))])
+
+
+def loss(x: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, share: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """The weighted negative log likelihood of grades ``y`` with ``decay`` on squared weights, and its gradient.
+
+    ``found``: blocks of texts as the number of the first, and each entry's text within the block, feature and share of its words.
+    """
+    k = len(x) - SIZE
+    s = np.zeros(len(y))
+    for a, doc, feature, value in found:
+        s[a : a + 100] = np.bincount(doc, value * x[feature], min(100, len(y) - a))
+    cut = ordered(x)
+    p = sigmoid(s[:, None] - np.concatenate([[-np.inf], cut, [np.inf]])[None, :])  # P(grade >= j), 1 first, 0 last
+    i = np.arange(len(y))
+    hi, lo = p[i, y], p[i, y + 1]
+    mass = np.maximum(hi - lo, 1e-12)
+    d_hi, d_lo = hi * (1 - hi) / mass, lo * (1 - lo) / mass
+    d_s = share * (d_hi - d_lo)  # of the log likelihood
+    g = np.zeros_like(x)
+    for a, doc, feature, value in found:
+        np.add.at(g, feature, value * d_s[a + doc])
+    g_cut = np.zeros(k)
+    np.add.at(g_cut, y[y > 0] - 1, -(share * d_hi)[y > 0])
+    np.add.at(g_cut, y[y < k], (share * d_lo)[y < k])
+    g[SIZE] = g_cut.sum()
+    g[SIZE + 1 :] = np.cumsum(g_cut[::-1])[::-1][1:] * np.exp(x[SIZE + 1 :])
+    g = decay * np.concatenate([x[:SIZE], np.zeros(k)]) - g
+    return float(decay / 2 * (x[:SIZE] ** 2).sum() - (share * np.log(mass)).sum()), g
 
 
 def score(docs: DataFrame, uri: str, text: str = "text", name: str = "quality_score") -> DataFrame:

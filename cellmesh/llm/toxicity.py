@@ -61,7 +61,7 @@ def forward(model: dict, rows: np.ndarray, off: np.ndarray, where: bool = False)
     x = table[rows[:, 0]] + table[rows[:, 1]]
     n = np.diff(off) - (max(WIDTHS) - 1)
     full = np.flatnonzero(n)
-    pooled = np.zeros((len(n), FILTERS * len(WIDTHS)), np.float32)
+    pooled = np.zeros((len(n), FILTERS * len(WIDTHS)), table.dtype)
     spots = np.full(pooled.shape, -1, np.int64)
     if not len(full):
         return pooled, spots, x
@@ -93,6 +93,36 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def gradients(model: dict, toks: np.ndarray, off: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """``(g, hit, table_grad)``: of the mean weighted log loss, by parameter; of the embeddings the rows in use alone.
+
+    Errors flow only through the words that pooling chose.
+    """
+    kind = model["table"].dtype
+    pooled, spots, x = forward(model, toks, off, where=True)
+    d = (share * (sigmoid(logits(model, pooled)) - y) / len(y)).astype(kind)
+    g: dict[str, object] = {"out": pooled.T @ d, "out_bias": d.sum()}
+    d_pool = d[:, None] * model["out"][None, :]
+    rows_hit, grads = [np.zeros(0, np.int64)], [np.zeros((0, DIM), kind)]
+    for k, w in enumerate(WIDTHS):
+        part = slice(k * FILTERS, (k + 1) * FILTERS)
+        t, f = np.nonzero(spots[:, part] >= 0)
+        at, dv = spots[:, part][t, f], d_pool[:, part][t, f]
+        f_grad = np.zeros((w, DIM, FILTERS), kind)
+        kernel = model["filters"][k].reshape(w, DIM, FILTERS)
+        for j in range(w):
+            np.add.at(f_grad[j].T, f, x[at + j] * dv[:, None])
+            dx = kernel[j][:, f].T * dv[:, None]
+            rows_hit += [toks[at + j, 0], toks[at + j, 1]]
+            grads += [dx, dx]
+        g[f"filters{k}"] = f_grad.reshape(w * DIM, FILTERS)
+        g[f"bias{k}"] = np.bincount(f, dv, FILTERS).astype(kind)
+    hit, inverse = np.unique(np.concatenate(rows_hit), return_inverse=True)
+    table_grad = np.zeros((len(hit), DIM), kind)
+    np.add.at(table_grad, inverse, np.concatenate(grads))
+    return g, hit, table_grad
+
+
 def fit(rows: list[dict], epochs: int = 6, batch: int = 64, rate: float = 0.005, seed: int = 5) -> dict:
     """A model from ``label, total, text`` rows by Adam over batches; a quarter of them sets slope and shift.  ``learned``: the other rows' numbers.
 
@@ -122,28 +152,8 @@ def fit(rows: list[dict], epochs: int = 6, batch: int = 64, rate: float = 0.005,
             ids = fitted[a : a + batch]
             off = np.concatenate([[0], np.cumsum([len(cache[i]) for i in ids])])
             toks = np.concatenate([cache[i] for i in ids])
-            pooled, spots, x = forward(model, toks, off, where=True)
-            d = (share[ids] * (sigmoid(logits(model, pooled)) - y[ids]) / len(ids)).astype(np.float32)
-            g: dict[str, object] = {"out": pooled.T @ d, "out_bias": d.sum()}
-            d_pool = d[:, None] * model["out"][None, :]
-            rows_hit, grads = [], []
-            for k, w in enumerate(WIDTHS):
-                part = slice(k * FILTERS, (k + 1) * FILTERS)
-                t, f = np.nonzero(spots[:, part] >= 0)
-                at, dv = spots[:, part][t, f], d_pool[:, part][t, f]
-                f_grad = np.zeros((w, DIM, FILTERS), np.float32)
-                kernel = model["filters"][k].reshape(w, DIM, FILTERS)
-                for j in range(w):
-                    np.add.at(f_grad[j].T, f, x[at + j] * dv[:, None])
-                    dx = kernel[j][:, f].T * dv[:, None]
-                    rows_hit += [toks[at + j, 0], toks[at + j, 1]]
-                    grads += [dx, dx]
-                g[f"filters{k}"] = f_grad.reshape(w * DIM, FILTERS)
-                g[f"bias{k}"] = np.bincount(f, dv, FILTERS).astype(np.float32)
+            g, hit, table_grad = gradients(model, toks, off, y[ids], share[ids])
             step += 1
-            hit, inverse = np.unique(np.concatenate(rows_hit), return_inverse=True)
-            table_grad = np.zeros((len(hit), DIM), np.float32)
-            np.add.at(table_grad, inverse, np.concatenate(grads))
             for n in names:
                 if n == "table":  # only the rows in use move
                     mm, vv = m[n][hit] * 0.9 + 0.1 * table_grad, v[n][hit] * 0.99 + 0.01 * table_grad**2
