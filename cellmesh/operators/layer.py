@@ -1,4 +1,4 @@
-"""Several sketches over one scan, and their answers side by side."""
+"""Several sketches from one scan, and their answers side by side."""
 
 from __future__ import annotations
 
@@ -7,9 +7,40 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from .frames import Mismatch, UnsupportedQuery
-from .hll import HLL
-from .linear import Linear
+from .hll import HLL, register, rest, rho_of
+from .linear import Linear, Shape, hashed, place
+
+
+def build(df: DataFrame, key: str, sketches: dict[str, Shape | str]) -> dict[str, Linear | HLL]:
+    """A sketch of ``key`` for each name: a shape makes a Count-Min or Count-Sketch, a variant's name a HyperLogLog.
+
+    One scan hashes each key once for each way of slicing, deals all sketches' cells, and sums them or takes the least in one grouped
+    aggregation.  Its cells, which parameters bound, are cached: each sketch is a part of them.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"))
+    entries, shapes = [], {}
+    for name, made in sketches.items():
+        if isinstance(made, Shape):
+            alike = next((n for n, s in shapes.items() if (s.rows, s.cols, s.profile) == (made.rows, made.cols, made.profile)), None)
+            if alike is None:
+                rows = hashed(rows, F.col("_key"), made).withColumnsRenamed({f"_h{i}": f"_{name}_{i}" for i in range(made.rows)})
+            shapes[name], words = made, alike or name
+            for r in range(made.rows):
+                col, sign = (x.replace("_h", f"_{words}_") for x in place(made, r))
+                entries.append(f"named_struct('sketch', '{name}', 'row', {r}, 'col', {col}, 'v', cast({sign} as double), 'low', cast(null as bigint))")
+        else:
+            rows = rows.withColumn(f"_{name}_h", hashing.word_of(F.col("_key")))
+            rows = rows.withColumns({f"_{name}_reg": register(F.col(f"_{name}_h")), f"_{name}_low": rest(F.col(f"_{name}_h"))})
+            entries.append(f"named_struct('sketch', '{name}', 'row', 0, 'col', _{name}_reg, 'v', cast(null as double), 'low', _{name}_low)")
+    dealt = rows.selectExpr(f"inline(array({', '.join(entries)}))")
+    cells = dealt.groupBy("sketch", "row", "col").agg(F.sum("v").alias("v"), F.min("low").alias("low")).persist()
+    own = lambda name: cells.where(F.col("sketch") == name)
+    return {
+        name: Linear(own(name).select("row", "col", "v"), made) if isinstance(made, Shape) else HLL(own(name).select(F.col("col").alias("reg"), rho_of(F.col("low")).alias("rho")), variant=made)
+        for name, made in sketches.items()
+    }
 
 
 def query(sketches: dict[str, object], probes: DataFrame, key: str, ask: str) -> DataFrame:

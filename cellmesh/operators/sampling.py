@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,7 +95,6 @@ def nitro_estimate(sketch: Linear, probes: DataFrame, key: str) -> DataFrame:
 
 def hash_threshold(df: DataFrame, key: str, p: float) -> DataFrame:
     """The rows of kept keys, by the key's mixed XXH3 hash: the rule for exchange with sketches made elsewhere."""
-    import pandas as pd
 
     @F.pandas_udf("boolean")
     def keep(keys: pd.Series) -> pd.Series:

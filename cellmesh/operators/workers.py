@@ -7,12 +7,16 @@ unit weights.  What is sent and what is held always add up to the exact sketch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import as_list
+from ..streaming.tau import Controller, replay
+from .ddsketch import DDSketch, Mapping
+from .frames import UnsupportedQuery, as_list
 from .hll import HLL, changes
 from .linear import Linear, Shape, addressed
 
@@ -35,9 +39,25 @@ def crossings(
     items = items.where(F.col("_key").isNotNull() & F.col("_w").isNotNull() & (F.col("_w") != 0))
     cells = addressed(items, "_key", shape, None if rows is None else F.col("_rows"))
     cells = cells.select(*own, *CELL, "_at", F.col("_key").cast("string").alias("_key"), (F.col("sign") * F.col("_w")).alias("_w"), "_tau")
-    names, signed = [*own, *CELL], shape.signed
+    return _sent(cells, [*own, *CELL], shape.signed)
+
+
+def bucket_crossings(df: DataFrame, value: str, order: str, tau: float | str, mapping: Mapping = Mapping(), worker: str | None = None) -> DataFrame:
+    """``([worker,] bucket, at, d, flush)``: the same for DDSketch's buckets, each value one update.  Values that cannot be indexed are left out."""
+    own, v = [] if worker is None else [worker], F.col(value).cast("double")
+    limit = F.col(tau) if isinstance(tau, str) else F.lit(float(tau))
+    items = df.where(mapping.indexable(v)).select(*own, mapping.bucket(v).alias("bucket"), F.col(order).alias("_at"), v.cast("string").alias("_key"), F.lit(1.0).alias("_w"), limit.cast("double").alias("_tau"))
+    return _sent(items, [*own, "bucket"], False)
+
+
+def _sent(cells: DataFrame, names: list[str], signed: bool) -> DataFrame:
+    """Messages of the cells that ``names`` name, from their updates ``_at, _key, _w, _tau``."""
     kinds = "".join(f"{c} {cells.schema[c].dataType.simpleString()}, " for c in names)
 
+    def table(out: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(out, columns=[*names, "at", "d", "flush"])
+        return made.astype({"at": "Int64", "d": "float64", "flush": "boolean"})
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, held = None, 0.0
         for batch in batches:
@@ -55,12 +75,7 @@ def crossings(
         if here is not None:
             yield table([(*here, None, held, True)])
 
-    def table(out: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=[*names, "at", "d", "flush"])
-        return made.astype({"at": "Int64", "d": "float64", "flush": "boolean"})
-
-    sorted_cells = cells.repartition(*names).sortWithinPartitions(*names, "_at", "_key")
-    return sorted_cells.mapInPandas(fold, f"{kinds}at bigint, d double, flush boolean")
+    return cells.repartition(*names).sortWithinPartitions(*names, "_at", "_key").mapInPandas(fold, f"{kinds}at bigint, d double, flush boolean")
 
 
 def accounts(sent: DataFrame, worker: str | None = None) -> DataFrame:
@@ -100,3 +115,70 @@ def aggregated_registers(sent: DataFrame, flushed: bool = True) -> HLL:
     """The largest value of each register that workers sent."""
     rows = sent if flushed else sent.where("not flush")
     return HLL(rows.groupBy("reg").agg(F.max("rho").alias("rho")))
+
+
+class Rule(Protocol):
+    """What a kind of sketch says of its cells: what workers send of a stream, and how the aggregator puts it together."""
+
+    def messages(self, df: DataFrame, key: str, order: str, tau: float | str, worker: str) -> DataFrame: ...
+
+    def merged(self, sent: DataFrame, flushed: bool) -> object: ...
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Count-Min cells go at ``tau``, Count-Sketch cells at either sign of it; they add."""
+
+    shape: Shape = Shape()
+
+    def messages(self, df: DataFrame, key: str, order: str, tau: float | str, worker: str) -> DataFrame:
+        return crossings(df, key, order, tau, self.shape, None, worker)
+
+    def merged(self, sent: DataFrame, flushed: bool) -> Linear:
+        return aggregated(sent, self.shape, flushed)
+
+
+@dataclass(frozen=True)
+class Registers:
+    """Registers go after each ``tau`` rises and stay; the largest counts.  The threshold cannot follow a queue."""
+
+    def messages(self, df: DataFrame, key: str, order: str, tau: float | str, worker: str) -> DataFrame:
+        if isinstance(tau, str):
+            raise UnsupportedQuery("registers go by a fixed number of rises")
+        return register_batches(df, key, order, int(tau), worker)
+
+    def merged(self, sent: DataFrame, flushed: bool) -> HLL:
+        return aggregated_registers(sent, flushed)
+
+
+@dataclass(frozen=True)
+class Quantiles:
+    """Buckets go at ``tau`` values; they add."""
+
+    alpha: float = 0.01
+
+    def messages(self, df: DataFrame, key: str, order: str, tau: float | str, worker: str) -> DataFrame:
+        return bucket_crossings(df, key, order, tau, Mapping(self.alpha), worker)
+
+    def merged(self, sent: DataFrame, flushed: bool) -> DDSketch:
+        rows = sent if flushed else sent.where("not flush")
+        return DDSketch.from_buckets(rows.groupBy("bucket").agg(F.sum("d").cast("bigint").alias("cnt")).where("cnt > 0"), alpha=self.alpha)
+
+
+@dataclass(frozen=True)
+class System:
+    """Workers and their aggregator: a rule, and a threshold that stays or that each worker's queue moves."""
+
+    rule: Rule
+    tau: float | Controller
+
+    def run(self, df: DataFrame, key: str, order: str, worker: str, depth: str | None = None) -> DataFrame:
+        """All messages.  ``depth``: the length of a worker's queue at each item, for a threshold that moves; ``order`` then names an item."""
+        if not isinstance(self.tau, Controller):
+            return self.rule.messages(df, key, order, self.tau, worker)
+        taus = replay(df, order, depth, self.tau, (worker,)).select(worker, order, F.col("tau").alias("_moving"))
+        return self.rule.messages(df.join(taus, [worker, order]), key, order, "_moving", worker)
+
+    def sketch(self, sent: DataFrame, flushed: bool = True) -> object:
+        """What the aggregator holds, before or after the last flush."""
+        return self.rule.merged(sent, flushed)

@@ -135,6 +135,13 @@ def _(spark, d):
     return one.select((F.abs(F.col("entropy") - F.col("exact_h")) <= 0.1 * F.col("exact_h")).alias("entropy_within"), (F.abs(F.col("l2") - F.col("exact_l2")) <= 0.05 * F.col("exact_l2")).alias("l2_within"))
 
 
+@query("univmon_untracked", f"SELECT key AS user_id, cnt FROM ({_TOP}) WHERE layer = 0")
+def _(spark, d):
+    """Without tracked keys frequencies can still be asked."""
+    e = events(spark, d)
+    return UnivMon.build(e, "user_id", pyramid=PYRAMID, track=False).frequency(e, "user_id")
+
+
 @query("entropy_exact", "SELECT round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM events GROUP BY user_id)")
 def _(spark, d):
     n = events(spark, d).groupBy("user_id").count()
@@ -353,3 +360,10 @@ def _(spark, d):
     from ..sources.tables import json_points
 
     return json_points(events(spark, d), "event_id", "user_id").select("event_id", "json")
+
+
+@query("series_points_read", "SELECT event_id, event_id / 1000 AS seconds, user_id::VARCHAR AS value FROM events")
+def _(spark, d):
+    from ..sources.tables import json_points, read_points
+
+    return read_points(json_points(events(spark, d), "event_id", "user_id").select("event_id", "json"), "json")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..operators import deltas, heavy, layer, sampling
 from ..operators.frames import top_k
 from ..operators.heavy import Coco
-from ..operators.hll import HLL
 from ..operators.linear import Linear, Shape, Tally, insert_at_rows, unfold_merge
 from ..operators.tracked import Tracked
-from ..sources.tables import read
+from ..sources.tables import load, packets, read, save
 from . import sqltext as s
 from .registry import query
 
@@ -419,8 +419,90 @@ def _(spark, d):
 )
 def _(spark, d):
     e = events(spark, d)
-    sketches = {"cm": Linear.build(e, "user_id"), "cs": Linear.build(e, "user_id", shape=CS), "hll": HLL.build(e, "user_id")}
-    return layer.query(sketches, e, "user_id", "frequency")
+    return layer.query(layer.build(e, "user_id", {"cm": Shape(), "cs": CS, "hll": "ertl"}), e, "user_id", "frequency")
+
+
+@query("hash_layer_registers", s.registers("events", "user_id"))
+def _(spark, d):
+    return layer.build(events(spark, d), "user_id", {"cm": Shape(), "hll": "ertl"})["hll"].registers
+
+
+@query("any_sketch_merge", s.cells("events", "user_id", signed=True))
+def _(spark, d):
+    """Sketches of one type merge, whatever it is."""
+    e = events(spark, d)
+    a, b = (layer.build(e.where(f"event_id % 2 = {i}"), "user_id", {"x": CS, "y": "ertl"}) for i in (0, 1))
+    return layer.merge(a["x"], b["x"]).cells
+
+
+# --- hashes ---
+
+_WORD = s.word("user_id")
+
+
+@query(
+    "hash_slices",
+    f"SELECT DISTINCT user_id, (({_WORD} >> 22) & 2047)::INTEGER AS col, (CASE WHEN ({_WORD} >> 61) & 1 = 1 THEN 1 ELSE -1 END)::INTEGER AS sign FROM events",
+)
+def _(spark, d):
+    """The third row's column and sign of a 64-bit hash."""
+    h = hashing.word_of(F.col("user_id"), "md5")
+    return events(spark, d).select("user_id", hashing.derive_index(h, 2, 2048).alias("col"), hashing.derive_sign(h, 2).alias("sign")).distinct()
+
+
+_MASK = "18446744073709551616::UHUGEINT"
+
+
+def _mixed(x: str) -> str:
+    """A splitmix64 step in 128-bit numbers."""
+    x = f"(({x})::UHUGEINT + {hashing.GOLDEN}::UHUGEINT) % {_MASK}"
+    for shift, factor in ((30, hashing.MIX_A), (27, hashing.MIX_B)):
+        x = f"(xor(({x})::UBIGINT, ({x})::UBIGINT >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {_MASK}"
+    return f"xor(({x})::UBIGINT, ({x})::UBIGINT >> 31)"
+
+
+@query("hash_matrix", f"SELECT DISTINCT user_id, user_id AS lower, {_mixed(f'xor(user_id::UBIGINT, {hashing.GOLDEN}::UBIGINT)')}::UBIGINT::VARCHAR AS upper FROM events")
+def _(spark, d):
+    """A 128-bit hash for 8 rows of 4,096 columns, from one 64-bit word."""
+    words = events(spark, d).select("user_id").distinct().withColumn("w", hashing.matrix_hash(8, 4096)(F.col("user_id")))
+    unsigned = F.pmod(F.col("w")[1].cast("decimal(21,0)") + F.lit("18446744073709551616").cast("decimal(21,0)"), F.lit("18446744073709551616").cast("decimal(21,0)"))
+    return words.select("user_id", F.col("w")[0].alias("lower"), unsigned.cast("decimal(20,0)").cast("string").alias("upper"))
+
+
+@query("hash_xxh3", "SELECT count(DISTINCT user_id) AS keys, count(DISTINCT user_id) AS hashes, count(DISTINCT user_id) AS seeded, count(DISTINCT user_id) AS wide, 0::BIGINT AS same FROM events")
+def _(spark, d):
+    """XXH3 of each key under two seeds and at 128 bits: keys stay apart, seeds differ."""
+    key = F.col("k")
+    rows = events(spark, d).select(F.col("user_id").cast("string").alias("k")).distinct()
+    rows = rows.select("k", hashing.hash64()(key).alias("a"), hashing.hash_it(5)(key).alias("b"), hashing.hash128_it(5)(key).alias("c"))
+    return rows.agg(
+        F.count("*").alias("keys"), F.countDistinct("a").alias("hashes"), F.countDistinct("b").alias("seeded"), F.countDistinct("c").alias("wide"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("same")
+    )
+
+
+@query("hash_threshold", "SELECT true AS whole, true AS share FROM (SELECT 1)")
+def _(spark, d):
+    """A key is kept with all its rows or none of them, about a quarter of the keys."""
+    lines = read(spark, d, "lineitem")
+    kept = sampling.hash_threshold(lines, "l_orderkey", 0.25).groupBy("l_orderkey").agg(F.count("*").alias("kept"))
+    both = lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).join(kept, "l_orderkey", "left")
+    whole = F.bool_and(F.col("kept").isNull() | (F.col("kept") == F.col("n")))
+    return both.agg(whole.alias("whole"), (F.abs(F.count("kept") / F.count("*") - 0.25) < 0.05).alias("share"))
+
+
+@query("packets", "SELECT event_id AS seq, user_id::VARCHAR AS key FROM events")
+def _(spark, d):
+    return packets(events(spark, d), "user_id", "event_id")
+
+
+@query("snapshot", CM_EVENTS)
+def _(spark, d):
+    """Written to Parquet and read again."""
+    from ..streaming.stateful import scratch
+
+    path = scratch(spark, "snapshot")
+    save(Linear.build(events(spark, d), "user_id"), path)
+    return load(spark, path).cells
 
 
 # Every third order's lines by line number, few and frequent; the others by part.

@@ -503,3 +503,36 @@ def _(spark, d):
     from ..operators.deltas import bucket_emissions
 
     return bucket_emissions(DDSketch.build(_workers(spark, d), "value", "worker").buckets, 20)
+
+
+@query("octo_system_cm", s.cells("events", "user_id", 3, 512))
+def _(spark, d):
+    system = workers.System(workers.Cells(SMALL), 20)
+    return system.sketch(system.run(_workers(spark, d), "user_id", "event_id", "worker")).cells
+
+
+@query("octo_system_adaptive", s.estimates(s.cells("events", "user_id", 3, 512, signed=True), "SELECT user_id FROM events", "user_id", 3, 512, signed=True))
+def _(spark, d):
+    """Signed cells under thresholds that queues move; flushed, the sketch is exact."""
+    e = _workers(spark, d).withColumn("depth", F.col("value").cast("bigint") % 200)
+    system = workers.System(workers.Cells(SIGNED), tau.Controller(start=16.0, most=64.0))
+    return system.sketch(system.run(e, "user_id", "event_id", "worker", "depth")).estimate(e, "user_id")
+
+
+@query("octo_system_hll", s.registers("events", "user_id"))
+def _(spark, d):
+    system = workers.System(workers.Registers(), 16)
+    return system.sketch(system.run(_workers(spark, d), "user_id", "event_id", "worker")).registers
+
+
+@query("octo_system_dd", s.buckets("events", "value", _PER_LOG))
+def _(spark, d):
+    system = workers.System(workers.Quantiles(), 20)
+    return system.sketch(system.run(_workers(spark, d), "value", "event_id", "worker")).buckets
+
+
+@query("octo_dd_online", f"SELECT bucket, (sum(cnt - cnt % 20))::BIGINT AS cnt FROM ({_DD_OLD}) GROUP BY 1 HAVING sum(cnt - cnt % 20) > 0")
+def _(spark, d):
+    """Before the last flush each worker holds up to 19 values of a bucket back."""
+    system = workers.System(workers.Quantiles(), 20)
+    return system.sketch(system.run(_workers(spark, d), "value", "event_id", "worker"), flushed=False).buckets

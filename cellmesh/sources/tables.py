@@ -91,3 +91,9 @@ def _made(spark: SparkSession, path: str, rest: dict) -> object:
 def json_points(df: DataFrame, ts: str, value: str) -> DataFrame:
     """Each point as ``[seconds, "value"]``."""
     return df.withColumn("json", F.concat(F.lit("["), (F.col(ts).cast("bigint") / 1000).cast("string"), F.lit(',"'), F.col(value).cast("string"), F.lit('"]')))
+
+
+def read_points(df: DataFrame, json: str) -> DataFrame:
+    """``df`` with ``seconds`` and ``value`` of points in the place of their text; what is no point is null."""
+    point = F.from_json(F.col(json), "array<string>")
+    return df.withColumns({"seconds": F.get(point, F.lit(0)).cast("double"), "value": F.get(point, F.lit(1))}).drop(json)
