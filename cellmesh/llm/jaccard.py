@@ -35,6 +35,8 @@ from .text import NON_SPACE, U64, buffers, chunks, keys, mix, release, shingle_s
 CELLS, PIECES = 1 << 20, 64
 #: Sizes that may be light at most; the cost model chooses below.
 MOST_LIGHT = 20
+#: Ranges of lists for each shuffle partition: a task holds one at a time.
+SPLIT = 8
 #: Entries of a list beyond which it is dealt into blocks.
 LIST = 20_000
 #: Rounds of stars before all remaining pairs are checked.
@@ -190,8 +192,10 @@ def sets_of(docs: DataFrame, k: int, percent: int, cells_uri: str, light: int, m
     return docs.mapInArrow(rows, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, postings binary, places binary")
 
 
-def shared_lists(classes: DataFrame, parts: int) -> DataFrame:
-    """``list, members, sizes, places, order``: the lists with two members at least, by size and id; those of a task with equal members once.
+def shared_lists(classes: DataFrame, tasks: int) -> DataFrame:
+    """``list, members, sizes, places, order``: the lists with two members at least, by size and id; those of a range with equal members once.
+
+    Keys of lists are cut into ``SPLIT`` ranges for each of ``tasks``; a task gets them sorted.
 
     Rows without ``list`` say of ``members`` how often each met another at a shingle: in ``sizes``.
     """
@@ -224,9 +228,18 @@ def shared_lists(classes: DataFrame, parts: int) -> DataFrame:
         release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [np.frombuffer(d, np.int64).reshape(3, -1) for b in batches for d in b.column(1).to_pylist()]
-        if not blocks:
-            return
+        here, held = None, []
+        for batch in batches:
+            for part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != here and held:
+                    yield from lists_of(held)
+                    held = []
+                here = part
+                held.append(np.frombuffer(data, np.int64).reshape(3, -1))
+        if held:
+            yield from lists_of(held)
+
+    def lists_of(blocks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([b[0] for b in blocks])
         order = np.argsort(key)
         key = key[order]
@@ -236,7 +249,7 @@ def shared_lists(classes: DataFrame, parts: int) -> DataFrame:
         shared[:-1] |= same
         key, order = key[shared], order[shared]
         rep, n = np.concatenate([b[1] for b in blocks])[order], np.concatenate([b[2] for b in blocks])[order]
-        del blocks
+        blocks.clear()
         release()
         if not len(key):
             return
@@ -261,7 +274,8 @@ def shared_lists(classes: DataFrame, parts: int) -> DataFrame:
             row = [pa.array([None], pa.int64()), pa.array([met[a : a + 65536].tobytes()]), pa.array([times[a : a + 65536].tobytes()]), pa.array([None], pa.binary()), pa.array([None], pa.int64())]
             yield pa.RecordBatch.from_arrays(row, NAMES)
 
-    dealt = classes.select("rep", "n_shingles", "postings", "places").mapInArrow(deal, "part int, data binary").repartition(parts, "part")
+    parts = SPLIT * tasks
+    dealt = classes.select("rep", "n_shingles", "postings", "places").mapInArrow(deal, "part int, data binary").repartition(tasks, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(gather, "list bigint, members binary, sizes binary, places binary, order bigint")
 
 
