@@ -33,8 +33,9 @@ _RANKED = f"""SELECT *, length(bin(rk // {PER_SIZE} + 1)) - 1 AS level FROM (
   WHERE event_id >= last - {WINDOW}"""
 _DEALT = f"SELECT series, event_id, user_id, value, (level * {PER_SIZE} + (rk - {PER_SIZE} * ((1 << level) - 1)) // (1 << level))::INTEGER AS slot FROM ({_RANKED})"
 _BUCKETS = f"SELECT series, slot, min(event_id) AS min_ts, max(event_id) AS max_ts, count(*) AS size FROM ({_DEALT}) GROUP BY ALL"
-# A part that the last window of a table of any length holds: 7000 .. 9000 of 10,000 events.
-_T1, _T2 = "((SELECT max(event_id) + 1 FROM events) - 3000)", "((SELECT max(event_id) + 1 FROM events) - 1000)"
+# A part that the last window of a table of any length holds: 7000 .. 9000 of 10,000 events, 700 .. 900 of 1,000.
+_END = "(SELECT max(event_id) + 1 FROM events)"
+_T1, _T2 = (f"({_END} - {n} * least(1000, {_END} // 10))" for n in (3, 1))
 _BETWEEN = f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY series) AS others FROM ({_BUCKETS}) WHERE max_ts >= {_T1} AND min_ts <= {_T2})
   WHERE NOT (min_ts < {_T1} AND {_T1} - min_ts > max_ts - {_T1}) OR others = 1"""
 _INSIDE = f"(SELECT d.* FROM ({_DEALT}) d JOIN ({_BETWEEN}) b ON d.series = b.series AND d.slot = b.slot)"
@@ -44,15 +45,18 @@ def _dealt(spark, d):
     return windows.assigned(events(spark, d), "event_id", "event_type", K, WINDOW)
 
 
-def _answering(spark, d):
+def _interval(spark, d) -> tuple[int, int]:
     end = (events(spark, d).agg(F.max("event_id")).first()[0] or 0) + 1
-    return windows.between(windows.buckets(_dealt(spark, d), "event_id"), end - 3000, end - 1000)
+    return end - 3 * min(1000, end // 10), end - min(1000, end // 10)
+
+
+def _answering(spark, d):
+    return windows.between(windows.buckets(_dealt(spark, d), "event_id"), *_interval(spark, d))
 
 
 def _exact(spark, d):
     """The events of the asked interval."""
-    end = (events(spark, d).agg(F.max("event_id")).first()[0] or 0) + 1
-    return events(spark, d).where(F.col("event_id").between(end - 3000, end - 1000)).withColumn("series", F.col("event_type"))
+    return events(spark, d).where(F.col("event_id").between(*_interval(spark, d))).withColumn("series", F.col("event_type"))
 
 
 _EACH = "SELECT DISTINCT event_type AS series, true AS within FROM events"
@@ -72,7 +76,7 @@ def _(spark, d):
 def _(spark, d):
     exact = _exact(spark, d).groupBy("series").agg(F.count("*").alias("n"))
     both = _answering(spark, d).groupBy("series").agg(F.sum("size").alias("count")).join(exact, "series")
-    return both.select("series", (F.abs(F.col("count") - F.col("n")) <= 0.05 * F.col("n")).alias("within"))
+    return both.select("series", (F.abs(F.col("count") - F.col("n")) <= 0.05 * F.col("n") + 2).alias("within"))
 
 
 @query("eh_invariant", _EACH)
@@ -94,12 +98,12 @@ def _(spark, d):
 
 @query("eh_frequency_error", _EACH)
 def _(spark, d):
-    """Each user's frequency in the interval: within 5 % of the interval's events."""
+    """Each user's frequency in the interval: within 5 % of the interval's events, and the two of a bucket at its edge."""
     exact = _exact(spark, d).groupBy("series", "user_id").agg(F.count("*").alias("n"))
     total = exact.groupBy("series").agg(F.sum("n").alias("t"))
     found = windows.collapse(Linear.build(_dealt(spark, d), "user_id", by=windows.BUCKET), _answering(spark, d)).estimate(exact, "user_id")
     both = found.join(exact, ["series", "user_id"]).join(total, "series")
-    return both.groupBy("series").agg(F.bool_and(F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("t")).alias("within"))
+    return both.groupBy("series").agg(F.bool_and(F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("t") + 2).alias("within"))
 
 
 @query("eh_cs_l2", f'SELECT series, sqrt(median(m))::DOUBLE AS l2 FROM (SELECT series, "row", sum(v * v) AS m FROM ({s.cells(_INSIDE, "user_id", by="series", signed=True)}) GROUP BY ALL) GROUP BY 1')
@@ -116,7 +120,7 @@ def _(spark, d):
 def _(spark, d):
     exact = _exact(spark, d).groupBy("series").agg(F.countDistinct("user_id").alias("n"))
     both = windows.collapse(HLL.build(_dealt(spark, d), "user_id", windows.BUCKET), _answering(spark, d)).estimate().join(exact, "series")
-    return both.select("series", (F.abs(F.col("estimate") - F.col("n")) <= 0.1 * F.col("n")).alias("within"))
+    return both.select("series", (F.abs(F.col("estimate") - F.col("n")) <= 0.1 * F.col("n") + 2).alias("within"))
 
 
 _EH_DD = s.buckets(_INSIDE, "value", Mapping(0.01).per_log, by="series")
@@ -174,9 +178,8 @@ def _(spark, d):
     cells = Linear.build(dealt, "user_id", by=windows.BUCKET, shape=CS)
     n = _exact(spark, d).groupBy("series", "user_id").count()
     exact = n.groupBy("series").agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("exact"))
-    end = (events(spark, d).agg(F.max("event_id")).first()[0] or 0) + 1
     spans = windows.buckets(dealt, "event_id").join(united, windows.BUCKET).groupBy("series", "part").agg(F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
-    answering = windows.between(spans, end - 3000, end - 1000).join(united, ["series", "part"])
+    answering = windows.between(spans, *_interval(spark, d)).join(united, ["series", "part"])
     l2 = windows.collapse(cells, answering).l2().withColumnRenamed("l2", "found")
     both = small.join(number, "series").join(l2, "series").join(exact, "series")
     return both.select("series", (F.col("n") == F.col("b")).alias("covers"), "small", (F.abs(F.col("found") - F.col("exact")) <= 0.15 * F.col("exact")).alias("within"))
