@@ -15,7 +15,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ddsketch import DDSketch
@@ -113,7 +113,7 @@ def collapse(sketch: object, answering: DataFrame) -> object:
 # --- buckets by L2 ---
 
 
-def by_l2(events: DataFrame, ts: str, key: str, k: int = 50, shape: Shape = Shape(3, 512, signed=True)) -> DataFrame:
+def by_l2(events: DataFrame, key: str, k: int = 50, shape: Shape = Shape(3, 512, signed=True)) -> DataFrame:
     """``(series, slot, part, l2)``: how :func:`assigned` buckets unite so that each has an L2^2 of at most a k-th of all newer.
 
     ``part`` numbers the united buckets from the newest on; one that is larger by itself stays alone.  Masses come from Count-Sketches of

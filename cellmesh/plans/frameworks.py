@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import hydra
 from ..operators.hydra import Hydra
-from ..operators.linear import Linear, Shape
 from ..operators.univmon import Pyramid, UnivMon
 from ..sources.tables import read
 from . import sqltext as s

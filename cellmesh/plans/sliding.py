@@ -170,7 +170,7 @@ def _(spark, d):
     from pyspark.sql import Window
 
     dealt = _dealt(spark, d)
-    united = windows.by_l2(dealt, "event_id", "user_id", K)
+    united = windows.by_l2(dealt, "user_id", K)
     members = united.groupBy("series", "part").agg(F.count("*").alias("m"), F.first("l2").alias("l2"))
     newer = F.coalesce(F.sum(F.col("l2") * F.col("l2")).over(Window.partitionBy("series").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     small = members.withColumn("newer", newer).groupBy("series").agg(F.bool_and((F.col("m") == 1) | (F.col("l2") * F.col("l2") <= F.col("newer") / K + 1e-6)).alias("small"), F.sum("m").alias("n"))
