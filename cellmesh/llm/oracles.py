@@ -109,3 +109,72 @@ l AS (SELECT *, sum(source_size) OVER () AS total, source_size / w AS ratio, coa
 t AS (SELECT arg_min((total - 3 * full_size) / open_weight, ratio) AS level FROM l WHERE (total - 3 * full_size) / open_weight * w <= 3 * source_size)
 SELECT doc_id, size, source_size, least(3.0 * source_size, level * w)::DOUBLE AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source CROSS JOIN t
 """
+
+DIVERGENCE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format(t="text")}, '[a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents
+), t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+-- every group and every language with every kept term
+counts AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, total FROM (SELECT DISTINCT lang, source FROM d) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+), p AS (
+  SELECT lang, source, term, n,
+    1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER g + count(*) OVER g) AS p,
+    1 + (1000000000::HUGEINT * (total + 1)) // (sum(n) OVER l + count(*) OVER g) AS q
+  FROM counts WINDOW g AS (PARTITION BY lang, source), l AS (PARTITION BY lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), groups AS (SELECT DISTINCT lang, source FROM d),
+every AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+tops AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value FROM every UNION ALL SELECT lang, source, 'term', item, value::BIGINT FROM tops
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS "rank" FROM ranked QUALIFY part = 'pair' OR "rank" <= 200
+"""
+
+
+def _field(x: str) -> str:
+    return f"coalesce(octet_length(encode(({x})::VARCHAR))::VARCHAR || ':' || ({x})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(x) for x in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+# Siblings are marked L or R by their side; S stands for a run of one node.
+MERKLE = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: xor(xor(xor(a, b) >> 4, {_NIBBLE}[(xor(a, b) & 15) + 1]) >> 4, {_NIBBLE}[(xor(xor(a, b) >> 4, {_NIBBLE}[(xor(a, b) & 15) + 1]) & 15) + 1])), 4294967295) % 7 = 0
+    THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS shown
+  FROM documents
+), leaves AS (
+  SELECT *, coalesce('=' || lang, '') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM docs
+), tree(g, level, idx, n, hash) AS (
+  SELECT g, 0, idx, n, leaf FROM leaves
+  UNION ALL SELECT g, level + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(hash, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY g, level, idx // 2
+), subroots AS (
+  SELECT g, hash AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1
+), high(level, idx, n, hash) AS (
+  SELECT 0, idx, n, subroot FROM subroots
+  UNION ALL SELECT level + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(hash, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY level, idx // 2
+), steps AS (
+  SELECT l.g, l.idx, t.level, CASE WHEN o.hash IS NULL THEN 'S' WHEN o.idx < t.idx THEN 'L' ELSE 'R' END AS side, coalesce(o.hash, '') AS hash
+  FROM leaves l JOIN tree t ON t.g = l.g AND t.idx = l.idx >> t.level AND t.n > 1 LEFT JOIN tree o ON o.g = t.g AND o.level = t.level AND o.idx = xor(t.idx, 1)
+), rest AS (
+  SELECT s.g, t.level, CASE WHEN o.hash IS NULL THEN 'S' WHEN o.idx < t.idx THEN 'L' ELSE 'R' END AS side, coalesce(o.hash, '') AS hash
+  FROM subroots s JOIN high t ON t.idx = s.idx >> t.level AND t.n > 1 LEFT JOIN high o ON o.level = t.level AND o.idx = xor(t.idx, 1)
+), paths AS (SELECT g, idx, list(side || hash ORDER BY level) AS path FROM steps GROUP BY ALL),
+ends AS (SELECT g, list(side || hash ORDER BY level) AS path FROM rest GROUP BY 1),
+whole AS (
+  SELECT l.*, subroot, (SELECT hash FROM high WHERE n = 1) AS root, list_concat(coalesce(p.path, []), coalesce(e.path, [])) AS path
+  FROM leaves l JOIN subroots USING (g) LEFT JOIN paths p ON p.g = l.g AND p.idx = l.idx LEFT JOIN ends e ON e.g = l.g
+), folded AS (
+  SELECT *, list_reduce(list_prepend(shown, path), lambda a, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root FROM whole
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda s: s[2:]), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""

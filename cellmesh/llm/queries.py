@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, oracles, quality, toxicity
+from . import compression, divergence, lm, merkle, oracles, quality, toxicity
 from .chat import format_conversations, masked_text, read_turns
 from .decontaminate import scan
 from .fingerprint import fingerprints
 from .jaccard import near_duplicates
 from .mixing import mix
 from .sharding import shard
+from .shared import stash
 from .warc import through_archives
 
 
@@ -101,6 +102,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality_score.expected_grade", "quality_score.tail_probability", (F.col("quality_score.tail_probability") >= 0.5).alias("keep"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = compression.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *compression.COUNTS, "base_failed", "kept", "verdict", *compression.SIZES)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof of every row; rows whose id's CRC-32 is a multiple of 7 are tampered with, and fold to another root."""
+    fields = {c: F.col(c) for c in merkle.FIELDS}
+    tampered = fields | {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "lang",
+        merkle.leaf(*fields.values()).alias("leaf"),
+        F.when((remainder("doc_id", 7) == 0) & F.col("n_chars").isNotNull(), merkle.leaf(*tampered.values())).alias("tampered"),
+    )
+    found = merkle.manifest(stash(rows, "leaves"))
+    found = found.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -113,6 +138,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_sharding": op9_sharding,
         "op10_quality": op10_quality,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_quality_rules": op12_quality_rules,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -123,4 +151,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": oracles.DECONTAMINATION,
         "op8_warc": oracles.WARC,
         "op9_sharding": oracles.SHARDING,
+        "op11_source_divergence": oracles.DIVERGENCE,
+        "op13_merkle_manifest": oracles.MERKLE,
     }

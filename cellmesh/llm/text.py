@@ -92,10 +92,10 @@ def _cuts(word: bytes, n: int, data: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def words(data: np.ndarray, offs: np.ndarray, word: bytes = NON_SPACE, prefix: int = 0):
+def words(data: np.ndarray, offs: np.ndarray, word: bytes = NON_SPACE, prefix: int = 0, lower: bool = True):
     """``(hash, start, end, off)``: hash, with A-Z lower-cased, and byte span of each word; words of text i are ``off[i]:off[i+1]``.
 
-    With ``prefix``, a fifth array: the hash of each word's first ``prefix`` bytes.
+    With ``prefix``, a fifth array: the hash of each word's first ``prefix`` bytes.  Without ``lower`` case counts.
     """
     hs, ss, es, ps = [], [], [], []
     for a, b in _cuts(word, len(data), data):
@@ -111,7 +111,7 @@ def words(data: np.ndarray, offs: np.ndarray, word: bytes = NON_SPACE, prefix: i
         end = np.flatnonzero(w & ~after) + 1
         up, down = _powers(1 << max(18, (b - a).bit_length()))
         total = np.zeros(b - a + 1, U64)
-        v = looked_up(data[a:b], LOWER).astype(U64)
+        v = (looked_up(data[a:b], LOWER) if lower else data[a:b]).astype(U64)
         v += U64(1)
         v *= up[: b - a]
         np.cumsum(v, out=total[1:])
