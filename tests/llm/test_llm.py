@@ -275,6 +275,29 @@ def test_gradients_against_differences():
         assert found == pytest.approx((up - down) / (2 * eps), abs=1e-7)
 
 
+def test_scores_depend_on_the_text_alone(spark):
+    """Rows in any order and in any batches get the same scores, to the last bit."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.text) for r in docs.limit(300).collect()]
+    rows += [(1000 + i, t) for i, t in rows[:100]] + [(5000, None), (5001, ""), (5002, "word " * 50_000)]
+    uri = toxicity.train(docs, labels, per_class=60)
+    model, found = labelled.load(uri), []
+    for seed, size in ((1, 1), (2, 7), (3, 64), (4, 1000)):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        scores = {}
+        for a in range(0, len(mixed), size):
+            pooled, _, _ = toxicity.forward(model, *toxicity.tokens(pa.array([t for _, t in mixed[a : a + size]], pa.large_string())))
+            scores |= dict(zip((i for i, _ in mixed[a : a + size]), toxicity.logits(model, pooled).tolist(), strict=True))
+        found.append(scores)
+    assert all(x == found[0] for x in found) and len(set(found[0].values())) > 200
+    assert all(found[0][1000 + i] == found[0][i] for i, _ in rows[:100]) and found[0][5000] == found[0][5001]
+    for parts in (1, 5):
+        got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts), uri).collect()}
+        assert all(got[1000 + i] == got[i] for i, _ in rows[:100])
+        assert parts == 1 or got == before
+        before = got
+
+
 def test_scores_of_empty_null_and_repeated_rows(spark, edges):
     labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0)], "doc_id bigint, quality int, toxic int")
     tox = [(r.doc_id, r.score) for r in toxicity.score(edges, toxicity.train(edges, labels)).collect()]
