@@ -48,12 +48,13 @@ def postings(docs: DataFrame, least: int) -> DataFrame:
 
 def share(n: Column, size: Column, kept: Column) -> Column:
     """``1 + floor(SCALE * (n + 1) / (size + kept))`` in whole numbers, for counts up to 10^20."""
-    scaled = (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
+    scaled = (n.cast("decimal(20,0)") + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
     return 1 + F.call_function("div", scaled, (size + kept).cast("decimal(20,0)"))
 
 
 def gap(p: Column, q: Column) -> Column:
     """``floor((p - q)^2 / q)``: whole numbers below 10^18 + 1."""
+    p, q = p.cast("long"), q.cast("long")
     return F.call_function("div", (p - q) * (p - q), q)
 
 
