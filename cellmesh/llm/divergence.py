@@ -7,40 +7,74 @@ cost one constant.  No term is paired with a source that lacks it.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stash
+from .text import LOWER, chunks
 
 # Fixed values of the measure.
 SCALE, TOP = 1_000_000_000, 200
 TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Terms that a task counts before it gives the counts out, and code points of a text that are split at once.
+HELD, PIECE = 200_000, 1 << 20
 #: Parts of a group whose top terms are found alone.
 SALTS = 64
 LANG, GROUP = ["lang"], ["lang", "source"]
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text, with A-Z and nothing else lower-cased."""
-    plain = F.octet_length(text) == F.char_length(text)
-    low = F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
-
-
 def named(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in GROUP), "text")
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, source, term, n, docs`` of rows ``lang, source, text``: occurrences of a term, and documents that have it.
+
+    Counted in dictionaries of at most some ``HELD`` terms and those of one document; A-Z and nothing else is lower-cased.
+    """
+    find = re.compile(TERM)
+    said: dict[tuple, tuple[Counter, Counter]] = {}
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in said.items():
+            size, found = len(n), list(n)
+            columns = [pa.array([lang]).take(pa.array(np.zeros(size, np.int32))), pa.array([source]).take(pa.array(np.zeros(size, np.int32))), pa.array(found, pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+        said.clear()
+
+    for batch in chunks(batches):
+        for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if not text:
+                continue
+            n, docs = said.setdefault((lang, source), (Counter(), Counter()))
+            low = text.encode().translate(LOWER).decode()
+            at, own = 0, set()
+            while at < len(low):  # pieces end between terms
+                end = min(len(low), at + PIECE)
+                rest = find.match(low, end)
+                end = rest.end() if rest else end
+                terms = find.findall(low, at, end)
+                n.update(terms)
+                own.update(terms)
+                at = end
+            docs.update(own)
+        if sum(len(n) for n, _ in said.values()) > HELD:
+            yield from given()
+    yield from given()
+
+
 def postings(docs: DataFrame, least: int) -> DataFrame:
     """``lang, source, term, n, total, leads``: a kept term's occurrences in a source and in its language; one row of a term leads.
 
     A term is kept in a language where ``least`` documents have it.
     """
-    said = named(docs).select(*GROUP, terms(F.col("text")).alias("terms"))
-    # Each occurrence, and each term of a document once more: one explode sums both.
-    both = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))))
-    each = said.select(*GROUP, F.explode(both).alias("t")).select(*GROUP, "t.term", "t.d")
-    counts = each.groupBy(*GROUP, "term").agg(F.sum((1 - F.col("d")).cast("long")).alias("n"), F.sum(F.col("d").cast("long")).alias("docs"))
+    counts = named(docs).mapInArrow(counted, "lang string, source string, term string, n bigint, docs bigint").groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")
     known = counts.withColumns({"all_docs": F.sum("docs").over(term), "total": F.sum("n").over(term), "leads": F.row_number().over(term.orderBy("source")) == 1})
     return known.where(F.col("all_docs") >= least).select(*GROUP, "term", "n", "total", "leads")

@@ -62,6 +62,24 @@ def test_audit_against_brute_force(spark, top):
     assert ("de", "only", "pair", "", 0, 1) in got
 
 
+def test_counts_in_pieces(monkeypatch):
+    """Small pieces and dictionaries give the counts of large ones; terms are not cut."""
+    texts = ["Word word ÀÀ-ß a" * 20, None, "", "x" * 50 + " x", "word"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 5), pa.array(["s"] * 5), pa.array(texts, pa.large_string())], ["lang", "source", "text"])
+    found = []
+    for held, piece in ((10**6, 10**6), (1, 3)):
+        monkeypatch.setattr(divergence, "HELD", held)
+        monkeypatch.setattr(divergence, "PIECE", piece)
+        total = defaultdict(lambda: [0, 0])
+        for part in divergence.counted(iter([batch.slice(0, 2), batch.slice(2)])):
+            for r in part.to_pylist():
+                total[r["term"]][0] += r["n"]
+                total[r["term"]][1] += r["docs"]
+        found.append(dict(total))
+    words = [TERM.findall(lower(t)) for t in texts]
+    assert found[0] == found[1] == {t: [sum(w.count(t) for w in words), sum(t in w for w in words)] for w in words for t in w}
+
+
 def test_audit_edges(spark, edges, nothing):
     assert divergence.audit(nothing).count() == 0
     rows = [(x.lang, x.source, x.text) for x in edges.collect()]
