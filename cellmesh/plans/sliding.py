@@ -12,8 +12,8 @@ from ..operators.kll import KLL
 from ..operators.linear import Linear, Shape, rows_of_mask
 from ..operators.univmon import Pyramid, UnivMon
 from ..operators.windows import Hybrid
-from ..sources.tables import read, stream
-from ..streaming import frames, stateful, tau
+from ..sources.tables import in_order, read, stream
+from ..streaming import closing, frames, stateful, tau
 from . import sqltext as s
 from .registry import query
 
@@ -286,11 +286,12 @@ def _parts(spark, d, n: int = 4) -> str:
     """A folder with the events as a table of ``n`` files, in time order."""
     folder = stateful.scratch(spark, "parts")
     events(spark, d).repartitionByRange(n, "event_id").sortWithinPartitions("event_id").write.parquet(f"{folder}/events.parquet")
+    in_order(spark, f"{folder}/events.parquet")
     return folder
 
 
 def _stream_windowed(source):
-    cells = stateful.drained(frames.windowed_cells(source, "ts", "user_id", "1 day", shape=SMALL))
+    cells = stateful.drained(frames.windowed_cells(source, "ts", "user_id", "1 day", shape=SMALL), whole=True)
     return cells.select(_day(), "row", "col", "v")
 
 
@@ -305,6 +306,61 @@ def _(spark, d):
     return _stream_windowed(frames.watermarked(stream(spark, _parts(spark, d), "events", 1), "ts", "20 days"))
 
 
+# Four files of equal spans of event_id; a window's changes are sent after each.
+_PARTED = """SELECT *, strftime(ts, '%Y-%m-%d') AS day, (event_id - (SELECT min(event_id) FROM events)) * 4 // (SELECT max(event_id) - min(event_id) + 1 FROM events) AS part FROM events"""
+_IS_CLOSED = "day < (SELECT strftime(max(ts), '%Y-%m-%d') FROM events)"
+_DAY_CELLS = f"""SELECT event_type, day, part, r::INTEGER AS "row", {s.col("r", "user_id", 512)} AS col, count(*)::DOUBLE AS d FROM ({_PARTED}), range(3) t(r) GROUP BY ALL"""
+_DELTAS = f"""SELECT event_type AS partition_key, day, (dense_rank() OVER (PARTITION BY event_type, day, "row", col // 256 ORDER BY part) - 1)::BIGINT AS seq, false AS is_close, "row", col, d FROM ({_DAY_CELLS})
+  UNION ALL SELECT event_type, day, 0, true, NULL, NULL, count(*)::DOUBLE FROM ({_PARTED}) WHERE {_IS_CLOSED} GROUP BY ALL"""
+
+
+def _quarters(spark, d) -> str:
+    """A folder with the events as four files, written one after the other."""
+    folder = stateful.scratch(spark, "quarters")
+    e = events(spark, d)
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    for k in range(4):
+        part = F.expr(f"(event_id - {low}) * 4 div {high - low + 1} = {k}") if low is not None else F.lit(False)
+        e.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def _in_windows(spark, d):
+    return frames.watermarked(stream(spark, _quarters(spark, d), "events", 1), "ts", "0 seconds")
+
+
+@query("stream_window_deltas", _DELTAS)
+def _(spark, d):
+    """Windows send their changes against an empty base; each that closes ends with one row that says so."""
+    sent = stateful.drained(closing.window_deltas(_in_windows(spark, d), "ts", "user_id", "1 day", "event_type", SMALL), whole=True)
+    return sent.select("partition_key", _day(), "seq", "is_close", "row", "col", "d")
+
+
+_SIGNED_CELLS = _DAY_CELLS.replace("count(*)", f"sum({s.sign('r', 'user_id')})")
+_FRAMES = f"""SELECT event_type AS partition_key, day, "row", col, sum(d)::DOUBLE AS v, true AS closed FROM ({_SIGNED_CELLS}) WHERE {_IS_CLOSED} GROUP BY ALL HAVING sum(d) <> 0"""
+
+
+@query("stream_window_deltas_signed", _FRAMES)
+def _(spark, d):
+    """Changes under 2 wait for the window's end; a receiver of all messages holds each closed window's exact signed frame."""
+    shape = Shape(3, 512, signed=True)
+    cells, closed = closing.replayed(stateful.drained(closing.window_deltas(_in_windows(spark, d), "ts", "user_id", "1 day", "event_type", shape, 2.0), whole=True))
+    both = cells.join(closed, ["partition_key", "window_start"])
+    return both.select("partition_key", _day(), "row", "col", "v", (F.col("items") > 0).alias("closed"))
+
+
+_HELD = f"""SELECT day, "row", col, sum(v - v % 4)::DOUBLE AS sent, sum(CASE WHEN {_IS_CLOSED} THEN v % 4 ELSE 0 END)::DOUBLE AS flushed FROM (
+  SELECT day, "row", col, sum(d) AS v FROM ({_DAY_CELLS}) GROUP BY ALL) WHERE v >= 4 OR {_IS_CLOSED} GROUP BY ALL"""
+
+
+@query("stream_gos_windows", _HELD)
+def _(spark, d):
+    """A window's cells go at 4 and what they hold goes at its end: the stream alone gives a closed window's exact sketch."""
+    sent = stateful.drained(closing.window_thresholds(_in_windows(spark, d), "ts", "user_id", "1 day", 4, None, SMALL), whole=True)
+    part = lambda on: F.coalesce(F.sum(F.when(F.col("flush") == on, F.col("d"))), F.lit(0.0))
+    return sent.groupBy(_day(), "row", "col").agg(part(False).alias("sent"), part(True).alias("flushed"))
+
+
 def _stream_gos(source):
     sent = stateful.drained(stateful.thresholded(source, "user_id", 8, SMALL))
     return sent.groupBy("row", "col").agg(F.sum("d").alias("sent"))

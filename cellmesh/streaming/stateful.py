@@ -16,46 +16,47 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..operators.frames import join_null_safe
 from ..operators.linear import Shape, addressed
 from ..operators.windows import compacted
+from .closing import BLOCK, crossed
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Threshold(StatefulProcessor):
-    """Sends a cell's mass when it reaches tau in size, and starts the cell anew.  Signed cells send at either sign."""
+    """Sends a cell's mass when it reaches tau in size, and starts the cell anew.  Signed cells send at either sign.
 
-    def __init__(self, tau: float):
-        self.tau = tau
+    One state for a block of columns of a row; a batch's updates are run at once.
+    """
+
+    def __init__(self, tau: float, signed: bool):
+        self.tau, self.signed = tau, signed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "v double")
+        self.held = handle.getValueState("held", "col array<int>, v array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        v = self.held.get()[0] if self.held.exists() else 0.0
-        sent = []
+        held = dict(zip(*self.held.get(), strict=True)) if self.held.exists() else {}
         for batch in rows:
-            for w in batch["w"]:
-                v += w
-                if abs(v) >= self.tau:
-                    sent.append((*key, v))
-                    v = 0.0
-        self.held.update((v,))
-        if sent:
-            yield pd.DataFrame(sent, columns=["row", "col", "d"])
+            cols, d = crossed(held, batch["col"].to_numpy(np.int64), batch["w"].to_numpy(np.float64), self.tau, self.signed)
+            if len(cols):
+                yield pd.DataFrame({"row": key[0], "col": cols, "d": d})
+        left = {c: v for c, v in held.items() if v != 0}
+        self.held.update(([int(c) for c in left], [float(v) for v in left.values()]))
 
     def close(self) -> None:
         pass
 
 
 def thresholded(stream: DataFrame, key: str, tau: float, shape: Shape = Shape(), weight: str | None = None) -> DataFrame:
-    """``(row, col, d)`` messages of a stream's cells.  Keyed by cell: at most ``rows * cols`` states.
+    """``(row, col, d)`` messages of a stream's cells.  Keyed by row and block of columns: at most ``rows * cols`` cells in all.
 
-    What a cell still holds stays in the state: the sum of its messages lags by less than ``tau``.
+    What a cell still holds stays in the state: the sum of its messages lags by less than ``tau``.  A stream of
+    windows flushes what is held (:func:`closing.window_thresholds`).
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     cells = addressed(stream.where(F.col(key).isNotNull()).select(F.col(key), w.alias("_w")), key, shape)
-    rows = cells.select("row", "col", (F.col("sign") * F.col("_w")).alias("w"))
-    return rows.groupBy("row", "col").transformWithStateInPandas(Threshold(tau), "row int, col int, d double", "Append", "None")
+    rows = cells.select("row", F.expr(f"col div {BLOCK}").cast("int").alias("block"), "col", (F.col("sign") * F.col("_w")).alias("w"))
+    return rows.groupBy("row", "block").transformWithStateInPandas(Threshold(tau, shape.signed), "row int, col int, d double", "Append", "None")
 
 
 class Sliding(StatefulProcessor):
@@ -106,6 +107,18 @@ def rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
+@contextlib.contextmanager
+def kept_progress(spark: SparkSession, batches: int = 100_000) -> Iterator[None]:
+    """Reports of so many micro-batches are kept."""
+    name = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(name)
+    spark.conf.set(name, batches)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A folder that driver and executors share, under ``spark.checkpoint.dir`` where the cluster names it; an error where a cluster names none."""
     import tempfile
@@ -121,9 +134,16 @@ def scratch(spark: SparkSession, what: str) -> str:
     return uri
 
 
-def drained(out: DataFrame, mode: str = "append", timeout: int = 600) -> DataFrame:
+class LateRows(RuntimeError):
+    """A stream dropped rows that came behind its watermark."""
+
+
+def drained(out: DataFrame, mode: str = "append", timeout: int = 600, whole: bool = False) -> DataFrame:
     """Run a stream over all that is available now, and return what it wrote, as a table.
 
+    With ``whole`` it is an error if a watermark dropped rows: a folder's files are read by their times
+    (:func:`~cellmesh.sources.tables.in_order`), and those of an early time behind a late one come too late.
+
     In other modes than append each micro-batch is written to a folder of its own, which a retried one replaces; with ``complete`` the last
     one is the result.  A stream without input gives no rows.
     """
@@ -135,12 +155,15 @@ def drained(out: DataFrame, mode: str = "append", timeout: int = 600) -> DataFra
         writer = writer.format("parquet").option("path", rows)
     else:
         writer = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{rows}/batch={number}"))
-    with rocks(spark):
+    with rocks(spark), kept_progress(spark):
         run = writer.start()
         done = run.awaitTermination(timeout)
         if not done:
             run.stop()
             raise TimeoutError("the stream did not end in time")
+        late = sum(s.numRowsDroppedByWatermark for p in run.recentProgress for s in p.stateOperators)
+        if late and whole:
+            raise LateRows(f"{late} rows came too late")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(rows)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], out.schema)
