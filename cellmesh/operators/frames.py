@@ -83,3 +83,21 @@ def middle(array: Column, n: int) -> Column:
 
 def present(*columns: Column) -> Column:
     return reduce(lambda a, b: a & b, [c.isNotNull() for c in columns])
+
+
+def rounds(df: DataFrame, fan_in: int) -> int:
+    """Levels of a reduction tree in which ``fan_in`` states of tasks over ``df`` become one, until one is left.
+
+    Tasks of a plan without a shuffle are counted; of others they are at most the shuffle's partitions, or one for each piece of the input.
+    """
+    spark, run = df.sparkSession, df._jdf.queryExecution()
+    plan = run.executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        pieces = int(str(run.optimizedPlan().stats().sizeInBytes())) >> 27
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, min(pieces, 1 << 20))
+    else:
+        parts = plan.execute().getNumPartitions()
+    levels = 1
+    while parts > fan_in:
+        parts, levels = -(-parts // fan_in), levels + 1
+    return levels

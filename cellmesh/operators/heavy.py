@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from .frames import as_list, join_null_safe, same, top_k, union
+from .frames import as_list, join_null_safe, rounds, same, top_k, union
 from .linear import Linear, Shape
 
 
@@ -182,7 +182,7 @@ def space_saving_merge(parts: DataFrame, k: int, by: str | Iterable[str] = ()) -
 
 # --- Coco ---
 
-#: Tasks' tables that one task merges.
+#: Tasks' tables that become one in a step of the reduction tree.
 FAN_IN = 128
 
 
@@ -226,8 +226,11 @@ class Coco:
                 yield table(held.states.items())
 
         parts = items.mapInPandas(fold, f"{kinds}row int, col int, key string, val bigint, _part int")
-        some = Coco(_joined(parts.withColumn("_group", F.floor(F.col("_part") / FAN_IN).cast("int")), [*by, "_group"], rows, cols, seed + 1), rows, cols, tuple(by), seed)
-        return some.merge()
+        levels = rounds(items, FAN_IN)
+        for level in range(1, levels):
+            some = parts.withColumn("_part", F.expr(f"_part div {FAN_IN}").cast("int"))
+            parts = _joined(some, [*by, "_part"], rows, cols, seed + 2 + level)
+        return Coco(parts.drop("_part"), rows, cols, tuple(by), seed).merge()
 
     def merge(self, *others: Coco) -> Coco:
         """Equal keys summed, then inserted into one table a group, larger values first.  Tables are bounded by their shape."""

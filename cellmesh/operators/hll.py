@@ -154,14 +154,16 @@ class HLL:
 
 
 def changes(df: DataFrame, key: str, order: str, by: str | Iterable[str] = (), profile: str = "") -> DataFrame:
-    """``(*by, order, reg, old, new)`` of each insertion that raises a register, in order."""
+    """``(*by, order, reg, old, new)`` of each insertion that raises a register, in order; of insertions of equal order only the largest raises it."""
     from pyspark.sql import Window
 
     by = as_list(by)
     reg, rho = address(F.col(key), profile)
-    seen = Window.partitionBy(*by, "reg").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.where(F.col(key).isNotNull()).select(*by, F.col(order), reg.alias("reg"), rho.alias("new"))
-    return rows.withColumn("old", F.coalesce(F.max("new").over(seen), F.lit(0))).where("new > old").select(*by, order, "reg", "old", "new")
+    # Of each value of a register only its first insertion can raise it: some 50 rows a register, summed up before they are shuffled.
+    first = rows.groupBy(*by, "reg", "new").agg(F.min(order).alias(order))
+    seen = Window.partitionBy(*by, "reg").orderBy(order, F.desc("new")).rowsBetween(Window.unboundedPreceding, -1)
+    return first.withColumn("old", F.coalesce(F.max("new").over(seen), F.lit(0))).where("new > old").select(*by, order, "reg", "old", "new")
 
 
 def hip(df: DataFrame, key: str, order: str, by: str | Iterable[str] = (), profile: str = "") -> DataFrame:

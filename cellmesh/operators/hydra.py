@@ -13,8 +13,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import SENT_CELLS, UnsupportedQuery, dense, median_of, middle, same
-from .hll import HLL
+from ..functions import hashing
+from .ddsketch import DDSketch, Mapping
+from .frames import SENT_CELLS, UnsupportedQuery, dense, median_of, middle, same, union
+from .hll import HLL, register, rest, rho_of
 from .kll import KLL
 from .linear import Linear, Shape, addressed, best_of, hashed, place
 from .univmon import Pyramid, UnivMon
@@ -26,6 +28,7 @@ SUPPORT = {
     "cs": {"frequency", "l2"},
     "hll": {"cardinality"},
     "kll": {"quantile", "cdf"},
+    "dd": {"quantile"},
     "universal": {"frequency", "cardinality", "l1", "l2", "entropy"},
 }
 
@@ -161,6 +164,8 @@ def _inner(rows: DataFrame, kind: str, value: str | None, weight: str | None, by
         return Linear.build(rows, value, weight, by, inner.get("shape") or Shape(3, 512, signed=kind == "cs"))
     if kind == "hll":
         return HLL.build(rows, value, by, variant=inner.get("variant", "ertl"))
+    if kind == "dd":
+        return DDSketch.build(rows, value, by, inner.get("alpha", 0.01))
     if kind == "kll":
         return KLL.build(rows, value, by, k=inner.get("k", 200))
     return UnivMon.build(rows, value, weight, by, inner.get("pyramid") or Pyramid(4, 64, 3, 512, 512))
@@ -201,3 +206,82 @@ def multihead(df: DataFrame, labels: Column, dimensions: dict[str, str], weight:
 def multihead_query(sketch: Hydra, probes: DataFrame, subkey: str, dimension: str, ask: str, **how: object) -> DataFrame:
     """``(subkey, [item,] estimate)`` from the counters of one dimension."""
     return sketch.query(probes.withColumn("dimension", F.lit(dimension)), subkey, ask, **how).drop("dimension")
+
+
+@dataclass(frozen=True)
+class MultiHead:
+    """A grid with a counter of a kind of its own for each dimension, in one table of cells.
+
+    ``cells``: ``(dimension, *GRID, row, col, v, low)``.  Count-Min and Count-Sketch cells and DDSketch buckets add ``v``; HyperLogLog registers
+    keep the least ``low``, the rest of a hash.  ``heads`` names the kind of each dimension.
+    """
+
+    cells: DataFrame
+    heads: tuple[tuple[str, str], ...]
+    depth: int
+    width: int
+    shape: Shape = Shape(3, 512)
+    alpha: float = 0.01
+
+    @staticmethod
+    def build(df: DataFrame, labels: Column, dimensions: dict[str, tuple[str, str]], weight: str | None = None, depth: int = 3, width: int = 64, shape: Shape = Shape(3, 512), alpha: float = 0.01) -> MultiHead:
+        """``dimensions``: of each the column of its values and its kind, ``cm``, ``cs``, ``hll`` or ``dd``.
+
+        One scan routes each row once and fills the cells of all kinds in one grouped aggregation.  A null value adds nothing in its
+        dimension, nor does a value that a quantile sketch cannot index.  Weights count in ``cm`` and ``cs``.
+        """
+        if wrong := {kind for _, kind in dimensions.values()} - {"cm", "cs", "hll", "dd"}:
+            raise ValueError(f"no such counters: {sorted(wrong)}")
+        w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+        values = [F.col(c).alias(f"_value{i}") for i, (c, _) in enumerate(dimensions.values())]
+        rows = placed(df.select(w.alias("_w"), *values, F.explode(expand_subkeys(labels)).alias("_sub")), "_sub", depth, width)
+        entries, mapping = [], Mapping(alpha)
+        for i, (name, (_, kind)) in enumerate(dimensions.items()):
+            value, title = F.col(f"_value{i}"), name.replace("'", "\\'")
+
+            def entry(row: object, col: str, v: str, low: str, when: str, title: str = title) -> str:
+                return f"CASE WHEN {when} THEN named_struct('dimension', '{title}', 'row', {row}, 'col', cast({col} AS int), 'v', cast({v} AS double), 'low', cast({low} AS bigint)) END"
+
+            if kind in ("cm", "cs"):
+                made = replace(shape, signed=kind == "cs")
+                rows = hashed(rows, value.cast("string"), made).withColumnsRenamed({f"_h{r}": f"_{i}_h{r}" for r in range(made.rows)})
+                for r in range(made.rows):
+                    col, sign = (x.replace("_h", f"_{i}_h") for x in place(made, r))
+                    entries.append(entry(r, col, f"({sign}) * _w", "NULL", f"_value{i} IS NOT NULL AND _w <> 0"))
+            elif kind == "hll":
+                rows = rows.withColumn(f"_{i}_word", hashing.word_of(value.cast("string")))
+                rows = rows.withColumns({f"_{i}_reg": register(F.col(f"_{i}_word")), f"_{i}_low": rest(F.col(f"_{i}_word"))})
+                entries.append(entry(0, f"_{i}_reg", "NULL", f"_{i}_low", f"_value{i} IS NOT NULL"))
+            else:
+                v = value.cast("double")
+                rows = rows.withColumn(f"_{i}_bucket", F.when(mapping.indexable(v), mapping.bucket(v)))
+                entries.append(entry(0, f"_{i}_bucket", "1", "NULL", f"_{i}_bucket IS NOT NULL"))
+        dealt = rows.selectExpr(*GRID, f"inline(filter(array({', '.join(entries)}), e -> e IS NOT NULL))")
+        return MultiHead(_tagged(dealt), tuple((name, kind) for name, (_, kind) in dimensions.items()), depth, width, shape, alpha)
+
+    def merge(self, *others: MultiHead) -> MultiHead:
+        identity = lambda m: (m.heads, m.depth, m.width, m.shape, m.alpha)
+        same(identity(self), *(identity(o) for o in others))
+        return replace(self, cells=_tagged(union([m.cells for m in (self, *others)])))
+
+    def head(self, dimension: str) -> Hydra:
+        """The grid of one dimension."""
+        kinds = dict(self.heads)
+        if dimension not in kinds:
+            raise UnsupportedQuery(f"no dimension {dimension}")
+        kind, own = kinds[dimension], self.cells.where(F.col("dimension") == dimension)
+        if kind in ("cm", "cs"):
+            inner = Linear(own.select(*GRID, "row", "col", "v"), replace(self.shape, signed=kind == "cs"), tuple(GRID))
+        elif kind == "hll":
+            inner = HLL(own.select(*GRID, F.col("col").alias("reg"), rho_of(F.col("low")).alias("rho")), tuple(GRID))
+        else:
+            inner = DDSketch.from_buckets(own.select(*GRID, F.col("col").alias("bucket"), F.col("v").cast("bigint").alias("cnt")), GRID, self.alpha)
+        return Hydra(inner, kind, self.depth, self.width)
+
+    def query(self, probes: DataFrame, subkey: str, dimension: str, ask: str, **how: object) -> DataFrame:
+        """``(subkey, [item,] estimate)`` from the counters of one dimension, as :meth:`Hydra.query`."""
+        return self.head(dimension).query(probes, subkey, ask, **how)
+
+
+def _tagged(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("dimension", *GRID, "row", "col").agg(F.sum("v").alias("v"), F.min("low").alias("low"))

@@ -1,7 +1,7 @@
 """KLL quantile sketches as tables of items ``(*by, level, item)``: an item of level l stands for 2^l values.
 
-Each task sketches its own rows batch by batch, tasks' sketches are merged in groups, and these once more, so no task holds
-more than some hundred sketches of a group, nor more than some number of groups at a time.  Ranks, CDFs and quantiles are plain queries over the items.
+Each task sketches its own rows batch by batch, and a tree merges tasks' sketches, ``FAN_IN`` of a group at a time, so no task holds
+more of a group, nor more than some number of groups at a time.  Ranks, CDFs and quantiles are plain queries over the items.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import as_list, join_null_safe, same, union
+from .frames import as_list, join_null_safe, rounds, same, union
 from .heavy import Groups, by_group, each_group
 
-#: Sketches that one task merges at a time.
+#: Sketches that become one in a step of the reduction tree.
 FAN_IN = 128
 MOST_K = 26602
 
@@ -108,8 +108,10 @@ class KLL:
             yield from table(held.states.items())
 
         parts = rows.mapInPandas(sketch, f"{kinds}level int, item double, _part int")
-        merged = _merged(parts, by, kinds, k, m, seed, F.floor(F.col("_part") / FAN_IN).cast("int"))
-        merged = _merged(merged, by, kinds, k, m, seed + 1, F.lit(0))
+        levels = rounds(rows, FAN_IN)
+        for level in range(1, levels):
+            parts = _merged(parts, by, kinds, k, m, seed + 1 + level, F.expr(f"_part div {FAN_IN}").cast("int"))
+        merged = _merged(parts, by, kinds, k, m, seed + 1, F.lit(0))
         return KLL(merged.select(*by, "level", "item"), rows.groupBy(*by).agg(F.count("*").alias("n")), k, m, tuple(by))
 
     def merge(self, *others: KLL, seed: int = 7) -> KLL:

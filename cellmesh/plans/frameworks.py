@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import hydra
+from ..operators.ddsketch import Mapping
 from ..operators.hydra import Hydra
 from ..operators.univmon import Pyramid, UnivMon
 from ..sources.tables import read
@@ -351,6 +352,40 @@ def _(spark, d):
     return hydra.multihead_query(grid, probes, "sub", "customer", "frequency", item="value")
 
 
+def _mixed(spark, d, width: int = 64):
+    dimensions = {"customer": ("o_custkey", "hll"), "price": ("o_totalprice", "dd"), "order": ("o_orderkey", "cm")}
+    return hydra.MultiHead.build(_labelled(spark, d), label_key(), dimensions, width=width)
+
+
+@query("multihead_mixed_registers", _HREG)
+def _(spark, d):
+    """The registers of one dimension, from a build that counts quantiles and frequencies of others."""
+    return _mixed(spark, d).head("customer").inner.registers
+
+
+@query("multihead_mixed_buckets", s.buckets(f"({_GRID})", "o_totalprice", Mapping(0.01).per_log, by="grid_row, grid_col"))
+def _(spark, d):
+    return _mixed(spark, d).head("price").inner.buckets
+
+
+@query("multihead_mixed_frequency", f"SELECT dimension, grid_row, grid_col, \"row\", col, v FROM ({_MH}) WHERE dimension = 'order'")
+def _(spark, d):
+    return _mixed(spark, d).head("order").inner.cells.withColumn("dimension", F.lit("order"))
+
+
+@query("multihead_mixed", _ALL_SUBS)
+def _(spark, d):
+    """Of each subset key customers within 5 % and the median price within 2 %, from one build; halves merge."""
+    rows = _labelled(spark, d)
+    grid, probes = _mixed(spark, d, 1024), _probes(spark, d)
+    each = rows.select("o_custkey", "o_totalprice", F.explode(hydra.expand_subkeys(label_key())).alias("sub"))
+    exact = each.groupBy("sub").agg(F.countDistinct("o_custkey").alias("n"), F.percentile("o_totalprice", F.lit(0.5)).alias("m"), F.count("*").alias("rows"))
+    found = grid.query(probes, "sub", "customer", "cardinality").withColumnRenamed("estimate", "customers").join(grid.query(probes, "sub", "price", "quantile", q=0.5).withColumnRenamed("estimate", "median"), "sub")
+    slack = F.lit(0.02) + 20 / (F.col("rows") + 20) * 0.2  # the exact median lies between two prices
+    close = (F.abs(F.col("customers") - F.col("n")) <= 0.05 * F.col("n") + 1) & (F.abs(F.col("median") - F.col("m")) <= slack * F.col("m"))
+    return found.join(exact, "sub").select("sub", close.alias("within"))
+
+
 # --- binary forms: what is encoded is read back ---
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import deltas, heavy, layer, sampling
+from ..operators.ddsketch import DDSketch, Mapping
 from ..operators.frames import top_k
 from ..operators.heavy import Coco
+from ..operators.hll import HLL
 from ..operators.linear import Linear, Shape, Tally, insert_at_rows, unfold_merge
 from ..operators.tracked import Tracked
 from ..sources.tables import load, packets, read, save
@@ -427,6 +432,30 @@ def _(spark, d):
     return layer.build(events(spark, d), "user_id", {"cm": Shape(), "hll": "ertl"})["hll"].registers
 
 
+_SIX = ["cells", "signed", "registers", "buckets", "ranks", "owners"]
+
+
+@query("hash_layer_six", "SELECT unnest(['cells', 'signed', 'registers', 'buckets', 'ranks', 'owners']) AS sketch, true AS within")
+def _(spark, d):
+    """Six kinds from one scan, sums, maxima and states that depend on the order: cells as built alone, a median of rank within 3 %, and no weight lost."""
+    rows = read(spark, d, "lineitem")
+    kinds = dict(zip(_SIX, (Shape(3, 512), Shape(3, 512, signed=True), "ertl", Mapping(0.01), layer.Ranks(), layer.Owners(3, 512)), strict=True))
+    built = layer.build(rows, "l_partkey", kinds)
+    same = lambda a, b: a.exceptAll(b).unionByName(b.exceptAll(a)).agg((F.count("*") == 0).alias("within"))
+    n = rows.agg(F.count("l_partkey").alias("n"))
+    median = built["ranks"].quantiles([0.5]).select(F.col("value").alias("m"))
+    share = rows.crossJoin(F.broadcast(median)).agg((F.avg((F.col("l_partkey") <= F.col("m")).cast("int")) - 0.5).alias("off"))
+    checks = {
+        "cells": same(built["cells"].cells, Linear.build(rows, "l_partkey", shape=Shape(3, 512)).cells),
+        "signed": same(built["signed"].cells, Linear.build(rows, "l_partkey", shape=Shape(3, 512, signed=True)).cells),
+        "registers": same(built["registers"].registers, HLL.build(rows, "l_partkey").registers),
+        "buckets": same(built["buckets"].buckets, DDSketch.build(rows, "l_partkey").buckets),
+        "ranks": share.crossJoin(built["ranks"].counts.withColumnRenamed("n", "seen")).crossJoin(n).select(((F.abs("off") <= 0.03) & (F.col("seen") == F.col("n"))).alias("within")),
+        "owners": built["owners"].partial(F.lit(True)).crossJoin(n).select((F.col("estimate") == F.col("n")).alias("within")),
+    }
+    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("sketch"), "within") for name, df in checks.items()))
+
+
 @query("any_sketch_merge", s.cells("events", "user_id", signed=True))
 def _(spark, d):
     """Sketches of one type merge, whatever it is."""

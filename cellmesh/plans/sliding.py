@@ -13,7 +13,7 @@ from ..operators.linear import Linear, Shape, rows_of_mask
 from ..operators.univmon import Pyramid, UnivMon
 from ..operators.windows import Hybrid
 from ..sources.tables import in_order, read, stream
-from ..streaming import closing, frames, stateful, tau
+from ..streaming import closing, frames, sketches, stateful, tau
 from . import sqltext as s
 from .registry import query
 
@@ -409,6 +409,74 @@ def _(spark, d):
     return found.join(exact, "series").select("series", F.col("n").between(F.col("m"), F.col("m") * (1 + 1 / PER_SIZE) + 1).alias("within"))
 
 
+def _window_events(spark, d):
+    """The events of each series' last window, as ``series``."""
+    last = events(spark, d).groupBy("event_type").agg(F.max("event_id").alias("last"))
+    return events(spark, d).join(last, "event_type").where(F.col("event_id") >= F.col("last") - WINDOW).withColumn("series", F.col("event_type"))
+
+
+@query("stream_eh_hll", _EACH)
+def _(spark, d):
+    """Distinct users of the window from registers in its buckets: within 10 %."""
+    sent = stateful.drained(sketches.sliding_registers(stream(spark, _quarters(spark, d), "events", 1), "event_type", "event_id", "user_id", K, WINDOW), "update")
+    registers = sketches.entries(sketches.last(sent, ["series", "part"]), ("part", "reg", "rho"), True).select("series", "reg", F.col("rho").cast("int").alias("rho"))
+    exact = _window_events(spark, d).groupBy("series").agg(F.countDistinct("user_id").alias("n"))
+    both = HLL(registers, ("series",)).estimate().join(exact, "series")
+    return both.select("series", (F.abs(F.col("estimate") - F.col("n")) <= 0.1 * F.col("n") + 2).alias("within"))
+
+
+@query("stream_eh_cm", _EACH)
+def _(spark, d):
+    """Each user's frequency in the window from cells in its buckets: within 5 % of the window's events, and one at its edge."""
+    shape = Shape(3, 2048)
+    sent = stateful.drained(sketches.sliding_cells(stream(spark, _quarters(spark, d), "events", 1), "event_type", "event_id", "user_id", K, WINDOW, shape), "update")
+    found = Linear(sketches.entries(sketches.last(sent, ["series", "part"])), shape, ("series",))
+    exact = _window_events(spark, d).groupBy("series", "user_id").agg(F.count("*").alias("n"))
+    total = exact.groupBy("series").agg(F.sum("n").alias("t"))
+    both = found.estimate(exact, "user_id").join(exact, ["series", "user_id"]).join(total, "series")
+    return both.groupBy("series").agg(F.bool_and(F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("t") + 1).alias("within"))
+
+
+@query("stream_eh_dd", _EACH)
+def _(spark, d):
+    """The window's median from DDSketch buckets in its buckets: its rank is within 15 %."""
+    sent = stateful.drained(sketches.sliding_quantiles(stream(spark, _quarters(spark, d), "events", 1), "event_type", "event_id", "value", K, WINDOW), "update")
+    buckets = sketches.entries(sketches.last(sent, ["series", "part"]), ("part", "bucket", "cnt")).select("series", F.col("bucket").cast("int").alias("bucket"), F.col("cnt").cast("bigint").alias("cnt"))
+    found = DDSketch.from_buckets(buckets, "series").quantiles([0.5]).select("series", F.col("value").alias("median"))
+    share = F.sum((F.col("value") <= F.col("median") * 1.01).cast("int")) / F.count("*")
+    return _window_events(spark, d).join(found, "series").groupBy("series").agg((F.abs(share - 0.5) <= 0.15).alias("within"))
+
+
+_EVERY_SERIES = "SELECT event_type AS series, true AS within, true AS bounded FROM (SELECT DISTINCT event_type FROM events)"
+
+
+@query("stream_space_saving", _EVERY_SERIES)
+def _(spark, d):
+    """Space-Saving in a stream's state, each series over several: both guarantees hold after all micro-batches."""
+    sent = stateful.drained(sketches.tracked(stream(spark, _quarters(spark, d), "events", 1), "user_id", 20, series="event_type"), "update")
+    found = sketches.hitters(sent, 20)
+    true = events(spark, d).groupBy(F.col("event_type").alias("series"), F.col("user_id").cast("string").alias("key")).agg(F.count("*").alias("n"))
+    total = true.groupBy("series").agg(F.sum("n").alias("w"))
+    both = true.join(found, ["series", "key"], "left").join(total, "series")
+    heavy = (F.col("n") <= F.col("w") / 20) | F.col("cnt").isNotNull()
+    bounds = F.col("cnt").isNull() | ((F.col("cnt") >= F.col("n")) & (F.col("cnt") - F.col("err") <= F.col("n")))
+    return both.groupBy("series").agg(F.bool_and(heavy).alias("within"), F.bool_and(bounds).alias("bounded"))
+
+
+_RHO = s.registers(f"({_PARTED})", "user_id", by="part")
+
+
+@query(
+    "stream_register_changes",
+    f"""SELECT reg, old, rho AS "new" FROM (SELECT *, coalesce(max(rho) OVER (PARTITION BY reg ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS old FROM (
+      SELECT part::BIGINT AS part, reg, rho FROM ({_RHO}))) WHERE rho > old""",
+)
+def _(spark, d):
+    """Of four files in order, the registers that each raised."""
+    sent = stateful.drained(sketches.register_changes(stream(spark, _quarters(spark, d), "events", 1), "user_id"))
+    return sent.select("reg", "old", "new")
+
+
 # --- workers ---
 
 _DEPTHS = "SELECT event_type, event_id, (trunc(value)::BIGINT % 200) AS depth FROM events"

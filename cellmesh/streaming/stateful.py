@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..operators.frames import join_null_safe
 from ..operators.linear import Shape, addressed
 from ..operators.windows import compacted
+from ..sources.folders import scratch
 from .closing import BLOCK, crossed
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -119,21 +119,6 @@ def kept_progress(spark: SparkSession, batches: int = 100_000) -> Iterator[None]
         spark.conf.set(name, before)
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A folder that driver and executors share, under ``spark.checkpoint.dir`` where the cluster names it; an error where a cluster names none."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="cellmesh-")
-    uri = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return uri
-
-
 class LateRows(RuntimeError):
     """A stream dropped rows that came behind its watermark."""
 

@@ -10,11 +10,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellmesh.operators import workers
+from cellmesh.operators import frames as frames_of
+from cellmesh.operators import heavy, hydra, kll, layer, workers
 from cellmesh.operators.crossing import Blocks, Reach, applied
+from cellmesh.operators.ddsketch import Mapping
+from cellmesh.operators.frames import Mismatch, UnsupportedQuery
+from cellmesh.operators.hll import HLL
 from cellmesh.operators.linear import Linear, Shape
 from cellmesh.sources import tables
-from cellmesh.streaming import closing, frames, stateful
+from cellmesh.streaming import closing, frames, sketches, stateful
 
 
 def one_by_one(w, tau, held, signed):
@@ -181,3 +185,122 @@ def test_files_in_order(spark, tmp_path):
 def write(df, path):
     df.write.parquet(path)
     return path
+
+
+# --- sketches in a stream's state ---
+
+
+def as_stream(spark, path, rows, schema, files=4):
+    n = -(-len(rows) // files)
+    for a in range(0, len(rows), n):
+        spark.createDataFrame(rows[a : a + n], schema).coalesce(1).write.mode("append").parquet(f"{path}/t.parquet")
+    return tables.stream(spark, str(path), "t", 1)
+
+
+def test_buckets_take_what_the_invariant_lets_them():
+    rng = np.random.default_rng(1)
+    for c in (2, 6):
+        sizes = rng.integers(1, 4, 300)
+        start = sketches.cuts(sizes, c)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        assert start[0] == 0 and len(start) < 120
+        for a, b in zip(start, [*start[1:], len(sizes)], strict=True):
+            assert b == a + 1 or total[b] - total[a] <= total[a] // c + 1
+            assert b == len(sizes) or total[b + 1] - total[a] > total[a] // c + 1 or b + 1 == a + 1
+
+
+def test_sliding_sketches(spark, tmp_path):
+    """Buckets hold exactly the cells of their events, late ones too; those before the window are gone."""
+    r = random.Random(2)
+    rows = [("x" if i % 3 else None, max(0, i - r.randint(0, 30)), f"k{r.randint(0, 5)}", float(r.randint(1, 99))) for i in range(600)]
+    shape = Shape(2, 8)
+    made = as_stream(spark, tmp_path, [*rows, ("x", None, "k0", 1.0), ("x", 599, None, None)], "series string, ts bigint, k string, v double")
+    buckets = sketches.last(stateful.drained(sketches.sliding_cells(made, "series", "ts", "k", 10, 200, shape), "update"), ["series", "part"])
+    held = buckets.collect()
+    for series in ("x", None):
+        own = [b for b in held if b.series == series]
+        assert {(b.min_ts, b.max_ts, b.size) for b in own if b.part == 0} == {(b.min_ts, b.max_ts, b.size) for b in own if b.part == 1}
+        inside = [x for x in rows if x[0] == series and x[1] >= max(y[1] for y in rows if y[0] == series) - 200]
+        n = sum(b.size for b in own if b.part == 0)
+        assert len(inside) <= n <= len(inside) * (1 + 1 / 6) + 1
+        assert all(sum(b.v) == b.size for b in own) and len(own) < 2 * 60
+        # As the sketch of the newest n events.
+        newest = sorted((x for x in rows if x[0] == series), key=lambda x: x[1])
+        oldest = min(b.min_ts for b in own)
+        whole = Linear.build(spark.createDataFrame([(x[2],) for x in newest if x[1] > oldest], "k string"), "k", shape=shape)
+        cells = {(e.row, e.col): e.v for e in sketches.entries(buckets.where(F.col("series").eqNullSafe(F.lit(series)))).collect()}
+        for c in whole.cells.collect():
+            assert c.v <= cells[c.row, c.col] <= c.v + 30
+    highest = sketches.sliding_registers(made, "series", "ts", "k", 10, 10_000)
+    found = sketches.entries(sketches.last(stateful.drained(highest, "update"), ["series", "part"]), ("part", "reg", "rho"), True)
+    df = spark.createDataFrame(rows, "series string, ts bigint, k string, v double")
+    expected = {(x.series, x.reg, x.rho) for x in HLL.build(df, "k", "series").registers.collect()}
+    assert {(x.series, x.reg, int(x.rho)) for x in found.collect()} == expected
+    sent = stateful.drained(sketches.register_changes(made, "k", "series"))
+    assert {(x.series, x.reg, x.rho) for x in sent.groupBy("series", "reg").agg(F.max("new").alias("rho")).collect()} == {(s, g, rho) for s, g, rho in expected}
+    assert sent.where("new <= old").count() == 0
+
+
+@pytest.mark.parametrize("salts", [1, 4])
+def test_streamed_hitters(spark, tmp_path, salts):
+    r = random.Random(5)
+    rows = [(int(r.paretovariate(0.6)) % 500, r.choice([1.0, 2.5, 0.0, -3.0, None])) for _ in range(3000)]
+    made = as_stream(spark, tmp_path, [*rows, (None, 5.0)], "k int, w double")
+    found = {x.key: x for x in sketches.hitters(stateful.drained(sketches.tracked(made, "k", 25, "w", salts=salts), "update"), 25).collect()}
+    true = defaultdict(float)
+    for k, w in rows:
+        if w and w > 0:
+            true[str(k)] += w
+    total = sum(true.values())
+    assert len(found) == 25 and all(k in found for k, w in true.items() if w > total / 25)
+    assert all(x.cnt >= true[k] - 1e-9 and x.cnt - x.err <= true[k] + 1e-9 for k, x in found.items())
+
+
+def test_trees_of_merges(spark, monkeypatch):
+    """The depth of a reduction tree follows the number of tasks, and no step merges more than its fan-in."""
+    df = spark.range(0, 4000, 1, 40).withColumn("k", F.col("id") % 50)
+    assert [frames_of.rounds(df, n) for n in (2, 4, 40, 128)] == [6, 3, 1, 1]
+    assert frames_of.rounds(df.groupBy("k").count(), 128) == 1
+    for module in (kll, heavy):
+        monkeypatch.setattr(module, "FAN_IN", 2)
+    sketch = kll.KLL.build(df, "id", k=64)
+    assert sketch.counts.first().n == 4000 and sketch.items.count() < 64 * 6
+    weight = sketch.weighted().agg(F.sum("w")).first()[0]
+    assert abs(weight - 4000) <= 400 and abs(sketch.quantiles([0.5]).first().value - 2000) <= 400
+    table = heavy.Coco.build(df, "k", 2, 64).table
+    assert table.agg(F.sum("val")).first()[0] == 4000 and table.groupBy("row", "col").count().where("count > 1").count() == 0
+
+
+def test_a_layer_of_many_kinds(spark):
+    rows = [(str(i % 40) if i % 9 else ("a" if i % 2 else ""),) for i in range(900)] + [(None,)]
+    df = spark.createDataFrame(rows, "k string").repartition(3)
+    kinds = {"it's": Shape(2, 16), "cs": Shape(2, 16, signed=True), "h": "sparse", "d": Mapping(0.02), "r": layer.Ranks(), "o": layer.Owners(2, 64)}
+    built = layer.build(df, "k", kinds)
+    numbers = [float(k) for (k,) in rows if k and k != "a"]
+    assert built["it's"].l1().first().l1 == 900 and built["r"].counts.first().n == len(numbers)
+    assert sorted(x.item for x in built["r"].items.where("level = 0").collect()) == sorted(numbers) or built["r"].items.count() < len(numbers)
+    assert built["o"].partial(F.lit(True)).first().estimate == sum(bool(k) for (k,) in rows)
+    assert built["d"].buckets.agg(F.sum("cnt")).first()[0] == sum(x > 0 for x in numbers)
+    assert layer.query(built, df.limit(3), "k", "frequency").where("error is null").select("sketch").distinct().count() == 3
+    none = layer.build(df.limit(0), "k", kinds)
+    assert none["r"].counts.first().n == 0 and none["o"].table.count() == 0 and none["it's"].cells.count() == 0
+
+
+def test_mixed_heads(spark):
+    df = spark.createDataFrame([("a=1;b=2", "x", 1.0, 5), ("a=1;b=2", "y", 2.0, 6), ("a=1", "x", None, 7), ("a=1", None, -1.0, None)], "l string, u string, v double, o int")
+    heads = {"user": ("u", "hll"), "value": ("v", "dd"), "order": ("o", "cm"), "sign's": ("o", "cs")}
+    grid = hydra.MultiHead.build(df, F.col("l"), heads, width=256)
+    probes = spark.createDataFrame([("a=1",), ("b=2",), ("a=1;b=2",), ("c=3",)], "s string")
+    ask = lambda *a, **k: {r.s: r.estimate for r in grid.query(probes, "s", *a, **k).collect()}
+    assert ask("user", "cardinality") == {"a=1": 2, "b=2": 2, "a=1;b=2": 2, "c=3": 0}
+    assert ask("value", "quantile", q=1.0)["a=1"] == pytest.approx(2.0, rel=0.02)
+    items = probes.withColumn("o", F.lit("5"))
+    assert {r.s: r.estimate for r in grid.query(items, "s", "order", "frequency", item="o").collect()} == {"a=1": 1, "b=2": 1, "a=1;b=2": 1, "c=3": 0}
+    both = grid.merge(grid)
+    assert {r.s: r.estimate for r in both.query(items, "s", "sign's", "frequency", item="o").collect()}["b=2"] == 2
+    with pytest.raises(UnsupportedQuery):
+        grid.query(probes, "s", "user", "quantile", q=0.5)
+    with pytest.raises(UnsupportedQuery):
+        grid.head("none")
+    with pytest.raises(Mismatch):
+        grid.merge(hydra.MultiHead.build(df, F.col("l"), heads, width=64))
