@@ -1,7 +1,6 @@
 """Improbable-feature digests of whole documents.
 
-Every 32-byte window of a text is a feature.  The corpus tells how often each entropy of windows occurs; the
-rarer an entropy, the better a feature's rank.  A feature is selected where it has the best rank in many
+Every 16-byte window of a text is a feature; a shorter text is filled with zeros to one window.  The corpus tells how often each entropy of windows occurs; the rarer an entropy, the better a feature's rank.  A feature is selected where it has the best rank in many
 of the runs of windows around it.  Selected features set bits in Bloom filters; a full filter is followed by
 the next, so a digest grows with its text.  Two digests are compared filter by filter: the share of common bits, less
 what chance gives, from 0 to 1.
@@ -18,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ids
 from .shared import map_file, new_folder, write_file
 from .text import BASE, U64, buffers, chunks, mix
 
-WINDOW = 32
-#: Entropy steps; runs of windows in which a feature competes; how many of them it must win.
+WINDOW = 16
+#: Entropy steps; windows of a run in which a feature competes, and how many runs it must win, in texts of 1 KB and more.
 STEPS, RUN, WINS = 1000, 32, 8
-#: Shorter texts have all their windows of SHORT bytes as features.
-LEAST, SHORT = 128, 8
 #: Bits of a filter, bits that a feature sets, features that a filter takes.
 BITS, HASHES, FEATURES = 2048, 5, 160
 #: Bytes of text worked on at once; positions within it take 19 bits.
@@ -63,27 +61,39 @@ def entropies(data: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((np.log2(WINDOW) - total * (1.0 / (WINDOW << 20))) * (STEPS / np.log2(WINDOW))), 0, STEPS).astype(np.int64)
 
 
-def wins(data: np.ndarray, offs: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """How many runs of ``RUN`` windows within its text each window wins: least rank, leftmost of equals."""
+def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(data, offs, runs)``: texts with zeros behind each, where each begins, and at each byte that starts a window how many make a run, else 0.
+
+    Texts of under 512 bytes have shorter runs, down to 4.  What wins a long run also wins the short ones in it: shorter runs only add features.
+    """
+    size = np.array([max(len(t), WINDOW) if t else 0 for t in texts], np.int64)
+    gap = max(WINDOW, RUN) - 1
+    offs = np.concatenate([[0], np.cumsum(size + gap)])
+    data = np.frombuffer(b"".join(t.ljust(n + gap, b"\0") for t, n in zip(texts, size.tolist(), strict=True)), np.uint8)
+    edges, full = np.zeros(len(data) + 1, np.int8), size > 0
+    run = np.clip(np.left_shift(1, np.log2(np.maximum(size // 16, 1)).astype(np.int64)), 4, RUN)
+    edges[offs[:-1][full]] = run[full]
+    edges[(offs[:-1] + size - WINDOW + 1)[full]] -= run[full].astype(np.int8)
+    return data, offs, np.cumsum(edges[:-1], dtype=np.int8)
+
+
+def wins(data: np.ndarray, runs: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """How many runs of its text each window wins: least rank, leftmost of equals.  A run at the end has fewer windows."""
     out = np.zeros(len(data), np.uint8)
-    whole = RUN + WINDOW - 1
     for a in range(0, len(data), CHUNK):
-        piece = data[a : a + CHUNK + whole - 1]
-        if len(piece) < whole:
-            break
-        best = ranks[entropies(piece)].astype(np.int32)
+        piece = data[a : a + CHUNK + RUN + WINDOW - 2]
+        e = entropies(piece)
+        own = runs[a : a + len(e)]
+        best = np.where(own > 0, ranks[e], STEPS + 1).astype(np.int32)
         best <<= 19
         best |= np.arange(len(best), dtype=np.int32)
         step = 1
         while step < RUN:  # doubling finds the least of a run
             best = np.minimum(best[:-step], best[step:])
             step *= 2
-        inside = np.ones(len(best), bool)
-        edges = offs[(offs > a) & (offs < a + len(best) + whole)] - a
-        for edge in edges.tolist():
-            inside[max(0, edge - whole + 1) : edge] = False
-        count = np.bincount(best[inside] & ((1 << 19) - 1))
-        out[a : a + len(count)] += count.astype(np.uint8)
+            here = np.flatnonzero(own[: min(len(best), CHUNK)] == step)
+            count = np.bincount(best[here] & ((1 << 19) - 1))
+            out[a : a + len(count)] += count.astype(np.uint8)
     return out
 
 
@@ -93,30 +103,25 @@ _POWERS = np.multiply.accumulate(np.full(WINDOW, BASE, U64))
 def features(texts: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(hash, text)`` of the distinct selected features of texts, in order.
 
-    Texts of under 1 KB need fewer wins.  Of a text in which no window wins often enough the best is taken.  A text of
-    under ``LEAST`` bytes has all its windows of ``SHORT`` bytes, or itself, as features.
+    A window must win as many runs as the text has 128s of bytes, 1 at least and ``WINS`` at most: what a longer text selects, a
+    shorter one with the same window would too.  Of a text in which none wins often enough the best is taken.
     """
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-    size = np.diff(offs)
-    won = wins(data, offs, ranks)
+    data, offs, runs = padded(texts)
+    size = np.array([len(t) for t in texts], np.int64)
+    won = wins(data, runs, ranks)
     at = np.flatnonzero(won)
     of = np.searchsorted(offs, at, "right") - 1
-    enough = (won[at] >= np.clip(size[of] // 128, 1, WINS)) & (size[of] >= LEAST)
+    enough = won[at] >= np.clip(size[of] // 128, 1, WINS)
     at, of = at[enough], of[enough]
-    none = np.flatnonzero((np.bincount(of, minlength=len(texts)) == 0) & (size >= LEAST))
+    none = np.flatnonzero((np.bincount(of, minlength=len(texts)) == 0) & (size > 0))
     if len(none):
-        best = [offs[i] + int(np.argmin(ranks[entropies(data[offs[i] : offs[i + 1]])])) for i in none]
+        best = [offs[i] + int(np.argmin(ranks[entropies(data[offs[i] : offs[i] + size[i]])])) for i in none]
         at, of = np.concatenate([at, best]), np.concatenate([of, none])
     h = np.zeros(0, U64)
     if len(at):
         view = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
         parts = [((view[at[i : i + 8192]].astype(U64) + U64(1)) * _POWERS).sum(axis=1, dtype=U64) for i in range(0, len(at), 8192)]
         h = mix(np.concatenate(parts))
-    short = [(i, j) for i, t in enumerate(texts) if 0 < len(t) < LEAST for j in range(max(1, len(t) - SHORT + 1))]
-    if short:
-        h = np.concatenate([h, np.array([int.from_bytes(hashlib.sha1(texts[i][j : j + SHORT]).digest()[:8], "little") for i, j in short], U64)])
-        of, at = np.concatenate([of, [i for i, _ in short]]), np.concatenate([at, [int(offs[i]) + j for i, j in short]])
     order = np.lexsort((at, of))
     h, of = h[order], of[order]
     _, first = np.unique(mix(of.astype(U64) + U64(1)) ^ h, return_index=True)
@@ -233,11 +238,14 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, one row per row.
 
     The next document is the one with the next smaller id, after the smallest the largest; ties go by text, rows
-    without an id come last.  Null texts are empty; an empty text has the empty fingerprint.  One document alone is its own next.
+    without an id come last.  Ids may be of any kind that has an order.  Null texts are empty; an empty text has the empty fingerprint.  One document alone is its own next.
 
     Documents are dealt by ranges of ids and sorted.  The first document of each range is also sent to the range before it,
     as only its text is missing there.
     """
+    if (names := ids.names_of(docs, doc_id)) is not None:
+        whole = ids.numbers(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", names)
+        return ids.named(fingerprints(whole, parts=parts), ["doc_id"], names)
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranks_uri = rarity(docs)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ids
 from .components import components
 from .shared import batch_rows, map_file, new_folder, scratch, stash, write_file
 from .text import NON_SPACE, U64, buffers, chunks, keys, mix, release, shingle_sets, words
@@ -405,25 +406,30 @@ def pairs_of(listed: DataFrame, labels: DataFrame | None, percent: int, parts: i
 
 
 def id_filter(ids: DataFrame) -> str:
-    """URI of a bit table of fixed size: the bit of each id's hash is set."""
+    """URI of a bit table of fixed size: the bit of each id's hash is set.  Tasks send pieces, and each piece is united in one place."""
+    width = FILTER // 8 // PIECES
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER, bool)
         for batch in batches:
             bits[(mix(batch.column(0).to_numpy().view(U64)) % U64(FILTER)).astype(np.int64)] = True
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["data"])
+        parts = {i: x for i, x in enumerate(np.packbits(bits).reshape(PIECES, width)) if x.any()}
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts.values()], pa.binary())], ["piece", "data"])
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER // 8, np.uint8)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                bits |= np.frombuffer(zlib.decompress(x), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["data"])
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(zlib.decompress(data), np.uint8)
+                total[piece] = total[piece] | x if piece in total else x
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["piece", "data"])
 
-    bits = np.zeros(FILTER // 8, np.uint8)
-    for r in ids.mapInArrow(rows, "data binary").coalesce(8).mapInArrow(union, "data binary").collect():
-        bits |= np.frombuffer(zlib.decompress(r["data"]), np.uint8)
+    schema = "piece int, data binary"
+    bits = np.zeros((PIECES, width), np.uint8)
+    for r in ids.mapInArrow(rows, schema).repartition(PIECES, "piece").mapInArrow(union, schema).collect():
+        bits[r["piece"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
     uri = f"{new_folder(ids.sparkSession, 'ids')}/bits"
     write_file(uri, bits.tobytes())
     return uri
@@ -466,8 +472,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
     Texts link when their sets of ``k``-word shingles have ``100 |A n B| >= percent |A u B|``; ``component_id`` is the smallest id
     reachable.  Fewer than ``k`` words form one shingle.  Null texts and texts without words have no shingles and
-    link with nothing.  Rows that repeat an id are one node.  Rows without an id link with nothing and have a null component.
+    link with nothing.  Ids may be of any kind that has an order.  Rows that repeat an id are one node.  Rows without an id link with nothing and have a null component.
     """
+    if (names := ids.names_of(docs, doc_id)) is not None:
+        whole = ids.numbers(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", names)
+        return ids.named(near_duplicates(whole, k, percent, most=most), ["doc_id", "component_id"], names)
     with scratch(docs.sparkSession):  # its tables hold several times what it returns
         return _near_duplicates(docs, k, percent, doc_id, text, most)
 

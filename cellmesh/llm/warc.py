@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import filesystem, new_folder, stash
+from .text import chunks
 
 CRLF = b"\r\n"
 MIN_REVISIT = 1000
+#: Bytes of archives that one task reads, where there are more archives than cores keep busy.
+READ_BYTES = 256 << 20
 
 
 def chunked(payload: bytes, size: int = 4096) -> bytes:
@@ -126,7 +129,7 @@ def write_archives(pages: DataFrame, segment_bytes: int = 16384, archive_bytes:
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{"uri": uri, "bytes": size, "records": n}], schema=listing)
 
-        for batch in batches:
+        for batch in chunks(batches, "html"):  # some megabytes of pages at a time
             for page in batch.to_pylist():
                 for member in records_of(page, segment_bytes):
                     if out is None:
@@ -207,14 +210,15 @@ def _page(headers: dict, block: bytes | None, keep: bool) -> dict:
 
 
 def read_archives(listing: DataFrame, keep_payload: bool = True) -> DataFrame:
-    """One row per response and revisit in the archives of ``listing.uri``: the columns of ``PAGE``.
+    """One row per response and revisit in the archives of ``listing`` (``uri, bytes``): the columns of ``PAGE``.
 
     Whole records go out as they are read.  Only segments are shuffled, by origin; a record whose segments do
     not reach the total length has ``complete`` false and no payload.  A revisit has the payload length and
     digest that its record states.  Without archives there are no rows.
     """
-    archives = listing.select("uri")
-    spread = archives.repartition(max(1, archives.count()))
+    known = listing.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    cores = listing.sparkSession.sparkContext.defaultParallelism
+    spread = listing.select("uri").repartition(max(1, min(known["n"], max(4 * cores, known["bytes"] // READ_BYTES))))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

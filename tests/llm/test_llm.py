@@ -171,21 +171,21 @@ def test_blocks_do_not_change_digests(monkeypatch):
 def plain_digest(t, ranks):
     """Bits of each filter of a text, window by window and feature by feature."""
     word = (1 << 64) - 1
-    if len(t) >= fingerprint.LEAST:
-        steps = fingerprint.entropies(np.frombuffer(t, np.uint8))
-        won = Counter()
-        for a in range(len(steps) - fingerprint.RUN + 1):
-            won[min(range(a, a + fingerprint.RUN), key=lambda i: (ranks[steps[i]], i))] += 1
-        chosen = sorted(i for i, n in won.items() if n >= min(max(len(t) // 128, 1), fingerprint.WINS))
-        chosen = chosen or [min(range(len(steps)), key=lambda i: (ranks[steps[i]], i))]
-        hashes = []
-        for i in chosen:
-            h = sum((b + 1) * pow(text.BASE, j + 1, 1 << 64) for j, b in enumerate(t[i : i + fingerprint.WINDOW])) & word
-            h = (h ^ h >> 30) * text.MIX_A & word
-            h = (h ^ h >> 27) * text.MIX_B & word
-            hashes.append(h ^ h >> 31)
-    else:
-        hashes = [int.from_bytes(hashlib.sha1(t[j : j + fingerprint.SHORT]).digest()[:8], "little") for j in range(max(1, len(t) - fingerprint.SHORT + 1))] if t else []
+    whole, hashes, word = t.ljust(fingerprint.WINDOW, b"\0") if t else b"", [], (1 << 64) - 1
+    steps = fingerprint.entropies(np.frombuffer(whole, np.uint8))
+    won = Counter()
+    better = lambda i: (ranks[steps[i]], i)
+    run = next(r for r, least in ((32, 512), (16, 256), (8, 128), (4, 0)) if len(t) >= least)
+    for a in range(len(steps)):
+        won[min(range(a, min(a + run, len(steps))), key=better)] += 1
+    chosen = sorted(i for i, n in won.items() if n >= min(max(len(t) // 128, 1), fingerprint.WINS))
+    if t and not chosen:
+        chosen = [min(range(len(steps)), key=better)]
+    for i in chosen:
+        h = sum((b + 1) * pow(text.BASE, j + 1, 1 << 64) for j, b in enumerate(whole[i : i + fingerprint.WINDOW])) & word
+        h = (h ^ h >> 30) * text.MIX_A & word
+        h = (h ^ h >> 27) * text.MIX_B & word
+        hashes.append(h ^ h >> 31)
     hashes = list(dict.fromkeys(hashes))
     return [{h >> 11 * j & fingerprint.BITS - 1 for h in hashes[a : a + fingerprint.FEATURES] for j in range(fingerprint.HASHES)} for a in range(0, len(hashes), fingerprint.FEATURES)]
 
@@ -205,7 +205,7 @@ def plain_likeness(a, b):
 def test_digests_against_brute_force():
     rng = random.Random(11)
     base = bytes(rng.choices(b"abcdefgh ijk.\n", k=30_000))
-    texts = [base, base[:700], base[:15_000] + bytes(rng.choices(b"xyz uvw", k=9000)), b"", b"a", b"short text here", b"x" * 400, base[100:228]]
+    texts = [base, base[:700], base[:15_000] + bytes(rng.choices(b"xyz uvw", k=9000)), b"", b"a", b"short text here", b"x" * 400, base[100:228], base[100:227], base[:31], base[:33]]
     ranks = np.random.default_rng(4).permutation(fingerprint.STEPS + 1).astype(np.int32)
     plain = [plain_digest(t, ranks) for t in texts]
     for digest, bits in zip(fingerprint.digests(texts, ranks), plain, strict=True):
@@ -217,6 +217,34 @@ def test_digests_against_brute_force():
                 assert fingerprint.likeness(x, y) == pytest.approx(plain_likeness(plain[i], plain[j]))
 
 
+def test_one_law_at_all_lengths():
+    """Around the lengths where the wins needed change, texts that differ by a byte stay alike; short texts are told apart."""
+    rng = random.Random(5)
+    ranks = np.random.default_rng(4).permutation(fingerprint.STEPS + 1).astype(np.int32)
+    base = bytes(rng.choices(b"abcdefgh ijk.\n", k=2000))
+    for n in (2, 31, 32, 33, 127, 128, 129, 255, 256, 383, 384, 1023, 1024):
+        x, y, other = fingerprint.digests([base[:n], base[: n + 1], bytes(rng.choices(b"lmnopqrs", k=n))], ranks)
+        assert len(x) and fingerprint.likeness(x, y) >= (0.7 if n > 100 else 0.5 if n > 30 else 0)
+        assert fingerprint.likeness(x, other) <= 0.3
+    lonely = fingerprint.digests([b"a", b"b", b"a"], ranks)
+    assert (lonely[0] == lonely[2]).all() and fingerprint.likeness(lonely[0], lonely[1]) < 0.5
+    # A text's digest does not depend on what stands around it.
+    for texts in ([base[:127], b"", base[:40]], [b"zz", base[:127]], [base[:127]]):
+        assert (fingerprint.digests(texts, ranks)[texts.index(base[:127])] == fingerprint.digests([base[:127]], ranks)[0]).all()
+
+
+def test_ids_that_are_texts(spark):
+    """Ids of text: the next document and the least id follow their order."""
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "other"), (None, "one two three four five six"), ("aa", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {r.doc_id: r for r in fingerprint.fingerprints(docs, parts=2).collect()}
+    assert set(found) == {"a", "aa", "b", "c", None}
+    assert found["b"].edited_sha256 == hashlib.sha256(fingerprint.edited("one two three four five six", "").encode()).hexdigest()  # then comes "aa"
+    assert found["c"].edited_sha256 == hashlib.sha256(fingerprint.edited("other", "one two three four five six").encode()).hexdigest()
+    same = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert same == {"a": "a", "b": "a", "c": "c", "aa": "aa", None: None}
+
+
 def test_ranks_follow_rarity(documents):
     rows = [(i, t) for i, t in enumerate(["ab" * 300, "abcdefghijklmnopqrstuvwxyz0123456789" * 3, None, "abc" * 200])]
     seen = Counter(int(e) for _, t in rows if t for e in fingerprint.entropies(np.frombuffer(t.encode(), np.uint8)))
@@ -593,6 +621,17 @@ def test_missing_segment(spark):
     assert len(rows) == 1 and rows[0].complete is False and rows[0].payload is None
 
 
+def test_pages_above_an_archive(spark):
+    """A page larger than an archive and than a batch: its segments lie in several archives and come together."""
+    large = "".join(chr(97 + i % 26) for i in range(1000)) * 50_000
+    pages = spark.createDataFrame([(1, "u1", large), (2, "u2", "small"), (3, "u3", None), (4, "u4", large)], "page_id bigint, url string, html string")
+    listing = warc.write_archives(warc.revisits(pages), segment_bytes=4 << 20, archive_bytes=1 << 18)
+    assert listing.count() > 3
+    got = {r.page_id: r for r in warc.read_archives(listing, keep_payload=False).collect()}
+    assert got[4].payload_bytes == 50_000_000 and got[4].complete and got[4].payload_digest == hashlib.sha1(large.encode()).hexdigest()
+    assert (got[1].record_type, got[1].refers_to, got[3].payload_bytes) == ("revisit", 4, 0)
+
+
 # --- 9: sharding ---
 
 
