@@ -48,19 +48,19 @@ def register_of(h: int) -> tuple[int, int]:
     return h >> Q, Q + 1 - rest.bit_length()
 
 
-def sigma(x: Column) -> Column:
+# Expressions below are SQL texts: one parse instead of some hundred calls.
+
+
+def sigma(x: str) -> str:
     """x + sum over k of x^(2^k) 2^(k-1): infinite at 1."""
-    start = F.struct(x.alias("x"), F.lit(1.0).alias("y"), x.alias("z"))
-    step = lambda a, _: F.struct((a["x"] * a["x"]).alias("x"), (a["y"] * 2).alias("y"), (a["z"] + a["x"] * a["x"] * a["y"]).alias("z"))
-    return F.when(x == 1, F.lit(float("inf"))).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step)["z"])
+    steps = f"aggregate(sequence(1, {TERMS}), named_struct('x', {x}, 'y', 1D, 'z', {x}), (a, i) -> named_struct('x', a.x * a.x, 'y', a.y * 2, 'z', a.z + a.x * a.x * a.y))"
+    return f"if({x} = 1, double('infinity'), {steps}.z)"
 
 
-def tau(x: Column) -> Column:
+def tau(x: str) -> str:
     """(1 - x - sum over k of (1 - x^(2^-k))^2 2^-k) / 3: 0 at both ends."""
-    start = F.struct(x.alias("x"), F.lit(1.0).alias("y"), (1 - x).alias("z"))
-    root = lambda a: F.sqrt(a["x"])
-    step = lambda a, _: F.struct(root(a).alias("x"), (a["y"] / 2).alias("y"), (a["z"] - F.pow(1 - root(a), 2) * a["y"] / 2).alias("z"))
-    return F.when((x == 0) | (x == 1), 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step)["z"] / 3)
+    steps = f"aggregate(sequence(1, {TERMS}), named_struct('x', {x}, 'y', 1D, 'z', 1 - {x}), (a, i) -> named_struct('x', sqrt(a.x), 'y', a.y / 2, 'z', a.z - pow(1 - sqrt(a.x), 2) * a.y / 2))"
+    return f"if({x} = 0 OR {x} = 1, 0D, {steps}.z / 3)"
 
 
 @dataclass(frozen=True)
@@ -101,8 +101,8 @@ class HLL:
 
     def _counts(self) -> DataFrame:
         """One row per group: ``c``, the number of registers of each value 0 .. 51."""
-        values = [F.count(F.when(F.col("rho") == k, 1)) for k in range(1, Q + 2)]
-        return self.registers.groupBy(*self.by).agg(F.array((F.lit(M) - F.count("*")), *values).alias("c"))
+        values = ", ".join(f"count_if(rho = {k})" for k in range(1, Q + 2))
+        return self.registers.groupBy(*self.by).agg(F.expr(f"array({M} - count(*), {values}) AS c"))
 
     def estimate(self) -> DataFrame:
         """``(*by, estimate)`` as the variant estimates; what was sampled is scaled and rounded."""
@@ -111,16 +111,14 @@ class HLL:
 
     def ertl(self) -> DataFrame:
         """Ertl's improved raw estimator, rounded."""
-        return self._counts().select(*self.by, self._ertl(F.col("c")).alias("estimate"))
+        return self._counts().select(*self.by, self._ertl().alias("estimate"))
 
     @staticmethod
-    def _ertl(c: Column) -> Column:
-        m = float(M)
-        z = m * tau((m - F.element_at(c, Q + 2)) / m)
-        values = F.transform(F.sequence(F.lit(Q), F.lit(1)), lambda k: F.element_at(c, k + 1).cast("double"))
-        z = F.aggregate(values, z.cast("double"), lambda a, x: (a + x) / 2)
-        z = z + m * sigma(F.element_at(c, 1) / m)
-        return F.round(F.lit(0.5 / math.log(2) * m * m) / z).cast("bigint")
+    def _ertl() -> Column:
+        """Of the counts ``c``."""
+        m, last, empty = f"{float(M)}D", f"(({float(M)}D - element_at(c, {Q + 2})) / {float(M)}D)", f"(element_at(c, 1) / {float(M)}D)"
+        z = f"aggregate(transform(sequence({Q}, 1), k -> cast(element_at(c, k + 1) AS double)), cast({m} * {tau(last)} AS double), (a, x) -> (a + x) / 2)"
+        return F.expr(f"cast(round({0.5 / math.log(2) * M * M!r}D / ({z} + {m} * {sigma(empty)})) AS bigint)")
 
     def regular(self) -> DataFrame:
         """The original estimator with linear counting below 2.5 m and the large-range correction, truncated."""
@@ -140,7 +138,7 @@ class HLL:
         """Linear counting below ``DENSE`` registers in use, Ertl's estimator from there on."""
         n = float(M) - F.element_at("c", 1)
         linear = F.round(float(M) * F.log(float(M) / F.element_at("c", 1))).cast("bigint")
-        return self._counts().select(*self.by, F.when(n < DENSE, linear).otherwise(self._ertl(F.col("c"))).alias("estimate"))
+        return self._counts().select(*self.by, F.when(n < DENSE, linear).otherwise(self._ertl()).alias("estimate"))
 
     def delta(self, before: HLL) -> DataFrame:
         """Registers that increased.  No threshold: a register that is not sent would be lost."""

@@ -131,6 +131,17 @@ class Linear:
         """The probes with the ``k`` largest estimates above 0, ties by key."""
         return top_k(self.estimate(probes, key).where("estimate > 0"), k, "estimate", key, self.by)
 
+    @staticmethod
+    def top(df: DataFrame, key: str, k: int, weight: str | Column | None = None, by: str | Iterable[str] = (), shape: Shape = Shape()) -> DataFrame:
+        """The ``k`` keys of ``df`` with the largest estimates of a sketch of it, ties by key.
+
+        The table is read once: keys are summed first, and the sums fill the cells and are the probes.  For keys that repeat.
+        """
+        by = as_list(by)
+        w = F.lit(1.0) if weight is None else F.col(weight) if isinstance(weight, str) else weight
+        sums = df.where(F.col(key).isNotNull()).select(*by, F.col(key), w.cast("double").alias("_w")).groupBy(*by, key).agg(F.sum("_w").alias("_w"))
+        return Linear.build(sums, key, "_w", by, shape).top_k(sums, key, k)
+
     def l1(self) -> DataFrame:
         """``(*by, l1)``: the least mass of a row; of Count-Min only."""
         if self.shape.signed:

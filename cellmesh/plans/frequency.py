@@ -45,8 +45,7 @@ _TOP = f"SELECT user_id, estimate, row_number() OVER (ORDER BY estimate DESC, us
 
 @query("cm_topk_estimate", _TOP)
 def _(spark, d):
-    e = events(spark, d)
-    return Linear.build(e, "user_id").top_k(e, "user_id", 10)
+    return Linear.top(events(spark, d), "user_id", 10)
 
 
 _LINES = s.cells("lineitem", "l_orderkey", w="l_quantity")
