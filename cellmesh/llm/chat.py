@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Turns that one fold over a conversation takes.
+FOLD = 256
+
+
 @dataclass(frozen=True)
 class Template:
     """Control strings.  Each begins with one of ``<[`` and has neither of these later on, so none can begin
@@ -82,18 +86,26 @@ def format_conversations(
             )
         ),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    span = lambda at, p: F.struct((at + length(p["lead"])).cast("int").alias("start"), length(p["body"]).cast("int").alias("length"))
+    # Where learned texts stand: within parts of FOLD turns first, each then moved by what stands before it.  An append copies its array, so
+    # one fold over all turns would take their square.
+    size = lambda p: (length(p["lead"]) + length(p["body"])).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:int>>").alias("spans"))
+    span = lambda at, p: F.struct((at + length(p["lead"])).alias("start"), length(p["body"]).cast("int").alias("length"))
     step = lambda acc, p: F.struct(
-        (acc["at"] + length(p["lead"]) + length(p["body"])).alias("at"),
+        (acc["at"] + size(p)).alias("at"),
         F.when(p["learn"], F.array_append(acc["spans"], span(acc["at"], p))).otherwise(acc["spans"]).alias("spans"),
     )
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / FOLD).cast("int")), lambda i: F.aggregate(F.slice("parts", i * FOLD + 1, F.lit(FOLD)), start, step))
+    before = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    shifts = F.aggregate("cut", before, lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")))["starts"]
+    moved = lambda c, at: F.transform(c["spans"], lambda s: F.struct((s["start"] + at).cast("int").alias("start"), s["length"].alias("length")))
+    parts = parts.withColumn("cut", cut).withColumn("spans", F.flatten(F.zip_with("cut", shifts, moved)))
     return parts.select(
         "conv_id",
         F.size("ts").cast("long").alias("n_turns"),
         F.size("blocks").cast("long").alias("n_blocks"),
         F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(t.block_end)).alias("formatted"),
-        F.aggregate("parts", start, step)["spans"].alias("loss_spans"),
+        F.col("spans").alias("loss_spans"),
     )
 
 

@@ -72,6 +72,25 @@ def test_chat_of_a_long_text(spark):
     assert row.m == said and [x.text for x in row.read] == ["q", said]
 
 
+@pytest.mark.parametrize("fold", [1, 3, 256])
+def test_chat_folds_by_parts(spark, monkeypatch, fold):
+    """Spans do not depend on how many turns are folded at once."""
+    monkeypatch.setattr(chat, "FOLD", fold)
+    rows = [(c, i, "assistant" if i % 3 else "user", "é</s>" * (i % 4)) for c, n in ((1, 1), (2, 6), (3, 7), (4, 40)) for i in range(n)]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    for r in out.select("*", chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("m")).collect():
+        assert r.m == "".join(t for c, _, role, t in rows if c == r.conv_id and role == "assistant")
+        assert len(r.loss_spans) == sum(c == r.conv_id and role == "assistant" for c, _, role, _ in rows)
+
+
+def test_chat_of_many_turns(spark):
+    """A hundred thousand turns in one conversation: work follows their number."""
+    n = 100_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("ab").alias("text"))
+    r = chat.format_conversations(turns).select("n_turns", F.size("loss_spans").alias("n"), F.get("loss_spans", F.lit(n // 2 - 1)).alias("last"), F.char_length("formatted").alias("chars")).first()
+    assert (r.n_turns, r.n, r["last"].length, r["last"].start) == (n, n // 2, 2, r.chars - 2 - len("</s>"))
+
+
 # --- 2: language model ---
 
 
