@@ -248,6 +248,31 @@ class Coco:
         return self.table.where(match).groupBy(*self.by).agg(F.coalesce(F.sum("val"), F.lit(0)).alias("estimate"))
 
 
+    def partials(
+        self, probes: DataFrame, partial: str, match: Callable[[pd.Series, pd.Series], pd.Series], parts: Callable[[Column], Column], part_of: Callable[[Column], Column] = lambda p: p
+    ) -> DataFrame:
+        """``(*by, partial, estimate)``: for each distinct probe the sum over all keys for which ``match(full, partial)`` holds, 0 where there is none.
+
+        ``match`` takes two series of strings, the full keys and the partial ones, and returns booleans.  ``parts`` lists the parts of a full key under
+        which it can be found, ``part_of`` the part that a partial key asks for: only pairs that meet there are matched.  Probes carry the
+        group columns; a null partial key or part matches nothing.
+        """
+        by = list(self.by)
+        wanted = probes.select(*by, F.col(partial).cast("string").alias("_partial")).where(F.col("_partial").isNotNull()).distinct()
+        keys = self.table.groupBy(*by, "key").agg(F.sum("val").alias("val"))
+        listed = keys.select(*by, "key", "val", F.explode(F.array_distinct(parts(F.col("key")))).alias("_part"))
+        asked = wanted.withColumn("_part", part_of(F.col("_partial")))
+        met = join_null_safe(asked.where(F.col("_part").isNotNull()), listed.where(F.col("_part").isNotNull()), [*by, "_part"])
+
+        @F.pandas_udf("boolean")
+        def holds(full: pd.Series, some: pd.Series) -> pd.Series:
+            return match(full, some).fillna(False).astype(bool)
+
+        sums = met.where(holds("key", "_partial")).groupBy(*by, "_partial").agg(F.sum("val").alias("estimate"))
+        found = join_null_safe(wanted, sums, [*by, "_partial"], "left")
+        return found.select(*by, F.col("_partial").alias(partial), F.coalesce("estimate", F.lit(0)).cast("bigint").alias("estimate"))
+
+
 _EMPTY = pd.DataFrame({"row": pd.Series(dtype="int32"), "col": pd.Series(dtype="int32"), "key": pd.Series(dtype=object), "val": pd.Series(dtype="int64")})
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -613,6 +614,21 @@ def _(spark, d):
     return found.crossJoin(true).select((F.abs(F.col("estimate") - F.col("n")) <= 0.1 * F.col("n")).alias("within"))
 
 
+_ENDS = "SELECT event_type AS part, true AS within FROM events UNION SELECT user_id::VARCHAR, true FROM events"
+
+
+@query("coco_partial_function", _ENDS)
+def _(spark, d):
+    """All types and all users as partial keys of ``type@user``, matched by a function: sums within 1 % of all events."""
+    e = events(spark, d).withColumn("full", F.concat_ws("@", "event_type", "user_id"))
+    sides = e.select(F.explode(F.array("event_type", F.col("user_id").cast("string"))).alias("part"))
+    true = sides.groupBy("part").agg(F.count("*").alias("n"))
+    is_side = lambda full, part: pd.Series([p in f.split("@") for f, p in zip(full, part, strict=True)], dtype="boolean")
+    found = Coco.build(e, "full", 4, 4096).partials(true, "part", is_side, lambda key: F.split(key, "@"))
+    total = e.agg(F.count("*").alias("t"))
+    return found.join(true, "part").crossJoin(F.broadcast(total)).select("part", (F.abs(F.col("estimate") - F.col("n")) <= 0.01 * F.col("t") + 1).alias("within"))
+
+
 # Votes of each range and bucket item by item, then the ranges' outcomes in order; what a contest sends to the light part on the way.
 _STAYS = "(v.flow = e.flow OR v.neg + 1 < 8 * v.pos)"
 _LOST = "greatest(1, 8 * m.pos - m.neg)"

@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -304,3 +305,18 @@ def test_mixed_heads(spark):
         grid.head("none")
     with pytest.raises(Mismatch):
         grid.merge(hydra.MultiHead.build(df, F.col("l"), heads, width=64))
+
+
+def test_partial_keys_by_a_function(spark):
+    """Many partial keys against one table: exactly its sums, whatever the function; keys are found by their parts alone."""
+    rows = [(f"{a}:{b}", g) for a in ("x", "y", "xy") for b in range(12) for g in (1, None) for _ in range(b + 1)]
+    df = spark.createDataFrame(rows, "k string, g int")
+    sketch = heavy.Coco.build(df, "k", 2, 16, by="g")
+    table = defaultdict(int)
+    for r in sketch.table.collect():
+        table[r.g, r.key] += r.val
+    probes = [(p, g) for p in ("x", "y", "1", "11", "z", None) for g in (1, None, 2)]
+    by_part = sketch.partials(spark.createDataFrame(probes, "p string, g int"), "p", lambda f, p: pd.Series([x.startswith(y + ":") for x, y in zip(f, p)]), lambda k: F.split(k, ":"))
+    got = {(r.p, r.g): r.estimate for r in by_part.collect()}
+    assert got == {(p, g): sum(v for (h, k), v in table.items() if h == g and k.startswith(f"{p}:")) for p, g in probes if p is not None}
+    assert got["x", 1] > 0 and got["1", 1] == 0
