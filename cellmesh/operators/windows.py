@@ -36,15 +36,13 @@ def per_size(k: int) -> int:
     return k // 2 + 1
 
 
-def assigned(df: DataFrame, ts: str, by: str | None = None, k: int = 50, window: int = 100_000, ties: Iterable[str] = ()) -> DataFrame:
-    """``df``'s events of the last ``window`` ticks of their series, with ``series`` and ``slot``, the bucket: 0 is the newest.
+def ranked(df: DataFrame, ts: str, by: str | None = None, window: int = 100_000, ties: Iterable[str] = ()) -> DataFrame:
+    """``df``'s events of the last ``window`` ticks of their series, with ``series`` and ``_rank``, 0 for the newest.
 
     Events without a time are left out.  Events of equal times are ranked by the columns ``ties``.  A window is ranked slice by
     slice, each shifted by the events of newer ones, so no task holds a series.
     """
-    if k < 2 or window < 0:
-        raise ValueError("k is 2 at least, the window not negative")
-    c, t = per_size(k), F.col(ts).cast("bigint")
+    t = F.col(ts).cast("bigint")
     rows = df.where(F.col(ts).isNotNull()).withColumn("series", F.lit("") if by is None else F.col(by).cast("string"))
     last = rows.groupBy("series").agg(F.max(t).alias("_last"))
     rows = join_null_safe(rows, last, ["series"]) if by else rows.crossJoin(F.broadcast(last.select("_last")))
@@ -53,9 +51,20 @@ def assigned(df: DataFrame, ts: str, by: str | None = None, k: int = 50, window:
     newer = Window.partitionBy("series").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("series", "_slice", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_shift"))
     own = Window.partitionBy("series", "_slice").orderBy(t.desc(), *[F.col(x) for x in ties])
-    ranked = join_null_safe(rows.withColumn("_own", F.row_number().over(own) - 1), shift, ["series", "_slice"])
-    ranked = ranked.withColumn("_rank", (F.col("_own") + F.col("_shift")).cast("bigint"))
-    return with_slot(ranked, c).drop("_last", "_slice", "_own", "_shift", "_rank")
+    both = join_null_safe(rows.withColumn("_own", F.row_number().over(own) - 1), shift, ["series", "_slice"])
+    return both.withColumn("_rank", (F.col("_own") + F.col("_shift")).cast("bigint")).drop("_last", "_slice", "_own", "_shift")
+
+
+def assigned(df: DataFrame, ts: str, by: str | None = None, k: int = 50, window: int = 100_000, ties: Iterable[str] = ()) -> DataFrame:
+    """:func:`ranked` events with ``series`` and ``slot``, the bucket by counts: 0 is the newest."""
+    if k < 2 or window < 0:
+        raise ValueError("k is 2 at least, the window not negative")
+    return with_slot(ranked(df, ts, by, window, ties), per_size(k)).drop("_rank")
+
+
+def leaves(df: DataFrame, ts: str, by: str | None = None, window: int = 100_000, ties: Iterable[str] = (), leaf: int = 8) -> DataFrame:
+    """:func:`ranked` events with ``series`` and ``slot``, ``leaf`` events to each: what :func:`by_l2_tree` unites."""
+    return ranked(df, ts, by, window, ties).withColumn("slot", F.expr(f"cast(_rank div {leaf} AS int)")).drop("_rank")
 
 
 def with_slot(ranked: DataFrame, c: int) -> DataFrame:
@@ -142,6 +151,56 @@ def by_l2(events: DataFrame, key: str, k: int = 50, shape: Shape = Shape(3, 512,
     return each_group(cells, ["series"], unite, f"series {kind}, slot int, part int, l2 double")
 
 
+def by_l2_tree(events: DataFrame, key: str, k: int = 50, shape: Shape = Shape(3, 512, signed=True)) -> DataFrame:
+    """``(series, slot, part, l2)``: how :func:`leaves` unite so that each part has an L2^2 of at most a k-th of all newer, or is one leaf.
+
+    Leaves are summed up a dyadic tree, each node a Count-Sketch of the events below it.  From the newest leaf on, a part takes the largest
+    node that stands at its end and that it can bear, then smaller ones: cuts are free, and each costs the tree's depth.  A series' tree is
+    bounded by the window and read in one place; tasks sum it up.
+    """
+    cells = Linear.build(events, key, by=BUCKET, shape=shape).cells
+    last = events.agg(F.max("slot")).first()[0]
+    levels = F.explode(F.sequence(F.lit(0), F.lit(max(1, int(last or 0) + 1).bit_length() - 1))).alias("level")
+    nodes = cells.select("series", levels, "slot", "row", "col", "v").withColumn("node", F.expr("shiftright(slot, level)"))
+    nodes = nodes.groupBy("series", "level", "node", "row", "col").agg(F.sum("v").alias("v"))
+    kind = events.schema["series"].dataType.simpleString()
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        level, node = rows["level"].to_numpy(np.int64), rows["node"].to_numpy(np.int64)
+        order = np.lexsort((node, level))
+        at, v = (rows["row"].to_numpy(np.int64) * shape.cols + rows["col"].to_numpy(np.int64))[order], rows["v"].to_numpy(np.float64)[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(level[order]) != 0) | (np.diff(node[order]) != 0)]))
+        spans = dict(zip(zip(level[order][first].tolist(), node[order][first].tolist(), strict=True), zip(first.tolist(), np.append(first[1:], len(order)).tolist(), strict=True), strict=True))
+        mass = lambda x: float(np.median((x * x).reshape(shape.rows, -1).sum(axis=1)))
+
+        def with_node(held: np.ndarray, lev: int, i: int) -> np.ndarray:
+            a, b = spans.get((lev, i), (0, 0))  # a node whose cells cancel out has none
+            out = held.copy()
+            out[at[a:b]] += v[a:b]
+            return out
+
+        end = int(node[level == 0].max()) + 1
+        top, out, newer, here, part = int(level.max()), [], 0.0, 0, 0
+        while here < end:
+            begun, held = here, with_node(np.zeros(shape.rows * shape.cols), 0, here)
+            here += 1
+            grown = True
+            while grown and here < end:
+                grown = False
+                for lev in range(min(top, (here & -here).bit_length() - 1), -1, -1):
+                    more = with_node(held, lev, here >> lev)
+                    if mass(more) <= newer / k:
+                        held, here, grown = more, here + (1 << lev), True
+                        break
+            here = min(here, end)
+            newer += mass(held)
+            out += [(b, part, mass(held) ** 0.5) for b in range(begun, here)]
+            part += 1
+        return pd.DataFrame([(rows["series"].iloc[0], *x) for x in out], columns=["series", "slot", "part", "l2"])
+
+    return each_group(nodes, ["series"], cut, f"series {kind}, slot int, part int, l2 double")
+
+
 # --- exact counts that turn into a UnivMon ---
 
 HYBRID = 256

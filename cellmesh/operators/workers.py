@@ -8,18 +8,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
-from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..streaming.tau import Controller, replay
 from .crossing import Blocks, applied
 from .ddsketch import DDSketch, Mapping
-from .frames import UnsupportedQuery, as_list
+from .frames import as_list
 from .hll import HLL, changes
 from .linear import Linear, Shape, addressed
 
@@ -216,68 +213,7 @@ def aggregated_registers(sent: DataFrame, flushed: bool = True) -> HLL:
     return HLL(rows.groupBy("reg").agg(F.max("rho").alias("rho")))
 
 
-class Rule(Protocol):
-    """What a kind of sketch says of its cells: what workers send of a stream, and how the aggregator puts it together."""
-
-    def messages(self, df: DataFrame, key: str, order: str, tau: float | str, worker: str) -> DataFrame: ...
-
-    def merged(self, sent: DataFrame, flushed: bool) -> object: ...
-
-
-@dataclass(frozen=True)
-class Cells:
-    """Count-Min cells go at ``tau``, Count-Sketch cells at either sign of it; they add."""
-
-    shape: Shape = Shape()
-
-    def messages(self, df: DataFrame, key: str, order: str, tau: float | str, worker: str) -> DataFrame:
-        return crossings(df, key, order, tau, self.shape, None, worker)
-
-    def merged(self, sent: DataFrame, flushed: bool) -> Linear:
-        return aggregated(sent, self.shape, flushed)
-
-
-@dataclass(frozen=True)
-class Registers:
-    """Registers go after each ``tau`` rises and stay; the largest counts.  The threshold cannot follow a queue."""
-
-    def messages(self, df: DataFrame, key: str, order: str, tau: float | str, worker: str) -> DataFrame:
-        if isinstance(tau, str):
-            raise UnsupportedQuery("registers go by a fixed number of rises")
-        return register_batches(df, key, order, int(tau), worker)
-
-    def merged(self, sent: DataFrame, flushed: bool) -> HLL:
-        return aggregated_registers(sent, flushed)
-
-
-@dataclass(frozen=True)
-class Quantiles:
-    """Buckets go at ``tau`` values; they add."""
-
-    alpha: float = 0.01
-
-    def messages(self, df: DataFrame, key: str, order: str, tau: float | str, worker: str) -> DataFrame:
-        return bucket_crossings(df, key, order, tau, Mapping(self.alpha), worker)
-
-    def merged(self, sent: DataFrame, flushed: bool) -> DDSketch:
-        rows = sent if flushed else sent.where("not flush")
-        return DDSketch.from_buckets(rows.groupBy("bucket").agg(F.sum("d").cast("bigint").alias("cnt")).where("cnt > 0"), alpha=self.alpha)
-
-
-@dataclass(frozen=True)
-class System:
-    """Workers and their aggregator: a rule, and a threshold that stays or that each worker's queue moves."""
-
-    rule: Rule
-    tau: float | Controller
-
-    def run(self, df: DataFrame, key: str, order: str, worker: str, depth: str | None = None) -> DataFrame:
-        """All messages.  ``depth``: the length of a worker's queue at each item, for a threshold that moves; ``order`` then names an item."""
-        if not isinstance(self.tau, Controller):
-            return self.rule.messages(df, key, order, self.tau, worker)
-        taus = replay(df, order, depth, self.tau, (worker,)).select(worker, order, F.col("tau").alias("_moving"))
-        return self.rule.messages(df.join(taus, [worker, order]), key, order, "_moving", worker)
-
-    def sketch(self, sent: DataFrame, flushed: bool = True) -> object:
-        """What the aggregator holds, before or after the last flush."""
-        return self.rule.merged(sent, flushed)
+def aggregated_buckets(sent: DataFrame, flushed: bool = True, alpha: float = 0.01) -> DDSketch:
+    """The DDSketch of all messages of :func:`bucket_crossings`."""
+    rows = sent if flushed else sent.where("not flush")
+    return DDSketch.from_buckets(rows.groupBy("bucket").agg(F.sum("d").cast("bigint").alias("cnt")).where("cnt > 0"), alpha=alpha)

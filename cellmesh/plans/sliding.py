@@ -164,19 +164,16 @@ def _(spark, d):
     return windows.collapse(Hybrid.build(_dealt(spark, d), "user_id", by=windows.BUCKET, pyramid=Pyramid(2, 50, 3, 512, 512)), _answering(spark, d)).l2().withColumnRenamed("l2", "exact_l2")
 
 
-@query("eh_l2_buckets", "SELECT DISTINCT event_type AS series, true AS covers, true AS small, true AS within FROM events")
-def _(spark, d):
-    """United by L2: all buckets are covered, no united one has more than a 50th of the newer mass, and the sum of an answer is within 15 %."""
+def _l2_parts(dealt, united, key, rows, spark, d):
+    """Of parts united by L2: all leaves are covered, no united part has more than a 50th of the newer mass, and the sum of an answer is within 15 %."""
     from pyspark.sql import Window
 
-    dealt = _dealt(spark, d)
-    united = windows.by_l2(dealt, "user_id", K)
     members = united.groupBy("series", "part").agg(F.count("*").alias("m"), F.first("l2").alias("l2"))
     newer = F.coalesce(F.sum(F.col("l2") * F.col("l2")).over(Window.partitionBy("series").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     small = members.withColumn("newer", newer).groupBy("series").agg(F.bool_and((F.col("m") == 1) | (F.col("l2") * F.col("l2") <= F.col("newer") / K + 1e-6)).alias("small"), F.sum("m").alias("n"))
     number = dealt.groupBy("series").agg(F.countDistinct("slot").alias("b"))
-    cells = Linear.build(dealt, "user_id", by=windows.BUCKET, shape=CS)
-    n = _exact(spark, d).groupBy("series", "user_id").count()
+    cells = Linear.build(dealt, key, by=windows.BUCKET, shape=CS)
+    n = rows.groupBy("series", key).count()
     exact = n.groupBy("series").agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("exact"))
     spans = windows.buckets(dealt, "event_id").join(united, windows.BUCKET).groupBy("series", "part").agg(F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
     answering = windows.between(spans, *_interval(spark, d)).join(united, ["series", "part"])
@@ -185,6 +182,24 @@ def _(spark, d):
     return both.select("series", (F.col("n") == F.col("b")).alias("covers"), "small", (F.abs(F.col("found") - F.col("exact")) <= 0.15 * F.col("exact")).alias("within"))
 
 
+_UNITED = "SELECT DISTINCT event_type AS series, true AS covers, true AS small, true AS within FROM events"
+
+
+@query("eh_l2_buckets", _UNITED)
+def _(spark, d):
+    """Buckets by counts, united by L2."""
+    dealt = _dealt(spark, d)
+    return _l2_parts(dealt, windows.by_l2(dealt, "user_id", K), "user_id", _exact(spark, d), spark, d)
+
+
+@query("eh_l2_tree", _UNITED)
+def _(spark, d):
+    """Free cuts through a dyadic tree, of a stream in which one key has seven of ten events."""
+    skewed = lambda rows: rows.withColumn("key", F.when(F.col("event_id") % 10 < 7, 0).otherwise(F.col("user_id")))
+    dealt = windows.leaves(skewed(events(spark, d)), "event_id", "event_type", WINDOW, leaf=4)
+    return _l2_parts(dealt, windows.by_l2_tree(dealt, "key", K), "key", skewed(_exact(spark, d)), spark, d)
+
+
 # --- exact counts that turn into a UnivMon ---
 
 _KEYS = "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL"
@@ -634,32 +649,28 @@ def _(spark, d):
 
 @query("octo_system_cm", s.cells("events", "user_id", 3, 512))
 def _(spark, d):
-    system = workers.System(workers.Cells(SMALL), 20)
-    return system.sketch(system.run(_workers(spark, d), "user_id", "event_id", "worker")).cells
+    return workers.aggregated(workers.crossings(_workers(spark, d), "user_id", "event_id", 20, SMALL, None, "worker"), SMALL).cells
 
 
 @query("octo_system_adaptive", s.estimates(s.cells("events", "user_id", 3, 512, signed=True), "SELECT user_id FROM events", "user_id", 3, 512, signed=True))
 def _(spark, d):
     """Signed cells under thresholds that queues move; flushed, the sketch is exact."""
     e = _workers(spark, d).withColumn("depth", F.col("value").cast("bigint") % 200)
-    system = workers.System(workers.Cells(SIGNED), tau.Controller(start=16.0, most=64.0))
-    return system.sketch(system.run(e, "user_id", "event_id", "worker", "depth")).estimate(e, "user_id")
+    taus = tau.replay(e, "event_id", "depth", tau.Controller(start=16.0, most=64.0), ("worker",)).select("event_id", "tau")
+    return workers.aggregated(workers.crossings(e.join(taus, "event_id"), "user_id", "event_id", "tau", SIGNED, None, "worker"), SIGNED).estimate(e, "user_id")
 
 
 @query("octo_system_hll", s.registers("events", "user_id"))
 def _(spark, d):
-    system = workers.System(workers.Registers(), 16)
-    return system.sketch(system.run(_workers(spark, d), "user_id", "event_id", "worker")).registers
+    return workers.aggregated_registers(workers.register_batches(_workers(spark, d), "user_id", "event_id", 16, "worker")).registers
 
 
 @query("octo_system_dd", s.buckets("events", "value", _PER_LOG))
 def _(spark, d):
-    system = workers.System(workers.Quantiles(), 20)
-    return system.sketch(system.run(_workers(spark, d), "value", "event_id", "worker")).buckets
+    return workers.aggregated_buckets(workers.bucket_crossings(_workers(spark, d), "value", "event_id", 20, worker="worker")).buckets
 
 
 @query("octo_dd_online", f"SELECT bucket, (sum(cnt - cnt % 20))::BIGINT AS cnt FROM ({_DD_OLD}) GROUP BY 1 HAVING sum(cnt - cnt % 20) > 0")
 def _(spark, d):
     """Before the last flush each worker holds up to 19 values of a bucket back."""
-    system = workers.System(workers.Quantiles(), 20)
-    return system.sketch(system.run(_workers(spark, d), "value", "event_id", "worker"), flushed=False).buckets
+    return workers.aggregated_buckets(workers.bucket_crossings(_workers(spark, d), "value", "event_id", 20, worker="worker"), flushed=False).buckets

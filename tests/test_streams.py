@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cellmesh.operators import frames as frames_of
-from cellmesh.operators import heavy, hydra, kll, layer, workers
+from cellmesh.operators import heavy, hydra, kll, layer, windows, workers
 from cellmesh.operators.crossing import Blocks, Reach, applied
 from cellmesh.operators.ddsketch import Mapping
 from cellmesh.operators.frames import Mismatch, UnsupportedQuery
@@ -307,6 +307,36 @@ def test_mixed_heads(spark):
         grid.merge(hydra.MultiHead.build(df, F.col("l"), heads, width=64))
 
 
+def test_cuts_by_mass(spark):
+    """Leaves in order, none left out; a part of several leaves has at most a k-th of the newer mass, and parts are few."""
+    n, k = 2000, 10
+    df = spark.range(n).select(F.col("id").alias("t"), F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 50).alias("key"), (F.col("id") % 2).alias("s"))
+    dealt = windows.leaves(df, "t", "s", 1500, leaf=4)
+    found = windows.by_l2_tree(dealt, "key", k).collect()
+    true = defaultdict(lambda: defaultdict(int))
+    for r in dealt.collect():
+        true[r.series, r.slot][r.key] += 1
+    for series in ("0", "1"):
+        own = sorted((x.slot, x.part, x.l2) for x in found if x.series == series)
+        assert [s for s, *_ in own] == list(range(len(own))) and len(own) == sum(s == series for s, _ in true)
+        assert [p for _, p, _ in own] == sorted(p for _, p, _ in own)
+        parts = defaultdict(list)
+        for s, p, m in own:
+            parts[p].append((s, m))
+        newer = 0.0
+        for p in sorted(parts):
+            mass = parts[p][0][1] ** 2
+            assert len(parts[p]) == 1 or mass <= newer / k + 1e-6
+            newer += mass
+        assert 10 < len(parts) < 80 < len(own)
+        exact = defaultdict(int)
+        for s, _ in parts[max(parts)]:
+            for key, c in true[series, s].items():
+                exact[key] += c
+        assert abs(parts[max(parts)][0][1] - sum(c * c for c in exact.values()) ** 0.5) <= 0.15 * sum(c * c for c in exact.values()) ** 0.5
+    assert windows.by_l2_tree(windows.leaves(df.limit(0), "t"), "key").count() == 0
+
+
 def test_partial_keys_by_a_function(spark):
     """Many partial keys against one table: exactly its sums, whatever the function; keys are found by their parts alone."""
     rows = [(f"{a}:{b}", g) for a in ("x", "y", "xy") for b in range(12) for g in (1, None) for _ in range(b + 1)]
