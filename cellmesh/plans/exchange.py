@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import heavy, hydra
@@ -14,6 +16,7 @@ from ..operators.linear import Linear, Shape
 from ..operators.tracked import Tracked
 from ..operators.univmon import UnivMon
 from ..sources import codecs, portable
+from ..sources.folders import kept
 from ..sources.tables import read
 from . import sqltext as s
 from .frameworks import _HCM, _HREG, _KEPT, EVICTING, _labelled, label_key
@@ -73,7 +76,8 @@ def _(spark, d):
 @query("portable_kll", "SELECT true AS same, true AS packed")
 def _(spark, d):
     """Prices come back exactly from whole hundredths, level by level."""
-    sketch = KLL.build(read(spark, d, "lineitem").coalesce(1), "l_extendedprice")
+    sketch = KLL.build(read(spark, d, "lineitem"), "l_extendedprice")
+    sketch = replace(sketch, items=kept(sketch.items, "kll"))
     back = there_and_back(sketch)
     lost = sketch.items.exceptAll(back.items).unionByName(back.items.exceptAll(sketch.items)).agg((F.count("*") == 0).alias("same"))
     size = portable.to_messages(sketch).agg((F.max(F.length("data")) < 8 * 700).alias("packed"))
@@ -95,7 +99,8 @@ def _(spark, d):
 @query("portable_coco", "SELECT count(*)::BIGINT AS estimate, true AS same FROM lineitem")
 def _(spark, d):
     """Values and buckets come back; the format has hashes for keys."""
-    sketch = Coco.build(_skewed(spark, d).coalesce(1), "k", 3, 64)
+    sketch = Coco.build(_skewed(spark, d), "k", 3, 64)
+    sketch = replace(sketch, table=kept(sketch.table, "coco"))
     back = there_and_back(sketch)
     both = sketch.table.join(back.table.withColumnRenamed("val", "v").withColumnRenamed("key", "h"), ["row", "col"], "full")
     return both.agg(F.sum("v").alias("estimate"), F.bool_and(F.col("v").eqNullSafe(F.col("val"))).alias("same"))

@@ -322,11 +322,15 @@ def _(spark, d):
 
 @query(
     "hydra_fanout_parts",
-    "SELECT key, sub FROM (VALUES ('a;b;c', ['a','b','a;b','c','a;c','b;c','a;b;c']), ('x', ['x']), ('', ['']), ('a;;b', ['a','b','a;b'])) v(key, subs), unnest(subs) t(sub)",
+    """SELECT DISTINCT key, sub FROM (
+      SELECT o_orderstatus || ';;' || o_orderpriority AS key, unnest([o_orderstatus, o_orderpriority, o_orderstatus || ';' || o_orderpriority]) AS sub FROM orders
+      UNION ALL SELECT o_orderpriority, o_orderpriority FROM orders UNION ALL SELECT '', '' FROM orders)""",
 )
 def _(spark, d):
-    keys = spark.createDataFrame([("a;b;c",), ("x",), ("",), ("a;;b",)], "key string")
-    return keys.select("key", F.explode(hydra.expand_subkeys(F.col("key"))).alias("sub"))
+    """Keys with an empty part, of one part, and without any."""
+    keys = F.array(F.concat_ws(";;", "o_orderstatus", "o_orderpriority"), F.col("o_orderpriority"), F.lit(""))
+    rows = read(spark, d, "orders").select(F.explode(keys).alias("key")).distinct()
+    return rows.select("key", F.explode(hydra.expand_subkeys(F.col("key"))).alias("sub")).distinct()
 
 
 _MH = f"""SELECT dimension, gr::INTEGER AS grid_row, {s.col("gr", "'grid/' || sub", 64)} AS grid_col, r::INTEGER AS "row", {s.col("r", "value", 512)} AS col, count(*)::DOUBLE AS v
