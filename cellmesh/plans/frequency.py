@@ -466,6 +466,15 @@ def _(spark, d):
 
 # --- hashes ---
 
+# Positive numbers: the exponent from the logarithm, the rest is a whole number of 2^-52.
+_EXPONENT = "floor(log2(o_totalprice))::INTEGER"
+
+
+@query("float_bits", f"SELECT o_orderkey, ((1023 + {_EXPONENT})::HUGEINT * 4503599627370496 + ((o_totalprice / pow(2.0::DOUBLE, {_EXPONENT}) - 1) * 4503599627370496)::HUGEINT)::VARCHAR AS bits FROM orders")
+def _(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", hashing.float_bits()(F.col("o_totalprice").cast("double")).alias("bits"))
+
+
 _WORD = s.word("user_id")
 
 

@@ -433,6 +433,15 @@ def _(spark, d):
     return both.select("l_quantity", (F.abs(F.col("share") - F.col("below")) <= 0.03).alias("within"))
 
 
+@query("kll_share_linear_large", f"SELECT v AS l_quantity, true AS within FROM {_PROBED}")
+def _(spark, d):
+    """Interpolated at a value itself, the share is that of the values up to it; levels are compacted."""
+    lines = read(spark, d, "lineitem")
+    both = KLL.build(lines, "l_quantity").shares(lines, "l_quantity", linear=True).join(_by_quantity(spark, d), "l_quantity")
+    first = F.col("l_quantity") == F.min("l_quantity").over(Window.partitionBy())
+    return both.withColumn("at", F.when(first, F.col("below")).otherwise(F.col("up_to"))).select("l_quantity", (F.abs(F.col("share") - F.col("at")) <= 0.03).alias("within"))
+
+
 @query("kll_cdf_large", "SELECT true AS within, true AS ends")
 def _(spark, d):
     cdf = KLL.build(read(spark, d, "lineitem"), "l_quantity").cdf()
