@@ -515,6 +515,39 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, doc_id: str, text: s
     return stash(found, "near-duplicates", keep=True)
 
 
+def similarity_join(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", most: int = LIST) -> tuple[DataFrame, DataFrame]:
+    """The whole join, as ``(links, members)``: every link between different sets, and which documents have each set.
+
+    ``links``: ``a, b``, ids of classes of documents with equal sets, ``a < b``, whose sets are similar as in :func:`near_duplicates`.  ``members``:
+    ``doc_id, n_shingles, class_id, n_links``, one row per row of ``docs``: the class, by its smallest id, and how many other documents link with this
+    one, equal ones among them.  Rows that repeat an id are one document.  A document without words has no class and no links, a row
+    without an id neither.  No pair is left out: a group of n different near copies has up to n (n - 1) / 2 links.
+    """
+    if (names := ids.names_of(docs, doc_id)) is not None:
+        whole = ids.numbers(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", names)
+        links, members = similarity_join(whole, k, percent, most=most)
+        return ids.named(links, ["a", "b"], names), ids.named(members, ["doc_id", "class_id"], names)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    cells_uri, histogram = count_shingles(docs, k)
+    mean = float(np.frombuffer(map_file(cells_uri), np.uint32).mean())
+    own = stash(sets_of(docs, k, percent, cells_uri, light_up_to(histogram, percent), int(most + 8 * mean)), "join-sets")
+    keyed = own.where("k1 is not null and doc_id is not null")
+    first = [F.first(c).alias(c) for c in ("n_shingles", "postings", "places")]
+    classes = stash(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("size"), *first), "join-classes")
+    shared = stash(shared_lists(classes, parts), "join-shared")
+    lists = stash(listed(distinct_lists(shared), times_met(shared)), "join-lists")
+    pairs = stash(pairs_of(lists, None, percent, parts, True), "join-pairs")
+    links = stash(similar(pairs, docs.where("doc_id is not null"), k, percent), "join-links", 500)
+    sizes = classes.select(F.col("rep").alias("other"), "size")
+    both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    linked = both.join(sizes, "other").groupBy("rep").agg(F.sum("size").alias("others"))
+    known = classes.select("k1", "k2", "rep", "size").join(linked, "rep", "left").withColumn("n_links", F.col("size") - 1 + F.coalesce("others", F.lit(0)))
+    members = own.select("doc_id", "n_shingles", "k1", "k2").join(known, ["k1", "k2"], "left")
+    has = F.col("doc_id").isNotNull()
+    return links, members.select("doc_id", "n_shingles", F.when(has, F.col("rep")).alias("class_id"), F.when(has, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id") -> DataFrame:
     """The documents without near duplicates: of each component the row with the smallest id stays, with all its columns.
 

@@ -252,6 +252,26 @@ def test_one_law_at_all_lengths():
         assert (fingerprint.digests(texts, ranks)[texts.index(base[:127])] == fingerprint.digests([base[:127]], ranks)[0]).all()
 
 
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_similarity_join_against_brute_force(spark, documents, most):
+    """Every link between different sets, inside groups of near copies too, and each document's number of links."""
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, t) for i, t in read(spark, "documents").select("doc_id", "text").limit(60).collect()]
+    rows += [(1000 + i, " ".join(w if r.random() > 0.02 else "x" for w in base)) for i in range(25)]
+    rows += [(2000 + i, "short text of six words" + " here" * (i % 2)) for i in range(4)] + [(3000, None), (3001, " "), (3002, "one"), (3003, "one"), (1000, rows[60][1])]
+    links, members = jaccard.similarity_join(documents([*rows, (None, "one")]), most=most)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := SPACE.findall(lower(t))) else set() for i, t in rows}
+    alike = lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= 80 * len(x | y)
+    of = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets if sets[i]}
+    reps = sorted(set(of.values()))
+    assert sorted((x.a, x.b) for x in links.collect()) == [(a, b) for a in reps for b in reps if a < b and alike(sets[a], sets[b])]
+    got = [(x.doc_id, x.n_shingles, x.class_id, x.n_links) for x in members.collect()]
+    expected = [(i, len(sets[i]), of.get(i), sum(j != i and alike(sets[i], sets[j]) for j in sets)) for i, _ in rows]
+    assert sorted(got, key=repr) == sorted([*expected, (None, 1, None, 0)], key=repr)
+    assert max(n for *_, n in expected) > 5
+
+
 def test_ids_that_are_texts(spark):
     """Ids of text: the next document and the least id follow their order."""
     rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "other"), (None, "one two three four five six"), ("aa", None)]
