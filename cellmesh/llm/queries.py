@@ -62,9 +62,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of remainder 2 teach nothing: they are the held-out quarter."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     uri = toxicity.train(docs, labels, learn=remainder("doc_id", 4) != 2)
-    out = toxicity.score(docs, uri)
+    out = toxicity.flagged(toxicity.score(docs, uri), uri)
     return out.select(
-        "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), toxicity.flagged(spark, uri).alias("flagged")
+        "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "flagged"
     )
 
 

@@ -11,12 +11,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import labelled
+from .shared import new_folder, stash
 from .text import ALNUM, U64, buffers, chunks, words
 
 BITS, DIM, FILTERS, WIDTHS, PREFIX = 16, 8, 8, (1, 2, 3), 5
@@ -51,7 +53,7 @@ def start_model(seed: int = 5) -> dict:
         "out": np.zeros(FILTERS * len(WIDTHS), np.float32),
         "out_bias": np.float32(0),
         "scale": (1.0, 0.0),
-        "thresholds": {},
+        "thresholds": None,
         "learned": np.zeros(0, np.int64),
     }
 
@@ -215,15 +217,16 @@ def calibrate(model: dict, rows: list[dict], cache: list[np.ndarray], share: np.
     model["scale"] = (float(a), float(b))
 
 
-def thresholds(counts: list[tuple[str, int, int, int]], totals: dict[int, int]) -> dict[str, float]:
+def thresholds(counts: list[tuple[str, int, int, int]], totals: dict[int, int], counted: dict[int, int] | None = None) -> dict[str, float]:
     """Each language's threshold of the best F1 from ``lang, label, step, count``: a score of ``step`` passes so many values of the grid.
 
-    Labels weigh as ``totals``, the numbers of all labelled rows: the rows counted here can have other shares.
+    Labels weigh as ``totals``, the numbers of all labelled rows: the rows counted, here or in all languages (``counted``), can have other shares.
     """
     rows, found = [0, 0], {}
     for lang, label, step, n in counts:
         rows[label] += n
         found.setdefault(lang, np.zeros((2, len(GRID) + 1)))[label, step] += n
+    rows = rows if counted is None else [counted.get(y, 0) for y in (0, 1)]
     weight = np.array([totals.get(y, 0) / max(1, rows[y]) for y in (0, 1)])[:, None]
     out = {}
     for lang in sorted(found.keys() - {None}):
@@ -260,8 +263,18 @@ def train(
     # Scored before they are joined: only ids, steps and languages move.
     step = sum((F.col("score") >= t).cast("int") for t in GRID)
     scored = score(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), uri).select("doc_id", "lang", step.alias("step"))
-    counts = scored.join(known, "doc_id").join(F.broadcast(ids), "doc_id", "left_anti").groupBy("lang", "label", "step").count().collect()
-    model["thresholds"] = thresholds([tuple(r) for r in counts], {r["label"]: r["total"] for r in rows})
+    counts = stash(scored.join(known, "doc_id").join(F.broadcast(ids), "doc_id", "left_anti").groupBy("lang", "label", "step").count(), "toxicity-counts")
+    totals = {r["label"]: r["total"] for r in rows}
+    counted = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("count").alias("n")).collect()}
+
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        found = thresholds(list(group[["lang", "label", "step", "count"]].itertuples(index=False, name=None)), totals, counted)
+        return pd.DataFrame(list(found.items()), columns=["lang", "threshold"])
+
+    # One language at a time, in tasks: there may be as many as rows.
+    found = counts.where("lang is not null").groupBy("lang").applyInPandas(best, f"lang {docs.schema['lang'].dataType.simpleString()}, threshold double")
+    model["thresholds"] = f"{new_folder(spark, 'toxicity-thresholds')}/t"
+    found.write.parquet(model["thresholds"])
     return labelled.save(spark, model, "toxicity")
 
 
@@ -282,10 +295,17 @@ def score(docs: DataFrame, uri: str, doc_id: str = "doc_id", text: str = "text")
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *extra).mapInArrow(rows, schema)
 
 
-def flagged(spark, uri: str) -> Column:
-    """Whether ``score`` reaches the threshold of ``lang``."""
-    table = labelled.load(uri)["thresholds"]
-    found = F.lit(DEFAULT_THRESHOLD)
-    for lang, t in table.items():
-        found = F.when(F.col("lang") == lang, F.lit(t)).otherwise(found)
-    return F.col("score") >= found
+def languages(spark, uri: str) -> DataFrame | None:
+    """``lang, threshold`` of the languages that have one of their own; None if none was learned."""
+    path = labelled.load(uri)["thresholds"]
+    return spark.read.parquet(path) if path else None
+
+
+def flagged(scored: DataFrame, uri: str) -> DataFrame:
+    """``scored`` with ``flagged``: whether ``score`` reaches the threshold of ``lang``, or ``DEFAULT_THRESHOLD``."""
+    own = languages(scored.sparkSession, uri)
+    if own is None:
+        return scored.withColumn("flagged", F.col("score") >= DEFAULT_THRESHOLD)
+    named = own.select(F.col("lang").alias("_lang"), "threshold")
+    both = scored.join(named, F.col("lang") == F.col("_lang"), "left")
+    return both.withColumn("flagged", F.col("score") >= F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD))).drop("_lang", "threshold")

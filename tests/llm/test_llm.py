@@ -417,7 +417,11 @@ def test_toxicity_thresholds_cover_all_rows(spark):
     # 2 % of the toxic labels are of a language that the sample of 60 rows of a label has once or twice.
     rows = [(i, f"w{i % 7} w{i % 11} {'vile' if i % 2 else 'nice'}", "xx" if i % 100 in (0, 1) else "en", i % 2) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int")
-    found = labelled.load(toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), per_class=60))["thresholds"]
+    uri = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), per_class=60)
+    found = {r.lang: r.threshold for r in toxicity.languages(spark, uri).collect()}
+    scored = toxicity.score(docs, uri)
+    for r in toxicity.flagged(scored, uri).collect():
+        assert r.flagged == (r.score >= found.get(r.lang, toxicity.DEFAULT_THRESHOLD))
     assert set(found) == {"en", "xx"}
 
 
