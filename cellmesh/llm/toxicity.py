@@ -11,7 +11,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -267,12 +266,12 @@ def train(
     totals = {r["label"]: r["total"] for r in rows}
     counted = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("count").alias("n")).collect()}
 
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        found = thresholds(list(group[["lang", "label", "step", "count"]].itertuples(index=False, name=None)), totals, counted)
-        return pd.DataFrame(list(found.items()), columns=["lang", "threshold"])
+    def best(group: pa.Table) -> pa.Table:
+        found = thresholds([(r["lang"], r["label"], r["step"], r["count"]) for r in group.to_pylist()], totals, counted)
+        return pa.table({"lang": pa.array(list(found), group.schema.field("lang").type), "threshold": pa.array(list(found.values()), pa.float64())})
 
     # One language at a time, in tasks: there may be as many as rows.
-    found = counts.where("lang is not null").groupBy("lang").applyInPandas(best, f"lang {docs.schema['lang'].dataType.simpleString()}, threshold double")
+    found = counts.where("lang is not null").groupBy("lang").applyInArrow(best, f"lang {docs.schema['lang'].dataType.simpleString()}, threshold double")
     model["thresholds"] = f"{new_folder(spark, 'toxicity-thresholds')}/t"
     found.write.parquet(model["thresholds"])
     return labelled.save(spark, model, "toxicity")
@@ -285,7 +284,7 @@ def score(docs: DataFrame, uri: str, doc_id: str = "doc_id", text: str = "text")
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = labelled.load(uri)
         a, b = model["scale"]
-        for batch in chunks(batches, "text", 1 << 20):
+        for batch in chunks(batches, "text", 1 << 19):
             pooled, _, _ = forward(model, *tokens(batch.column(1)))
             found = [1 / (1 + math.exp(-z)) for z in np.clip(a * logits(model, pooled) + b, -40, 40).tolist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), *batch.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
