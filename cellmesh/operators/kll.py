@@ -22,6 +22,8 @@ from .heavy import Groups, by_group, each_group
 #: Sketches that become one in a step of the reduction tree.
 FAN_IN = 128
 MOST_K = 26602
+#: Ranges of values among which the items of an exact sketch are dealt.
+RANGES = 256
 
 
 class Levels:
@@ -78,6 +80,17 @@ class KLL:
     k: int = 200
     m: int = 8
     by: tuple[str, ...] = ()
+    whole: bool = False
+
+    @staticmethod
+    def exact(df: DataFrame, value: str, by: str | Iterable[str] = (), k: int = 4096, m: int = 8) -> KLL:
+        """Sketches of blocks of ``k`` rows side by side: none is compacted, so all values are items and all answers exact.
+
+        Items are as many as the values; answers are running sums over ranges of them, which tasks share.
+        """
+        by, k = as_list(by), min(k, MOST_K)
+        blocks = KLL.build(df.select(*by, value, F.expr(f"monotonically_increasing_id() div {k}").alias("_block")), value, [*by, "_block"], k, m)
+        return KLL(blocks.items.select(*by, "level", "item"), blocks.counts.groupBy(*by).agg(F.sum("n").alias("n")), k, m, tuple(by), True)
 
     @staticmethod
     def build(df: DataFrame, value: str, by: str | Iterable[str] = (), k: int = 200, m: int = 8, seed: int = 0) -> KLL:
@@ -115,10 +128,12 @@ class KLL:
         return KLL(merged.select(*by, "level", "item"), rows.groupBy(*by).agg(F.count("*").alias("n")), k, m, tuple(by))
 
     def merge(self, *others: KLL, seed: int = 7) -> KLL:
-        same((self.k, self.m, self.by), *((o.k, o.m, o.by) for o in others))
+        same((self.k, self.m, self.by, self.whole), *((o.k, o.m, o.by, o.whole) for o in others))
         kinds = "".join(f"{c} {self.items.schema[c].dataType.simpleString()}, " for c in self.by)
         parts = union([o.items for o in (self, *others)])
         counts = union([o.counts for o in (self, *others)]).groupBy(*self.by).agg(F.sum("n").alias("n"))
+        if self.whole:
+            return replace(self, items=parts, counts=counts)
         return replace(self, items=_merged(parts, list(self.by), kinds, self.k, self.m, seed, F.lit(0)).select(*self.by, "level", "item"), counts=counts)
 
     # --- queries ---
@@ -128,6 +143,8 @@ class KLL:
 
     def rank(self, probes: DataFrame, value: str) -> DataFrame:
         """``(*by, value, rank)``: the weight of items up to each probe."""
+        if self.whole:
+            return self._probed(probes, value).select(*self.by, value, F.col("up_to").alias("rank"))
         probes = probes.select(*self.by, F.col(value)).distinct()
         total = self.weighted().groupBy(*self.by).agg(F.collect_list(F.struct("item", "w")).alias("items"))  # bounded by k
         both = join_null_safe(probes, total, list(self.by), "left")
@@ -136,6 +153,8 @@ class KLL:
 
     def cdf(self) -> DataFrame:
         """``(*by, value, q)``: values and the share of weight up to them."""
+        if self.whole:
+            return self._lines().select(*self.by, F.col("x").alias("value"), (F.col("up_to") / F.col("total")).alias("q"))
         steps = self.weighted().groupBy(*self.by, "item").agg(F.sum("w").alias("w"))
         group = Window.partitionBy(*self.by)
         return steps.select(*self.by, F.col("item").alias("value"), (F.sum("w").over(group.orderBy("item")) / F.sum("w").over(group)).alias("q"))
@@ -145,12 +164,48 @@ class KLL:
 
     def quantiles(self, qs: Iterable[float], linear: bool = False) -> DataFrame:
         """``(*by, p, value)``: the first value whose share reaches p, or the line between it and the one before."""
+        if self.whole:
+            step, p = F.struct("q", "value"), F.col("p")
+            t = self.cdf().withColumn("p", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).groupBy(*self.by, "p")
+            t = t.agg(F.max(F.when(F.col("q") < p, step)).alias("b"), F.min(F.when(F.col("q") >= p, step)).alias("h"), F.max("value").alias("last"))
+            line = F.coalesce(F.col("b.value") + (p - F.col("b.q")) / (F.col("h.q") - F.col("b.q")) * (F.col("h.value") - F.col("b.value")), F.col("h.value"))
+            return t.select(*self.by, "p", F.coalesce(line if linear else F.col("h.value"), F.col("last")).alias("value"))
         t = self._tables().withColumn("p", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
         at = F.size(F.filter("t", lambda x: x["q"] < F.col("p")))
         return t.select(*self.by, "p", _between(at, "q", "value", F.col("p"), linear, F.element_at("t", -1)["value"]).alias("value"))
 
+    def _lines(self, probes: DataFrame | None = None) -> DataFrame:
+        """``(*by, x, w, up_to, total, before, here)`` of each value and probe ``x``: its weight, that up to it and that of all, the value
+        before it, and the first from it on with its weight.  Sums and neighbours are found within ranges and carried from range to range.
+        """
+        by, item = list(self.by), F.when(F.col("w") > 0, F.struct("x", "w"))
+        points = self.weighted().select(*by, F.col("item").alias("x"), "w")
+        if probes is not None:
+            points = points.unionByName(probes.select(*by, "x", F.lit(0.0).alias("w")))
+        edges = sorted(set(self.items.approxQuantile("item", [i / RANGES for i in range(1, RANGES)], 0.1 / RANGES)))
+        place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("x"))) if edges else F.lit(0)
+        points = points.groupBy(*by, "x").agg(F.sum("w").alias("w")).withColumn("_range", place)
+        at, back = (Window.partitionBy(*by, "_range").orderBy(o) for o in (F.col("x"), F.desc("x")))
+        up, down = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_range"), F.desc("_range")))
+        ends = points.groupBy(*by, "_range").agg(F.sum("w").alias("_w"), F.max(item["x"]).alias("_last"), F.min(item).alias("_first"))  # a row a range
+        ends = ends.select(*by, "_range", F.coalesce(F.sum("_w").over(up), F.lit(0.0)).alias("_below"), F.max("_last").over(up).alias("_last"), F.min("_first").over(down).alias("_first"), F.sum("_w").over(Window.partitionBy(*by)).alias("total"))
+        both = join_null_safe(points, ends if by else F.broadcast(ends), [*by, "_range"])
+        before = F.coalesce(F.max(item["x"]).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.col("_last"))
+        here = F.coalesce(item, F.min(item).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.col("_first"))
+        return both.select(*by, "x", "w", (F.col("_below") + F.sum("w").over(at)).alias("up_to"), "total", before.alias("before"), here.alias("here"))
+
+    def _probed(self, probes: DataFrame, value: str) -> DataFrame:
+        """:meth:`_lines` of each distinct probe."""
+        wanted = probes.select(*self.by, value).distinct().withColumn("x", F.col(value).cast("double"))
+        return join_null_safe(wanted, self._lines(wanted), [*self.by, "x"])
+
     def shares(self, probes: DataFrame, value: str, linear: bool = False) -> DataFrame:
         """``(*by, value, share)``: the share below each probe, 0 and 1 outside; stepwise or linear."""
+        if self.whole:
+            t = self._probed(probes, value).where("total > 0")
+            below, h, b = (F.col("up_to") - F.col("w")) / F.col("total"), F.col("here"), F.col("before")
+            line = below + (F.col(value) - b) / (h["x"] - b) * (h["w"] / F.col("total"))
+            return t.select(*self.by, value, F.coalesce(line, below).alias("share") if linear else below.alias("share"))
         both = join_null_safe(probes.select(*self.by, value).distinct(), self._tables(), list(self.by), "inner")
         at = F.size(F.filter("t", lambda x: x["value"] < F.col(value)))
         before, here = F.get("t", at - 1), F.get("t", at)

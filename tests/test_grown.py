@@ -48,3 +48,8 @@ def test_histogram_of_a_full_sketch(spark, duck, grown):
 
 def test_linear_counting_of_many_registers(spark, duck, grown):
     check(spark, duck, grown, "hll_sparse")
+
+
+@pytest.mark.parametrize("name", ["kll_cdf_exact_small", "kll_quantile", "kll_quantile_li", "kll_rank", "kll_share", "kll_share_linear"])
+def test_exact_sketches_of_many_values(spark, duck, grown, name):
+    check(spark, duck, grown, name)
