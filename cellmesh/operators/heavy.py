@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from .frames import as_list, join_null_safe, rounds, same, top_k, union
+from .frames import as_list, dealt, join_null_safe, rounds, same, top_k, union
 from .linear import Linear, Shape
 
 
@@ -32,6 +32,8 @@ def exact_top_k(df: DataFrame, key: str, k: int, weight: str | None = None, by:
 
 #: Groups whose states a task holds.
 HELD = 1000
+#: Keys in a task's Space-Saving tables from which those that are not full are given out.
+MOST_KEYS = 1 << 19
 
 
 class Groups:
@@ -52,7 +54,11 @@ class Groups:
         if len(self.states) <= HELD:
             return []
         out = heapq.nsmallest(len(self.states) - HELD // 2, self.states, key=self.seen.__getitem__)
-        return [(g, self.states.pop(g)) for g in out if self.seen.pop(g)]
+        return [self.pop(g) for g in out]
+
+    def pop(self, group: tuple) -> tuple[tuple, object]:
+        self.seen.pop(group)
+        return group, self.states.pop(group)
 
 
 def group_columns(df: DataFrame, by: list[str]) -> str:
@@ -159,7 +165,10 @@ def space_saving(df: DataFrame, key: str, k: int = 100, weight: str | None = Non
                 state = held.of(group, len(rows))
                 for x, n in rows.groupby("key", sort=False)["w"].sum().items():
                     state.add(x, n)
-            if gone := held.surplus():
+            gone = held.surplus()
+            if sum(len(t.count) for t in held.states.values()) > MOST_KEYS:  # a table that is not full has no error to hand on
+                gone += [held.pop(g) for g in [g for g, t in held.states.items() if len(t.count) < k]]
+            if gone:
                 yield table(gone)
                 given += 1
         yield table(held.states.items())
@@ -167,6 +176,16 @@ def space_saving(df: DataFrame, key: str, k: int = 100, weight: str | None = Non
     return space_saving_merge(rows.mapInPandas(fold, f"{group_columns(df, by)}part string, key string, cnt double, err double, floor double"), k, by)
 
 
+def space_saving_all(df: DataFrame, key: str, k: int = 100, weight: str | None = None, by: str | Iterable[str] = ()) -> DataFrame:
+    """``(*by, key, cnt, err)`` of every key: keys are dealt by hash into parts that tables of ``k`` keys (256 at least) hold whole.
+
+    No key is evicted, so counts are exact; each task gives out what it holds of the parts, so no state grows with the number of keys.
+    """
+    k = max(k, 256)
+    parts = dealt(df.where(F.col(key).isNotNull()), key, k)
+    return space_saving(parts, key, k, weight, [*as_list(by), "_deal"]).drop("_deal")
+
+
 def space_saving_merge(parts: DataFrame, k: int, by: str | Iterable[str] = ()) -> DataFrame:
     """Merge states ``(*by, part, key, cnt, err, floor)``: a key that a state does not track may have had its floor there.
 

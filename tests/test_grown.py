@@ -53,3 +53,7 @@ def test_linear_counting_of_many_registers(spark, duck, grown):
 @pytest.mark.parametrize("name", ["kll_cdf_exact_small", "kll_quantile", "kll_quantile_li", "kll_rank", "kll_share", "kll_share_linear"])
 def test_exact_sketches_of_many_values(spark, duck, grown, name):
     check(spark, duck, grown, name)
+
+
+def test_space_saving_of_every_key(spark, duck, grown):
+    check(spark, duck, grown, "space_saving_all_tracked")
