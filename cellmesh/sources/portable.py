@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators.ddsketch import DDSketch
-from ..operators.frames import Mismatch, as_list
+from ..operators.frames import Mismatch, as_list, dealt
 from ..operators.heavy import LIGHT, Coco, Elastic, each_group
 from ..operators.hll import HLL, M, P
 from ..operators.hydra import GRID, Hydra
@@ -522,19 +522,24 @@ def from_arrays(frames: DataFrame, like: object) -> object:
 
 
 def tracked_frame(sketch: Tracked, before: Tracked | None = None) -> DataFrame:
-    """One row ``data``: cells and heaviest keys; against ``before`` the changed cells, whole numbers, and all keys."""
-    shape, heap, k, whole = sketch.sketch.shape, sketch.top_k(), sketch.k, before is None
+    """One row ``data``: cells and heaviest keys; against ``before`` the changed cells, whole numbers, and all keys.
+
+    A sketch that tracks every key has further rows, frames of keys and of no cells: none takes more than ``k`` keys, 256 at least.
+    """
+    shape, k, whole = sketch.sketch.shape, sketch.k, before is None
+    heap = dealt(sketch.estimates().withColumn("rk", F.lit(0)), "key", max(k, 256)) if sketch.every else sketch.top_k().withColumn("_deal", F.lit(0))
     cells = sketch.sketch.cells if before is None else sketch.sketch.delta(before.sketch).withColumnRenamed("d", "v")
-    rows = _long(cells, [], "cell", a="row", b="col", v="v").unionByName(_long(heap, [], "key", a="rk", s="key", v="cnt"))
+    cells, by = cells.withColumn("_deal", F.lit(0)), ["_deal"]
+    rows = _long(cells, by, "cell", a="row", b="col", v="v").unionByName(_long(heap, by, "key", a="rk", s="key", v="cnt"))
 
     def make(group: pd.DataFrame) -> bytes:
-        keys, own = group[group["t"] == "key"].sort_values("a"), group[group["t"] == "cell"].sort_values(["a", "b"])
+        keys, own = group[group["t"] == "key"].sort_values(["a", "v", "s"], ascending=[True, False, True]), group[group["t"] == "cell"].sort_values(["a", "b"])
         heaviest = list(zip(keys["s"], keys["v"], strict=True))
-        if whole:
+        if whole and not group["_deal"].iloc[0]:
             return codecs.heap_frame(_matrix(own, shape).tolist(), heaviest, k)
         return codecs.heap_delta_frame(shape.rows, shape.cols, zip(own["a"].astype(int).tolist(), own["b"].astype(int).tolist(), own["v"].astype(int).tolist(), strict=True), heaviest, k)
 
-    return _messages(rows, [], make)
+    return _messages(rows, by, make).select("data")
 
 
 def read_tracked(frames: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame]:
@@ -590,18 +595,22 @@ DELTAS = {"cm": ("count_min", "CountMinDelta"), "cs": ("count_sketch", "CountSke
 
 
 def delta_rows(kind: str, delta: Delta | DataFrame) -> DataFrame:
-    """Long rows of a delta: cells with, where there are, row masses and keys; registers; or buckets."""
+    """Long rows of a delta, by the message ``_deal`` if keys go into several: cells with, where there are, row masses and keys; registers; or buckets."""
     if kind == "hll":
         return _long(delta, [], "reg", a="reg", b="rho")
     if kind == "dd":
         return _long(delta, [], "bucket", a="bucket", v="d")
     if not isinstance(delta, Delta):
         return _long(delta, [], "cell", a="row", b="col", v="d")
-    return _long(delta.cells, [], "cell", a="row", b="col", v="d").unionByName(_long(delta.l1, [], "l1", a="row", v="d")).unionByName(_long(delta.keys, [], "key", s="key"))
+    by, cells, l1, keys = [], delta.cells, delta.l1, delta.keys
+    if delta.k is not None:
+        by, keys = ["_deal"], dealt(keys, "key", max(delta.k, 256))
+        cells, l1 = (t.withColumn("_deal", F.lit(0)) for t in (cells, l1))
+    return _long(cells, by, "cell", a="row", b="col", v="d").unionByName(_long(l1, by, "l1", a="row", v="d")).unionByName(_long(keys, by, "key", s="key"))
 
 
 def delta_message(kind: str, delta: Delta | DataFrame, shape: Shape | None = None, partition_key: str = "", window_start_ms: int = 0, closed: bool = False) -> DataFrame:
-    """One row ``data``: an envelope of the delta.  A delta of nothing has no row."""
+    """One row ``data``: an envelope of the delta.  A delta of nothing has no row; one of every key has further rows, envelopes of keys alone."""
     field, name = DELTAS[kind]
     head = {"partition_key": partition_key, "window_start_ms": window_start_ms, "is_window_close": closed}
 

@@ -57,3 +57,7 @@ def test_exact_sketches_of_many_values(spark, duck, grown, name):
 
 def test_space_saving_of_every_key(spark, duck, grown):
     check(spark, duck, grown, "space_saving_all_tracked")
+
+
+def test_frames_of_every_key(spark, duck, grown):
+    check(spark, duck, grown, "array_heap_keys")
