@@ -629,7 +629,7 @@ def delta_message(kind: str, delta: Delta | DataFrame, shape: Shape | None = Non
             state |= {"hh_keys": sorted(rows.loc[rows["t"] == "key", "s"]), **({"l1": masses.tolist()} if kind == "cm" and len(l1) else {})}
         return encode("DeltaEnvelope", head | {field: state})
 
-    return _messages(delta_rows(kind, delta), [], make)
+    return _messages(delta_rows(kind, delta), ["_deal"] if isinstance(delta, Delta) and delta.k is not None else [], make).select("data")
 
 
 def read_delta(kind: str, messages: DataFrame, shape: Shape | None = None) -> Delta | DataFrame:

@@ -61,3 +61,7 @@ def test_space_saving_of_every_key(spark, duck, grown):
 
 def test_frames_of_every_key(spark, duck, grown):
     check(spark, duck, grown, "array_heap_keys")
+
+
+def test_messages_of_every_key(spark, duck, grown):
+    check(spark, duck, grown, "portable_cs_delta_keys")
