@@ -65,3 +65,8 @@ def test_frames_of_every_key(spark, duck, grown):
 
 def test_messages_of_every_key(spark, duck, grown):
     check(spark, duck, grown, "portable_cs_delta_keys")
+
+
+@pytest.mark.parametrize("name", ["univmon_cardinality", "univmon_entropy", "univmon_merge"])
+def test_pyramids_of_every_key(spark, duck, grown, name):
+    check(spark, duck, grown, name)
