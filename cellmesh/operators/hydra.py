@@ -17,7 +17,7 @@ from ..functions import hashing
 from .ddsketch import DDSketch, Mapping
 from .frames import SENT_CELLS, UnsupportedQuery, dense, median_of, middle, same, union
 from .hll import HLL, register, rest, rho_of
-from .kll import KLL
+from .kll import FAN_IN, KLL, regrouped
 from .linear import Linear, Shape, addressed, best_of, hashed, place
 from .univmon import Pyramid, UnivMon
 
@@ -103,9 +103,17 @@ class Hydra:
         if value is None and kind in ("cm", "cs"):
             return Hydra.of_sums(subkey_sums(df, labels, weight, by), kind, depth, width, by, **inner)
         keep = [F.col(c) for c in dict.fromkeys([*by, *([value] if value else []), *([weight] if weight else [])])]
+        whole = _inner(df, kind, value, weight, by, inner) if big and value else None
+        if value and kind in ("cm", "cs", "kll"):  # a sketch of each label key, which goes to all cells of the key
+            own = _inner(df.select(*keep, labels.alias("_labels")), kind, value, weight, [*by, "_labels"], inner)
+            return Hydra(_gathered(own, by, depth, width), kind, depth, width, whole, tuple(by))
+        if value and kind == "universal":  # a layer sums whole weights by key: so do rows of equal labels
+            w = (F.lit(1) if weight is None else F.col(weight)).cast("bigint")
+            sums = df.select(*by, F.col(value), labels.alias("_labels"), w.alias("_w")).where(F.col(value).isNotNull()).groupBy(*by, value, "_labels").agg(F.sum("_w").alias("_w"))
+            df, weight, labels, keep = sums, "_w", F.col("_labels"), dict.fromkeys([*by, value, "_w"])
         rows = df.select(*keep, F.explode(expand_subkeys(labels)).alias("_sub"))
         grid = placed(rows, "_sub", depth, width)
-        return Hydra(_inner(grid, kind, value or "_sub", weight, [*by, *GRID], inner), kind, depth, width, _inner(df, kind, value, weight, by, inner) if big and value else None, tuple(by))
+        return Hydra(_inner(grid, kind, value or "_sub", weight, [*by, *GRID], inner), kind, depth, width, whole, tuple(by))
 
     @staticmethod
     def of_sums(sums: DataFrame, kind: str = "cm", depth: int = 3, width: int = 64, by: Iterable[str] = (), **inner: object) -> Hydra:
@@ -159,6 +167,21 @@ class Hydra:
         return inner.select(*wanted.columns, F.expr(f"{median_of(answers)} * {shape.factor!r}D AS estimate"))
 
 
+def spread(table: DataFrame, depth: int, width: int) -> DataFrame:
+    """A table by ``_labels`` at the grid cells of all subset keys, its rows and columns kept."""
+    held = table.withColumnsRenamed({"row": "_row", "col": "_col"}).withColumn("_sub", F.explode(expand_subkeys(F.col("_labels"))))
+    return placed(held, "_sub", depth, width).drop("_sub").withColumnsRenamed({"_row": "row", "_col": "col"})
+
+
+def _gathered(own: Linear | KLL, by: list[str], depth: int, width: int) -> Linear | KLL:
+    """Sketches of label keys, merged in the cells of their subset keys."""
+    to = [*by, *GRID]
+    if isinstance(own, Linear):
+        return replace(own, cells=spread(own.cells, depth, width).groupBy(*to, "row", "col").agg(F.sum("v").alias("v")), by=tuple(to))
+    counts = spread(own.counts, depth, width).groupBy(*to).agg(F.sum("n").alias("n"))
+    return regrouped(own, spread(own.items, depth, width), counts, to, F.expr(f"cast(pmod(xxhash64(_labels), {FAN_IN}) AS int)"))
+
+
 def _inner(rows: DataFrame, kind: str, value: str | None, weight: str | None, by: list[str], inner: dict) -> object:
     if kind in ("cm", "cs"):
         return Linear.build(rows, value, weight, by, inner.get("shape") or Shape(3, 512, signed=kind == "cs"))
@@ -205,6 +228,9 @@ def multihead(df: DataFrame, labels: Column, dimensions: dict[str, str], weight:
 
 def multihead_query(sketch: Hydra, probes: DataFrame, subkey: str, dimension: str, ask: str, **how: object) -> DataFrame:
     """``(subkey, [item,] estimate)`` from the counters of one dimension."""
+    if isinstance(sketch.inner, Linear) and sketch.by == ("dimension",):
+        own = sketch.inner.cells.where(F.col("dimension") == dimension).drop("dimension")
+        return replace(sketch, inner=replace(sketch.inner, cells=own, by=tuple(GRID)), big=None, by=()).query(probes, subkey, ask, **how)
     return sketch.query(probes.withColumn("dimension", F.lit(dimension)), subkey, ask, **how).drop("dimension")
 
 
@@ -227,14 +253,14 @@ class MultiHead:
     def build(df: DataFrame, labels: Column, dimensions: dict[str, tuple[str, str]], weight: str | None = None, depth: int = 3, width: int = 64, shape: Shape = Shape(3, 512), alpha: float = 0.01) -> MultiHead:
         """``dimensions``: of each the column of its values and its kind, ``cm``, ``cs``, ``hll`` or ``dd``.
 
-        One scan routes each row once and fills the cells of all kinds in one grouped aggregation.  A null value adds nothing in its
+        One scan fills the cells of all kinds for each label key in one grouped aggregation, and these go to the grid cells of the key.  A null value adds nothing in its
         dimension, nor does a value that a quantile sketch cannot index.  Weights count in ``cm`` and ``cs``.
         """
         if wrong := {kind for _, kind in dimensions.values()} - {"cm", "cs", "hll", "dd"}:
             raise ValueError(f"no such counters: {sorted(wrong)}")
         w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
         values = [F.col(c).alias(f"_value{i}") for i, (c, _) in enumerate(dimensions.values())]
-        rows = placed(df.select(w.alias("_w"), *values, F.explode(expand_subkeys(labels)).alias("_sub")), "_sub", depth, width)
+        rows = df.select(w.alias("_w"), *values, labels.alias("_labels"))
         entries, mapping = [], Mapping(alpha)
         for i, (name, (_, kind)) in enumerate(dimensions.items()):
             value, title = F.col(f"_value{i}"), name.replace("'", "\\'")
@@ -256,8 +282,8 @@ class MultiHead:
                 v = value.cast("double")
                 rows = rows.withColumn(f"_{i}_bucket", F.when(mapping.indexable(v), mapping.bucket(v)))
                 entries.append(entry(0, f"_{i}_bucket", "1", "NULL", f"_{i}_bucket IS NOT NULL"))
-        dealt = rows.selectExpr(*GRID, f"inline(filter(array({', '.join(entries)}), e -> e IS NOT NULL))")
-        return MultiHead(_tagged(dealt), tuple((name, kind) for name, (_, kind) in dimensions.items()), depth, width, shape, alpha)
+        dealt = rows.selectExpr("_labels", f"inline(filter(array({', '.join(entries)}), e -> e IS NOT NULL))")
+        return MultiHead(_tagged(spread(_tagged(dealt, ["_labels"]), depth, width)), tuple((name, kind) for name, (_, kind) in dimensions.items()), depth, width, shape, alpha)
 
     def merge(self, *others: MultiHead) -> MultiHead:
         identity = lambda m: (m.heads, m.depth, m.width, m.shape, m.alpha)
@@ -283,5 +309,5 @@ class MultiHead:
         return self.head(dimension).query(probes, subkey, ask, **how)
 
 
-def _tagged(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("dimension", *GRID, "row", "col").agg(F.sum("v").alias("v"), F.min("low").alias("low"))
+def _tagged(cells: DataFrame, by: Iterable[str] = tuple(GRID)) -> DataFrame:
+    return cells.groupBy("dimension", *by, "row", "col").agg(F.sum("v").alias("v"), F.min("low").alias("low"))

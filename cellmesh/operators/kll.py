@@ -213,6 +213,13 @@ class KLL:
         return both.select(*self.by, value, F.when(at == 0, 0.0).when(at == F.size("t"), 1.0).otherwise(step).alias("share"))
 
 
+def regrouped(sketch: KLL, items: DataFrame, counts: DataFrame, by: list[str], bucket: Column, seed: int = 11) -> KLL:
+    """Sketches of other groups: ``items``, those of ``sketch`` by ``by``, merge by buckets first and then to one a group."""
+    kinds = "".join(f"{c} {items.schema[c].dataType.simpleString()}, " for c in by)
+    parts = _merged(items, by, kinds, sketch.k, sketch.m, seed, bucket)
+    return replace(sketch, items=_merged(parts, by, kinds, sketch.k, sketch.m, seed + 1, F.lit(0)).select(*by, "level", "item"), counts=counts, by=tuple(by))
+
+
 def _between(at: Column, x: str, y: str, p: Column, linear: bool, last: Column) -> Column:
     before, here = F.get("t", at - 1), F.get("t", at)
     value = here[y] if not linear else F.when(at == 0, here[y]).otherwise(before[y] + (p - before[x]) / (here[x] - before[x]) * (here[y] - before[y]))

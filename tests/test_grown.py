@@ -79,3 +79,12 @@ def test_hybrids_of_many_users(spark, duck, grown):
 def test_exact_quantiles_without_one_task(spark, duck, grown):
     check(spark, duck, grown, "dd_rel_error")
     assert "percentile" not in QUERIES["dd_rel_error"](spark, grown)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labels_are_summed_before_they_are_expanded(spark):
+    from .conftest import SF
+
+    plan = lambda name: QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan("multihead_mixed")
+    assert "_cells" in plan("multihead_query")
+    assert "_labels" in plan("hydra_cdf") and "_labels" in plan("hydra_kll")
