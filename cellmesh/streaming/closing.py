@@ -7,6 +7,7 @@ window's end sends the rest, tells that the window is closed, and drops its stat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,54 @@ def summed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.select(*keys, value).mapInPandas(run, f"{kinds}, {value} double")
 
 
+#: Updates that a task packs at a time, runs of a packed row, and updates that are spread at a time.
+PACKED, RUNS, SPREAD = 1 << 18, 128, 1 << 16
+
+
+def packed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Updates ``(*keys, col, w)`` as rows ``(*keys, cols, w, n)`` of runs: n updates of a column, one after the other, that add the same.
+
+    A combiner before the shuffle where order matters: of a task's updates each column's stay in order, and those of unit weight are one run.
+    :func:`spread` reads the rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some, n = [], 0
+        for batch in batches:
+            some.append(batch)
+            n += len(batch)
+            if n >= PACKED:
+                yield _runs(pd.concat(some), keys)
+                some, n = [], 0
+        if n:
+            yield _runs(pd.concat(some), keys)
+
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keys)
+    return rows.select(*keys, "col", "w").mapInPandas(run, f"{kinds}cols array<int>, w array<double>, n array<int>")
+
+
+def _runs(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    group = rows.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+    order = np.lexsort((rows["col"].to_numpy(), group))
+    group, col, w = group[order], rows["col"].to_numpy()[order], rows["w"].to_numpy(np.float64)[order]
+    start = np.flatnonzero(np.concatenate([[True], (np.diff(group) != 0) | (np.diff(col) != 0) | (w[1:] != w[:-1])]))
+    first = np.flatnonzero(np.diff(group[start], prepend=-1))
+    place = np.arange(len(start)) - np.repeat(first, np.diff(np.append(first, len(start))))
+    cut = np.flatnonzero(place % RUNS == 0)
+    out = rows.iloc[order[start[cut]]][keys].reset_index(drop=True)
+    each = {"cols": col[start], "w": w[start], "n": np.diff(np.append(start, len(col)))}
+    return out.assign(**{c: pd.Series(np.split(x, cut[1:]), dtype=object) for c, x in each.items()})
+
+
+def spread(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(cols, w)`` of the updates of packed rows, at most ``SPREAD`` at a time."""
+    cols, w, n = (np.concatenate(batch[c].to_list()) for c in ("cols", "w", "n"))
+    ends = np.cumsum(n, dtype=np.int64)
+    for low in range(0, int(ends[-1]), SPREAD):
+        at = np.searchsorted(ends, np.arange(low, min(low + SPREAD, int(ends[-1]))), "right")
+        yield cols[at].astype(np.int64), w[at].astype(np.float64)
+
+
 class Windowed(StatefulProcessor):
     """A state that lives as long as its window: a timer at the window's end, nothing for items that come later.
 
@@ -166,8 +215,8 @@ class Thresholds(Windowed):
         if not self.open(key, timer_values):
             return
         held = dict(zip(*self.state.get(), strict=True)) if self.state.exists() else {}
-        for batch in rows:
-            cols, d = crossed(held, batch["col"].to_numpy(np.int64), batch["w"].to_numpy(np.float64), self.tau, self.signed)
+        for cols, w in chain.from_iterable(map(spread, rows)):
+            cols, d = crossed(held, cols, w, self.tau, self.signed)
             if len(cols):
                 yield self._message(key, cols, d, False)
         left = {c: v for c, v in held.items() if v != 0}
@@ -200,6 +249,6 @@ def window_thresholds(stream: DataFrame, ts: str, key: str, width: str, tau: flo
 
     Items without key or time count nowhere; items of a closed window are late and dropped.
     """
-    rows = in_windows(stream, ts, key, width, partition, shape, weight)
+    rows = packed(in_windows(stream, ts, key, width, partition, shape, weight), KEYS)
     kinds = "partition_key string, window_ms bigint, row int, col int, d double, flush boolean"
     return timed(rows.groupBy(*KEYS).transformWithStateInPandas(Thresholds(window_ms(stream, width), tau, shape.signed), kinds, "Append", "EventTime"))

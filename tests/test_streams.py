@@ -167,6 +167,65 @@ def test_windows_flush_what_they_hold(spark, tmp_path):
     assert not [x for x in sent if (x.window_start - DAY).days == 2 and x.flush]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 3), st.sampled_from([1.0, 1.0, -1.0, 2.5])), min_size=1, max_size=80), st.integers(1, 6), st.integers(1, 9))
+def test_runs_keep_the_order_of_a_cell(updates, runs, spread):
+    of = lambda key, cols, w: [(key, int(c), float(x)) for c, x in zip(cols, w, strict=True)]
+    by_cell = lambda rows: {cell: [w for *at, w in rows if tuple(at) == cell] for cell in {(k, c) for k, c, _ in rows}}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(closing, "RUNS", runs)
+        patch.setattr(closing, "SPREAD", spread)
+        rows = closing._runs(pd.DataFrame(updates, columns=["k", "col", "w"]), ["k"])
+        assert rows["cols"].map(len).max() <= runs
+        back = []
+        for key, group in rows.groupby("k", dropna=False, sort=False):
+            for cols, w in closing.spread(group):
+                assert 0 < len(cols) <= spread
+                back += of(None if pd.isna(key) else key, cols, w)
+    assert by_cell(back) == by_cell(updates)
+
+
+@pytest.mark.parametrize("windows", [False, True])
+def test_states_read_runs_of_a_task(spark, tmp_path, monkeypatch, windows):
+    """A state reads few rows, however many updates there are."""
+    module, name = (closing, "Thresholds") if windows else (stateful, "Threshold")
+
+    class Counting(getattr(module, name)):
+        def handleInputRows(self, key, rows, timer_values):  # noqa: N802
+            n = [float(sum(map(len, rows)))]
+            yield self._message(key, [0], n, False) if windows else pd.DataFrame({"row": [key[0]], "col": [0], "d": n})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            return iter(())
+
+    monkeypatch.setattr(module, name, Counting)
+    rows = spark.range(0, 50_000, 1, 2).select(F.timestamp_seconds(F.col("id") % 3600).alias("ts"), (F.col("id") % 100).alias("k"))
+    write(rows, f"{tmp_path}/t.parquet")
+    stream, shape = frames.watermarked(tables.stream(spark, str(tmp_path), "t"), "ts", "0 seconds"), Shape(2, 64)
+    made = closing.window_thresholds(stream, "ts", "k", "1 day", 8, None, shape) if windows else stateful.thresholded(stream, "k", 8, shape)
+    read = [r.d for r in stateful.drained(made).collect()]
+    assert len(read) == 2 and max(read) <= 8
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_thresholds_of_weights_in_order(spark, tmp_path, signed):
+    """One file read by one task, two micro-batches: the messages of each cell are those of one update after the other."""
+    from cellmesh.operators.linear import addressed
+
+    r, shape = random.Random(3), Shape(2, 4, signed=signed)
+    schema, files = "i int, k string, w double", [[(a + i, r.choice("abcdef"), r.choice([1.0, 1.0, 2.0, 5.0])) for i in range(400)] for a in (0, 400)]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).sortWithinPartitions("i").write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    got = stateful.drained(stateful.thresholded(tables.stream(spark, str(tmp_path), "t", 1), "k", 7, shape, "w")).collect()
+    cells, found = defaultdict(list), defaultdict(list)
+    for x in addressed(spark.createDataFrame([x for rows in files for x in rows], schema), "k", shape).orderBy("i").collect():
+        cells[x.row, x.col].append(x.sign * x.w)
+    for x in got:
+        found[x.row, x.col].append(x.d)
+    expected = {cell: sorted(d for _, d in one_by_one(w, [7.0] * len(w), 0.0, signed)[0]) for cell, w in cells.items()}
+    assert {cell: sorted(d) for cell, d in found.items()} == {cell: d for cell, d in expected.items() if d}
+
+
 def test_files_in_order(spark, tmp_path):
     """Files written side by side are read in the order of their names; a stream that drops rows says so."""
     df = spark.range(0, 400, 1, 4).select(F.timestamp_seconds(F.col("id") * 3600).alias("ts"), (F.col("id") % 7).alias("k"))
